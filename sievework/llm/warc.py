@@ -93,7 +93,7 @@ class Bundle:
         fs, root = store(folder)
         self.name = f"records-{TaskContext.get().partitionId() if TaskContext.get() else 0:05d}-{uuid.uuid4().hex}.warc.zst"
         fs.create_dir(root, recursive=True)
-        self.out, self.frames, self.at = fs.open_output_stream(f"{root}/{self.name}"), [], 0
+        self.out, self.frames, self.at = fs.open_output_stream(f"{root}/{self.name}", compression=None), [], 0
         self.pack = zstandard.ZstdCompressor(level=3)
 
     def frame(self, data: bytes) -> tuple[int, int]:
