@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +67,11 @@ def words(text: Column | str, lower: bool = True) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def extended(df: DataFrame, **added: str) -> StructType:
+    """The schema of df and columns after it."""
+    return StructType([*df.schema.fields, *(StructType().add(n, t).fields[0] for n, t in added.items())])
+
+
 def word_count(text: Column | str) -> Column:
     """The number of words of a text; 0 if it is null."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from sievework.llm import line_dedup, mixing, sharding, warc
+from sievework.llm import langid, line_dedup, mixing, sharding, tokens, toxicity, warc, webp
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
+    "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_warc": warc.op7_warc,
+    "op8_media": webp.op8_media,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_token_counts": tokens.op10_token_counts,
 }
 ORACLES = {
     "op2_sharding": sharding.ORACLE,
