@@ -59,6 +59,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own])
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column | str, lower: bool = True) -> Column:
     """The words of a text as an array; a null or blank text has none."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
