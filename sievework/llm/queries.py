@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sievework.llm import decontam, langid, line_dedup, mixing, sharding, tokens, toxicity, warc, webp
+from sievework.llm import decontam, jaccard_join, langid, line_dedup, mixing, sharding, tokens, toxicity, warc, webp
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
     "op3_language_id": langid.op3_language_id,
     "op4_mixing": mixing.op4_mixing,
+    "op5_ngram_jaccard": jaccard_join.op5_ngram_jaccard,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_warc": warc.op7_warc,
     "op8_media": webp.op8_media,
