@@ -339,7 +339,7 @@ def _large_units(sets: DataFrame, tokens: int, pairs: int = 2_000_000) -> DataFr
     state = cut(flat.select("root", "class", "doc_id", (F.octet_length("tokens") / 8).cast("long").alias("n"), F.lit(None).cast("long").alias("label"), F.lit(False).alias("done")))
     while True:
         # Hubs: reached classes not yet used as such; where a unit has none, its least free class begins a component.
-        left = state.groupBy("root").agg(F.count_if("label IS NULL").alias("n_free"), F.count_if("label IS NOT NULL AND NOT done").alias("n_next"), F.min(F.when(F.col("label").isNull(), F.col("class"))).alias("seed"))
+        left = state.groupBy("root").agg(F.count_if(F.col("label").isNull()).alias("n_free"), F.count_if(F.expr("label IS NOT NULL AND NOT done")).alias("n_next"), F.min(F.when(F.col("label").isNull(), F.col("class"))).alias("seed"))
         left = cut(left.filter("n_free > 0"))
         units, free = left.agg(F.count("*"), F.coalesce(F.sum("n_free"), F.lit(0))).first()
         if not units:

@@ -172,3 +172,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.select("doc_id", "text", "lang").filter(~held_out()))
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
+def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs whose language can be told; without a model, those with a letter."""
+    names = docs.columns
+    if model is None:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = predict(docs.withColumns({f"own_{n}": F.col(n) for n in names if n.lower() in ("lang_pred", "score", "has_letter")}), model)
+    back = [F.col(f"own_{n}").alias(n) if n.lower() in ("lang_pred", "score", "has_letter") else F.col(f"`{n}`") for n in names]
+    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*back)
