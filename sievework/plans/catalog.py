@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sievework.plans import keys  # noqa: F401
+from sievework.plans.registry import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "ag02_index_coverage"
