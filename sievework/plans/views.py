@@ -66,6 +66,7 @@ VIEWS = {
         WHEN 6 THEN 'Entrance requires IELTS or TOEFL test scores for English language proficiency.' WHEN 7 THEN 'Academic requirements may be met with Accuplacer placement assessment in Mathematics.'
         WHEN 8 THEN '70% in Math 31; Social Studies 30-1 required; two-year diploma with minimum GPA accepted for admission.' WHEN 9 THEN 'Minimum average 150%. Three additional courses from groups B, D.'
         WHEN 10 THEN 'Based on 4 subjects. Prerequisites: lecture and lab credits.' ELSE '' END) AS text FROM {documents} WHERE text IS NOT NULL""",
+    "v_pages": """SELECT page_id, url, concat(html, '<a href="/admission-requirements">Admission requirements</a><a class=x href="how-to-apply?id=', CAST(page_id % 7 AS STRING), '">How to <b>apply</b></a><a href="https://other.example.io/admissions">Else</a><a href="guide.pdf">English guide</a>') AS html FROM {pages}""",
     "v_requests": """SELECT event_id AS seq, user_id AS identity, ts, props AS payload, event_type FROM {events}""",
 }
 
