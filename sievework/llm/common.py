@@ -72,6 +72,13 @@ def words(text: Column | str, lower: bool = True) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """df with its columns of those names (whatever their case) renamed, and the columns that restore df."""
+    own = {n.lower() for n in names}
+    held = {c: f"__own_{i}" if c.lower() in own else c for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in held.items()]), [F.col(f"`{n}`").alias(c) for c, n in held.items()]
+
+
 def extended(df: DataFrame, **added: str) -> StructType:
     """The schema of df and columns after it."""
     return StructType([*df.schema.fields, *(StructType().add(n, t).fields[0] for n, t in added.items())])

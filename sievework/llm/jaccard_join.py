@@ -132,7 +132,7 @@ def frequency_levels(docs: DataFrame, bits: int) -> np.ndarray:
 _PREFIX = [("tokens", np.uint32), ("classes", np.int64), ("sizes", np.uint32), ("places", np.uint16)]
 
 
-def _prefix_map(bits: int, shared):
+def _prefix_map(bits: int, shared, hot: int = HOT):
     """Packed prefix entries per fragment (and salt, for hot shingles) of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def _prefix_map(bits: int, shared):
             c, n = np.repeat(np.array([p[2] for p in parts], np.int64), size), np.repeat(np.array([p[3] for p in parts], np.uint32), size)
             place = np.minimum(np.arange(len(t)) - np.repeat(np.cumsum(size) - size, size), 65535).astype(np.uint16)
             fragment = (t >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(t), np.int64)
-            salt = np.where(level >= HOT, 1 + (c & ((np.int64(1) << np.maximum(level.astype(np.int64) - HOT + 1, 0)) - 1)), 0)
+            salt = np.where(level >= hot, 1 + (c & ((np.int64(1) << np.maximum(level.astype(np.int64) - hot + 1, 0)) - 1)), 0)
             order = np.lexsort((salt, fragment))
             cuts = np.flatnonzero(np.concatenate(([True], np.diff(fragment[order]) | np.diff(salt[order]) != 0, [True])))
             below, rows = _below(t, bits), []
@@ -201,10 +201,10 @@ def _edges(group: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "kind": kind, "token": key})
 
 
-def candidate_edges(docs: DataFrame, bits: int, levels: np.ndarray) -> DataFrame:
+def candidate_edges(docs: DataFrame, bits: int, levels: np.ndarray, hot: int = HOT) -> DataFrame:
     """Edges (a, b), a < b, between classes, that connect all classes that can link."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    sent = docs.select("text").mapInArrow(_prefix_map(bits, shared), "fragment int, salt long, tokens binary, classes binary, sizes binary, places binary")
+    sent = docs.select("text").mapInArrow(_prefix_map(bits, shared, hot), "fragment int, salt long, tokens binary, classes binary, sizes binary, places binary")
     made = cut(sent.groupBy("fragment", "salt").applyInArrow(_edges, "a long, b long, kind int, token long"))
     tied = made.filter("kind > 0").select("token", F.col("kind").alias("band"), "a")
     least = tied.groupBy("token", "band").agg(F.min("a").alias("b"))
@@ -366,13 +366,13 @@ def _large_units(sets: DataFrame, tokens: int, pairs: int = 2_000_000) -> DataFr
     return state.join(names, "label").select("class", "component_id")
 
 
-def join(docs: DataFrame, fragment_tokens: int = FRAGMENT_TOKENS, unit_tokens: int = UNIT_TOKENS) -> DataFrame:
+def join(docs: DataFrame, fragment_tokens: int = FRAGMENT_TOKENS, unit_tokens: int = UNIT_TOKENS, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, class (of equal sets) and component_id of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = cut(docs.mapInArrow(_sizes, "doc_id long, n_shingles long, class long"))
     total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bits = min(20, max(4, int(-(-total // fragment_tokens) - 1).bit_length()))
-    edges = candidate_edges(docs, bits, frequency_levels(docs, bits))
+    edges = candidate_edges(docs, bits, frequency_levels(docs, bits), hot)
     nodes = connected(edges)
     classes = sized.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"))
     units = cut(nodes.withColumnRenamed("node", "class").join(classes, "class"))

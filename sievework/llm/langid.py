@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.arrow_text import text_bytes
-from sievework.llm.common import doc_key, extended, table, without
+from sievework.llm.common import doc_key, extended, set_aside, table, without
 
 #: Bounds of the fit: labelled rows and landmarks of each language, languages, ridge.
 PER_LANGUAGE, LANDMARKS, MAX_LANGUAGES, RIDGE = 300, 24, 200, 1e-3
@@ -176,9 +176,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs whose language can be told; without a model, those with a letter."""
-    names = docs.columns
     if model is None:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = predict(docs.withColumns({f"own_{n}": F.col(n) for n in names if n.lower() in ("lang_pred", "score", "has_letter")}), model)
-    back = [F.col(f"own_{n}").alias(n) if n.lower() in ("lang_pred", "score", "has_letter") else F.col(f"`{n}`") for n in names]
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*back)
+    held, back = set_aside(docs, "lang_pred", "score", "has_letter")
+    return predict(held, model).filter(F.col("lang_pred") != UNDETERMINED).select(*back)

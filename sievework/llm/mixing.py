@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import cut, doc_key, maybe_broadcast, table, without, word_count
+from sievework.llm.common import cut, doc_key, maybe_broadcast, set_aside, table, without, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
@@ -95,10 +95,11 @@ def assign(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
 
 def mix(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     """The training stream: the columns of docs, each document as many times as the mix takes it, in order of position."""
-    placed = assign(docs, per_range).filter("copies > 0")
+    held, back = set_aside(docs, *ADDED, "mix_pass")
+    placed = assign(held, per_range).filter("copies > 0")
     stream = placed.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     parts = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    return stream.repartitionByRange(parts, "position").sortWithinPartitions("mix_pass", "position").select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED])
+    return stream.repartitionByRange(parts, "position").sortWithinPartitions("position", "mix_pass").select(*back)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
