@@ -22,6 +22,13 @@ _BASE = U64(0x9E3779B97F4A7C15)
 _LANES = _rng.integers(1, 1 << 63, 16, dtype=np.int64).astype(U64) | U64(1)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a bounded number, so that work arrays stay small."""
+    for b in batches:
+        for at in range(0, max(b.num_rows, 1), rows):
+            yield b.slice(at, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

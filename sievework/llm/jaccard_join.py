@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.arrow_text import U64, mix64, shingle_sets
+from sievework.llm.arrow_text import U64, mix64, shingle_sets, sliced
 from sievework.llm.common import SHINGLE, cut, maybe_broadcast, table
 
 #: 100 * intersection >= PERCENT * union links two sets.
@@ -63,7 +63,7 @@ def _class_of(tokens: np.ndarray) -> int:
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         sets = [(len(s), _class_of(s) if len(s) else None) for s in shingle_sets(b.column("text"), SHINGLE)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64())], names=["doc_id", "n_shingles", "class"])
 
@@ -81,7 +81,7 @@ def _below(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 def _count_map(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2048):
             every = np.concatenate([np.zeros(0, U64), *shingle_sets(b.column("text"), SHINGLE)])
             tokens, n = np.unique(every, return_counts=True)
             rows = []
@@ -137,7 +137,7 @@ def _prefix_map(bits: int, shared, hot: int = HOT):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
-        for b in batches:
+        for b in sliced(batches, 2048):
             seen, parts = set(), []
             for s in shingle_sets(b.column("text"), SHINGLE):
                 if not len(s) or (c := _class_of(s)) in seen:
@@ -280,7 +280,7 @@ def _set_map(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for whole in batches:
+        for whole in sliced(batches, 2048):
             ids = whole.column("doc_id").fill_null(-1).to_numpy()
             b = whole.filter(pa.array(held[_cell(mix64(ids.astype(U64)))]))
             sets = list(shingle_sets(b.column("text"), SHINGLE)) if b.num_rows else []
