@@ -60,6 +60,11 @@ def found(text: Column, pattern: str) -> Column:
     return text.rlike(_i(pattern))
 
 
+def holds(low: Column, *words: str) -> Column:
+    """Whether a lower-case text has one of the words: a byte search that spares most texts a regular expression."""
+    return T.any_of([F.contains(low, F.lit(w)) for w in words])
+
+
 def snippet(text: Column, pattern: str, radius: int = 100) -> Column:
     """The match with what stands around it."""
     at = F.regexp_instr(text, F.lit(_i(pattern))) - 1
@@ -163,10 +168,14 @@ def tests_mentioned(text: Column) -> Column:
 
 def note_tokens(text: Column, url: Column) -> Column:
     """Group caps, documents to submit, and pathways, each once, in order."""
-    near = ~broad_source(url)
-    parts = [F.when(found(text, p), n) for p, n in GROUP_NOTES]
-    parts += [F.when(near & local_note(text, p), n) for p, n in NOTE_WORDS]
-    parts += [F.when(near & found(text, r"\bregular admission\b"), "regular admission"), F.when(near & local_note(text, PATHWAY, PATHWAY_CONTEXT), "post-secondary pathway")]
+    return T.let(F.lower(text), lambda low: _note_tokens(text, low, ~broad_source(url)))
+
+
+def _note_tokens(text: Column, low: Column, near: Column) -> Column:
+    parts = [F.when(holds(low, "group") & found(text, p), n) for p, n in GROUP_NOTES]
+    parts += [F.when(near & holds(low, n.split()[0].lower()) & local_note(text, p), n) for p, n in NOTE_WORDS]
+    parts.append(F.when(near & holds(low, "regular admission") & found(text, r"\bregular admission\b"), "regular admission"))
+    parts.append(F.when(near & holds(low, "two-year diploma", "post-secondary credit", "minimum gpa", "graduation gpa", "accredited or") & local_note(text, PATHWAY, PATHWAY_CONTEXT), "post-secondary pathway"))
     return F.array_compact(F.array(*parts))
 
 
@@ -185,32 +194,37 @@ def elective_caps(text: Column) -> Column:
     return F.struct(caps.alias("caps"), least.alias("minimum"))
 
 
-def _candidates(t: Column, url: Column) -> Column:
+def _candidates(t: Column, low: Column, url: Column) -> Column:
     text = lambda c: c.cast("string")
     listed = lambda c: F.array_join(c, " or ")
+    level = holds(low, "20-", "30-")
 
-    def rows(avg: Column, low: Column, comp: Column, el: Column) -> Column:
+    def rows(avg: Column, least: Column, comp: Column, el: Column) -> Column:
         made = [
             ("avg_total", text(avg["value"]), avg["confidence"], avg["rule_id"]),
-            ("min_avg_final", text(low["value"]), F.lit("high"), low["rule_id"]),
+            ("min_avg_final", text(least["value"]), F.lit("high"), least["rule_id"]),
             ("competitive_final", comp["value"], F.lit("medium"), F.lit("competitive")),
-            ("english_req", listed(with_shorthand(t, courses(t, ENGLISH), "English")), F.lit("high"), F.lit("english_courses")),
-            ("math_req", listed(with_shorthand(t, courses(t, MATH), "Math")), F.lit("high"), F.lit("math_courses")),
-            ("science_req", listed(courses(t, SCIENCE)), F.lit("high"), F.lit("science_courses")),
+            ("english_req", F.when(level & holds(low, "english", "ela"), listed(with_shorthand(t, courses(t, ENGLISH), "English"))), F.lit("high"), F.lit("english_courses")),
+            ("math_req", F.when(holds(low, "math"), listed(with_shorthand(t, courses(t, MATH), "Math"))), F.lit("high"), F.lit("math_courses")),
+            ("science_req", F.when(holds(low, "biology", "chemistry", "physics", "science"), listed(courses(t, SCIENCE))), F.lit("high"), F.lit("science_courses")),
             ("elective_qty", text(el["quantity"]), F.lit("high"), F.lit("electives")),
-            ("elp_tests", tests_mentioned(t), F.lit("medium"), F.lit("tests")),
-            ("notes", F.array_join(note_tokens(t, url), "; "), F.lit("medium"), F.lit("notes")),
+            ("elp_tests", F.when(holds(low, *(n.lower() for _, n in TESTS), "pte"), tests_mentioned(t)), F.lit("medium"), F.lit("tests")),
+            ("notes", F.array_join(_note_tokens(t, low, ~broad_source(url)), "; "), F.lit("medium"), F.lit("notes")),
         ]
         names = ("field", "rule_seq", "value", "confidence", "rule_id")
         every = F.array(*[F.struct(*[c.alias(n) for c, n in zip((F.lit(f), F.lit(i), v, c, r), names, strict=True)]) for i, (f, v, c, r) in enumerate(made)])
         return F.filter(every, lambda r: F.coalesce(r["value"], F.lit("")) != "")
 
-    return T.let(average_count(t), lambda a: T.let(minimum_average(t), lambda m: T.let(competitive(t), lambda c: T.let(electives(t), lambda e: rows(a, m, c, e)))))
+    average = F.when(holds(low, "average of", "admission subject", "based on"), average_count(t))
+    least = F.when(holds(low, "average"), minimum_average(t))
+    comp = F.when(holds(low, "competitive"), competitive(t))
+    pool = F.when(holds(low, "from group"), electives(t))
+    return T.let(average, lambda a: T.let(least, lambda m: T.let(comp, lambda c: T.let(pool, lambda e: rows(a, m, c, e)))))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """docs (program_id, doc_seq, url, text) to long candidates (program_id, field, seq, value, confidence, rule_id, source_url)."""
-    every = T.let(T.norm_space("text"), lambda t: _candidates(t, F.col("url")))
+    every = T.let(T.norm_space("text"), lambda t: T.let(F.lower(t), lambda low: _candidates(t, low, F.col("url"))))
     long = docs.select("program_id", "doc_seq", F.col("url").alias("source_url"), F.explode(every).alias("r"))
     return long.select("program_id", "source_url", "r.field", (F.col("doc_seq") * 100 + F.col("r.rule_seq")).alias("seq"), "r.value", "r.confidence", "r.rule_id")
 
