@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -72,6 +72,18 @@ def words(text: Column | str, lower: bool = True) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
+def lowest(df: DataFrame, by: str, key: str, k: int, buckets: int = 64) -> DataFrame:
+    """The k rows of each value of ``by`` with the smallest hash of key, and their place as ``at``.
+
+    In two steps, per bucket of the hash and then per value: the second step sees at most buckets * k rows of a value,
+    however many rows and tasks it has.
+    """
+    hashed = F.xxhash64(key)
+    first = F.row_number().over(Window.partitionBy(by, F.pmod(hashed, F.lit(buckets))).orderBy(hashed, key))
+    second = F.row_number().over(Window.partitionBy(by).orderBy(hashed, key))
+    return df.withColumn("at", first).filter(F.col("at") <= k).withColumn("at", second).filter(F.col("at") <= k)
+
+
 def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
     """df with its columns of those names (whatever their case) renamed, and the columns that restore df."""
     own = {n.lower() for n in names}

@@ -23,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.arrow_text import text_bytes
-from sievework.llm.common import doc_key, extended, set_aside, table, without
+from sievework.llm.common import doc_key, extended, lowest, set_aside, table, without
 
 #: Bounds of the fit: labelled rows and landmarks of each language, languages, ridge.
 PER_LANGUAGE, LANDMARKS, MAX_LANGUAGES, RIDGE = 300, 24, 200, 1e-3
@@ -130,9 +130,8 @@ def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from rows (doc_id, text, lang)."""
     named = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     languages = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    chosen = named.select("doc_id", "lang").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_language)
+    chosen = lowest(named.select("doc_id", "lang"), "lang", "doc_id", per_language)
     chosen = chosen.join(F.broadcast(languages), "lang", "left_semi").select("doc_id", "at").distinct()
     rows = named.join(F.broadcast(chosen), "doc_id").select("lang", "text", "at")
     found = rows.select("lang", "text").mapInArrow(_gram_sets, "lang string, grams binary").limit(MAX_LANGUAGES * per_language).collect()

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.arrow_text import _BYTE, mix64, text_bytes
-from sievework.llm.common import extended, table, without
+from sievework.llm.common import extended, lowest, table, without
 from sievework.llm.langid import held_out
 
 #: Bounds of the fit and its strengths.
@@ -153,8 +153,7 @@ def solve(have: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, float]:
     """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
     labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labels.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= per_label).drop("at")
+    chosen = lowest(labels, "toxic", "doc_id", per_label).drop("at")
     total = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
     found = sorted((r.toxic, bytes(r.have), bytes(r.gone), bytes(r.come)) for r in rows.mapInArrow(_sets, "toxic int, have binary, gone binary, come binary").collect())
