@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
 CAP = 2
 #: Documents in one hash range of a source, about.
-PER_RANGE = 50_000
+PER_RANGE = 5_000
 #: Schedules by the source's rank: early, steady, late. Start and end add to 2.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 ADDED = ("size", "source_size", "target", "taken", "copies", "position")
