@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.plans import curation, evaluation, extraction, keys, serving  # noqa: F401
+from sievework.plans import curation, evaluation, extraction, keys, merging, serving  # noqa: F401
 from sievework.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "ag02_index_coverage"
