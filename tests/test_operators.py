@@ -215,3 +215,28 @@ def test_link_ranking(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x", '<a href="/tuition">Fees</a><a href="admission-requirements"><b>Admission</b> requirements</a><a href="mailto:x@y">m</a><a href="http://b.org/admissions">Other</a><a href="/apply">Apply</a>')], "page_id long, url string, html string")
     assert [r.url for r in X.top_links(X.html_links(pages)).orderBy("place").collect()] == ["http://a.org/admission-requirements", "http://a.org/apply"]
     assert spark.range(1).select(X.html_text(F.lit("<p>a&amp;b<script>x</script></p>\n<i>c</i>"))).first()[0] == "a&b c"
+
+
+def test_refresh_and_live_evaluation(spark, tmp_path):
+    from sievework.streaming import refresh
+
+    spark.range(5).withColumn("x", F.lit("v")).coalesce(1).write.parquet(str(tmp_path / "full"))
+    stream = spark.readStream.schema("id long, x string").parquet(str(tmp_path / "full"))
+    refresh.incremental_refresh(stream, str(tmp_path / "pub"), str(tmp_path / "c1"), ["id"]).awaitTermination(120)
+    assert tables.read_latest(spark, str(tmp_path / "pub")).count() == 5
+    columns = "row_id long, english_req string, english_requirement_mode string, english_min string, math_req string, math_requirement_mode string, math_min string, science_req string"
+    programs = spark.createDataFrame([(1, "30-1", "", "60", "", "", "", "")], columns)
+    marks = spark.createDataFrame([(0, 1, "English 30-1", 70.0), (1, 2, "English 30-1", 50.0)], "seq long, student_id long, course string, mark double")
+    marks.coalesce(1).write.parquet(str(tmp_path / "marks"))
+    live = spark.readStream.schema(marks.schema).parquet(str(tmp_path / "marks"))
+    refresh.live_evaluation(live, programs, str(tmp_path / "live"), str(tmp_path / "c2")).awaitTermination(120)
+    assert {r.student_id: r.status for r in spark.read.parquet(str(tmp_path / "live")).collect()} == {1: "likely eligible", 2: "ineligible"}
+    q = R.audit_stream(audit_source(spark, tmp_path), str(tmp_path / "audit"), str(tmp_path / "c3"))
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 3
+
+
+def audit_source(spark, tmp_path):
+    df = spark.createDataFrame([(1, i, datetime.datetime(2024, 1, 1), "e") for i in range(3)], "identity long, seq long, ts timestamp, event_type string")
+    df.coalesce(1).write.parquet(str(tmp_path / "events"))
+    return spark.readStream.schema(df.schema).parquet(str(tmp_path / "events"))
