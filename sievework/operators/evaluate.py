@@ -70,14 +70,17 @@ def accepted_keys(course: Column) -> Column:
 def alternatives(subject: str, text: Column) -> Column:
     """Courses of an OR list: codes with the subject's name, else the parts between 'or'; Math 31 has no dash."""
     name = {"english": "English ", "math": "Math ", "social": "Social Studies "}.get(subject, "")
-    t = T.norm_space(F.regexp_replace(text, "/", " or "))
-    codes = F.transform(F.regexp_extract_all(t, F.lit(r"\b(\d{2}-[12])\b"), F.lit(1)), lambda c: F.concat(F.lit(name), c))
-    parts = F.filter(F.split(t, r"(?i)\s+or\s+"), lambda p: p != "")
-    out = F.when(F.size(codes) > 0, codes).otherwise(parts)
-    if subject == "math":
-        out = F.when(t.rlike(r"(?i)(math|mathematics)\s*31\b") & ~F.array_contains(out, "Math 31"), F.concat(F.filter(out, lambda p: ~p.rlike(r"(?i)^(math|mathematics)\s*31$")), F.array(F.lit("Math 31")))).otherwise(out)
-        out = F.transform(out, lambda p: F.when(p == "31", "Math 31").otherwise(p))
-    return F.array_distinct(out)
+    codes = lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\b(\d{2}-[12])\b"), F.lit(1)), lambda c: F.concat(F.lit(name), c))
+    parts = lambda t: F.filter(F.split(t, r"(?i)\s+or\s+"), lambda p: p != "")
+    listed = lambda t: T.let(codes(t), lambda c: F.when(F.size(c) > 0, c).otherwise(parts(t)))
+
+    def with_31(t: Column, held: Column) -> Column:
+        lacks = t.rlike(r"(?i)(math|mathematics)\s*31\b") & ~F.array_contains(held, "Math 31")
+        others = F.filter(held, lambda p: ~p.rlike(r"(?i)^(math|mathematics)\s*31$"))
+        return F.transform(F.when(lacks, F.concat(others, F.array(F.lit("Math 31")))).otherwise(held), lambda p: F.when(p == "31", "Math 31").otherwise(p))
+
+    both = (lambda t: T.let(listed(t), lambda held: with_31(t, held))) if subject == "math" else listed
+    return F.array_distinct(T.let(T.norm_space(F.regexp_replace(text, "/", " or ")), both))
 
 
 def subject_kind(text: Column, mode: Column) -> Column:
