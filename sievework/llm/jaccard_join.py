@@ -81,7 +81,7 @@ def _below(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 def _count_map(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, 2048):
+        for b in sliced(batches):
             every = np.concatenate([np.zeros(0, U64), *shingle_sets(b.column("text"), SHINGLE)])
             tokens, n = np.unique(every, return_counts=True)
             rows = []
@@ -137,7 +137,7 @@ def _prefix_map(bits: int, shared, hot: int = HOT):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
-        for b in sliced(batches, 2048):
+        for b in sliced(batches):
             seen, parts = set(), []
             for s in shingle_sets(b.column("text"), SHINGLE):
                 if not len(s) or (c := _class_of(s)) in seen:
@@ -280,7 +280,7 @@ def _set_map(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
-        for whole in sliced(batches, 2048):
+        for whole in sliced(batches):
             ids = whole.column("doc_id").fill_null(-1).to_numpy()
             b = whole.filter(pa.array(held[_cell(mix64(ids.astype(U64)))]))
             sets = list(shingle_sets(b.column("text"), SHINGLE)) if b.num_rows else []
