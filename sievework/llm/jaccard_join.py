@@ -182,17 +182,19 @@ def _edges(group: pa.Table) -> pa.Table:
     t, c, n, p = t[keep], c[keep], n[keep], p[keep]
     first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True]))) if len(t) else np.zeros(1, np.int64)
     size = np.repeat(np.diff(first), np.diff(first))
+    salted = bool(len(t)) and group.column("salt")[0].as_py() > 0
     left, right = [], []
-    # Small buckets: pairs at each distance along the length order. Larger ones: neighbours only.
+    # Small buckets: pairs at each distance along the length order. Larger ones: neighbours only. Salted ones of any
+    # size also have all neighbours, as only the first member of a length band is tied to the other salts.
     for d in range(1, PAIRS):
         i = np.flatnonzero((t[:-d] == t[d:]) & ((size[:-d] <= PAIRS) | (d == 1))) if len(t) > d else np.zeros(0, np.int64)
         j = i + d
-        ok = (100 * n[i] >= PERCENT * n[j]) & ((size[i] > PAIRS) | _allowed(n[i], p[i], n[j], p[j]))
+        ok = (100 * n[i] >= PERCENT * n[j]) & ((size[i] > PAIRS) | (salted and d == 1) | _allowed(n[i], p[i], n[j], p[j]))
         left.append(np.minimum(c[i[ok]], c[j[ok]]))
         right.append(np.maximum(c[i[ok]], c[j[ok]]))
     pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
     kind, key = np.zeros(len(pairs), np.int32), np.zeros(len(pairs), np.int64)
-    if len(t) and group.column("salt")[0].as_py():
+    if salted:
         band = (np.log(np.maximum(n, 1)) / np.log(100 / PERCENT)).astype(np.int32)
         one = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (band[1:] != band[:-1]))))
         token = np.int64(group.column("fragment")[0].as_py()) << 32 | t[one].astype(np.int64)

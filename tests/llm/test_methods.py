@@ -89,6 +89,21 @@ def test_jaccard_join(spark, how):
     assert got == components(texts)
 
 
+def test_jaccard_join_ties_few_variants_of_a_hot_text(spark):
+    """Copies make a text hot, and its few variants lie in different salts: links across salts must hold."""
+    rng, texts = random.Random(8), {}
+    for g in range(60):
+        own = [f"h{g}w{k}" for k in range(9)]
+        for text in [own] * 20 + [[*own, f"h{g}more"], [*own[:-1], f"h{g}end"], [f"h{g}first", *own[1:]]]:
+            texts[len(texts)] = " ".join(text)
+    ids = list(texts)
+    rng.shuffle(ids)
+    texts = {i: texts[k] for k, i in enumerate(ids)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs, hot=3).collect()}
+    assert got == components(texts)
+
+
 def test_jaccard_query(spark):
     docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op5_ngram_jaccard"](spark, SF).collect()}
