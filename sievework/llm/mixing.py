@@ -7,7 +7,9 @@ that are still missing, so a source's words meet its target to the word.
 
 A source's share of the stream changes with training time t in [0, 1] as a schedule that goes straight from a to
 b (a + b = 2, so that it integrates to 1): it has given D(t) = a t + (b - a) t^2 / 2 of its words by t. The
-position of a document is the inverse of D at the middle of the words it adds, and rows are range-sorted by it.
+stream has every copy at the inverse of D at the middle of the words that the copy adds, pass after pass, and is
+range-sorted by it. The position that op4 reports (its SQL defines it) is the inverse of D within one pass: the first
+copy's only where the target is at most the source's size, and no place in the stream where it is larger.
 
 The cumulative sums run in two steps, over hash ranges within a source and then within one range, so that a
 source with a third of all rows is no single task: no window ever sees more than about ``per_range`` documents.
@@ -32,6 +34,8 @@ PER_RANGE = 5_000
 #: Schedules by the source's rank: early, steady, late. Start and end add to 2.
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 ADDED = ("size", "source_size", "target", "taken", "copies", "position")
+#: What places the copies of a document; only the stream uses these.
+PLACE = ("before", "whole", "last", "goal", "starts", "ends", "mix_hash", "mix_tie")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -55,16 +59,19 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return free.select("source", "source_size", "starts", "ends", target.alias("target"), F.round(target).cast("long").alias("goal"))
 
 
-def position(done: Column, starts: Column, ends: Column) -> Column:
+def inverse(done: Column, starts: Column, ends: Column) -> Column:
     """Inverse of starts * t + (ends - starts) * t^2 / 2 at a share of the source's words."""
     bend = ends - starts
     curved = (F.sqrt(starts * starts + F.lit(2.0) * bend * done) - starts) / bend
-    return F.round(F.when(bend == 0, done / starts).otherwise(curved), 6)
+    return F.when(bend == 0, done / starts).otherwise(curved)
 
 
-def assign(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
-    """docs (doc_id, text, source and others) with size, source_size, target, taken, copies and position."""
-    docs = without(docs, *ADDED)
+def position(done: Column, starts: Column, ends: Column) -> Column:
+    return F.round(inverse(done, starts, ends), 6)
+
+
+def _placed(docs: DataFrame, per_range: int) -> DataFrame:
+    """docs with their columns of ADDED and what places a copy: PLACE."""
     ranges = max(1, -(-docs.count() // per_range))
     share = F.conv(F.substring(F.col("mix_hash"), 1, 7), 16, 10).cast("long")
     sized = docs.withColumns({"size": word_count("text"), "mix_hash": F.md5(doc_key()), "mix_tie": F.xxhash64("doc_id", "text")})
@@ -85,21 +92,36 @@ def assign(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     taken = whole * size + last
     middle = (before + F.when(whole > 0, size).otherwise(last) / F.lit(2.0)) / F.when(whole > 0, total).otherwise(goal)
     added = {
+        "before": before,
+        "whole": whole,
+        "last": last,
         "taken": taken,
         "copies": F.when(size > 0, whole + F.when(last > 0, 1).otherwise(0)).otherwise(0).cast("int"),
         "position": F.when(taken > 0, position(middle, F.col("starts"), F.col("ends"))),
     }
-    own = [c for c in docs.columns]
-    return placed.withColumns(added).select(*[F.col(f"`{c}`") for c in own], *ADDED)
+    return placed.withColumns(added).select(*[F.col(f"`{c}`") for c in docs.columns], *ADDED, *PLACE)
+
+
+def assign(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
+    """docs (doc_id, text, source and others) with size, source_size, target, taken, copies and position."""
+    docs, own = set_aside(without(docs, *ADDED), *PLACE)
+    return _placed(docs, per_range).select(*own, *ADDED)
+
+
+def copies(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
+    """A row per copy that the mix takes, with mix_pass (from 0), the words it adds (mix_words) and its place t (mix_at)."""
+    stream = _placed(docs, per_range).filter("copies > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    stream = stream.withColumn("mix_words", F.when(F.col("mix_pass") < F.col("whole"), F.col("size")).otherwise(F.col("last")))
+    done = (F.col("mix_pass") * F.col("source_size") + F.col("before") + F.col("mix_words") / F.lit(2.0)) / F.col("goal")
+    return stream.withColumn("mix_at", inverse(done, F.col("starts"), F.col("ends")))
 
 
 def mix(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     """The training stream: the columns of docs, each document as many times as the mix takes it, in order of position."""
-    held, back = set_aside(docs, *ADDED, "mix_pass")
-    placed = assign(held, per_range).filter("copies > 0")
-    stream = placed.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    held, back = set_aside(docs, *ADDED, *PLACE, "mix_pass", "mix_words", "mix_at")
     parts = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    return stream.repartitionByRange(parts, "position").sortWithinPartitions("position", "mix_pass").select(*back)
+    order = ("mix_at", "mix_hash", "mix_tie")
+    return copies(held, per_range).repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*back)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

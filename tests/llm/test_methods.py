@@ -188,6 +188,21 @@ def test_mix_reruns_agree_and_positions_invert_demand(spark):
             assert abs(x * t + (y - x) * t * t / 2 - share) < 1e-5
 
 
+def test_mix_repeats_pass_after_pass_along_the_demand(spark):
+    rows = [(k, " ".join(["w"] * (3 + k % 5)), "abc"[k % 3]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    order = [r.doc_id for r in mixing.mix(docs, per_range=40).filter("source = 'a'").collect()]
+    assert len(order) == 400 and len(set(order[:200])) == 200 and order[:200] == order[200:]
+    held = mixing.copies(docs, per_range=40).select("source", "mix_at", "mix_words", "target", "source_size").collect()
+    over = {r.source: r.target / r.source_size for r in held}
+    assert over["a"] == 2 and 1.2 < over["b"] < 1.9 and over["c"] < 1
+    for s, (x, y) in zip("abc", mixing.SCHEDULES, strict=True):
+        own = [r for r in held if r.source == s]
+        for t in (0.25, 0.5, 0.75, 1.0):
+            want = own[0].target * (x * t + (y - x) * t * t / 2)
+            assert abs(sum(r.mix_words for r in own if r.mix_at <= t) - want) <= 8
+
+
 def test_language_held_out(spark):
     got = queries.QUERIES["op3_language_id"](spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert len(got) > 100 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
