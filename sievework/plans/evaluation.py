@@ -101,6 +101,12 @@ def e22(programs: DataFrame, marks: DataFrame) -> DataFrame:
     return ag13_results(programs, marks).filter("student_id % 10 = 0")
 
 
+@query("e22_evaluate_all", "v_canonical", "v_marks")
+def e22_all(programs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of every student, where e22_evaluate and its SQL take one in ten."""
+    return ag13_results(programs, marks)
+
+
 def ag13_results(programs: DataFrame, marks: DataFrame) -> DataFrame:
     return E.evaluate(programs, E.course_marks(marks)).groupBy("student_id", "status").agg(F.count("*").alias("n"))
 

@@ -68,6 +68,13 @@ def jo16(marks: DataFrame, can: DataFrame) -> DataFrame:
     return marks.select("student_id").distinct().join(visible).groupBy("student_id").agg(F.count("*").alias("programs"))
 
 
+@query("jo16_student_programs_all", "v_marks", "v_canonical")
+def jo16_all(marks: DataFrame, can: DataFrame) -> DataFrame:
+    """Every student with the number of all visible programs, counted once and never paired (jo16_student_program_pairs and its SQL take one program in fifty)."""
+    visible = can.filter(F.lower("display_for_high_school") != "no").agg(F.count("*").alias("programs")).filter("programs > 0")
+    return marks.select("student_id").distinct().join(F.broadcast(visible))
+
+
 @query("ag09_note_spikes", "v_canonical", sql=f"WITH t AS (SELECT institution, trim(unnest(string_split(split_part(requirement_type, 'notes:', 2), ';'))) AS note FROM v_canonical WHERE contains(requirement_type, 'notes:')), n AS (SELECT institution, count(*) AS rows FROM v_canonical GROUP BY 1) SELECT institution, note, count(*) AS n, count(*) / any_value(rows)::DOUBLE AS share FROM t JOIN n USING (institution) WHERE note <> '' GROUP BY 1, 2 HAVING count(*) >= 10 AND count(*) / any_value(rows)::DOUBLE >= 0.05")
 def ag09(df: DataFrame) -> DataFrame:
     return M.note_spikes(df, least=10, share=0.05)
