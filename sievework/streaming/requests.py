@@ -1,10 +1,9 @@
 """Request streams: throttling, cache hits, audit rows. Each has a batch twin that gives the same rows.
 
 The windows are anchored: a window starts at the first request after the last one ended, so they are neither tumbling
-nor sessions, and the state of an identity is (window start, count, last passed). The batch twin folds the requests
-of an identity in order with ``aggregate`` on the JVM; to keep one identity from becoming one huge array, requests
-are first cut into runs: a gap of at least the window length starts a fresh state whatever came before, so runs are
-independent.
+nor sessions, and the state of an identity is (window start, count, last passed). The batch twin sorts requests by key
+and time (the sort spills) and folds them as they pass: a task holds one batch and the state of one key, however many
+requests a key has. The requests of one identity are still one task's, in linear time.
 """
 
 from __future__ import annotations
@@ -12,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MIN_GAP_MS, WINDOW_MS, MOST, TTL_MS = 2_000, 60_000, 30, 180_000
 VERDICT = "identity long, seq long, ms long, verdict string"
+PLAIN = {"string": pa.string(), "boolean": pa.bool_()}
 
 
 def _millis(ts: Column | str) -> Column:
@@ -25,33 +26,38 @@ def _millis(ts: Column | str) -> Column:
     return F.unix_millis(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
 
 
-def runs(requests: DataFrame, keys: list[str], gap_ms: int) -> DataFrame:
-    """requests with run: a number that rises where a key was silent for at least gap_ms."""
-    order = Window.partitionBy(*keys).orderBy("ms", "seq")
-    fresh = F.when(F.col("ms") - F.lag("ms").over(order) >= gap_ms, 1).otherwise(0)
-    return requests.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+def fold(requests: DataFrame, keys: list[str], name: str, kind: str, step) -> DataFrame:
+    """keys, seq and name of requests (keys, seq, ms): step(state, ms) -> (state, value) in order of time within a key.
+    The state begins as None."""
+    held = requests.select(*keys, "seq", "ms").repartition(*keys).sortWithinPartitions(*keys, "ms", "seq")
+    out = held.drop("ms").withColumn(name, F.lit(None).cast(kind)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = state = None
+        for b in batches:
+            values = []
+            for key, ms in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), b.column("ms").to_pylist(), strict=True):
+                if key != now:
+                    now, state = key, None
+                state, value = step(state, ms)
+                values.append(value)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*keys, "seq"]), pa.array(values, PLAIN[kind])], names=[*keys, "seq", name])
+
+    return held.mapInArrow(run, out)
 
 
 def throttle_batch(requests: DataFrame, min_gap: int = MIN_GAP_MS, window: int = WINDOW_MS, most: int = MOST) -> DataFrame:
     """identity, seq, verdict of requests (identity, seq, ts): passed, too_soon or too_many."""
-    cut = runs(requests.select("identity", "seq", _millis("ts").alias("ms")), ["identity"], max(window, min_gap))
-    rows = cut.groupBy("identity", "run").agg(F.array_sort(F.collect_list(F.struct("ms", "seq"))).alias("rows"))
-    start = F.struct(
-        F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("begin"), F.lit(0).alias("n"), F.array().cast("array<struct<seq:bigint,verdict:string>>").alias("out")
-    )
-
-    def step(s: Column, r: Column) -> Column:
-        soon = s["last"].isNotNull() & (r["ms"] - s["last"] < min_gap)
-        new = s["begin"].isNull() | (r["ms"] - s["begin"] >= window)
-        n = F.when(new, 1).otherwise(s["n"] + 1)
-        verdict = F.when(soon, "too_soon").when(n > most, "too_many").otherwise("passed")
-        out = F.concat(s["out"], F.array(F.struct(r["seq"].alias("seq"), verdict.alias("verdict"))))
-        return F.struct(
-            F.when(soon, s["last"]).otherwise(r["ms"]).alias("last"), F.when(soon, s["begin"]).when(new, r["ms"]).otherwise(s["begin"]).alias("begin"), F.when(soon, s["n"]).otherwise(n).alias("n"), out.alias("out")
-        )
-
-    folded = rows.select("identity", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("v"))
-    return folded.select("identity", "v.seq", "v.verdict")
+
+    def step(state: tuple | None, ms: int | None) -> tuple[tuple, str]:
+        last, begin, n = state or (None, None, 0)
+        if last is not None and ms is not None and ms - last < min_gap:
+            return state, "too_soon"
+        if begin is None or (ms is not None and ms - begin >= window):
+            begin, n = ms, 0
+        return (ms, begin, n + 1), "too_many" if n + 1 > most else "passed"
+
+    return fold(requests.select("identity", "seq", _millis("ts").alias("ms")), ["identity"], "verdict", "string", step)
 
 
 def throttle_stream(requests: DataFrame, min_gap: int = MIN_GAP_MS, window: int = WINDOW_MS, most: int = MOST) -> DataFrame:
@@ -79,15 +85,12 @@ def throttle_stream(requests: DataFrame, min_gap: int = MIN_GAP_MS, window: int
 
 def cache_hits(requests: DataFrame, ttl: int = TTL_MS) -> DataFrame:
     """identity, payload, seq, hit of requests (identity, seq, ts, payload): within ttl of the last miss of the same payload."""
-    cut = runs(requests.select("identity", "payload", "seq", _millis("ts").alias("ms")), ["identity", "payload"], ttl)
-    rows = cut.groupBy("identity", "payload", "run").agg(F.array_sort(F.collect_list(F.struct("ms", "seq"))).alias("rows"))
-    start = F.struct(F.lit(None).cast("long").alias("miss"), F.array().cast("array<struct<seq:bigint,hit:boolean>>").alias("out"))
 
-    def step(s: Column, r: Column) -> Column:
-        hit = F.coalesce(r["ms"] - s["miss"] <= ttl, F.lit(False))
-        return F.struct(F.when(hit, s["miss"]).otherwise(r["ms"]).alias("miss"), F.concat(s["out"], F.array(F.struct(r["seq"].alias("seq"), hit.alias("hit")))).alias("out"))
+    def step(miss: int | None, ms: int | None) -> tuple[int | None, bool]:
+        hit = miss is not None and ms is not None and ms - miss <= ttl
+        return (miss if hit else ms), hit
 
-    return rows.select("identity", "payload", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("v")).select("identity", "payload", "v.seq", "v.hit")
+    return fold(requests.select("identity", "payload", "seq", _millis("ts").alias("ms")), ["identity", "payload"], "hit", "boolean", step)
 
 
 def audit_rows(requests: DataFrame) -> DataFrame:

@@ -178,6 +178,18 @@ def test_cache_hits(spark):
     assert {r.seq: r.hit for r in R.cache_hits(df).collect()} == {0: False, 1: True, 2: True, 3: False, 4: True, 5: False, 6: False}
 
 
+def test_long_runs_of_one_identity(spark):
+    """200,000 requests without a silence, of one identity: more than a fold over one array can take."""
+    ms = F.col("id") * 1000
+    df = spark.range(200_000).select(F.lit(1).cast("long").alias("identity"), F.col("id").alias("seq"), F.timestamp_millis(ms).alias("ts"), F.lit("p").alias("payload"))
+    got = R.throttle_batch(df, min_gap=0, window=60_000, most=50)
+    assert {r["verdict"]: r["count"] for r in got.groupBy("verdict").count().collect()} == {"passed": 166_670, "too_many": 33_330}
+    assert R.cache_hits(df, ttl=9_000).filter("NOT hit").agg(F.count("*"), F.max(F.col("seq") % 10)).first()[:] == (20_000, 0)
+    at_ttl = spark.createDataFrame([(None, 0, None), (None, 1, 5), (None, 2, 14), (None, 3, 15)], "identity long, seq long, s long")
+    at_ttl = at_ttl.select("identity", "seq", F.timestamp_seconds("s").alias("ts"), F.lit(None).cast("string").alias("payload"))
+    assert {r.seq: r.hit for r in R.cache_hits(at_ttl, ttl=9_000).collect()} == {0: False, 1: False, 2: True, 3: False}
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t.csv").write_text("﻿Program,URL,Notes\n Art ,http://a.org,nan\n,http://b.org,x\n", encoding="utf-8")
     df = tables.read_table(spark, str(tmp_path / "t.csv"), {"name": ("program_name", "Program"), "url": ("url",), "notes": ("notes",)}, ("name",))
