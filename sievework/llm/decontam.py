@@ -4,7 +4,9 @@ A window is as many words of a document as a benchmark item has. Its SimHash (64
 five words) is cut into ``RADIUS + 1`` blocks: two fingerprints within RADIUS differ in at most RADIUS blocks, so
 they agree in one, and the join on (item size, block number, block value) finds every item within the radius of a
 window. Each pair found is then measured exactly: the weighted Jaccard similarity of the two shingle sets, a shingle
-weighing ln(1 + items / items that hold it); a window that reaches SIMILARITY is a leak.
+weighing ln(1 + items / items that hold it), or ln(1 + items) where none does; a window that reaches SIMILARITY is a
+leak. In the SimHash a shingle counts with the square root of that weight: then the cosine of two sets of similarity J
+is at least 2 J / (1 + J), whatever the weights, and the radius fits the measured similarity.
 
 A window without any shingle of the benchmark has similarity 0 to all items, so fingerprints are only computed
 for windows that share a shingle with an item, laid so that the two shingles lie on each other. That drops no pair
@@ -33,17 +35,19 @@ def shingles(tokens: Column, k: int) -> Column:
     return let(tokens, lambda t: F.when(F.size(t) >= k, at(t)))
 
 
-def fingerprint(hashes: Column) -> Column:
-    """SimHash of a set of hashes: the bits that more than half of them have set."""
+def fingerprint(weights: Column) -> Column:
+    """SimHash of a set of (hash, weight): the bits that more than half of the roots of the weights have set. Whole
+    numbers, so that the order of the set doesn't matter."""
     zero = F.lit(0).cast("long")
 
-    def code(held: Column) -> Column:
-        ones = lambda b: F.aggregate(held, F.lit(0), lambda n, h: n + F.getbit(h, b).cast("int"))
+    def code(held: Column, half: Column) -> Column:
+        ones = lambda b: F.aggregate(held, zero, lambda n, s: n + F.getbit(s["hash"], b).cast("long") * s["root"])
         return F.aggregate(
-            F.sequence(F.lit(0), F.lit(BITS - 1)), zero, lambda x, b: x.bitwiseOR(F.when(ones(b) * 2 > F.size(held), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(zero))
+            F.sequence(F.lit(0), F.lit(BITS - 1)), zero, lambda x, b: x.bitwiseOR(F.when(ones(b) * 2 > half, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(zero))
         )
 
-    return let(hashes, code)
+    roots = F.transform(weights, lambda s: F.struct(s["hash"].alias("hash"), F.round(F.sqrt(s["weight"]) * 1_000_000).cast("long").alias("root")))
+    return let(roots, lambda held: let(F.aggregate(held, zero, lambda n, s: n + s["root"]), lambda half: code(held, half)))
 
 
 def blocks(code: Column, radius: int = RADIUS) -> Column:
@@ -65,9 +69,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
     # Weights, and each item's shingles with theirs.
     each = items.select("item_id", F.explode("hashes").alias("hash"))
-    rare = each.groupBy("hash").count().select("hash", F.log1p(F.lit(float(n_items)) / F.col("count")).alias("weight"))
+    rare = cut(each.groupBy("hash").count().select("hash", F.log1p(F.lit(float(n_items)) / F.col("count")).alias("weight")))
     weighed = each.join(maybe_broadcast(rare, rows), "hash").groupBy("item_id").agg(F.collect_list(F.struct("hash", "weight")).alias("weights"))
-    coded = items.join(weighed, "item_id").withColumn("code", fingerprint(F.col("hashes"))).select("item_id", "n_words", "code", "weights")
+    coded = items.join(weighed, "item_id").withColumn("code", fingerprint(F.col("weights"))).select("item_id", "n_words", "code", "weights")
 
     # Where documents and items share a shingle, as windows that lay one on the other.
     held = items.select("k", "n_words", F.posexplode("row").alias("offset", "hash")).distinct()
@@ -90,20 +94,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     start = F.greatest(F.lit(0), F.least(F.col("start"), F.size("tokens") - F.col("n_words")))
     window = window.withColumn("start", start).withColumn("tokens", F.slice("tokens", F.col("start") + 1, F.col("n_words")))
     sets = F.coalesce(*[F.when(F.col("k") == k, shingles(F.col("tokens"), k)) for k in kinds])
-    window = window.select("doc_id", "start", "n_words", F.array_distinct(sets).alias("hashes")).filter("hashes IS NOT NULL").distinct()
-    window = window.withColumn("code", fingerprint(F.col("hashes")))
+    window = window.select("doc_id", "start", "n_words", F.array_distinct(sets).alias("hashes")).filter("hashes IS NOT NULL")
+    own = ["doc_id", "start", "n_words", "set"]
+    window = window.withColumn("set", F.xxhash64("hashes")).groupBy(*own).agg(F.first("hashes").alias("hashes"))
+
+    # Each shingle of a window with its own weight, also those that only other items hold.
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda x, s: x + s["weight"])
+    alone = F.log1p(F.lit(float(n_items)))
+    window = window.select(*own, F.explode("hashes").alias("hash")).join(maybe_broadcast(rare, rows), "hash", "left")
+    window = window.groupBy(*own).agg(F.collect_list(F.struct("hash", F.coalesce("weight", alone).alias("weight"))).alias("held"))
+    window = cut(window.select(*own, F.transform("held", lambda s: s["hash"]).alias("hashes"), fingerprint(F.col("held")).alias("code"), total(F.col("held")).alias("mass")))
 
     parts = coded.select("item_id", "n_words", F.explode(blocks(F.col("code"), radius)).alias("part")).select("item_id", "n_words", "part.*")
-    probes = window.select("doc_id", "start", "n_words", "code", F.explode(blocks(F.col("code"), radius)).alias("part")).select("doc_id", "start", "n_words", "code", "part.*")
-    pairs = probes.join(maybe_broadcast(parts, n_items * (radius + 1)), ["n_words", "block", "value"]).select("doc_id", "start", "n_words", "item_id").distinct()
-    near = window.alias("w").join(pairs.alias("p"), F.expr("w.doc_id <=> p.doc_id AND w.start = p.start AND w.n_words = p.n_words"))
+    probes = window.select(*own, F.explode(blocks(F.col("code"), radius)).alias("part")).select(*own, "part.*")
+    pairs = probes.join(maybe_broadcast(parts, n_items * (radius + 1)), ["n_words", "block", "value"]).select(*own, "item_id").distinct()
+    near = window.alias("w").join(pairs.alias("p"), F.expr("w.doc_id <=> p.doc_id AND w.start = p.start AND w.n_words = p.n_words AND w.set = p.set"))
     near = near.select("w.*", "item_id").join(maybe_broadcast(coded.select("item_id", F.col("code").alias("item_code"), "weights"), n_items), "item_id")
     near = near.withColumn("hamming", F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))).cast("int")).filter(F.col("hamming") <= radius)
 
-    total = lambda part: F.aggregate(part, F.lit(0.0), lambda x, s: x + s["weight"])
     both = total(F.filter("weights", lambda s: F.array_contains("hashes", s["hash"])))
-    alone = F.size(F.array_except("hashes", F.transform("weights", lambda s: s["hash"]))) * F.log1p(F.lit(float(n_items)))
-    near = near.withColumn("similarity", F.round(both / (total(F.col("weights")) + alone), 6)).filter(F.col("similarity") >= similarity)
+    near = near.withColumn("both", both)
+    near = near.withColumn("similarity", F.round(F.col("both") / (total(F.col("weights")) + F.col("mass") - F.col("both")), 6)).filter(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("start", "n_words", "hamming", "similarity"), F.struct("similarity", -F.col("start")))
     return near.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 

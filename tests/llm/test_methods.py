@@ -148,6 +148,19 @@ def test_decontamination(spark):
     assert got == brute_leaks(docs, items)
 
 
+def test_decontamination_of_templated_items(spark):
+    """Items under one of two templates, leaked under the other: the templates weigh little on both sides."""
+    make = lambda name, n: [f"{name}{k}" for k in range(n)]
+    own = {i: make(f"i{i}w", 104) for i in range(100)}
+    items = {i: " ".join([*make("even" if i % 2 == 0 else "odd", 38), *own[i]]) for i in own}
+    docs = {d: " ".join(["before", *make("odd" if d % 2 == 0 else "even", 38), *own[d], "after"]) for d in range(25)}
+    docs[50] = " ".join([*make("odd", 38), *make("x", 104)])
+    want = {(d, d) for d in range(25)}
+    assert brute_leaks({d: docs[d] for d in (0, 1, 50)}, items) == {(0, 0), (1, 1)}
+    got = decontam.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_decontamination_query(spark):
     docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     items = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
