@@ -120,9 +120,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that leak an item."""
-    bad = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id")).distinct())
-    return docs.join(maybe_broadcast(bad, bad.count()), F.expr("doc_id <=> leak_id"), "left_anti")
+    """docs without the documents that leak an item. A document is an id and a text here, so that a leak takes no other
+    text with the same id, or without one."""
+    own = F.struct("doc_id", F.xxhash64("text").alias("hash"))
+    bad = leaks(docs.select(own.alias("doc_id"), "text"), benchmark)
+    bad = cut(bad.select(F.col("doc_id.doc_id").alias("leak_id"), F.col("doc_id.hash").alias("leak_hash")).distinct())
+    return docs.join(maybe_broadcast(bad, bad.count()), F.expr("doc_id <=> leak_id AND xxhash64(text) = leak_hash"), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

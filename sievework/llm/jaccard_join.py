@@ -65,7 +65,7 @@ def _class_of(tokens: np.ndarray) -> int:
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
         sets = [(len(s), _class_of(s) if len(s) else None) for s in shingle_sets(b.column("text"), SHINGLE)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64())], names=["doc_id", "n_shingles", "class"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64())], names=["doc_id", "text_hash", "n_shingles", "class"])
 
 
 def _fragments(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -369,9 +369,9 @@ def _large_units(sets: DataFrame, tokens: int, pairs: int = 2_000_000) -> DataFr
 
 
 def join(docs: DataFrame, fragment_tokens: int = FRAGMENT_TOKENS, unit_tokens: int = UNIT_TOKENS, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles, class (of equal sets) and component_id of docs (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, class (of equal sets) and component_id of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = cut(docs.mapInArrow(_sizes, "doc_id long, n_shingles long, class long"))
+    sized = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sizes, "doc_id long, text_hash long, n_shingles long, class long"))
     total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bits = min(20, max(4, int(-(-total // fragment_tokens) - 1).bit_length()))
     edges = candidate_edges(docs, bits, frequency_levels(docs, bits), hot)
@@ -393,13 +393,15 @@ def join(docs: DataFrame, fragment_tokens: int = FRAGMENT_TOKENS, unit_tokens: i
     named = named.groupBy("class").agg(F.min("component_id").alias("component_id"))
     every = classes.join(named, "class", "left").select("class", F.coalesce("component_id", "first_id").alias("component_id"))
     out = sized.join(every, "class", "left")
-    return out.select("doc_id", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "class", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id."""
-    found = cut(join(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct())
-    return docs.join(maybe_broadcast(found, found.count()), F.expr("doc_id <=> copy_id"), "left_anti")
+    """docs with one document of each component: the one with the smallest id. Another text under a copy's id stays; a
+    copy without an id goes where its component has one with an id."""
+    found = join(docs).filter("n_shingles > 0 AND NOT doc_id <=> component_id")
+    found = cut(found.select(F.col("doc_id").alias("copy_id"), F.col("text_hash").alias("copy_hash")).distinct())
+    return docs.join(maybe_broadcast(found, found.count()), F.expr("doc_id <=> copy_id AND xxhash64(text) = copy_hash"), "left_anti")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,16 @@ def test_decontamination(spark, empty):
     assert left.columns == d.columns and left.count() == (0 if empty else 8)
 
 
+def test_filters_take_no_other_text_of_an_id(spark):
+    leak, clean, other = "one two three four five six seven", "red orange yellow green blue indigo violet", "some other words that nobody else here has"
+    d = spark.createDataFrame([(None, leak), (None, clean), (3, leak), (3, clean), (4, other), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    key = lambda rows: sorted(((r.doc_id, r.text) for r in rows), key=str)
+    assert key(decontam.drop_leaks(d, bench).collect()) == sorted([(None, clean), (3, clean), (4, other), (None, None)], key=str)
+    d = spark.createDataFrame([(1, leak), (2, leak), (2, clean), (None, leak), (None, other)], "doc_id long, text string")
+    assert key(jaccard_join.keep_one(d).collect()) == sorted([(1, leak), (2, clean), (None, other)], key=str)
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_toxicity(spark, empty):
     d = docs(spark, empty)
