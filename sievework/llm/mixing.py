@@ -127,7 +127,8 @@ def mix(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     placed = placed.select("doc_id", *ADDED)
-    return placed.repartitionByRange("position").sortWithinPartitions("position")
+    # The id splits the documents without a position, which the mix does not take, over tasks.
+    return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 _PICK = lambda values: f"list_extract([{', '.join(map(str, values))}], ((rank % {len(values)}) + 1)::INT)"

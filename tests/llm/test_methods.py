@@ -216,6 +216,14 @@ def test_mix_repeats_pass_after_pass_along_the_demand(spark):
             assert abs(sum(r.mix_words for r in own if r.mix_at <= t) - want) <= 8
 
 
+def test_mix_query_splits_what_it_does_not_take(spark):
+    placed = queries.QUERIES["op4_mixing"](spark, SF)
+    held = [r for r in placed.withColumn("part", F.spark_partition_id()).collect() if r.position is None]
+    assert [r.doc_id for r in held] == sorted(r.doc_id for r in held)
+    plan = placed._jdf.queryExecution().toString()
+    assert "position" in plan and "doc_id" in plan.split("RepartitionByExpression", 1)[1].splitlines()[0]
+
+
 def test_language_held_out(spark):
     got = queries.QUERIES["op3_language_id"](spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert len(got) > 100 and sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
