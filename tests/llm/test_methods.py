@@ -161,6 +161,14 @@ def test_decontamination_of_templated_items(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_decontamination_of_repeated_and_unnamed_items(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "abc"]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[0]), (1, texts[1]), (None, texts[2])], "item_id long, text string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(7, f"{texts[0]} {texts[1]}"), (8, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.similarity) for r in decontam.leaks(docs, items).collect())
+    assert got == [(0, 1, 1.0), (1, 1, 1.0), (2, None, 1.0), (7, 1, 1.0)]
+
+
 def test_decontamination_query(spark):
     docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     items = {r.item_id: r.text for r in table(spark, SF, "benchmark").collect()}
@@ -178,8 +186,38 @@ def test_blocks_find_all_within_the_radius(spark):
         for k in rng.sample(range(64), rng.randrange(decontam.RADIUS + 1)):
             b ^= 1 << k
         rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
-    df = spark.createDataFrame(rows, "a long, b long").select(decontam.blocks(F.col("a")).alias("a"), decontam.blocks(F.col("b")).alias("b"))
+    df = spark.createDataFrame(rows, "a long, b long").select(decontam.blocks(F.col("a")).alias("a"), decontam.near_blocks(F.col("b")).alias("b"))
     assert df.filter(F.size(F.array_intersect("a", "b")) > 0).count() == len(rows)
+    assert sum(limit + 1 for _, _, limit in decontam.layout()) == decontam.RADIUS + 1
+    assert sum(w for _, w, _ in decontam.layout()) == decontam.BITS
+
+
+def test_blocks_leave_out_unrelated_fingerprints(spark):
+    rng = random.Random(10)
+    rows = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a long, b long").select(decontam.blocks(F.col("a")).alias("a"), decontam.near_blocks(F.col("b")).alias("b"))
+    assert df.filter(F.size(F.array_intersect("a", "b")) > 0).count() < 0.55 * len(rows)
+
+
+def test_decontamination_finds_words_inserted_anywhere(spark):
+    """Two words put in, taken out or changed at every place of an item, also under phrases that all items share."""
+    make = lambda name, n: [f"{name}{k}" for k in range(n)]
+    items = {i: [*make("open", 8), *make(f"i{i}w", 43), *make("close", 7)] for i in range(10)}
+    docs = {}
+    for place in range(0, 59, 2):
+        i, n = items[place % 10], len(docs)
+        docs[n] = [*make(f"d{n}x", 30), *i[:place], "new", "words", *i[place:], *make(f"d{n}y", 30)]
+        docs[n + 1] = [*make(f"d{n}x", 30), *i[:place], *i[place + 2 :], *make(f"d{n}y", 30)]
+        docs[n + 2] = [*i[:place], "changed", *i[place + 1 :]]
+    docs[1000] = [*items[0], *items[0][5:]]
+    docs[1001] = ["same"] * 300
+    text = lambda rows: {k: " ".join(v) for k, v in rows.items()}
+    docs, items = text(docs), text(items) | {90: "same " * 40}
+    want = brute_leaks(docs, items)
+    assert len({d for d, _ in want}) > 60
+    make = lambda rows, n: spark.createDataFrame(list(rows.items()), f"{n} long, text string")
+    got = decontam.leaks(make(docs, "doc_id"), make(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
 
 
 def test_lookup_is_even_and_stable():
