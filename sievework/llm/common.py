@@ -48,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder and read back: nothing of the old plan stays, not even
+    the constraints that a checkpoint keeps."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint where the counted rows are few; else Spark joins by shuffle and splits skewed keys."""
     return F.broadcast(df) if rows <= limit else df

@@ -11,10 +11,11 @@ are counted one by one, and the partial overlaps of a pair are summed and compar
    cells. The table of levels has a fixed size (2**CELL_BITS bytes).
 3. By the order, a pair that links shares one of the first n - ceil(0.8 n) + 1 shingles of each set. Classes meet
    in the buckets of these shingles: small buckets give the pairs whose lengths and positions allow a link, larger
-   ones a chain along the length in which all pairs that could link are connected. No bucket gives all its pairs.
+   ones ties in which all pairs that could link are connected. No bucket gives all its pairs.
 4. Connected candidates (a superset of linked ones) are the units of the exact count. A unit is worked in one task
    up to UNIT_TOKENS shingles; there, classes are counted against those not yet reached, fragment by fragment. A
-   larger unit is spread over tasks by fragment and counted in rounds of hubs, and the sums meet per pair.
+   larger unit is spread over tasks and counted in rounds of hubs: fragments give partial overlaps, which are summed
+   per pair.
 
 Hot shingles (df of 2**HOT or more) are dealt over salted buckets that are tied by length bands, so no bucket is
 gathered whole. Nothing is capped or dropped: where a shortcut doesn't hold, the pair is counted exactly.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.arrow_text import U64, mix64, shingle_sets, sliced
-from sievework.llm.common import SHINGLE, cut, maybe_broadcast, table
+from sievework.llm.common import SHINGLE, cut, maybe_broadcast, table, written
 
 #: 100 * intersection >= PERCENT * union links two sets.
 PERCENT = 80
@@ -166,14 +167,23 @@ def _prefix_map(bits: int, shared, hot: int = HOT):
     return run
 
 
-def _allowed(n1, p1, n2, p2):
-    """Whether sizes and positions of a first common shingle leave room for a link."""
-    least = -(-PERCENT * (n1 + n2) // (100 + PERCENT))
-    return 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= least
+def _largest_partner(n, p):
+    """The largest set that one of n shingles, with the first common one at place p, can still link to."""
+    return (100 + PERCENT) * (n - p) // PERCENT - n
+
+
+def _similar(n1, n2):
+    """Whether two sizes, the smaller one first, can link at all."""
+    return 100 * n1 >= PERCENT * n2
+
+
+def _band(n):
+    return (np.log(np.maximum(n, 1)) / np.log(100 / PERCENT)).astype(np.int32)
 
 
 def _edges(group: pa.Table) -> pa.Table:
-    """Candidate edges of a fragment (kind 0), and of salted buckets the members that tie them (kind: 1 + length band)."""
+    """Candidate edges of a fragment (kind 0). Of salted buckets also what ties them: the first leader of a length band
+    (kind 1 + band), and the other members with the bands of leaders that they could link to (kind -1 - band)."""
     t, c, n, p = (_joined(group.column(name), kind) for name, kind in _PREFIX)
     n, p = n.astype(np.int64), p.astype(np.int64)
     order = np.lexsort((c, n, t))
@@ -183,24 +193,42 @@ def _edges(group: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True]))) if len(t) else np.zeros(1, np.int64)
     size = np.repeat(np.diff(first), np.diff(first))
     salted = bool(len(t)) and group.column("salt")[0].as_py() > 0
+    top = _largest_partner(n, p)
     left, right = [], []
-    # Small buckets: pairs at each distance along the length order. Larger ones: neighbours only. Salted ones of any
-    # size also have all neighbours, as only the first member of a length band is tied to the other salts.
+    # Small buckets: pairs at each distance along the length order.
     for d in range(1, PAIRS):
-        i = np.flatnonzero((t[:-d] == t[d:]) & ((size[:-d] <= PAIRS) | (d == 1))) if len(t) > d else np.zeros(0, np.int64)
+        i = np.flatnonzero((t[:-d] == t[d:]) & (size[:-d] <= PAIRS)) if len(t) > d else np.zeros(0, np.int64)
         j = i + d
-        ok = (100 * n[i] >= PERCENT * n[j]) & ((size[i] > PAIRS) | (salted and d == 1) | _allowed(n[i], p[i], n[j], p[j]))
-        left.append(np.minimum(c[i[ok]], c[j[ok]]))
-        right.append(np.maximum(c[i[ok]], c[j[ok]]))
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+        ok = _similar(n[i], n[j]) & (n[j] <= top[i]) & (n[i] <= top[j])
+        left.append(c[i[ok]])
+        right.append(c[j[ok]])
+    # Larger and salted ones. Leaders can link to sets of their own size; neighbours among them are tied. The others
+    # link only to smaller leaders, and are tied to the largest of these.
+    many = (size > PAIRS) | salted
+    lead, rest = np.flatnonzero(many & (top >= n)), np.flatnonzero(many & (top < n))
+    a, b = lead[:-1], lead[1:]
+    ok = (t[a] == t[b]) & _similar(n[a], n[b])
+    left.append(c[a[ok]])
+    right.append(c[b[ok]])
+    place = lambda i, x: t[i].astype(np.int64) << 31 | np.maximum(x, 0)
+    if len(lead):
+        at = np.searchsorted(place(lead, n[lead]), place(rest, top[rest]), "right") - 1
+        j = lead[np.maximum(at, 0)]
+        ok = (at >= 0) & (t[j] == t[rest]) & _similar(n[j], n[rest])
+        left.append(c[rest[ok]])
+        right.append(c[j[ok]])
+    left, right = np.concatenate(left), np.concatenate(right)
+    pairs = np.unique(np.stack([np.minimum(left, right), np.maximum(left, right)], 1), axis=0)
     kind, key = np.zeros(len(pairs), np.int32), np.zeros(len(pairs), np.int64)
     if salted:
-        band = (np.log(np.maximum(n, 1)) / np.log(100 / PERCENT)).astype(np.int32)
-        one = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (band[1:] != band[:-1]))))
-        token = np.int64(group.column("fragment")[0].as_py()) << 32 | t[one].astype(np.int64)
-        pairs = np.concatenate([pairs, np.stack([c[one], c[one]], 1)])
-        kind, key = np.concatenate([kind, 1 + band[one]]), np.concatenate([key, token])
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "kind": kind, "token": key})
+        band = _band(n[lead])
+        one = np.concatenate(([True], (t[b] != t[a]) | (band[1:] != band[:-1]))) if len(lead) else np.zeros(0, bool)
+        low, high = _band(-(-PERCENT * n[rest] // 100)), _band(top[rest])
+        own = np.concatenate([lead[one], rest, rest])
+        token = np.int64(group.column("fragment")[0].as_py()) << 32 | t[own].astype(np.int64)
+        pairs = np.concatenate([pairs, np.stack([c[own], c[own]], 1)])
+        kind, key = np.concatenate([kind, 1 + band[one], -1 - low, -1 - high]), np.concatenate([key, token])
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "kind": pa.array(kind, pa.int32()), "token": key})
 
 
 def candidate_edges(docs: DataFrame, bits: int, levels: np.ndarray, hot: int = HOT) -> DataFrame:
@@ -212,7 +240,8 @@ def candidate_edges(docs: DataFrame, bits: int, levels: np.ndarray, hot: int = H
     least = tied.groupBy("token", "band").agg(F.min("a").alias("b"))
     within = tied.join(least, ["token", "band"]).select("a", "b")
     across = least.alias("x").join(least.alias("y"), F.expr("x.token = y.token AND x.band + 1 = y.band")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
-    every = made.filter("kind = 0").select("a", "b").unionByName(within).unionByName(across).filter("a <> b")
+    others = made.filter("kind < 0").select("token", (-F.col("kind")).alias("band"), "a").join(least, ["token", "band"]).select("a", "b")
+    every = made.filter("kind = 0").select("a", "b").unionByName(within).unionByName(across).unionByName(others).filter("a <> b")
     return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -233,30 +262,80 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+class _Postings:
+    """The sets that hold a token, by token, with the largest partner that each allows there."""
+
+    def __init__(self, token: np.ndarray, owner: np.ndarray, top: np.ndarray, tokens: int):
+        order = np.argsort(token, kind="stable")
+        self.owner, self.top = owner[order], top[order]
+        self.begin = np.searchsorted(token[order], np.arange(tokens + 1))
+
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokens' entries are, and the token (by its number among these) of each."""
+        a, count = self.begin[tokens], self.begin[tokens + 1] - self.begin[tokens]
+        return np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum()), np.repeat(np.arange(len(tokens)), count)
+
+
 def _unit_links(sets: list[np.ndarray]) -> np.ndarray:
-    """The component of each set: partial overlaps per fragment of the token order, summed per pair of a hub and a set not yet reached."""
+    """The component of each set. A hub's candidates are the sets not yet reached that share a token of both prefixes,
+    by the unit's own order of frequency, at places and with sizes that allow a link; their overlaps with the hub are
+    counted per fragment of the order and summed."""
     n = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), n)
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    posting, begin = owner[order], np.searchsorted(token[order], np.arange(token.max() + 2))
-    own = np.split(token, np.cumsum(n)[:-1])
-    edges = np.linspace(0, token.max() + 1, PARTS + 1).astype(np.int64)
+    df = np.bincount(token)
+    rank = np.empty(len(df), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(df))
+    token, df = rank[token], np.sort(df)
+    order = np.lexsort((token, owner))
+    token, begin = token[order], np.cumsum(n) - n
+    place = np.arange(len(token)) - begin[owner]
+    top, length = _largest_partner(n[owner], place), n - least_overlap(n) + 1
+    prefix = place < length[owner]
+    every = _Postings(token[prefix], owner[prefix], top[prefix], len(df))
+    leads = prefix & (top >= n[owner])
+    leaders = _Postings(token[leads], owner[leads], top[leads], len(df))
+    whole = _Postings(token, owner, top, len(df))
+    edges = np.linspace(0, len(df), PARTS + 1).astype(np.int64)
     label, free = np.full(len(sets), -1), np.ones(len(sets), bool)
+
+    def candidates(hub: int) -> np.ndarray:
+        t, mine = token[begin[hub] : begin[hub] + length[hub]], top[begin[hub] : begin[hub] + length[hub]]
+        found = []
+        for held, own in ((every, mine >= n[hub]), (leaders, mine < n[hub])):
+            at, which = held.of(t[own])
+            o = held.owner[at]
+            found.append(o[free[o] & (n[o] <= mine[own][which]) & (held.top[at] >= n[hub])])
+        found = np.unique(np.concatenate(found))
+        return found[_similar(np.minimum(n[found], n[hub]), np.maximum(n[found], n[hub]))]
+
+    def overlaps(hub: int, found: np.ndarray) -> np.ndarray:
+        mine, total = token[begin[hub] : begin[hub] + n[hub]], np.zeros(len(found), np.int64)
+        few = n[found].sum() < df[mine].sum()
+        for x, y in zip(edges[:-1], edges[1:], strict=True):  # one fragment at a time
+            part = mine[np.searchsorted(mine, x) : np.searchsorted(mine, y)]
+            if not len(part):
+                continue
+            if few:
+                for i, f in enumerate(found):
+                    other = token[begin[f] : begin[f] + n[f]]
+                    total[i] += np.isin(other[np.searchsorted(other, x) : np.searchsorted(other, y)], part, assume_unique=True).sum()
+            else:
+                total += np.bincount(whole.owner[whole.of(part)[0]], minlength=len(sets))[found]
+        return total
+
     for seed in range(len(sets)):
         if not free[seed]:
             continue
         label[seed], free[seed], queue = seed, False, [seed]
-        while queue and free.any():
+        while queue:
             hub = queue.pop()
-            mine, total = np.sort(own[hub]), np.zeros(len(sets), np.int64)
-            for x, y in zip(edges[:-1], edges[1:], strict=True):  # one fragment at a time
-                part = mine[np.searchsorted(mine, x) : np.searchsorted(mine, y)]
-                if len(part):
-                    total += np.bincount(np.concatenate([posting[begin[k] : begin[k + 1]] for k in part]), minlength=len(sets))
-            found = np.flatnonzero(free & (100 * total >= PERCENT * (n[hub] + n - total)) & (total > 0))
-            label[found], free[found] = seed, False
-            queue.extend(found.tolist())
+            found = candidates(hub)
+            if len(found):
+                total = overlaps(hub, found)
+                found = found[100 * total >= PERCENT * (n[hub] + n[found] - total)]
+                label[found], free[found] = seed, False
+                queue.extend(found.tolist())
     return label
 
 
@@ -305,67 +384,57 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _hub_task(group: pa.Table) -> pa.Table:
-    """Partial overlaps of hubs and free classes in one fragment of one large unit."""
-    hub, free = group.column("hub").to_numpy(zero_copy_only=False), group.column("free").to_numpy(zero_copy_only=False)
-    cls, sets = group.column("class").to_numpy(), [np.frombuffer(x.as_py(), U64) for x in group.column("tokens")]
-    pick = np.flatnonzero(free)
-    token = np.concatenate([np.zeros(0, U64), *(sets[i] for i in pick)])
-    owner = np.repeat(np.arange(len(pick)), [len(sets[i]) for i in pick])
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    out = []
-    for h in np.flatnonzero(hub):
-        a, b = np.searchsorted(token, sets[h], "left"), np.searchsorted(token, sets[h], "right")
-        total = np.bincount(np.concatenate([np.zeros(0, np.int64), *(owner[x:y] for x, y in zip(a, b, strict=True))]), minlength=len(pick))
-        some = np.flatnonzero(total)
-        out.append(np.stack([np.full(len(some), cls[h]), cls[pick[some]], total[some]], 1))
-    rows = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-    return pa.table({"hub_class": rows[:, 0], "class": rows[:, 1], "overlap": rows[:, 2]})
-
-
-def _large_units(sets: DataFrame, tokens: int, pairs: int = 2_000_000) -> DataFrame:
-    """(class, component_id) of units too large for one task: rounds of hubs against classes not yet reached."""
-    parts = max(1, -(-tokens // UNIT_TOKENS)) * 2
-    flat = sets.select("root", "class", "doc_id", F.col("tokens"))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r, c, t in zip(b.column("root").to_pylist(), b.column("class").to_pylist(), b.column("tokens"), strict=True):
-                s = np.frombuffer(t.as_py(), U64)
-                f = (s % U64(parts)).astype(np.int64)
-                rows = [(r, c, k, s[f == k].tobytes()) for k in range(parts) if (f == k).any()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["root", "class", "part", "tokens"])
-
-    pieces = cut(flat.mapInArrow(split, "root long, class long, part int, tokens binary"))
-    state = cut(flat.select("root", "class", "doc_id", (F.octet_length("tokens") / 8).cast("long").alias("n"), F.lit(None).cast("long").alias("label"), F.lit(False).alias("done")))
+def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in sliced(batches):
+        sets = [np.frombuffer(t.as_py(), np.int64) for t in b.column("tokens")]
+        edges = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+        yield pa.RecordBatch.from_arrays([b.column("root"), b.column("class"), b.column("doc_id"), tokens], names=["root", "class", "doc_id", "tokens"])
+
+
+def _large_units(sets: DataFrame, hubs: int = 8) -> DataFrame:
+    """(class, component_id) of units too large for one task, in rounds over all of them at once.
+
+    A round takes some classes of each unit as hubs, eight times as many as the one before, and compares them with all
+    classes of other components: prefix tokens by the unit's order of frequency give the candidates, their overlaps
+    are counted per fragment and summed. A hub is then done. A unit is done when its classes that are not lie in one
+    component, so the largest needs no hubs; the rounds grow with the logarithm of the largest unit.
+    """
+    flat = written(sets.select("root", "class", "doc_id", "tokens").mapInArrow(_token_lists, "root long, class long, doc_id long, tokens array<bigint>"), "unit-sets")
+    each = flat.select("root", "class", F.explode("tokens").alias("token"))
+    order = each.join(each.groupBy("root", "token").count(), ["root", "token"]).groupBy("root", "class").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("order"))
+    size = F.size("order").cast("long")
+    entries = order.select("root", "class", size.alias("n"), F.posexplode(F.slice("order", 1, (size - F.ceil(size * PERCENT / 100) + 1).cast("int"))).alias("p", "entry"))
+    top = F.floor((F.col("n") - F.col("p")) * (100 + PERCENT) / PERCENT) - F.col("n")
+    entries = written(entries.select("root", "class", "n", "entry.token", top.cast("long").alias("top")), "unit-prefixes")
+    part = lambda k: F.filter("tokens", lambda t: F.pmod(t, F.lit(PARTS)) == k)
+    pieces = flat.select("class", F.explode(F.array(*[F.struct(F.lit(k).alias("part"), part(k).alias("tokens")) for k in range(PARTS)])).alias("piece")).select("class", "piece.*")
+    pieces = written(pieces.filter(F.size("tokens") > 0), "unit-pieces")
+    state = written(flat.select("root", "class", "doc_id", F.col("class").alias("comp"), F.lit(False).alias("done")), "unit-state")
+    turn = 0
     while True:
-        # Hubs: reached classes not yet used as such; where a unit has none, its least free class begins a component.
-        left = state.groupBy("root").agg(F.count_if(F.col("label").isNull()).alias("n_free"), F.count_if(F.expr("label IS NOT NULL AND NOT done")).alias("n_next"), F.min(F.when(F.col("label").isNull(), F.col("class"))).alias("seed"))
-        left = cut(left.filter("n_free > 0"))
-        units, free = left.agg(F.count("*"), F.coalesce(F.sum("n_free"), F.lit(0))).first()
-        if not units:
+        # What is left: classes that are not done, outside the component that has most of them.
+        open_ = state.filter("NOT done").groupBy("root", "comp").agg(F.count("*").alias("m"))
+        main = open_.groupBy("root").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("m"), F.max("m").alias("most"))
+        main = written(main.filter("m > most").select("root", "main", (F.col("m") - F.col("most")).alias("left")), "unit-main")
+        if main.isEmpty():
             break
-        state = state.join(left.withColumnRenamed("root", "unit"), F.expr("root = unit"), "left").withColumn("label", F.when((F.col("n_next") == 0) & (F.col("class") == F.col("seed")), F.col("class")).otherwise(F.col("label")))
-        wait = F.expr("unit IS NOT NULL AND label IS NOT NULL AND NOT done")
-        share = F.greatest(F.lit(1), F.lit(pairs) / F.greatest(F.lit(1), F.col("n_free"))) / F.greatest(F.lit(1), F.col("n_next"))
-        lot = F.xxhash64("class").bitwiseAND(F.lit(0xFFFFF).cast("long")) / F.lit(float(1 << 20))
-        state = state.withColumn("hub", wait & ((F.col("n_next") <= 1) | (lot <= share)))
-        any_hub = state.filter("hub").groupBy(F.col("root").alias("own")).agg(F.lit(True).alias("some"))
-        first = state.filter(wait).groupBy(F.col("root").alias("own")).agg(F.min("class").alias("least"))
-        state = state.join(any_hub, F.expr("root = own"), "left").drop("own").join(first, F.expr("root = own"), "left").drop("own")
-        state = cut(state.withColumn("hub", F.col("hub") | (F.col("some").isNull() & wait & (F.col("class") == F.col("least")))).withColumn("free", F.col("label").isNull() & F.col("unit").isNotNull()).select("root", "class", "doc_id", "n", "label", "done", "hub", "free"))
-        active = pieces.join(state.filter("hub OR free").select("class", "hub", "free"), "class")
-        partial = active.groupBy("root", "part").applyInArrow(_hub_task, "hub_class long, class long, overlap long")
-        total = partial.groupBy("hub_class", "class").agg(F.sum("overlap").alias("o"))
-        sizes = state.select("class", "n")
-        hubs = state.filter("hub").select(F.col("class").alias("hub_class"), F.col("n").alias("hub_n"), F.col("label").alias("found"))
-        links = total.join(sizes, "class").join(hubs, "hub_class").filter(100 * F.col("o") >= PERCENT * (F.col("n") + F.col("hub_n") - F.col("o")))
-        reached = links.groupBy(F.col("class").alias("own")).agg(F.min("found").alias("found"))
-        state = state.join(reached, F.expr("class = own"), "left")
-        state = cut(state.select("root", "class", "doc_id", "n", F.coalesce("label", "found").alias("label"), (F.col("done") | F.col("hub")).alias("done")))
-    names = state.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return state.join(names, "label").select("class", "component_id")
+        share = F.greatest(F.lit(1), F.floor(F.col("left") / (hubs * 8**turn))).cast("long")
+        picked = state.filter("NOT done").join(main, "root").withColumn("hub", (F.col("comp") != F.col("main")) & (F.pmod(F.xxhash64("class", F.lit(turn)), share) == 0))
+        picked = written(picked.select("root", "class", "comp", "hub"), "unit-picked")
+        named = entries.join(picked, ["root", "class"])
+        pairs = named.filter("hub").alias("h").join(named.alias("o"), F.expr(f"h.root = o.root AND h.token = o.token AND h.comp <> o.comp AND o.n <= h.top AND h.n <= o.top AND 100 * least(h.n, o.n) >= {PERCENT} * greatest(h.n, o.n)"))
+        pairs = pairs.select(F.col("h.class").alias("hub"), F.col("o.class").alias("other"), F.col("h.n").alias("hub_n"), F.col("o.n").alias("other_n"), F.col("h.comp").alias("x"), F.col("o.comp").alias("y")).distinct()
+        both = pairs.join(pieces.select(F.col("class").alias("hub"), "part", F.col("tokens").alias("hub_tokens")), "hub").join(pieces.withColumnRenamed("class", "other"), ["other", "part"])
+        total = both.groupBy("hub", "other", "hub_n", "other_n", "x", "y").agg(F.sum(F.size(F.array_intersect("hub_tokens", "tokens"))).alias("overlap"))
+        links = total.filter(f"100 * overlap >= {PERCENT} * (hub_n + other_n - overlap)")
+        links = links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        merged = connected(links).select(F.col("node").alias("comp"), F.col("root").alias("into"))
+        state = state.join(picked.filter("hub").select("class", "hub"), "class", "left").join(merged, "comp", "left")
+        state = written(state.select("root", "class", "doc_id", F.coalesce("into", "comp").alias("comp"), (F.col("done") | F.col("hub").isNotNull()).alias("done")), "unit-state")
+        turn += 1
+    names = state.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return state.join(names, "comp").select("class", "component_id")
 
 
 def join(docs: DataFrame, fragment_tokens: int = FRAGMENT_TOKENS, unit_tokens: int = UNIT_TOKENS, hot: int = HOT) -> DataFrame:
@@ -382,14 +451,14 @@ def join(docs: DataFrame, fragment_tokens: int = FRAGMENT_TOKENS, unit_tokens: i
     sets = docs.mapInArrow(_set_map(shared), "doc_id long, class long, tokens binary").alias("s")
     sets = sets.join(units.alias("u"), F.expr("s.class = u.class AND s.doc_id <=> u.first_id")).select("u.root", "s.class", "s.doc_id", "s.tokens")
     large = cut(units.groupBy("root").agg(F.sum("n").alias("unit_n")).filter(F.col("unit_n") > unit_tokens))
-    n_large, large_tokens = large.agg(F.count("*"), F.coalesce(F.sum("unit_n"), F.lit(0))).first()
+    n_large = large.count()
     small = sets.join(maybe_broadcast(large, n_large), "root", "left_anti") if n_large else sets
     few = units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bins = max(1, -(-4 * few // unit_tokens), docs.sparkSession.sparkContext.defaultParallelism)
     # Repeated rows of a class's first id are one set.
     named = small.withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins))).groupBy("bin").applyInArrow(_unit_task, "class long, component_id long")
     if n_large:
-        named = named.unionByName(_large_units(cut(sets.join(maybe_broadcast(large, n_large), "root", "left_semi").dropDuplicates(["class"])), large_tokens))
+        named = named.unionByName(_large_units(cut(sets.join(maybe_broadcast(large, n_large), "root", "left_semi").dropDuplicates(["class"]))))
     named = named.groupBy("class").agg(F.min("component_id").alias("component_id"))
     every = classes.join(named, "class", "left").select("class", F.coalesce("component_id", "first_id").alias("component_id"))
     out = sized.join(every, "class", "left")

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pyarrow.fs
@@ -104,6 +105,51 @@ def test_jaccard_join_ties_few_variants_of_a_hot_text(spark):
     assert got == components(texts)
 
 
+@pytest.mark.parametrize("how", [{}, {"unit_tokens": 50}, {"hot": 3, "unit_tokens": 50}])
+def test_jaccard_join_of_templates_that_do_not_link(spark, how):
+    """Texts that share two thirds of their shingles with all others: candidates by a common phrase, no links; among
+    them a few that do link, and chains of texts of growing length."""
+    rng, texts = random.Random(11), {}
+    for _ in range(400):
+        texts[len(texts)] = " ".join([f"u{rng.randrange(10**6)}", *(f"t{k}" for k in range(12)), f"u{rng.randrange(10**6)}"])
+    for n in range(14, 60):
+        texts[len(texts)] = " ".join(f"t{k}" for k in range(n))
+    for k in range(6):
+        texts[len(texts)] = " ".join([*texts[k].split(), "more"])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs, **how).collect()}
+    assert got == components(texts)
+
+
+@pytest.mark.parametrize("count", [13, 1500])
+def test_large_units_finish_in_few_rounds(spark, count):
+    """One unit whose sets share most shingles but do not link, a group that does, and a chain of links."""
+    rng = np.random.default_rng(4)
+    core = rng.integers(0, 1 << 62, 40)
+    sets = [np.concatenate([core[:32], rng.integers(0, 1 << 62, 8)]) for _ in range(count)]
+    sets += [np.concatenate([core[:39], rng.integers(0, 1 << 62, 1)]) for _ in range(20)]
+    chain = rng.integers(0, 1 << 62, 200)
+    sets += [chain[k : k + 40] for k in range(0, 120, 3)]
+    rows = [(7, k, 1000 + k, np.sort(s.astype(np.uint64)).tobytes()) for k, s in enumerate(sets)]
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    made = jaccard_join._large_units(spark.createDataFrame(rows, "root long, class long, doc_id long, tokens binary"))
+    got = {r["class"]: r.component_id for r in made.collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(before)
+    label = jaccard_join._unit_links([np.frombuffer(r[3], np.uint64) for r in rows])
+    assert got == {k: 1000 + int(label[k]) for k in got} and len(got) == len(rows)
+    assert len(set(got.values())) == count + 2 and jobs < 250
+
+
+def test_unit_links_leave_out_sets_that_cannot_link():
+    """16,000 sets with a common core that do not link: the work is in proportion to them, not to their pairs."""
+    rng = np.random.default_rng(5)
+    core = rng.integers(0, 1 << 62, 8).astype(np.uint64)
+    sets = [np.sort(np.concatenate([core, rng.integers(0, 1 << 62, 2).astype(np.uint64)])) for _ in range(16_000)]
+    begin = time.monotonic()
+    assert (jaccard_join._unit_links(sets) == np.arange(len(sets))).all()
+    assert time.monotonic() - begin < 10
+
+
 def test_jaccard_query(spark):
     docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op5_ngram_jaccard"](spark, SF).collect()}
