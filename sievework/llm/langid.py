@@ -7,13 +7,13 @@ K(x, L) K(L, L)^-1/2; on them one ridge regression per language (one against the
 A batch is scored by two matrix products: presence over the landmarks' n-grams times landmark presence, then
 features times coefficients.
 
-Fitting uses at most ``per_language`` labelled rows of each language, those with the smallest hash of id and text,
-so it is bounded and repeatable; what leaves the executors is their n-gram sets, which have a bounded size.
-Scoring reads every text whole, in slices of bounded memory.
+Fitting uses at most ``per_language`` labelled rows of each language, those with the smallest hash of the id, and fewer
+of each where ``ROWS`` in all would not do; no language is left out. So it is bounded and repeatable; what leaves the
+executors is their n-gram sets, which have a bounded size. Scoring reads every text whole, in slices of bounded memory.
 
 A text that is null or has no letter is ``und`` with score 0. Null labels are never learned. Without any usable
-label every text is ``und``. Ties go to the language first by code point. Repeated rows get equal values; columns
-of the input named as the added ones are replaced.
+label every text is ``und``. Ties go to the language first by code point. Repeated rows get equal values; of rows with
+one id and label, the text that is first in order is learned. Columns of the input named as the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from sievework.llm.arrow_text import text_bytes
 from sievework.llm.common import doc_key, extended, lowest, set_aside, table, without
 
-#: Bounds of the fit: labelled rows and landmarks of each language, languages, ridge.
-PER_LANGUAGE, LANDMARKS, MAX_LANGUAGES, RIDGE = 300, 24, 200, 1e-3
+#: Bounds of the fit: labelled rows and landmarks of each language, and of all; ridge.
+PER_LANGUAGE, LANDMARKS, ROWS, MARKS, RIDGE = 300, 24, 60_000, 4_800, 1e-3
 #: Bytes of text in one slice.
 SLICE = 1 << 20
 UNDETERMINED = "und"
@@ -70,7 +70,7 @@ class Model:
         """For n = 1, 2, 3: n-gram -> its row of presence + 1, or 0."""
         out = []
         for n in (1, 2, 3):
-            t = np.zeros(1 << (8 * n), np.uint16)
+            t = np.zeros(1 << (8 * n), np.uint16 if len(self.vocabulary) < 1 << 16 else np.uint32)
             own = self.vocabulary[self.vocabulary >> 24 == n]
             t[own & 0xFFFFFF] = np.searchsorted(self.vocabulary, own) + 1
             out.append(t)
@@ -95,11 +95,9 @@ def solve(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS,
     if not used:
         return None
     languages = sorted({y for _, y in used})
+    landmarks = max(1, min(landmarks, MARKS // len(languages)))
     marks = [g for y in languages for g in [g for g, z in used if z == y][:landmarks]]
     vocabulary = np.unique(np.concatenate(marks))
-    if len(vocabulary) >= 1 << 16:  # rows are 16-bit numbers
-        common, n = np.unique(np.concatenate(marks), return_counts=True)
-        vocabulary = np.sort(common[np.argsort(-n, kind="stable")[: (1 << 16) - 1]])
 
     def held(g: np.ndarray) -> np.ndarray:
         return np.isin(vocabulary, g, assume_unique=True).astype(np.float32) / np.float32(len(g) ** 0.5)
@@ -130,11 +128,10 @@ def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from rows (doc_id, text, lang)."""
     named = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    languages = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    chosen = lowest(named.select("doc_id", "lang"), "lang", "doc_id", per_language)
-    chosen = chosen.join(F.broadcast(languages), "lang", "left_semi").select("doc_id", "at").distinct()
-    rows = named.join(F.broadcast(chosen), "doc_id").select("lang", "text", "at")
-    found = rows.select("lang", "text").mapInArrow(_gram_sets, "lang string, grams binary").limit(MAX_LANGUAGES * per_language).collect()
+    total = named.agg(F.count_distinct("lang")).first()[0]
+    chosen = lowest(named.select("doc_id", "lang").distinct(), "lang", "doc_id", max(1, min(per_language, ROWS // max(total, 1)))).drop("at")
+    rows = named.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    found = rows.select("lang", "text").mapInArrow(_gram_sets, "lang string, grams binary").collect()
     found = sorted((r.lang, bytes(r.grams)) for r in found)
     return solve([np.frombuffer(g, np.uint32) for _, g in found], [y for y, _ in found])
 
@@ -143,7 +140,7 @@ def held_out(key: Column | str = "doc_id", parts: int = 4, rest: int = 2) -> Col
     return F.crc32(doc_key(key) if isinstance(key, str) else key) % parts == rest
 
 
-def predict(docs: DataFrame, model: Model | None, rows: int = 512) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, cells: int = 1 << 24) -> DataFrame:
     """docs (text and others) with lang_pred and score."""
     docs = without(docs, "lang_pred", "score", "has_letter")
     if model is None:
@@ -153,6 +150,7 @@ def predict(docs: DataFrame, model: Model | None, rows: int = 512) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, tables = shared.value, shared.value.tables()
+        rows = max(1, min(512, cells // (len(model.vocabulary) + 1)))  # so that the presence matrix stays small
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)

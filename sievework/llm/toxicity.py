@@ -6,11 +6,15 @@ labelled sentences are swapped for others of their group and the squared change
 to the loss. So a group's name cannot carry weight that other groups' names don't, and neutral mentions stay low.
 
 Fitting uses at most ``PER_LABEL`` rows of each label, those with the smallest hash of the id; classes are weighed
-back to their shares in all training labels. Scoring reads every text whole.
+back to their shares in all training labels. Spark counts the features of these rows, picks the ``FEATURES`` that tell
+most, and counts the swaps of their sentences by what goes and comes (only terms can, so they are few kinds; the
+``SWAP_KINDS`` most frequent are used). The driver sees chosen features only, whatever the length of a text. Scoring
+reads every text whole, in slices of bounded memory.
 
 Null and empty texts score the intercept. Null labels are not learned; if one label is missing, the score is the
-share of the other. Several labels for one id all count. Rows with equal texts get equal scores; columns of the
-input named as the added ones are replaced.
+share of the other. Several labels for one id all count; a row without an id is scored and never learned. Very long
+texts are sets of at most 2**18 features; a text without sentence ends is one sentence. Rows with equal texts get
+equal scores; an empty table gives no rows; columns of the input named as the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.arrow_text import _BYTE, mix64, text_bytes
-from sievework.llm.common import extended, lowest, table, without
+from sievework.llm.common import cut, extended, lowest, table, without
 from sievework.llm.langid import held_out
 
 #: Bounds of the fit and its strengths.
-PER_LABEL, FEATURES, MIN_DF, RIDGE, SWAP, STEPS = 4000, 1024, 4, 2e-4, 0.05, 800
+PER_LABEL, FEATURES, MIN_DF, RIDGE, SWAP, STEPS, SWAP_KINDS = 4000, 1024, 4, 2e-4, 0.05, 800, 4096
 BITS, PREFIX = 18, 5
 SLICE = 1 << 20
 
@@ -86,35 +90,53 @@ def swapped(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.setdiff1d(a, b), np.setdiff1d(b, a)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (toxic, text) with their distinct features."""
+    for b in batches:
+        for text, y in zip(b.column("text"), b.column("toxic"), strict=True):
+            data, off = text_bytes(pa.array([text.as_py()], pa.string()))
+            have = np.unique(features(data, off)[0]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([y.as_py()], pa.int32()), pa.array([have], pa.list_(pa.int32()))], names=["toxic", "have"])
+
+
+def _swaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What goes and comes in each sentence with identity terms."""
     pack = lambda x: x.astype(np.int32).tobytes()
-    terms = np.array([one(w)[0] if len(one(w)) == 1 else -1 for w in SWAPS] + [v for w in SWAPS for v in one(w)])
+    terms = np.unique(np.concatenate([one(w) for w in SWAPS]))
     for b in batches:
-        for text, y in zip(b.column("text"), b.column("toxic").to_pylist(), strict=True):
+        for text in b.column("text"):
             data, off = text_bytes(pa.array([text.as_py()], pa.string()))
-            f = np.unique(features(data, off)[0])
-            rows = [(y, pack(f), b"", b"")]
-            if np.isin(f, terms).any():
-                rows += [(y, b"", pack(g), pack(c)) for g, c in swapped(text.as_py() or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["toxic", "have", "gone", "come"])
+            if np.isin(features(data, off)[0], terms).any():
+                rows = [(pack(g), pack(c)) for g, c in swapped(text.as_py() or "")]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (zip(*rows, strict=True) if rows else ([], []))], names=["gone", "come"])
 
 
-def solve(have: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], shares: tuple[float, float], swap: float = SWAP) -> tuple[np.ndarray, float]:
-    """Weights over all hashed features, and the intercept. shares: of labels 0 and 1 in all training rows."""
-    weights = np.zeros(1 << BITS, np.float32)
-    n = np.array([(labels == 0).sum(), (labels == 1).sum()])
-    if n.min() == 0:
-        return weights, 40.0 if n[1] else -40.0 if n[0] else 0.0
-    df = np.stack([np.bincount(np.concatenate([h for h, y in zip(have, labels, strict=True) if y == c]), minlength=1 << BITS) for c in (0, 1)])
+def pick(df: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The features that tell most, from their counts (2 x features) in rows of label 0 and 1."""
     share = (df + 0.5) / (n[:, None] + 1)
     tells = np.abs(share[1] - share[0]) / np.sqrt(share.mean(0) * (1 - share.mean(0)) + 1e-9)
     tells[df.sum(0) < MIN_DF] = 0
     chosen = np.argsort(-tells, kind="stable")[:FEATURES]
-    chosen = chosen[tells[chosen] > 0]
+    return chosen[tells[chosen] > 0]
+
+
+def solve(
+    have: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], shares: tuple[float, float], swap: float = SWAP, df: np.ndarray | None = None, times: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
+    """Weights over all hashed features, and the intercept. shares: of labels 0 and 1 in all training rows; df: counts
+    of the features by label, where have holds only some of them; times: how often each swap was seen."""
+    weights = np.zeros(1 << BITS, np.float32)
+    n = np.array([(labels == 0).sum(), (labels == 1).sum()])
+    if n.min() == 0:
+        return weights, 40.0 if n[1] else -40.0 if n[0] else 0.0
+    if df is None:
+        df = np.stack([np.bincount(np.concatenate([h for h, y in zip(have, labels, strict=True) if y == c]), minlength=1 << BITS) for c in (0, 1)])
+    chosen = pick(df, n)
     named = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for s in swaps for x in s)])).astype(np.int64)
     chosen = np.union1d(chosen, named[df.sum(0)[named] > 0]) if len(named) else np.sort(chosen)
     column = np.full(1 << BITS, -1)
     column[chosen] = np.arange(len(chosen))
+    often = np.sqrt(np.ones(len(swaps)) if times is None else times / times.mean()).astype(np.float32)[:, None]
 
     def dense(sets: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(sets), len(chosen)), np.float32)
@@ -123,7 +145,7 @@ def solve(have: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarr
             x[i, k[k >= 0]] = 1
         return x
 
-    x, d = dense(have), dense([g for g, _ in swaps]) - dense([c for _, c in swaps]) if swaps else np.zeros((0, len(chosen)), np.float32)
+    x, d = dense(have), (dense([g for g, _ in swaps]) - dense([c for _, c in swaps])) * often if swaps else np.zeros((0, len(chosen)), np.float32)
     v = (np.array(shares) / n)[labels].astype(np.float32)
     v /= v.sum()
     w, b = np.zeros(len(chosen), np.float32), float(np.log(max(shares[1], 1e-6) / max(shares[0], 1e-6)))
@@ -155,12 +177,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple
     labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = lowest(labels, "toxic", "doc_id", per_label).drop("at")
     total = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    found = sorted((r.toxic, bytes(r.have), bytes(r.gone), bytes(r.come)) for r in rows.mapInArrow(_sets, "toxic int, have binary, gone binary, come binary").collect())
-    read = lambda x: np.frombuffer(x, np.int32).astype(np.int64)
-    texts = [(y, read(h)) for y, h, g, c in found if not g and not c]
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(16))
+    held = cut(rows.mapInArrow(_features, "toxic int, have array<int>"))
+    df = np.zeros((2, 1 << BITS), np.int64)
+    counts = held.select("toxic", F.explode("have").alias("feature")).groupBy("feature").agg(*[F.count_if(F.col("toxic") == y).alias(f"n{y}") for y in (0, 1)])
+    for f, *n in counts.collect():
+        df[:, f] = n
+    kinds = rows.select("text").mapInArrow(_swaps, "gone binary, come binary").groupBy("gone", "come").count().orderBy(F.desc("count"), "gone", "come").limit(SWAP_KINDS).collect()
+    read = lambda x: np.frombuffer(bytes(x), np.int32).astype(np.int64)
+    swaps = [(read(k.gone), read(k.come)) for k in kinds]
+    learned = {r.toxic: r["count"] for r in held.groupBy("toxic").count().collect()}
+    chosen = np.unique(np.concatenate([pick(df, np.array([learned.get(0, 0), learned.get(1, 0)])), *(x for s in swaps for x in s)])).astype(int)
+    few = held.select("toxic", F.array_sort(F.array_intersect("have", F.lit(chosen.tolist()).cast("array<int>"))).alias("have"))
+    found = sorted((r.toxic, r.have) for r in few.collect())
     n = sum(total.values()) or 1
-    return solve([h for _, h in texts], np.array([y for y, _ in texts], np.int64), [(read(g), read(c)) for _, _, g, c in found if g or c], (total.get(0, 0) / n, total.get(1, 0) / n))
+    times = np.array([k["count"] for k in kinds], np.float64)
+    return solve([np.array(h, np.int64) for _, h in found], np.array([y for y, _ in found], np.int64), swaps, (total.get(0, 0) / n, total.get(1, 0) / n), df=df, times=times if swaps else None)
 
 
 def predict(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

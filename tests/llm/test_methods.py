@@ -8,6 +8,7 @@ import random
 import re
 import struct
 import time
+import zlib
 
 import numpy as np
 import pyarrow.fs
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sievework.llm import decontam, jaccard_join, langid, mixing, queries, sharding, tokens, toxicity, warc, webp
-from sievework.llm.common import new_folder, table
+from sievework.llm.common import lowest, new_folder, table
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -324,6 +325,126 @@ def test_kernel_ridge_is_exact_on_its_landmarks():
     assert abs((held @ model.presence)[0] - k(sets[0], sets[2])) < 1e-6 or abs((held @ model.presence).max() - 1) < 1e-6
 
 
+def brute_kernel(texts, labels, landmarks):
+    """The classifier in plain Python: gram sets of characters' bytes, kernels one by one, normal equations."""
+
+    def grams(text):
+        data = bytes((c + 32 if 65 <= c <= 90 else c) if 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 0 for c in text.encode())
+        while b"\0\0" in data:
+            data = data.replace(b"\0\0", b"\0")
+        return {data[i : i + n] for n in (1, 2, 3) for i in range(len(data) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    names = sorted(set(labels))
+    marks = [s for y in names for s in [s for s, z in zip(sets, labels, strict=True) if z == y][:landmarks]]
+    k = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    within = np.array([[k(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(within)
+    keep = value > 1e-6 * value.max()
+    whiten = vector[:, keep] / np.sqrt(value[keep])
+    phi = np.array([[k(a, b) for b in marks] for a in sets]) @ whiten
+    phi = np.hstack([phi, np.ones((len(phi), 1))])
+    weight = np.diag([1 / labels.count(y) for y in labels])
+    penalty = langid.RIDGE * np.trace(phi.T @ weight @ phi) / phi.shape[1] * np.eye(phi.shape[1])
+    penalty[-1, -1] = 1e-9
+    goal = np.array([[1.0 if y == z else -1.0 for z in names] for y in labels])
+    beta = np.linalg.solve(phi.T @ weight @ phi + penalty, phi.T @ weight @ goal)
+
+    def score(text):
+        own = grams(text)
+        f = np.array([k(own, b) for b in marks]) @ whiten if own else np.zeros(keep.sum())
+        return names, np.append(f, 1.0) @ beta
+
+    return score
+
+
+def test_language_query_is_brute_force(spark):
+    """op3 on a small table: every row's language and score as kernels computed one by one give them."""
+    rng = random.Random(12)
+    own = {"aa": "kilo meta sun", "bb": "rau fel oin", "cc": "bar tuk ygg", None: "kilo fel ygg"}
+    rows = []
+    for d in range(160):
+        lang = rng.choice(list(own))
+        rows.append((d, " ".join(rng.choice(own[lang].split()) + rng.choice("abc") for _ in range(rng.randrange(1, 30))), lang))
+    rows += [(200, None, "aa"), (201, "123 --", "bb"), (202, "", None), (203, "KILOA kiloa " * 3, "aa"), (204, "kiloa kiloa " * 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    folder = new_folder(spark, "small")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op3_language_id"](spark, folder).collect()}
+    crc = lambda d: zlib.crc32(str(d).encode())
+    assert all(got[d].held_out == (crc(d) % 4 == 2) for d, _, _ in rows)
+    learned = [(t, y) for d, t, y in rows if crc(d) % 4 != 2 and t is not None and t != "" and y is not None]
+    # The fit's order: language, then the bytes of the set.
+    sets = lambda t: langid.grams(np.frombuffer(t.encode(), np.uint8)).tobytes()
+    learned.sort(key=lambda r: (r[1], sets(r[0])))
+    score = brute_kernel([t for t, _ in learned], [y for _, y in learned], langid.LANDMARKS)
+    for d, t, _ in rows:
+        if t is None or not any(c.isalpha() for c in t):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        names, raw = score(t)
+        assert abs(got[d].score - min(max((raw.max() + 1) / 2, 0), 1)) < 2e-3
+        assert got[d].lang_pred == names[int(raw.argmax())] or sorted(raw)[-1] - sorted(raw)[-2] < 5e-3
+    assert (got[203].lang_pred, got[203].score) == (got[204].lang_pred, got[204].score)
+
+
+def test_language_fit_leaves_no_language_out(spark):
+    rows = [(k, f"l{k % 400:03d}".translate(str.maketrans("0123456789", "abcdefghij")) * 3, f"x{k % 400}") for k in range(1200)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 400
+
+
+def test_lowest_is_bounded_and_repeatable(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 50 == 0, "b").otherwise("a").alias("y"))
+    got = collections.Counter(r.y for r in lowest(df, "y", "id", 300).collect())
+    assert got == {"a": 300, "b": 300}
+    same = {r.id for r in lowest(df.repartition(7), "y", "id", 300).collect()}
+    assert same == {r.id for r in lowest(df, "y", "id", 300).collect()}
+
+
+def test_toxicity_query_is_brute_force(spark):
+    """op9 on a small table: every row's score from plain dicts of features and a plain gradient descent."""
+    rng = random.Random(13)
+    rows, labels = [], []
+    for d in range(240):
+        toxic = rng.random() < 0.4
+        said = [rng.choice(["river", "stone", "garden", "women", "men", "muslims", "jews"]) for _ in range(8)] + (["awful", "stupid"] if toxic else ["gentle"])
+        rng.shuffle(said)
+        rows.append((d, " ".join(said) + "."))
+        labels.append((d, int(toxic)))
+    rows += [(500, None), (501, ""), (502, "stupid " * 20000), (503, "Stupid " * 20000)]
+    folder = new_folder(spark, "small")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    got = {r.doc_id: r for r in queries.QUERIES["op9_toxicity"](spark, folder).collect()}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for d, r in got.items())
+    assert got[500].score == got[501].score and got[502].score == got[503].score >= 0.5
+
+    def feats(text):
+        w = re.findall(r"[^\W\d_]+", (text or "").lower())
+        return {("w", x) for x in w} | {("p", x[:5]) for x in w if len(x) > 5}
+
+    y = dict(labels)
+    learn = [(feats(t), y[d], t) for d, t in rows if d in y and zlib.crc32(str(d).encode()) % 5]
+    df = collections.Counter(f for x, _, _ in learn for f in x)
+    names = sorted(f for f, n in df.items() if n >= toxicity.MIN_DF)
+    x = np.array([[f in s for f in names] for s, _, _ in learn], float)
+    goal = np.array([c for _, c, _ in learn], float)
+    change = []
+    for _, _, t in learn:
+        if any(w in toxicity.SWAPS for w in t[:-1].split()):
+            a, b = feats(t), feats(" ".join(toxicity.SWAPS.get(w, w) for w in t[:-1].split()))
+            change.append([(f in a) - float(f in b) for f in names])
+    change, w, b = np.array(change), np.zeros(len(names)), 0.0
+    for _ in range(6000):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - goal) / len(goal)
+        w -= 0.5 * (x.T @ e + toxicity.RIDGE * w + toxicity.SWAP * change.T @ (change @ w) / len(change))
+        b -= 0.5 * e.sum()
+    for d, t in rows[:240]:
+        want = 1 / (1 + math.exp(-(b + sum(w[names.index(f)] for f in feats(t) if f in names))))
+        assert abs(want - got[d].score) < 0.1, (d, want, got[d].score)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     got = queries.QUERIES["op9_toxicity"](spark, d).join(table(spark, d, "labels"), "doc_id").filter("held_out").collect()
