@@ -7,8 +7,11 @@ with a partial sum before the shuffle, so a line that a third of all pages share
 boilerplate is gathered in one array: as ratios of a host's lines sum to its mean lines a page, it holds at most
 (mean lines a page) / ratio hashes however many pages the host has.
 
+Lines are cut once: pages with their lines are written to the shared folder, counted and then read again. Hidden
+elements end at their own closing tag or with the text; every pattern passes over a text once, however long it is.
+
 A null html has no lines and its kept_text is empty; a url without a host belongs to the host '' ; repeated rows
-are pages of their own. Columns named as the added ones are replaced.
+are pages of their own; an empty table gives no rows. Columns named as the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -16,15 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import cut, maybe_broadcast, table, without
+from sievework.llm.common import cut, maybe_broadcast, table, without, written
 
 #: A line on more than this share of a host's pages, and on at least so many pages, is boilerplate.
 RATIO, MIN_PAGES = 0.2, 3
 ADDED = ("host", "n_lines", "n_dropped", "kept_text")
 
-HIDDEN = r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>|<!--.*?-->"
-BLOCK = r"(?i)</?(p|div|li|ul|ol|h[1-6]|tr|td|th|table|br|hr|nav|article|section|header|footer|aside|main|title|head|body|html|blockquote|pre|form|option)\b[^>]*>"
-TAG = r"<[^>]*>"
+HIDDEN = "(?is)" + "|".join(rf"<{t}\b[^<>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript", "template")) + r"|<!--.*?(?:-->|\z)"
+BLOCK = r"(?i)</?(p|div|li|ul|ol|h[1-6]|tr|td|th|table|br|hr|nav|article|section|header|footer|aside|main|title|head|body|html|blockquote|pre|form|option)\b[^<>]*>"
+TAG = r"<[^<>]*>"
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://([^/?#:]*)"
 
 
@@ -35,11 +38,12 @@ def page_lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: x != "")
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages (url, html and others) with host, n_lines, n_dropped and kept_text."""
+def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, keep: list[str] | None = None) -> DataFrame:
+    """pages (url, html and others) with host, n_lines, n_dropped and kept_text; keep: which of their columns to return."""
     pages = without(pages, *ADDED)
+    own = pages.columns if keep is None else keep
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1))
-    lined = pages.withColumns({"host": host, "page_lines": page_lines(F.col("html"))})
+    lined = written(pages.select(*[F.col(f"`{c}`") for c in own], host.alias("host"), page_lines(F.col("html")).alias("page_lines")), "page-lines")
     hashes = F.array_distinct(F.transform("page_lines", lambda x: F.xxhash64(x)))
     # The null hash stands for the page itself: host totals come from the same pass.
     seen = lined.select("host", F.explode(F.concat(hashes, F.array(F.lit(None).cast("long")))).alias("line"))
@@ -53,12 +57,12 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     held = held.withColumn("page_kept", kept)
     n = F.size("page_lines")
     return held.select(
-        *[F.col(f"`{c}`") for c in pages.columns], "host", n.alias("n_lines"), (n - F.size("page_kept")).alias("n_dropped"), F.array_join("page_kept", "\n").alias("kept_text")
+        *[F.col(f"`{c}`") for c in own], "host", n.alias("n_lines"), (n - F.size("page_kept")).alias("n_dropped"), F.array_join("page_kept", "\n").alias("kept_text")
     )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_boilerplate(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", *ADDED)
+    return drop_boilerplate(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id"])
 
 
 _sql = lambda r: r.replace("'", "''")

@@ -12,11 +12,13 @@ range-sorted by it. The position that op4 reports (its SQL defines it) is the in
 copy's only where the target is at most the source's size, and no place in the stream where it is larger.
 
 The cumulative sums run in two steps, over hash ranges within a source and then within one range, so that a
-source with a third of all rows is no single task: no window ever sees more than about ``per_range`` documents.
+source with a third of all rows is no single task: no window sees more than about ``per_range`` documents. The hash is
+of id and text, so that texts without an id, or under one, spread too; only rows that are equal in both stay together.
 
 A null or blank text has size 0, takes 0 words and has no position; documents beyond their source's target too.
 Null sources are one source, last in order. Rows with the same id and text share a hash; their order is then
-immaterial, as they are equal. Empty tables give empty results.
+immaterial, as they are equal. Very long texts count whole. Columns named as the added ones are replaced, others kept.
+Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -67,14 +69,14 @@ def inverse(done: Column, starts: Column, ends: Column) -> Column:
 
 
 def position(done: Column, starts: Column, ends: Column) -> Column:
-    return F.round(inverse(done, starts, ends), 6)
+    return F.round(inverse(done, starts, ends), 9)
 
 
 def _placed(docs: DataFrame, per_range: int) -> DataFrame:
     """docs with their columns of ADDED and what places a copy: PLACE."""
     ranges = max(1, -(-docs.count() // per_range))
     share = F.conv(F.substring(F.col("mix_hash"), 1, 7), 16, 10).cast("long")
-    sized = docs.withColumns({"size": word_count("text"), "mix_hash": F.md5(doc_key()), "mix_tie": F.xxhash64("doc_id", "text")})
+    sized = docs.withColumns({"size": word_count("text"), "mix_hash": F.md5(F.concat(doc_key(), F.lit("|"), F.coalesce("text", F.lit("")))), "mix_tie": F.xxhash64("doc_id", "text")})
     sized = sized.withColumn("mix_range", F.floor(share * ranges / F.lit(16**7)).cast("long"))
     # One row per source and range; this is all that is gathered before documents are placed.
     parts = cut(sized.groupBy("source", "mix_range").agg(F.sum("size").alias("words")))
@@ -119,22 +121,21 @@ def copies(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
 def mix(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
     """The training stream: the columns of docs, each document as many times as the mix takes it, in order of position."""
     held, back = set_aside(docs, *ADDED, *PLACE, "mix_pass", "mix_words", "mix_at")
-    parts = max(1, docs.sparkSession.sparkContext.defaultParallelism)
     order = ("mix_at", "mix_hash", "mix_tie")
-    return copies(held, per_range).repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*back)
+    return copies(held, per_range).repartitionByRange(*order).sortWithinPartitions(*order).select(*back)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    placed = placed.select("doc_id", *ADDED)
-    # The id splits the documents without a position, which the mix does not take, over tasks.
-    return placed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    placed = placed.select("doc_id", *ADDED, F.xxhash64("doc_id", "text").alias("tie"))
+    # Id and hash split the documents without a position, which the mix does not take, over tasks.
+    return placed.repartitionByRange("position", "doc_id", "tie").sortWithinPartitions("position", "doc_id", "tie").drop("tie")
 
 
 _PICK = lambda values: f"list_extract([{', '.join(map(str, values))}], ((rank % {len(values)}) + 1)::INT)"
 ORACLE = f"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS h,
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents
 ), totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM totals
@@ -165,6 +166,6 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
        (CASE WHEN size > 0 THEN whole + CASE WHEN last > 0 THEN 1 ELSE 0 END ELSE 0 END)::INTEGER AS copies,
-       CASE WHEN taken > 0 THEN round(CASE WHEN b = a THEN m / a ELSE (sqrt(a * a + 2.0::DOUBLE * (b - a) * m) - a) / (b - a) END, 6) END AS position
+       CASE WHEN taken > 0 THEN round(CASE WHEN b = a THEN m / a ELSE (sqrt(a * a + 2.0::DOUBLE * (b - a) * m) - a) / (b - a) END, 9) END AS position
 FROM middles
 """

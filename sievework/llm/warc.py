@@ -11,8 +11,8 @@ Bundles go to the shared folder through the store's own client (local paths, HDF
 executor. Bundles are read back frame by frame.
 
 Null html is an empty payload; a null page_id is kept as null. Rows with the same page_id and payload are all
-responses if their id is the smallest of the group. Repeated rows are records of their own; an empty table gives an
-empty archive. Other columns are not read.
+responses if their id is the smallest of the group. Repeated rows are records of their own; a page longer than a frame
+is a frame of its own; an empty table gives an empty archive. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -193,8 +193,9 @@ def write_archive(pages: DataFrame, folder: str) -> DataFrame:
 
 def read_archive(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """All records of an archive; a response is checked against its digest."""
-    bundles = spark.read.schema(INDEX).parquet(f"{folder}/index").select("bundle").distinct()
-    return bundles.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_reader(folder, payloads), RECORD)
+    bundles = cut(spark.read.schema(INDEX).parquet(f"{folder}/index").select("bundle").distinct())
+    # A task per bundle, of a bounded size each.
+    return bundles.repartition(max(1, bundles.count()), "bundle").mapInArrow(_reader(folder, payloads), RECORD)
 
 
 def fetch(spark: SparkSession, folder: str, page_id: int) -> list[tuple[dict, bytes]]:

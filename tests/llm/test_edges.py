@@ -111,7 +111,7 @@ def test_toxicity(spark, empty):
 @pytest.mark.parametrize("empty", [False, True])
 def test_tokens(spark, empty):
     d = docs(spark, empty)
-    got = tokens.count_edited(d, tokens.redactions(F.col("text"))).collect()
+    got = tokens.count_edited(d, tokens.redactions).collect()
     count = tokens.counter()
     assert sorted(r.n_tokens for r in got) == sorted(tokens.build(r.text, count).tokens for r in d.collect())
 

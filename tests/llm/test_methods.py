@@ -19,7 +19,7 @@ from oracle import compare
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievework.llm import decontam, jaccard_join, langid, mixing, queries, sharding, tokens, toxicity, warc, webp
+from sievework.llm import decontam, jaccard_join, langid, line_dedup, mixing, queries, sharding, tokens, toxicity, warc, webp
 from sievework.llm.common import lowest, new_folder, table
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -301,6 +301,31 @@ def test_mix_repeats_pass_after_pass_along_the_demand(spark):
             assert abs(sum(r.mix_words for r in own if r.mix_at <= t) - want) <= 8
 
 
+def test_mix_spreads_texts_without_an_id(spark):
+    """Texts without an id, or all under one, lie in many ranges."""
+    rows = [(None if k % 2 else 5, f"word {k} of many", "a") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = mixing._placed(docs, 50).withColumn("range", F.substring("mix_hash", 1, 1))
+    assert placed.select("range").distinct().count() == 16
+    assert abs(placed.agg(F.sum("taken")).first()[0] - 12_000) <= 1 and placed.filter("taken > 2 * size").isEmpty()
+
+
+def test_hidden_elements_end_at_their_own_tag(spark):
+    pages = [
+        "<p>a</p><script>if (x) '</style>' more</script><p>b</p>",
+        "<p>a</p><style>p { } <script> </style><p>b</p>",
+        "<p>a</p><script>never closed <p>b</p>",
+        "<p>a</p><!-- <p>b</p>",
+        "<p>a " + "<" * 200_000,
+        "<script " * 50_000 + "<p>a",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "k long, html string")
+    begin = time.monotonic()
+    got = [r.lines for r in df.select("k", line_dedup.page_lines(F.col("html")).alias("lines")).orderBy("k").collect()]
+    assert got[:4] == [["a", "b"], ["a", "b"], ["a"], ["a"]] and got[5][-1] == "a"
+    assert time.monotonic() - begin < 20
+
+
 def test_mix_query_splits_what_it_does_not_take(spark):
     placed = queries.QUERIES["op4_mixing"](spark, SF)
     held = [r for r in placed.withColumn("part", F.spark_partition_id()).collect() if r.position is None]
@@ -491,6 +516,41 @@ def test_token_edits_equal_recounts():
     assert reencoded < encoded / 2
 
 
+def test_many_edits_of_one_text_cost_their_regions():
+    """Ten thousand edits, some of which grow or empty leaves, over a text of 200,000 words."""
+    rng, count = random.Random(3), tokens.counter()
+    own = [f"w{k % 977} " for k in range(200_000)]
+    tree, begin = tokens.build("".join(own), count), time.monotonic()
+    for k in range(10_000):
+        at = rng.randrange(tree.sums[1][0])
+        tree, _ = tokens.edit(tree, at, rng.choice([0, 3, 3, 40, 900 if k % 50 == 0 else 1]), rng.choice(["", "x", " new words", "a b c d " * 9]), count)
+    assert time.monotonic() - begin < 20
+    whole = tokens.build(tree.text, count)
+    assert (whole.tokens, whole.pretokens) == (tree.tokens, tree.pretokens)
+
+
+def test_redactions_are_those_of_the_pattern():
+    rng = random.Random(6)
+    parts = ["a", "b.c", "@", ".", "co", "123", "456789", " ", "-", "x@y.org", "%", "é", "@@", "1234567"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        own = text
+        for at, n, put in tokens.redactions(text):
+            own = own[:at] + put + own[at + n :]
+        assert own == re.sub(tokens.REDACT, "[redacted]", text), text
+
+
+def test_runs_without_blanks_are_counted_whole(spark):
+    long = "QmFzZTY0" * (1 << 17)
+    begin = time.monotonic()
+    assert tokens.redactions(long) == [] and len(tokens.redactions(long + "@x.org")) == 1
+    assert time.monotonic() - begin < 5
+    df = spark.createDataFrame([(1, long, "a"), (2, "a b", "b"), (2, "a b", "b")], "doc_id long, Text string, edits string").withColumnRenamed("Text", "text")
+    got = sorted((r.doc_id, r.n_tokens, r.edits) for r in tokens.count_edited(df, tokens.redactions).collect())
+    assert got[1:] == [(2, 2, "b")] * 2 and got[0][1] > len(long) / 16
+    assert time.monotonic() - begin < 60
+
+
 def test_token_query(spark):
     import base64
 
