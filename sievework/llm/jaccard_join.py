@@ -292,13 +292,17 @@ def _unit_links(sets: list[np.ndarray]) -> np.ndarray:
     place = np.arange(len(token)) - begin[owner]
     top, length = _largest_partner(n[owner], place), n - least_overlap(n) + 1
     prefix = place < length[owner]
-    every = _Postings(token[prefix], owner[prefix], top[prefix], len(df))
     leads = prefix & (top >= n[owner])
-    leaders = _Postings(token[leads], owner[leads], top[leads], len(df))
-    whole = _Postings(token, owner, top, len(df))
     edges = np.linspace(0, len(df), PARTS + 1).astype(np.int64)
     label, free = np.full(len(sets), -1), np.ones(len(sets), bool)
 
+    def postings() -> list[_Postings]:
+        """Of all prefixes, of leaders' prefixes, of whole sets; laid out anew whenever half of the sets were reached."""
+        return [_Postings(token[own], owner[own], top[own], len(df)) for own in (prefix & free[owner], leads & free[owner], free[owner])]
+
+    every, leaders, whole = postings()
+    left = listed = len(sets)
+
     def candidates(hub: int) -> np.ndarray:
         t, mine = token[begin[hub] : begin[hub] + length[hub]], top[begin[hub] : begin[hub] + length[hub]]
         found = []
@@ -327,14 +331,16 @@ def _unit_links(sets: list[np.ndarray]) -> np.ndarray:
     for seed in range(len(sets)):
         if not free[seed]:
             continue
-        label[seed], free[seed], queue = seed, False, [seed]
-        while queue:
+        label[seed], free[seed], queue, left = seed, False, [seed], left - 1
+        while queue and left:
+            if 2 * left < listed:
+                (every, leaders, whole), listed = postings(), left
             hub = queue.pop()
             found = candidates(hub)
             if len(found):
                 total = overlaps(hub, found)
                 found = found[100 * total >= PERCENT * (n[hub] + n[found] - total)]
-                label[found], free[found] = seed, False
+                label[found], free[found], left = seed, False, left - len(found)
                 queue.extend(found.tolist())
     return label
 

@@ -151,6 +151,18 @@ def test_unit_links_leave_out_sets_that_cannot_link():
     assert time.monotonic() - begin < 10
 
 
+def test_unit_links_of_a_large_group(spark):
+    """A group of near copies of one text and two that stay apart: reached sets cost nothing more."""
+    rng = np.random.default_rng(6)
+    core = rng.integers(0, 1 << 62, 100).astype(np.uint64)
+    sets = [np.sort(np.concatenate([core[:96], rng.integers(0, 1 << 62, 4).astype(np.uint64)])) for _ in range(8000)]
+    sets += [np.sort(np.concatenate([core[:84], rng.integers(0, 1 << 62, 16).astype(np.uint64)])) for _ in range(2)]
+    begin = time.monotonic()
+    label = jaccard_join._unit_links(sets)
+    assert (label[:8000] == 0).all() and list(label[8000:]) == [8000, 8001]
+    assert time.monotonic() - begin < 15
+
+
 def test_jaccard_query(spark):
     docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op5_ngram_jaccard"](spark, SF).collect()}
