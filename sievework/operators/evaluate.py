@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.operators.electives import GROUPS, best_subset
 
 # Names of courses that stand for others.
 ALIASES = {
@@ -28,8 +30,34 @@ GROUP_WORDS = [
     ("B", "ART|DRAMA|MUSIC|DANCE|PHYSICAL EDUCATION|RECREATION|COMMUNICATION TECHNOLOGY|CTS|COMPUTER SCIENCE|DESIGN STUDIES|CHORAL|INSTRUMENTAL|JAZZ"),
     ("D", "WELD|MECHANIC|CONSTRUCTION|CARPENTRY|AUTOMOTIVE|FOODS|FASHION|COSMETOLOGY|ESTHETICS|ENTERPRISE|TRADES"),
 ]
-EXACT_GROUPS = {"COMPUTER SCIENCE ADVANCED CTS": ["B", "C"], "PHYSICAL EDUCATION 30": ["B"], "PHYSICS 30": ["C"], "ART 30": ["B"], "SCIENCE 30": ["C"]}
-GROUPS, MOST = "ABCD", 6
+# Courses of each elective group by name; level 30 where no level is named.
+GROUP_COURSES = {
+    "A": [
+        "ENGLISH 30-1", "ENGLISH 30-2", "ENGLISH 20-1", "ENGLISH 20-2", "SOCIAL STUDIES 30-1", "SOCIAL STUDIES 30-2", "SOCIAL STUDIES 20-1", "SOCIAL STUDIES 20-2", "WORLD GEOGRAPHY 30", "WORLD HISTORY 30", "HISTORY 30",
+        "ABORIGINAL STUDIES 30", "CANADIAN STUDIES 30", "PSYCHOLOGY 30", "PHILOSOPHY 30", "RELIGIOUS STUDIES 30", "LAW 30", "ECONOMICS 30", "AMERICAN SIGN LANGUAGE AND DEAF CULTURE 35", "FRENCH LANGUAGE ARTS 30-1", "FRENCH LANGUAGE ARTS 30-2",
+        "LATIN 30", "FRENCH 30", "FRANCAIS 30", "SPANISH 30", "GERMAN 30", "CHINESE 30", "JAPANESE 30",
+        *[f"{n} LANGUAGE AND CULTURE 30" for n in ("ARABIC", "BLACKFOOT", "CHINESE", "CREE", "GERMAN", "ITALIAN", "JAPANESE", "KOREAN", "LATIN", "PUNJABI", "RUSSIAN", "SPANISH", "UKRAINIAN")],
+        *[f"{n} LANGUAGE AND CULTURE 35" for n in ("ARABIC", "CHINESE", "GERMAN", "ITALIAN", "JAPANESE", "SPANISH")],
+    ],
+    "B": [
+        "COMPUTER SCIENCE ADVANCED CTS", "COMPUTING SCIENCE ADVANCED CTS", "ART 30", "ART 31", "DRAMA 30", "CHORAL MUSIC 30", "INSTRUMENTAL MUSIC 30", "GENERAL MUSIC 30", "JAZZ 30", "MUSIC 30", "DANCE 35", "PHYSICAL EDUCATION 30",
+        "RECREATION LEADERSHIP 30", "COMMUNICATION TECHNOLOGY ADVANCED CTS", "DESIGN STUDIES 30",
+    ],
+    "C": [
+        "MATH 30-1", "MATH 30-2", "MATH 20-1", "MATH 20-2", "MATH 31", "BIOLOGY 30", "BIOLOGY 20", "CHEMISTRY 30", "CHEMISTRY 20", "PHYSICS 30", "PHYSICS 20", "SCIENCE 30", "SCIENCE 20", "CALCULUS 31",
+        "COMPUTER SCIENCE ADVANCED CTS", "COMPUTING SCIENCE ADVANCED CTS",
+    ],
+    "D": [
+        f"{n} 30" for n in (
+            "ACCOUNTING", "AGRICULTURE", "AVIATION", "AUTOMOTIVE SERVICE TECHNICIAN", "BROADCASTING", "CARPENTRY", "CHILD DEVELOPMENT", "COMMUNITY HEALTH", "CONSTRUCTION", "COSMETOLOGY", "DRAFTING", "EARLY LEARNING AND CHILD CARE",
+            "ELECTRO-TECHNOLOGIES", "ENERGY AND MINES", "ENTREPRENEURSHIP", "ESTHETICS", "FABRICATION", "FASHION STUDIES", "FINANCIAL MANAGEMENT", "FOOD STUDIES", "FOODS", "FORESTRY", "HEALTH CARE AIDE", "HEAVY EQUIPMENT", "HORTICULTURE",
+            "MARKETING", "MECHANICS", "MULTIMEDIA", "NETWORK SYSTEMS", "OUTDOOR PURSUITS", "PHOTOGRAPHY", "PLUMBING", "ROBOTICS", "TOURISM", "WORKPLACE SAFETY", "WELDING",
+        )
+    ],
+}
+# Fixed value: senior courses that are no elective of group D.
+NOT_IN_D = r"RAP|REGISTERED APPRENTICESHIP|WORK EXPERIENCE|GREEN CERTIFICATE|SPECIAL PROJECT|K AND E|KNOWLEDGE AND EMPLOYABILITY|LOCALLY DEVELOPED|LDC|\bCALM\b"
+EXACT_GROUPS = {c: [g for g, held in GROUP_COURSES.items() if c in held] for own in GROUP_COURSES.values() for c in own}
 
 
 def _mapped(key: Column, table: dict) -> Column:
@@ -156,9 +184,9 @@ def program_classes(programs: DataFrame) -> DataFrame:
 
 
 def elective_groups(key: Column) -> Column:
-    """Groups of a course by exact key, else by keywords, else D for a senior level."""
+    """Groups of a course by exact key, else by keywords, else D for a senior level that is not left out."""
     words = F.array_compact(F.array(*[F.when(key.rlike(w), g) for g, w in GROUP_WORDS]))
-    senior = F.when(key.rlike(r"\b31\b|\b(30|35)(-[0-9A-Z]+)?\b"), F.array(F.lit("D"))).otherwise(F.array().cast("array<string>"))
+    senior = F.when(key.rlike(r"\b31\b|\b(30|35)(-[0-9A-Z]+)?\b") & ~key.rlike(NOT_IN_D), F.array(F.lit("D"))).otherwise(F.array().cast("array<string>"))
     return F.coalesce(_mapped(key, EXACT_GROUPS), F.when(F.size(words) > 0, words).otherwise(senior))
 
 
@@ -180,40 +208,28 @@ def average_total(total: Column, electives: Column, slots: Column, rule: Column,
     )
 
 
-_VECTORS = [v for v in product(range(MOST + 1), repeat=4) if 0 < sum(v) <= MOST]
-
-
 def select_electives(cands: DataFrame, by: list[str]) -> DataFrame:
     """The best sum of at most ``need`` electives per group of ``by``: by, n_chosen, total.
 
-    cands: by, course_key, groups (array), mark, need (at most MOST), caps (array of four, null: none), set_count and
-    set_groups (so many from those groups; null: none). As many as possible up to need under the rules, then the best
-    sum; if no set fits the rules, the same without them. Counts per group are enumerated, and a count takes the best
-    marks of its group; a course in several groups is tried in each.
+    cands: by, course_key, groups (array), mark, need, caps (array of four, null: none), set_count and set_groups (so many
+    from those groups; null: none). As many as possible up to need under the rules, then the best sum; if no set fits
+    the rules, the same without them. A course in several groups counts for one of them, whichever is best.
     """
-    # Assignments: each course of several groups is put in one of them.
     held = cands.groupBy(*by).agg(
-        F.collect_list(F.when(F.size("groups") == 1, F.struct(F.col("groups")[0].alias("g"), "mark"))).alias("one"), F.collect_list(F.when(F.size("groups") > 1, F.struct("mark", "groups"))).alias("many"),
-        F.first("need").alias("need"), F.first("caps").alias("caps"), F.first("set_count").alias("set_count"), F.first("set_groups").alias("set_groups"),
-    )
-    start = F.array(F.array().cast("array<struct<g:string,mark:double>>"))
-    best_many = F.slice(F.array_sort("many", lambda a, b: F.when(a["mark"] > b["mark"], -1).when(a["mark"] < b["mark"], 1).otherwise(0)), 1, MOST)
-    grow = lambda acc, m: F.flatten(F.transform(acc, lambda a: F.transform(m["groups"], lambda g: F.concat(a, F.array(F.struct(g.alias("g"), m["mark"].alias("mark")))))))
-    every = held.withColumn("way", F.explode(F.aggregate(best_many, start, grow))).withColumn("units", F.concat("one", "way"))
-    tops = F.array(*[F.slice(F.sort_array(F.transform(F.filter("units", lambda u: u["g"] == g), lambda u: u["mark"]), asc=False), 1, MOST) for g in GROUPS])
-    every = every.withColumn("tops", tops)
-    vectors = F.array(*[F.array(*map(F.lit, v)) for v in _VECTORS])
-    number = lambda v: v[0] + v[1] + v[2] + v[3]
-    fits = lambda v: (number(v) <= F.col("need")) & F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(v, i) <= F.size(F.get(F.col("tops"), i)))
-    caps = lambda v: F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(F.col("caps"), i).isNull() | (F.get(v, i) <= F.get(F.col("caps"), i)))
-    in_set = lambda v: sum((F.when(F.array_contains("set_groups", g), v[i]).otherwise(0) for i, g in enumerate(GROUPS)), F.lit(0))
-    ruled = lambda v: caps(v) & (F.col("set_count").isNull() | (in_set(v) >= F.col("set_count")))
-    worth = lambda v: F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0.0), lambda x, i: x + F.aggregate(F.slice(F.get(F.col("tops"), i), F.lit(1), F.get(v, i)), F.lit(0.0), lambda y, m: y + m))
-    scored = lambda ok: F.array_max(F.transform(ok, lambda v: F.struct(number(v).alias("n"), worth(v).alias("s"))))
-    every = every.withColumn("possible", F.filter(vectors, fits)).withColumn("with_rules", scored(F.filter("possible", ruled))).withColumn("without", scored(F.col("possible")))
-    best = every.groupBy(*by).agg(F.max("with_rules").alias("r"), F.max("without").alias("w"))
-    pick = F.coalesce("r", "w")
-    return best.select(*by, F.coalesce(pick["n"], F.lit(0)).alias("n_chosen"), F.coalesce(pick["s"], F.lit(0.0)).alias("total"))
+        F.collect_list(F.struct("groups", "mark")).alias("units"), F.first("need").alias("need"), F.first("caps").alias("caps"), F.first("set_count").alias("set_count"), F.first("set_groups").alias("set_groups")
+    )
+
+    @F.pandas_udf("struct<n:int,total:double>")
+    def best(units: pd.Series, need: pd.Series, caps: pd.Series, count: pd.Series, groups: pd.Series) -> pd.DataFrame:
+        rows = []
+        for us, n, cs, c, gs in zip(units, need, caps, count, groups, strict=True):
+            limits = {g: int(x) for g, x in zip(GROUPS, cs, strict=True) if x is not None and x == x} if cs is not None else {}
+            chosen = best_subset([(tuple(u["groups"]), u["mark"]) for u in us], int(n), limits, [(int(c), tuple(gs))] if c is not None and c == c else [])
+            rows.append((len(chosen), float(sum(us[i]["mark"] for i, _ in chosen))))
+        return pd.DataFrame(rows, columns=["n", "total"])
+
+    picked = held.withColumn("pick", best("units", "need", "caps", "set_count", "set_groups"))
+    return picked.select(*by, F.col("pick.n").alias("n_chosen"), F.col("pick.total").alias("total"))
 
 
 def confidence(df: DataFrame, stale: Column) -> DataFrame:

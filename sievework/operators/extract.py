@@ -273,10 +273,12 @@ def html_links(pages: DataFrame) -> DataFrame:
     """page_id, position, url, text of the anchors of pages (page_id, url, html): absolute http URLs, the first of each URL."""
     pattern = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
     get = lambda i: F.regexp_extract_all("html", F.lit(pattern), F.lit(i))
-    long = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.arrays_zip(get(1).alias("href"), get(2).alias("label"))).alias("position", "a"))
-    url = T.resolve_url("base", F.col("a.href"))
-    label = T.norm_space(F.regexp_replace(F.col("a.label"), "<[^>]*>", " "))
-    ok = long.select("page_id", "base", "position", url.alias("url"), label.alias("text")).filter(F.col("url").rlike("^(?i)https?://") & ~T.should_skip_url("url"))
+    # Resolved inside lambdas, so that no filter repeats the resolution.
+    zipped = F.arrays_zip(get(1).alias("href"), get(2).alias("label"))
+    made = F.transform(zipped, lambda a, i: F.struct(i.alias("position"), T.resolve_url(F.col("url"), a["href"]).alias("url"), a["label"].alias("label")))
+    kept = F.filter(made, lambda x: x["url"].rlike("^(?i)https?://") & ~T.should_skip_url(x["url"]))
+    long = pages.select("page_id", F.col("url").alias("base"), F.explode(kept).alias("x"))
+    ok = long.select("page_id", "base", "x.position", "x.url", T.norm_space(F.regexp_replace("x.label", "<[^>]*>", " ")).alias("text"))
     first = F.min_by(F.struct("position", "text", "base"), "position")
     return ok.groupBy("page_id", "url").agg(first.alias("f")).select("page_id", F.col("f.base").alias("base"), F.col("f.position").alias("position"), "url", F.col("f.text").alias("text"))
 

@@ -18,11 +18,12 @@ def _join(*parts: Column) -> Column:
 
 
 def enforce_url_map(df: DataFrame, urls: DataFrame) -> DataFrame:
-    """row_id, name_key, status, url: rows against a locked map of names to URLs, both ways."""
-    held = urls.groupBy(T.name_key("program_name").alias("name_key")).agg(F.min_by("source_url", "seq").alias("url"), F.count("*").alias("n"))
-    both = df.select("row_id", T.name_key("program").alias("name_key")).join(held, "name_key", "full_outer")
+    """institution, row_id, name_key, status, url: rows against a locked map of an institution's names to URLs, both ways."""
+    keys = ["institution", "name_key"]
+    held = urls.groupBy(_inst().alias("institution"), T.name_key("program_name").alias("name_key")).agg(F.min_by("source_url", "seq").alias("url"), F.count("*").alias("n"))
+    both = df.select("row_id", _inst().alias("institution"), T.name_key("program").alias("name_key")).join(held, keys, "full_outer")
     status = F.when(F.col("n").isNull(), "missing_from_map").when(F.col("row_id").isNull(), "unused_map_row").when(F.col("n") > 1, "duplicate_in_map").when(~T.is_http_url("url"), "bad_map_url").otherwise("mapped")
-    return both.select("row_id", "name_key", status.alias("status"), F.when(F.col("n").isNotNull() & F.col("row_id").isNotNull(), F.col("url")).alias("url"))
+    return both.select("institution", "row_id", "name_key", status.alias("status"), F.when(F.col("n").isNotNull() & F.col("row_id").isNotNull(), F.col("url")).alias("url"))
 
 
 def resolve_override(df: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -39,18 +39,19 @@ def mg09(can: DataFrame, cand: DataFrame) -> DataFrame:
     "ma02_rebuild_from_seed", "v_seed", "v_canonical",
     sql=f"""WITH l AS (SELECT seq AS id, institution AS block, {TOKENS('program_name')} AS tk FROM v_seed), r AS (SELECT row_id AS id, institution AS block, {TOKENS('program')} AS tk, {NK('program')} AS name FROM v_canonical),
       s AS (SELECT l.id AS l, r.id AS r, name, len(list_intersect(l.tk, r.tk)) / (len(l.tk) + len(r.tk) - len(list_intersect(l.tk, r.tk)))::DOUBLE AS score FROM l JOIN r USING (block) WHERE len(list_intersect(l.tk, r.tk)) > 0),
-      b AS (SELECT *, max(score) OVER (PARTITION BY l) AS best FROM s), g AS (SELECT l, count(DISTINCT name) AS names FROM b WHERE best >= 0.55 AND best - score < 0.08 GROUP BY l)
-      SELECT CASE WHEN g.l IS NULL THEN 'none' WHEN names = 1 THEN 'matched' ELSE 'ambiguous' END AS status, count(*) AS n FROM l LEFT JOIN g ON g.l = l.id GROUP BY 1""",
+      b AS (SELECT *, max(score) OVER (PARTITION BY l) AS best FROM s), g AS (SELECT l, count(DISTINCT name) AS names FROM b WHERE best >= 0.55 AND best - score < 0.08 GROUP BY l),
+      o AS (SELECT l, r FROM b WHERE best >= 0.55 AND best - score < 0.08 QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1)
+      SELECT l.id AS seq, CASE WHEN g.l IS NULL THEN 'none' WHEN names = 1 THEN 'matched' ELSE 'ambiguous' END AS status, coalesce(v.requirement_type, '') AS requirement_type, coalesce(v.min_avg_final, '') AS min_avg_final
+      FROM l LEFT JOIN g ON g.l = l.id LEFT JOIN o ON o.l = l.id AND names = 1 LEFT JOIN v_canonical v ON v.row_id = o.r""",
 )
 def ma02(seeds: DataFrame, can: DataFrame) -> DataFrame:
-    return P.rebuild_from_seed(seeds, can).groupBy("status").agg(F.count("*").alias("n"))
+    return P.rebuild_from_seed(seeds, can).select("seq", "status", "requirement_type", "min_avg_final")
 
 
-@query("e14_average_messages", "v_marks", sql=f"WITH {_MARKS}, r AS (SELECT student_id, mark, row_number() OVER (PARTITION BY student_id ORDER BY mark DESC, course_key) AS n FROM marks), a AS (SELECT student_id, count(*) AS used, sum(mark) / count(*) AS average FROM r WHERE n <= 5 GROUP BY 1) SELECT student_id, CASE WHEN used < 5 THEN concat('Average incomplete (need 5 marks; have ', used, ')') WHEN average < 80 THEN 'low' ELSE '' END AS reasons FROM a")
+@query("e14_average_messages", "v_marks", sql=f"WITH {_MARKS}, r AS (SELECT student_id, mark, row_number() OVER (PARTITION BY student_id ORDER BY mark DESC, course_key) AS n FROM marks), a AS (SELECT student_id, count(*) AS used, sum(mark) / count(*) AS average FROM r WHERE n <= 5 GROUP BY 1) SELECT student_id, CASE WHEN used < 5 THEN concat('Average incomplete (need 5 marks; have ', used, ')') WHEN average < 80 THEN concat('Admission average too low (', printf('%.1f', average), ' < 80)') ELSE '' END AS reasons FROM a")
 def e14(marks: DataFrame) -> DataFrame:
     held = M.student_average(E.course_marks(marks), 5).withColumn("minimum", F.lit(80.0))
-    said = P.average_messages(held, 5)
-    return said.select("student_id", F.when(F.startswith("reasons", F.lit("Admission average too low (")), "low").otherwise(F.col("reasons")).alias("reasons"))
+    return P.average_messages(held, 5).select("student_id", "reasons")
 
 
 @query("e17_snapshot_result", "v_canonical", sql="SELECT row_id, CASE WHEN row_id % 5 = 0 THEN 'Uncheckable' WHEN row_id % 3 > 0 THEN 'Likely ineligible' ELSE 'Likely eligible' END AS result FROM v_canonical")
@@ -79,14 +80,3 @@ def jo10(can: DataFrame, cand: DataFrame) -> DataFrame:
 def jo18(docs: DataFrame, index: DataFrame) -> DataFrame:
     """The captured page of each link, by URL key."""
     return index.select("seq", T.url_key("source_url").alias("k")).filter("k <> ''").join(docs.select("doc_id", T.url_key("url").alias("k")), "k").select("seq", "doc_id")
-
-
-@query("io01_read_table", "v_index", sql=f"SELECT seq, CASE WHEN {NB('credential')} <> '' THEN {NB('credential')} ELSE {NB('program_name')} END AS first_filled FROM v_index")
-def io01(df: DataFrame) -> DataFrame:
-    """The first non-blank of candidate columns, as the header reader resolves them."""
-    return df.select("seq", F.coalesce(*[F.when(T.norm_or_blank(c) != "", T.norm_or_blank(c)) for c in ("credential", "program_name")], F.lit("")).alias("first_filled"))
-
-
-@query("io07_write_table", "v_index", sql=f"SELECT {NB('program_name')} AS program_name, {NB('credential')} AS credential FROM v_index")
-def io07(df: DataFrame) -> DataFrame:
-    return df.select(*[T.norm_or_blank(c).alias(c) for c in ("program_name", "credential")])

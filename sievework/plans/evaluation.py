@@ -94,16 +94,17 @@ _gate = f"(SELECT row_id, bool_or(x IN ('unknown', 'assessment')) AS gate FROM (
       a AS (SELECT dc.*, coalesce(accepted, {CANON('course')}) AS course_key FROM dc LEFT JOIN equiv ON required = {CANON('course')}),
       b AS (SELECT student_id, part, any_value(k) AS k, course, max(mark) AS mark, any_value(min_mark) AS low FROM a JOIN marks USING (course_key) GROUP BY student_id, part, course),
       met AS (SELECT student_id, part FROM b GROUP BY ALL HAVING count(*) FILTER (WHERE low IS NULL OR mark >= low) >= any_value(k)),
-      pairs AS (SELECT student_id, parts, gate, (SELECT count(*) FROM met m WHERE m.student_id = s.student_id AND list_contains(c.parts, m.part)) AS met FROM (SELECT DISTINCT student_id FROM marks WHERE student_id % 10 = 0) s, cls c)
+      hits AS (SELECT student_id, parts, gate, count(*) AS n FROM (SELECT parts, gate, unnest(parts) AS part FROM cls) JOIN met USING (part) GROUP BY ALL),
+      pairs AS (SELECT s.student_id, c.parts, c.gate, coalesce((SELECT n FROM hits h WHERE h.student_id = s.student_id AND h.parts = c.parts AND h.gate = c.gate), 0) AS met FROM (SELECT DISTINCT student_id FROM marks) s, cls c)
       SELECT student_id, CASE WHEN met < len(parts) THEN 'ineligible' WHEN gate OR len(parts) = 0 THEN 'uncheckable' ELSE 'likely eligible' END AS status, count(*) AS n FROM pairs GROUP BY 1, 2""",
 )
 def e22(programs: DataFrame, marks: DataFrame) -> DataFrame:
-    return ag13_results(programs, marks).filter("student_id % 10 = 0")
+    return ag13_results(programs, marks)
 
 
 @query("e22_evaluate_all", "v_canonical", "v_marks")
 def e22_all(programs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Of every student, where e22_evaluate and its SQL take one in ten."""
+    """The same, by the name it had when e22_evaluate took a part of the students."""
     return ag13_results(programs, marks)
 
 
@@ -121,7 +122,7 @@ def ag13(programs: DataFrame, marks: DataFrame) -> DataFrame:
 
 _words = " ".join(f"WHEN regexp_matches(course_key, '{w}') THEN '{g}'" for g, w in E.GROUP_WORDS)
 _EX = "MAP {" + ", ".join(f"{_text(k)}: {_text('/'.join(v))}" for k, v in E.EXACT_GROUPS.items()) + "}"
-_GROUPS = f"coalesce({_EX}[course_key], nullif(concat_ws('/', {', '.join(f'CASE WHEN regexp_matches(course_key, {_text(w)}) THEN {_text(g)} END' for g, w in E.GROUP_WORDS)}), ''), CASE WHEN regexp_matches(course_key, '\\b31\\b|\\b(30|35)(-[0-9A-Z]+)?\\b') THEN 'D' ELSE '' END)"
+_GROUPS = f"coalesce({_EX}[course_key], nullif(concat_ws('/', {', '.join(f'CASE WHEN regexp_matches(course_key, {_text(w)}) THEN {_text(g)} END' for g, w in E.GROUP_WORDS)}), ''), CASE WHEN regexp_matches(course_key, '\\b31\\b|\\b(30|35)(-[0-9A-Z]+)?\\b') AND NOT regexp_matches(course_key, 'RAP|REGISTERED APPRENTICESHIP|WORK EXPERIENCE|GREEN CERTIFICATE|SPECIAL PROJECT|K AND E|KNOWLEDGE AND EMPLOYABILITY|LOCALLY DEVELOPED|LDC|\\bCALM\\b') THEN 'D' ELSE '' END)"
 
 
 @query("e08_elective_groups", "v_marks", sql=f"WITH {_MARKS} SELECT DISTINCT course_key, {_GROUPS} AS groups FROM marks")
@@ -148,23 +149,25 @@ def e11(programs: DataFrame) -> DataFrame:
     return programs.select("row_id", total.alias("total"))
 
 
-_VEC = ", ".join(f"({a}, {b}, {c}, {d})" for a, b, c, d in E._VECTORS if a + b + c + d <= 3)
+_VEC = ", ".join(f"({a}, {b}, {c}, {d})" for a in range(6) for b in range(6) for c in range(6) for d in range(6) if 0 < a + b + c + d <= 5)
+_sum = lambda n: f"coalesce(list_sum(m{n.upper()}[:{n}]), 0)"
 
 
 @query(
     "e12_select_electives", "v_marks",
-    sql=f"""WITH {_MARKS}, c AS (SELECT student_id, string_split({_GROUPS}, '/')[1] AS g, mark FROM marks WHERE {_GROUPS} <> ''),
-      t AS (SELECT student_id, {', '.join(f"coalesce(list(mark ORDER BY mark DESC) FILTER (WHERE g = '{g}'), []) AS m{g}" for g in E.GROUPS)} FROM c GROUP BY 1), v(a, b, c, d) AS (VALUES {_VEC}),
-      s AS (SELECT student_id, a + b + c + d AS n, coalesce(list_sum(mA[:a]), 0) + coalesce(list_sum(mB[:b]), 0) + coalesce(list_sum(mC[:c]), 0) + coalesce(list_sum(mD[:d]), 0) AS total, a <= 1 AND (CASE WHEN true THEN a + c END) >= 1 AS ruled
-        FROM t, v WHERE a <= len(mA) AND b <= len(mB) AND c <= len(mC) AND d <= len(mD)),
+    sql=f"""WITH {_MARKS}, g AS (SELECT student_id, course_key, mark, {_GROUPS} AS gs FROM marks), c AS (SELECT student_id, way, mark, CASE WHEN course_key IN ('SCIENCE 30', 'PHYSICS 30') THEN substr('BC', CASE WHEN course_key = 'SCIENCE 30' THEN 1 + way % 2 ELSE 1 + way // 2 END, 1) ELSE string_split(gs, '/')[1] END AS g FROM g, range(4) w(way) WHERE gs <> ''),
+      t AS (SELECT student_id, way, {', '.join(f"coalesce(list(mark ORDER BY mark DESC) FILTER (WHERE g = '{g}'), []) AS m{g}" for g in E.GROUPS)} FROM c GROUP BY 1, 2), v(a, b, c, d) AS (VALUES {_VEC}),
+      s AS (SELECT student_id, a + b + c + d AS n, {' + '.join(map(_sum, 'abcd'))} AS total, a <= 1 AND c <= 2 AND b + d >= 2 AS ruled FROM t, v WHERE a <= len(mA) AND b <= len(mB) AND c <= len(mC) AND d <= len(mD)),
       r AS (SELECT student_id, max((n, total)) FILTER (WHERE ruled) AS x, max((n, total)) AS y FROM s GROUP BY 1)
       SELECT student_id, coalesce(x, y)[1]::INTEGER AS n_chosen, coalesce(x, y)[2]::DOUBLE AS total FROM r""",
 )
 def e12(marks: DataFrame) -> DataFrame:
-    """Three electives of every student, at most one of group A, at least one of A or C; the first group of a course counts."""
-    cands = E.elective_candidates(E.course_marks(marks)).withColumn("groups", F.slice("groups", 1, 1))
+    """Five electives of every student: at most one of group A and two of C, at least two of B or D; two courses count
+    for B or C. The SQL tries each way to put those two."""
+    cands = E.elective_candidates(E.course_marks(marks))
+    cands = cands.withColumn("groups", F.when(F.col("course_key").isin("SCIENCE 30", "PHYSICS 30"), F.array(F.lit("B"), F.lit("C"))).otherwise(F.slice("groups", 1, 1)))
     none = F.lit(None).cast("int")
-    cands = cands.withColumns({"need": F.lit(3), "caps": F.array(F.lit(1), none, none, none), "set_count": F.lit(1), "set_groups": F.array(F.lit("A"), F.lit("C"))})
+    cands = cands.withColumns({"need": F.lit(5), "caps": F.array(F.lit(1), none, F.lit(2), none), "set_count": F.lit(2), "set_groups": F.array(F.lit("B"), F.lit("D"))})
     return E.select_electives(cands, ["student_id"])
 
 

@@ -20,12 +20,12 @@ _ik = lambda a: f"lower({NS(f'{a}.institution')})"
 
 @query(
     "jo05_enforce_url_map", "v_canonical", "v_seed",
-    sql=f"""WITH m AS (SELECT {NK('program_name')} AS k, arg_min(source_url, seq) AS url, count(*) AS n FROM v_seed WHERE institution = 'North' GROUP BY 1), c AS (SELECT row_id, {NK('program')} AS k FROM v_canonical WHERE institution = 'North'),
-      j AS (SELECT c.row_id, coalesce(c.k, m.k) AS k, m.url, m.n, c.k IS NULL AS unused, m.k IS NULL AS missing FROM c FULL JOIN m USING (k))
-      SELECT row_id, k AS name_key, CASE WHEN missing THEN 'missing_from_map' WHEN unused THEN 'unused_map_row' WHEN n > 1 THEN 'duplicate_in_map' WHEN NOT {HTTP('url')} THEN 'bad_map_url' ELSE 'mapped' END AS status, CASE WHEN NOT missing AND NOT unused THEN url END AS url FROM j""",
+    sql=f"""WITH m AS (SELECT {_ik('v_seed')} AS i, {NK('program_name')} AS k, arg_min(source_url, seq) AS url, count(*) AS n FROM v_seed GROUP BY 1, 2), c AS (SELECT row_id, {_ik('v_canonical')} AS i, {NK('program')} AS k FROM v_canonical),
+      j AS (SELECT c.row_id, coalesce(c.i, m.i) AS i, coalesce(c.k, m.k) AS k, m.url, m.n, c.k IS NULL AS unused, m.k IS NULL AS missing FROM c FULL JOIN m ON c.i = m.i AND c.k = m.k)
+      SELECT i AS institution, row_id, k AS name_key, CASE WHEN missing THEN 'missing_from_map' WHEN unused THEN 'unused_map_row' WHEN n > 1 THEN 'duplicate_in_map' WHEN NOT {HTTP('url')} THEN 'bad_map_url' ELSE 'mapped' END AS status, CASE WHEN NOT missing AND NOT unused THEN url END AS url FROM j""",
 )
 def jo05(can: DataFrame, seeds: DataFrame) -> DataFrame:
-    return M.enforce_url_map(can.filter("institution = 'North'"), seeds.filter("institution = 'North'"))
+    return M.enforce_url_map(can, seeds)
 
 
 @query(

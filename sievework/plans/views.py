@@ -67,6 +67,23 @@ VIEWS = {
         WHEN 8 THEN '70% in Math 31; Social Studies 30-1 required; two-year diploma with minimum GPA accepted for admission.' WHEN 9 THEN 'Minimum average 150%. Three additional courses from groups B, D.'
         WHEN 10 THEN 'Based on 4 subjects. Prerequisites: lecture and lab credits.' ELSE '' END) AS text FROM {documents} WHERE text IS NOT NULL""",
     "v_pages": """SELECT page_id, url, concat(html, '<a href="/admission-requirements">Admission requirements</a><a class=x href="how-to-apply?id=', CAST(page_id % 7 AS STRING), '">How to <b>apply</b></a><a href="https://other.example.io/admissions">Else</a><a href="guide.pdf">English guide</a>') AS html FROM {pages}""",
+    "v_samples": """SELECT s_suppkey AS seq, CASE s_suppkey % 3 WHEN 0 THEN ' North ' WHEN 1 THEN 'South  End' ELSE '' END AS institution, concat('Red  Ring #', CAST(s_suppkey % 25 AS STRING), ' (Dip.)') AS program,
+      CASE s_suppkey % 3 WHEN 0 THEN 'Diploma' ELSE ' Degree' END AS credential, CASE s_suppkey % 4 WHEN 0 THEN 'Active ' ELSE '' END AS status,
+      CASE s_suppkey % 4 WHEN 0 THEN 'Include' WHEN 1 THEN 'EXCLUDE' WHEN 2 THEN 'maybe' ELSE '' END AS include_or_exclude,
+      CASE s_suppkey % 5 WHEN 0 THEN 'Inheritance link' WHEN 1 THEN 'manual_review' ELSE 'Average' END AS signal_type,
+      CASE s_suppkey % 7 WHEN 0 THEN 'https://school.example.org/parent/1' WHEN 1 THEN 'see page' ELSE '' END AS parent_admissions_url,
+      CASE s_suppkey % 2 WHEN 0 THEN concat('https://school.example.org/programs/', CAST(s_suppkey AS STRING)) ELSE 'n/a' END AS page_url,
+      CASE s_suppkey % 6 WHEN 0 THEN '65' WHEN 1 THEN '65.50' WHEN 2 THEN '70.25' WHEN 3 THEN 'high' WHEN 4 THEN '80.0' ELSE '' END AS min_avg,
+      CASE s_suppkey % 5 WHEN 0 THEN 'Five (5) courses' WHEN 1 THEN '10 marks' WHEN 2 THEN '12' WHEN 3 THEN 'four' ELSE '' END AS avg_total,
+      CASE s_suppkey % 3 WHEN 0 THEN 'checked' ELSE '' END AS notes, CASE s_suppkey % 4 WHEN 0 THEN 'typical  case' ELSE '' END AS why,
+      CASE s_suppkey % 6 WHEN 0 THEN 'placement_assessment' ELSE '' END AS requirement_type, CASE s_suppkey % 5 WHEN 0 THEN ' Two ' ELSE '' END AS elective_qty,
+      '#a .b' AS requirements_selector, '' AS links_selector, CASE s_suppkey % 9 WHEN 0 THEN ' proof  here' ELSE '' END AS proof_text FROM {supplier}""",
+    "v_plans": """SELECT p_partkey AS plan_seq, p_partkey % 300 AS program_id, concat('p', CAST(p_partkey % 7 AS STRING)) AS plan_code,
+      concat('s', CAST(p_partkey % 3 AS STRING)) AS sub_a, concat('S', CAST(p_partkey % 4 + 2 AS STRING)) AS sub_b, concat(p_name, ' & ', p_brand) AS name FROM {part}""",
+    "v_choices": """SELECT p_partkey AS program_id, CASE WHEN p_partkey % 3 = 0 THEN concat(' P', CAST(p_partkey % 7 AS STRING)) ELSE '' END AS plan_code,
+      CASE WHEN p_partkey % 2 = 0 THEN concat('S', CAST(p_partkey % 6 AS STRING)) ELSE '' END AS subplan_code, concat(p_name, ' ', p_type) AS name FROM {part} WHERE p_partkey < 300""",
+    "v_cards": """SELECT page_id, url, concat(html, '<a class="card program-card-title" href="/programs/', CAST(page_id % 50 AS STRING), '">Trade &amp; <b>Craft</b> ', CAST(page_id % 20 AS STRING),
+      '</a><a href="/x" class="other">No</a><a href="list/', CAST(page_id % 30 AS STRING), '"><div class="big link-title">Arts  ', CAST(page_id % 9 AS STRING), '</div></a><a class="program-card-title" href="">Blank</a>') AS html FROM {pages}""",
     "v_requests": """SELECT event_id AS seq, user_id AS identity, ts, props AS payload, event_type FROM {events}""",
 }
 

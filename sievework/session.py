@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +22,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_mem
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A path that no other run uses, in the folder that driver and executors share: spark.checkpoint.dir, or, where that is
+    unset, a local one, which only a session on one machine may use."""
+    if shared := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is needed on a cluster")
+    return f"{tempfile.mkdtemp(prefix='spark-')}/{what}"
