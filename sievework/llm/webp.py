@@ -2,19 +2,25 @@
 
 ``decode`` reads the whole lossless format: prefix codes (simple and normal, with meta codes per block),
 back-references with the distance map, the colour cache, and the inverse of the predictor, cross-colour,
-subtract-green and palette transforms. Codes of one length for all symbols are unpacked with NumPy instead of symbol
-by symbol; all other images go through the symbol loop.
+subtract-green and palette transforms. Symbols are looked up in tables by the next 15 bits, which NumPy lays out for
+a stretch of bit positions at a time, so work arrays stay small whatever the image's size.
 
-``encode`` writes literals with such codes. A payload of bytes is stored as 8-bit R, G, B, A samples in rows of
-ROW pixels, up to 16384 rows an image; longer payloads take several images, one after the other.
-Each stored form is a run of complete RIFF files.
+``encode`` uses all of these but meta codes and cross-colour: a palette for few colours; else whichever of the image as
+it is, subtract-green, and prediction from the left or from above has the least entropy; then back-references for runs, a
+colour cache and prefix codes, of one fixed model of text for small images and of their own counts for larger ones.
+A payload of bytes is stored as 8-bit R, G, B, A samples in rows of ROW pixels, up to 16384 rows an image; longer
+payloads take several images, one after the other. Each stored form is a run of complete RIFF files.
 
-Null and empty payloads are stored as padding only. Equal payloads have equal stored forms. Damaged data raise.
+Null and empty payloads are stored as padding only. Equal payloads have equal stored forms; repeated rows and rows
+without an id stay rows of their own, an empty table gives none, and other columns are not read. Damaged data raise.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -54,6 +60,20 @@ class Bits:
         return out
 
 
+def mirrored(code: int, n: int) -> int:
+    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+
+
+def canonical(lengths: list[int]) -> list[tuple[int, int]]:
+    """(code, length) of each symbol of a canonical prefix code."""
+    out, code, last = [(0, 0)] * len(lengths), 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        out[s] = (code, n)
+        code, last = code + 1, n
+    return out
+
+
 class Code:
     """A canonical prefix code. flat: all of the symbols 0..255 have eight bits."""
 
@@ -68,11 +88,24 @@ class Code:
             return
         if sum(2.0**-n for n, _ in used) != 1.0:
             raise ValueError("incomplete prefix code")
-        code, last = 0, 0
-        for n, s in sorted(used):
-            code <<= n - last
-            self.table[n, code] = s
-            code, last = code + 1, n
+        for s, (code, n) in enumerate(canonical(lengths)):
+            if n:
+                self.table[n, code] = s
+
+    @functools.cached_property
+    def table_of(self) -> tuple[np.ndarray, int]:
+        """(length << 16 | symbol by the next bits, mask of these bits)."""
+        if self.only is not None:
+            return np.array([self.only], np.int32), 0
+        width = max(n for n, _ in self.table)
+        out = np.zeros(1 << width, np.int32)
+        for (n, code), s in self.table.items():
+            out[mirrored(code, n) :: 1 << n] = n << 16 | s
+        return out, (1 << width) - 1
+
+    @functools.cached_property
+    def lookup(self) -> tuple[list[int], int]:
+        return self.table_of[0].tolist(), self.table_of[1]
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -157,38 +190,176 @@ def _entropy_image(bits: Bits, w: int, h: int, main: bool) -> np.ndarray:
     total = w * h
     if blocks == 1 and not cache and all(c.flat for c in groups[0][:4]):
         return _flat_pixels(bits, total)
-    out, at = [0] * total, 0
-    while at < total:
-        green, red, blue, alpha, distance = groups[0 if meta is None else int(meta[(at // w >> block_bits) * across + (at % w >> block_bits)])]
-        s = green.read(bits)
-        if s < LITERALS:
-            r = red.read(bits)
-            b = blue.read(bits)
-            made = [alpha.read(bits) << 24 | r << 16 | s << 8 | b]
-            out[at] = made[0]
-        elif s < LITERALS + LENGTHS:
-            n = _prefixed(bits, s - LITERALS)
-            d = _prefixed(bits, distance.read(bits))
-            if d > len(NEAR):
-                d -= len(NEAR)
+    if meta is None and (made := _plain_stream(bits, groups[0], total, cache_bits)) is not None:
+        return made
+    out, at, shift = [0] * total, 0, 32 - cache_bits
+    tables = [[c.lookup for c in group] for group in groups]
+    base = bits.at & ~7
+    window, p = _windows(bits.data, base).tolist(), bits.at & 7
+
+    def extra(n: int) -> int:
+        nonlocal p
+        value, got = 0, 0
+        while got < n:
+            k = min(n - got, 15)
+            value |= (window[p] & ((1 << k) - 1)) << got
+            p, got = p + k, got + k
+        return value
+
+    def number(s: int) -> int:
+        return s + 1 if s < 4 else ((2 + (s & 1)) << ((s - 2) >> 1)) + extra((s - 2) >> 1) + 1
+
+    (green, g_mask), (red, r_mask), (blue, b_mask), (alpha, a_mask), (far, f_mask) = tables[0]
+    try:
+        while at < total:
+            if p > STRETCH - 256:
+                base, p = base + (p & ~7), p & 7
+                if base > 8 * len(bits.data) + 64:
+                    raise ValueError("image data ends early")
+                window = _windows(bits.data, base).tolist()
+            if meta is not None:
+                (green, g_mask), (red, r_mask), (blue, b_mask), (alpha, a_mask), (far, f_mask) = tables[int(meta[(at // w >> block_bits) * across + (at % w >> block_bits)])]
+            v = green[window[p] & g_mask]
+            p, s = p + (v >> 16), v & 0xFFFF
+            if s < LITERALS:
+                v = red[window[p] & r_mask]
+                p, made = p + (v >> 16), (v & 0xFFFF) << 16 | s << 8
+                v = blue[window[p] & b_mask]
+                p, made = p + (v >> 16), made | v & 0xFFFF
+                v = alpha[window[p] & a_mask]
+                p, made = p + (v >> 16), made | (v & 0xFFFF) << 24
+                out[at] = made
+                at += 1
+                if cache:
+                    cache[(CACHE_FACTOR * made & 0xFFFFFFFF) >> shift] = made
+            elif s < LITERALS + LENGTHS:
+                n = number(s - LITERALS)
+                v = far[window[p] & f_mask]
+                p += v >> 16
+                d = number(v & 0xFFFF)
+                if d > len(NEAR):
+                    d -= len(NEAR)
+                else:
+                    x, y = NEAR[d - 1]
+                    d = max(1, x + y * w)
+                if d > at or at + n > total:
+                    raise ValueError("bad back-reference")
+                if d == 1:  # the pixel is in the cache already
+                    out[at : at + n] = [out[at - 1]] * n
+                else:
+                    for k in range(at, at + n):
+                        out[k] = out[k - d]
+                    for made in out[at : at + n] if cache else ():
+                        cache[(CACHE_FACTOR * made & 0xFFFFFFFF) >> shift] = made
+                at += n
             else:
-                x, y = NEAR[d - 1]
-                d = max(1, x + y * w)
-            if d > at or at + n > total:
-                raise ValueError("bad back-reference")
-            for k in range(at, at + n):
-                out[k] = out[k - d]
-            made = out[at : at + n]
-        else:
-            made = [cache[s - LITERALS - LENGTHS]]
-            out[at] = made[0]
-        at += len(made)
-        if cache:
-            for p in made:
-                cache[(CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
+                made = out[at] = cache[s - LITERALS - LENGTHS]
+                at += 1
+                cache[(CACHE_FACTOR * made & 0xFFFFFFFF) >> shift] = made
+    except IndexError:
+        raise ValueError("image data ends early") from None
+    bits.at = base + p
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("image data ends early")
     return np.array(out, np.uint32)
 
 
+#: Bit positions that are laid out at a time.
+STRETCH = 1 << 15
+
+
+def _windows(data: bytes, base: int) -> np.ndarray:
+    """The next 15 bits at each of STRETCH bit positions from a whole byte on; zeros beyond the end."""
+    raw = np.zeros((STRETCH >> 3) + 2, np.uint32)
+    part = np.frombuffer(data, np.uint8, max(0, min(len(raw), len(data) - (base >> 3))), min(base >> 3, len(data)))
+    raw[: len(part)] = part
+    long = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
+    out = np.zeros(max(8 * len(part) + 16, 512) + 256, np.int32)
+    wide = (long[:, None] >> np.arange(8, dtype=np.uint32) & 0x7FFF).reshape(-1)[: len(out) - 256]
+    out[: len(wide)] = wide
+    return out
+
+
+def _plain_stream(bits: Bits, group: list[Code], total: int, cache_bits: int) -> np.ndarray | None:
+    """The pixels of an image with one group of codes whose back-references all repeat the pixel before; None if others
+    turn up. What would be read at each bit position is worked out for a stretch at once; then only the way from entry to
+    entry is walked, and the cache is resolved by sorting entries by slot."""
+    (green, g_mask), (red, r_mask), (blue, b_mask), (alpha, a_mask), (far, f_mask) = (c.table_of for c in group)
+    if not g_mask and not r_mask and not b_mask and not a_mask and green[0] < LITERALS:  # one colour, of no bits
+        return np.full(total, int(alpha[0]) << 24 | int(red[0]) << 16 | int(green[0]) << 8 | int(blue[0]), np.uint32)
+    r_size, b_size, a_size = red >> 16, blue >> 16, alpha >> 16
+    base, p, end = bits.at & ~7, bits.at & 7, 8 * len(bits.data)
+    symbols, pixels, counts, have = [], [], [], 0
+
+    def number(window: np.ndarray, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.where(s < 4, 0, (s - 2) >> 1)
+        low = window[np.minimum(at, len(window) - 1)] & ((1 << np.minimum(n, 15)) - 1)
+        return np.where(s < 4, s + 1, ((2 + (s & 1)) << n) + low + 1), n
+
+    while have < total:
+        if base + p >= end:
+            raise ValueError("image data ends early")
+        window = _windows(bits.data, base)
+        room = min(STRETCH, len(window) - 256)
+        s = green[window[:room] & g_mask]
+        after = np.arange(room, dtype=np.int32) + (s >> 16)
+        s &= 0xFFFF
+        second = after + r_size[window[after] & r_mask]
+        third = second + b_size[window[second] & b_mask]
+        nxt = np.where(s < LITERALS, third + a_size[window[third] & a_mask], after)
+        runs = np.flatnonzero((s >= LITERALS) & (s < LITERALS + LENGTHS))
+        n, size = number(window, s[runs] - LITERALS, after[runs])
+        at = after[runs] + size
+        v = far[window[np.minimum(at, len(window) - 1)] & f_mask]
+        at = at + (v >> 16)
+        d, size = number(window, v & 0xFFFF, at)
+        count = np.ones(room, np.int64)
+        nxt[runs], count[runs] = at + size, np.where(d == 2, n, -1)
+        stop = min(room, STRETCH - 256) if base + room < end else room
+        way, path = nxt.tolist(), []
+        step = path.append
+        for _ in range(total - have):
+            if p >= stop:
+                break
+            step(p)
+            p = way[p]
+        path = np.array(path, np.int64)
+        own = np.cumsum(count[path]) if (count[path] > 0).all() else None
+        if own is None:
+            bad = int(np.argmax(count[path] < 0))
+            if have + int(count[path[:bad]].sum()) < total:
+                return None
+            own = np.cumsum(np.abs(count[path]))
+        k = int(np.searchsorted(own, total - have)) + 1
+        if k <= len(path):
+            p = int(nxt[path[k - 1]])
+            path, own = path[:k], own[:k]
+        symbols.append(s[path])
+        part = (red[window[after[path]] & r_mask] & 0xFFFF) << 16 | s[path] << 8 | blue[window[second[path]] & b_mask] & 0xFFFF
+        pixels.append(part.astype(np.int64) | (alpha[window[third[path]] & a_mask].astype(np.int64) & 0xFFFF) << 24)
+        counts.append(count[path])
+        have += int(own[-1]) if len(own) else 0
+        base, p = base + (p & ~7), p & 7
+    bits.at = base + p
+    if bits.at > end:
+        raise ValueError("image data ends early")
+    s, pixel, count = np.concatenate(symbols), np.concatenate(pixels), np.concatenate(counts)
+    repeat = (s >= LITERALS) & (s < LITERALS + LENGTHS)
+    if have > total or repeat[0]:
+        raise ValueError("bad back-reference")
+    if cache_bits:
+        one = np.flatnonzero(~repeat)
+        known = s[one] >= LITERALS + LENGTHS
+        slot = np.where(known, s[one] - LITERALS - LENGTHS, (pixel[one] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits))
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        source = np.maximum.accumulate(np.where(known[order], -1, np.arange(len(order))))
+        begin = np.searchsorted(slot, slot)
+        pixel[one[order]] = np.where(source >= begin, pixel[one[order[np.maximum(source, 0)]]], 0)
+    pixel = pixel[np.maximum.accumulate(np.where(repeat, 0, np.arange(len(s))))]
+    return np.repeat(pixel, count).astype(np.uint32)
+
+
 def _flat_pixels(bits: Bits, total: int) -> np.ndarray:
     a, shift, n = bits.at >> 3, bits.at & 7, 4 * total
     raw = np.frombuffer(bits.data, np.uint8, min(n + 1, len(bits.data) - a), a).astype(np.uint16)
@@ -252,6 +423,16 @@ def predicted(px: np.ndarray, x: int, y: int, w: int, mode: int) -> np.ndarray:
 
 
 def _undo_predictor(px: np.ndarray, w: int, h: int, modes: np.ndarray, bits: int) -> np.ndarray:
+    if len(np.unique(modes)) == 1 and modes[0] in (1, 2):  # one sum along each row, or column, of the whole image
+        p = px.reshape(h, w, 4).copy()
+        p[0, 0] += (255, 0, 0, 0)
+        if modes[0] == 1:
+            p[:, 0] = np.cumsum(p[:, 0], 0)
+            p = np.cumsum(p, 1)
+        else:
+            p[0] = np.cumsum(p[0], 0)
+            p = np.cumsum(p, 0)
+        return (p & 255).reshape(-1, 4)
     across = (w + (1 << bits) - 1) >> bits
     for y in range(h):
         for x in range(w):
@@ -332,36 +513,239 @@ class Writer:
         self.size += n
 
 
-def _put_flat_codes(out: Writer) -> None:
-    out.put(0, 3)  # no transform, no colour cache, no meta codes
-    for _ in range(4):
-        out.put(0, 1)
-        out.put(12 - 4, 4)
-        for k in LENGTH_ORDER[:12]:
-            out.put(int(k == 8), 3)
+def code_lengths(counts: list[int], most: int = 15) -> list[int]:
+    """Lengths of a prefix code for counts, none above ``most``."""
+    used = [s for s, c in enumerate(counts) if c]
+    out = [0] * len(counts)
+    if len(used) == 1:
+        out[used[0]] = 1
+    while len(used) > 1:
+        heap = [(counts[s], k, k) for k, s in enumerate(used)]
+        heapq.heapify(heap)
+        above, n = [0] * (2 * len(used) - 1), len(used)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            above[a[2]] = above[b[2]] = n
+            heapq.heappush(heap, (a[0] + b[0], n, n))
+            n += 1
+        depth = [0] * n
+        for k in range(n - 2, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth) <= most:
+            for k, s in enumerate(used):
+                out[s] = depth[k]
+            break
+        counts = [(c + 1) >> 1 if c else 0 for c in counts]
+    return out
+
+
+def put_code(out: Writer, lengths: list[int]) -> None:
+    """A prefix code by its lengths: a simple one for one small symbol, else lengths under a code of their own."""
+    used = [s for s, n in enumerate(lengths) if n]
+    if len(used) <= 1 and (not used or used[0] < 256):
+        s = used[0] if used else 0
         out.put(1, 1)
-        out.put(3, 3)
-        out.put(256 - 2, 8)
-    out.put(1, 1)  # the distance code: one symbol, 0
-    out.put(0, 3)
+        out.put(0, 1)
+        out.put(int(s > 1), 1)
+        out.put(s, 8 if s > 1 else 1)
+        return
+    tokens: list[tuple[int, int, int]] = []  # symbol, extra value, bits of it
+    for n, run in itertools.groupby(lengths):
+        left = len(list(run))
+        if n:
+            tokens.append((n, 0, 0))
+            left -= 1
+        while left:
+            most, least, s, size = (6, 3, 16, 2) if n else (138, 11, 18, 7) if left > 10 else (10, 3, 17, 3)
+            take = min(left, most)
+            tokens += [(s, take - least, size)] if take >= least else [(n, 0, 0)] * take
+            left -= take
+    own = code_lengths(np.bincount([t[0] for t in tokens], minlength=19).tolist(), 7)
+    codes = canonical(own)
+    single = sum(map(bool, own)) == 1
+    out.put(0, 1)
+    out.put(19 - 4, 4)
+    for k in LENGTH_ORDER:
+        out.put(own[k], 3)
+    out.put(0, 1)
+    for s, value, size in tokens:
+        if not single:
+            out.put(mirrored(*codes[s]), codes[s][1])
+        out.put(value, size)
+
+
+#: Bits of the colour cache, pixels from which an image has its own codes, the longest back-reference.
+CACHE_BITS, OWN_CODES, LONGEST = 8, 4096, 4096
+
+
+def _entries(px: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What an image is written as: for each entry its green symbol, its pixel, and the length of a run of the pixel
+    before it (0: the entry is a pixel)."""
+    first = np.flatnonzero(np.concatenate(([True], px[1:] != px[:-1])))
+    size = np.diff(np.append(first, len(px)))
+    runs = np.where(size >= 4, -(-(size - 1) // LONGEST), size - 1)
+    owner = np.repeat(np.arange(len(first)), runs + 1)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(runs + 1) - runs - 1, runs + 1)
+    run = np.where((size[owner] >= 4) & (place > 0), np.minimum(LONGEST, size[owner] - 1 - (place - 1) * LONGEST), 0)
+    pixel = px[first][owner]
+    green = (pixel >> 8 & 255).astype(np.int64)
+    if cache_bits:
+        slot = ((pixel.astype(np.uint64) * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        known = np.zeros(len(pixel), bool)
+        known[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixel[order[1:]] == pixel[order[:-1]])
+        green = np.where(known, LITERALS + LENGTHS + slot, green)
+    v = np.maximum(run - 1, 0)
+    extra = np.maximum(np.frexp(np.maximum(v, 1))[1] - 2, 0)
+    green = np.where(run > 0, LITERALS + np.where(run <= 4, run - 1, 2 * (extra + 1) + (v >> extra & 1)), green)
+    return green, pixel, run
+
+
+def put_image(out: Writer, px: np.ndarray, main: bool, cache_bits: int = 0, codes: list[list[int]] | None = None) -> None:
+    """An entropy-coded image of ARGB pixels; codes: lengths of its five codes, else those of its own counts."""
+    out.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    if main:
+        out.put(0, 1)
+    green, pixel, run = _entries(px, cache_bits)
+    literal = green < LITERALS
+    others = [(pixel >> s & 255).astype(np.int64) for s in (16, 0, 24)]
+    if codes is None:
+        wide = LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0)
+        codes = [code_lengths(np.bincount(green, minlength=wide).tolist()), *(code_lengths(np.bincount(c[literal], minlength=256).tolist()) for c in others)]
+        codes.append([0, int((run > 0).any()), *[0] * (DISTANCES - 2)])
+    if codes is text_codes():
+        out.put(*_text_header())
+    else:
+        for lengths in codes:
+            put_code(out, lengths)
+    tables = _text_tables() if codes is text_codes() else [_written(lengths) for lengths in codes[:4]]
+    # One number of at most 60 bits for each entry: its symbols, or a run's length and what is beyond its symbol.
+    value, bits = (t[green] for t in tables[0])
+    n = np.where(run > 4, np.maximum(np.frexp(np.maximum(run - 1, 1))[1] - 2, 0), 0)
+    value, bits = value | np.where(run > 0, (np.maximum(run - 1, 0) & ((1 << n) - 1)) << bits, 0), bits + n
+    for c, (code, size) in zip(others, tables[1:], strict=True):
+        value, bits = value | np.where(literal, code[c] << bits, 0), bits + np.where(literal, size[c], 0)
+    at, total = np.cumsum(bits) - bits, int(bits.sum())
+    body = np.zeros((total >> 3) + 16)
+    for part, start in ((value & 0xFFFFFFFF, at), (value >> 32, at + 32)):
+        shifted, byte = part << (start & 7), start >> 3
+        for k in range(5):
+            body += np.bincount(byte + k, shifted >> (8 * k) & 255, len(body))[: len(body)]
+    out.put(int.from_bytes(body.astype(np.uint8).tobytes(), "little") & ((1 << total) - 1), total)
+
+
+def _written(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of each symbol as they are written, and how many; a code of one symbol has none."""
+    codes = canonical(lengths)
+    if sum(n > 0 for n in lengths) <= 1:
+        return np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    return np.array([mirrored(c, n) for c, n in codes], np.int64), np.array([n for _, n in codes], np.int64)
+
+
+@functools.cache
+def text_codes() -> list[list[int]]:
+    """Lengths of codes for bytes of text: letters by how common they are, then signs, then other bytes; a quarter of all
+    pixels is in the cache."""
+    weight = [4] * 256
+    for b in range(32, 127):
+        weight[b] = 60
+    for k, c in enumerate("etaoinshrdlucmfwypvbgkjqxz"):
+        weight[ord(c)] = int(4000 * 0.88**k)
+    weight[32], weight[10], weight[255] = 6000, 200, 30
+    total = sum(weight)
+    rare = max(1, total // 3 // (1 << CACHE_BITS))
+    same = code_lengths(weight)
+    return [code_lengths([*weight, *[max(1, total // 2000)] * LENGTHS, *[rare] * (1 << CACHE_BITS)]), same, same, same, [0, 1, *[0] * (DISTANCES - 2)]]
+
+
+@functools.cache
+def _text_tables() -> list[tuple[np.ndarray, np.ndarray]]:
+    return [_written(lengths) for lengths in text_codes()[:4]]
+
+
+@functools.cache
+def _text_header() -> tuple[int, int]:
+    out = Writer()
+    for lengths in text_codes():
+        put_code(out, lengths)
+    return out.value, out.size
+
+
+def _cost(px: np.ndarray) -> float:
+    """Bits that the samples of some pixels take at the entropy of each channel."""
+    n = np.bincount((px.reshape(-1, 4) + np.arange(0, 1024, 256)).reshape(-1), minlength=1024)
+    n = n[n > 0]
+    return float((n * np.log2(len(px) * 1.0 / n)).sum()) if len(px) else 0.0
+
+
+def residuals(px: np.ndarray, mode: int) -> np.ndarray:
+    """rows x columns x 4 (A, R, G, B) less what is left of (mode 1) or above (mode 2) each pixel, modulo 256."""
+    before = np.empty_like(px)
+    if mode == 1:
+        before[:, 1:], before[1:, 0] = px[:, :-1], px[:-1, 0]
+    else:
+        before[1:], before[0, 1:] = px[:-1], px[0, :-1]
+    before[0, 0] = (255, 0, 0, 0)
+    return (px - before) & 255
+
+
+def less_green(px: np.ndarray) -> np.ndarray:
+    """... x 4 (A, R, G, B) with red and blue less green, modulo 256."""
+    return (px - px[..., 2:3] * np.array([0, 1, 0, 1])) & 255
+
+
+#: An image as it is, less what is left or above, less green.
+_WAYS = {0: lambda px: px, 1: lambda px: residuals(px, 1), 2: lambda px: residuals(px, 2), 3: less_green}
+
+
+def _argb(px: np.ndarray) -> np.ndarray:
+    p = px.reshape(-1, 4).astype(np.uint32)
+    return p[:, 0] << 24 | p[:, 1] << 16 | p[:, 2] << 8 | p[:, 3]
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """Rows x columns x (R, G, B, A) as one WebP file of literals with codes of eight bits."""
+    """Rows x columns x (R, G, B, A) as one WebP file."""
     h, w = pixels.shape[:2]
     out = Writer()
     out.put(w - 1, 14)
     out.put(h - 1, 14)
     out.put(1, 1)
     out.put(0, 3)
-    _put_flat_codes(out)
-    whole, shift = out.size >> 3, out.size & 7
-    head = out.value.to_bytes(whole + 1, "little")
-    body = np.zeros(4 * w * h + 1, np.uint16)
-    body[:-1] = _REVERSED[pixels[..., [1, 0, 2, 3]].reshape(-1)]
-    body[1:] = body[1:] << shift | body[:-1] >> (8 - shift)
-    body[0] = (body[0] << shift | head[-1]) & 255
-    data = b"\x2f" + head[:-1] + (body & 255).astype(np.uint8).tobytes()
+    raw = np.ascontiguousarray(pixels).view("<u4").reshape(-1)
+    flat = raw & 0xFF00FF00 | (raw & 255) << 16 | raw >> 16 & 255
+    px = lambda rows=None: pixels[:rows, :, [3, 0, 1, 2]].astype(np.int64)
+    few = np.unique(flat[:256])
+    colours = np.unique(flat) if len(few) <= 16 else few
+    if len(colours) <= 16:
+        n = len(colours)
+        packed = 3 if n <= 2 else 2 if n <= 4 else 1
+        out.put(1, 1)
+        out.put(PALETTE, 2)
+        out.put(n - 1, 8)
+        table_ = np.stack([colours >> s & 255 for s in (24, 16, 8, 0)], -1).astype(np.int64)
+        put_image(out, _argb((table_ - np.concatenate([np.zeros((1, 4), np.int64), table_[:-1]])) & 255), False)
+        per, wide = 1 << packed, 8 >> packed
+        index = np.zeros((h, (w + per - 1) // per * per), np.int64)
+        index[:, :w] = np.searchsorted(colours, flat).reshape(h, w)
+        index = (index.reshape(h, -1, per) << (np.arange(per) * wide)).sum(-1)
+        out.put(0, 1)
+        put_image(out, (index.reshape(-1) << 8 | 0xFF000000).astype(np.uint32), True)
+    else:
+        sample = px(max(1, 512 // w))
+        way = min(_WAYS, key=lambda k: (_cost(_WAYS[k](sample).reshape(-1, 4)), k))
+        if way == 3:
+            out.put(1, 1)
+            out.put(SUBTRACT_GREEN, 2)
+        elif way:
+            out.put(1, 1)
+            out.put(PREDICTOR, 2)
+            out.put(9 - 2, 3)
+            put_image(out, np.full(((w + 511) >> 9) * ((h + 511) >> 9), way << 8, np.uint32), False)
+        out.put(0, 1)
+        put_image(out, _argb(_WAYS[way](px())) if way else flat, True, CACHE_BITS, text_codes() if not way and len(flat) < OWN_CODES else None)
+    data = b"\x2f" + out.value.to_bytes((out.size + 7) // 8, "little")
     pad = len(data) & 1
     return b"RIFF" + struct.pack("<I", 12 + len(data) + pad) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data + b"\0" * pad
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -792,6 +793,69 @@ def test_webp_predictor_cross_colour_and_green():
     assert (webp.decode(out.file()) == px).all()
 
 
+@pytest.mark.parametrize("kind", ["text", "noise", "smooth", "green", "few", "runs", "one", "long"])
+def test_webp_encodes_by_every_means(kind):
+    """Each kind of image comes back, and is written by the means that suit it."""
+    rng = np.random.default_rng(3)
+    h, w = 40, 144
+    if kind == "text":
+        px = np.frombuffer(("the quick brown fox jumps over the lazy dog. and so on, " * 900).encode()[: h * w * 4], np.uint8).reshape(h, w, 4)
+    elif kind == "noise":
+        px = rng.integers(0, 256, (h, w, 4)).astype(np.uint8)
+    elif kind == "smooth":
+        px = (np.cumsum(rng.integers(0, 3, (h, w, 4)), 1) & 255).astype(np.uint8)
+    elif kind == "green":
+        px = (rng.integers(0, 256, (h, w, 1)) + rng.integers(0, 3, (h, w, 4)) & 255).astype(np.uint8)
+    elif kind == "few":
+        px = rng.integers(0, 256, (9, 4)).astype(np.uint8)[rng.integers(0, 9, (h, w))]
+    elif kind == "runs":
+        px = np.repeat(rng.integers(0, 256, (60, 4)).astype(np.uint8), rng.integers(1, 400, 60), 0)[: 20 * w]
+        px = np.concatenate([px, np.zeros((20 * w - len(px), 4), np.uint8)]).reshape(20, w, 4)
+    elif kind == "one":
+        px = np.full((1, w, 4), 255, np.uint8)
+    else:
+        px = np.concatenate([rng.integers(97, 123, (300, w, 4)), np.full((300, w, 4), 7)]).astype(np.uint8)
+    data = webp.encode(px)
+    assert (webp.decode(data) == px).all()
+    plain = px.size
+    assert len(data) < {"text": 0.7, "noise": 1.05, "smooth": 0.35, "green": 0.75, "few": 0.2, "runs": 0.2, "one": 0.2, "long": 0.4}[kind] * plain
+    for cut in (30, len(data) // 2):
+        with pytest.raises(ValueError):
+            webp.decode(data[:cut])
+
+
+def test_webp_predicts_as_the_format_says():
+    """Residuals of both modes against the format's rule pixel by pixel; the fast inverse against them."""
+    rng = np.random.default_rng(8)
+    px = rng.integers(0, 256, (5, 7, 4)).astype(np.int64)
+    for mode in (1, 2):
+        want = np.empty_like(px)
+        for y in range(5):
+            for x in range(7):
+                if x == 0 and y == 0:
+                    before = np.array([255, 0, 0, 0])
+                elif y == 0 or (mode == 1 and x > 0):
+                    before = px[y, x - 1]
+                else:
+                    before = px[y - 1, x]
+                want[y, x] = (px[y, x] - before) & 255
+        assert (webp.residuals(px, mode) == want).all()
+        assert (webp._undo_predictor(want.reshape(-1, 4).copy(), 7, 5, np.array([mode]), 9) == px.reshape(-1, 4)).all()
+
+
+def test_media_of_equal_texts_and_long_runs(spark):
+    rows = [(1, "same text " * 50), (2, "same text " * 50), (3, "x" * 1_000_000), (4, None), (5, ""), (None, "é" * 700), (6, "a"), (6, "a")]
+    got = webp.read_media(webp.store_media(spark.createDataFrame(rows, "doc_id long, text string"), new_folder(spark, "media"))).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = {d: t for d, t in rows}[r.doc_id] or ""
+        raw = text.encode()
+        raw += b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]))
+    by = {r.doc_id: r for r in got}
+    assert by[1].media_sha256 == by[2].media_sha256 and by[1].feature == by[2].feature and by[4].media_sha256 == by[5].media_sha256
+
+
 def test_near_distances():
     assert webp.NEAR[:8] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2)] and webp.NEAR[-3:] == [(-7, 7), (8, 6), (8, 7)] and len(webp.NEAR) == 120
 
