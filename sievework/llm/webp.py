@@ -96,9 +96,9 @@ class Code:
     def table_of(self) -> tuple[np.ndarray, int]:
         """(length << 16 | symbol by the next bits, mask of these bits)."""
         if self.only is not None:
-            return np.array([self.only], np.int32), 0
+            return np.array([self.only]), 0
         width = max(n for n, _ in self.table)
-        out = np.zeros(1 << width, np.int32)
+        out = np.zeros(1 << width, np.int64)
         for (n, code), s in self.table.items():
             out[mirrored(code, n) :: 1 << n] = n << 16 | s
         return out, (1 << width) - 1
@@ -119,6 +119,11 @@ class Code:
         raise ValueError("bad prefix code")
 
 
+@functools.lru_cache(256)
+def _code(lengths: tuple[int, ...]) -> Code:
+    return Code(list(lengths))
+
+
 def _read_code(bits: Bits, size: int) -> Code:
     lengths = [0] * size
     if bits.read(1):
@@ -127,7 +132,7 @@ def _read_code(bits: Bits, size: int) -> Code:
         lengths[first] = 1
         if two:
             lengths[bits.read(8)] = 1
-        return Code(lengths)
+        return _code(tuple(lengths))
     own = [0] * 19
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
         own[k] = bits.read(3)
@@ -147,7 +152,7 @@ def _read_code(bits: Bits, size: int) -> Code:
             raise ValueError("too many code lengths")
         lengths[at : at + n] = [value] * n
         at += n
-    return Code(lengths)
+    return _code(tuple(lengths))
 
 
 #: The latest groups of codes by their sizes, with the bits they were read from: images of one writer share them.
@@ -274,7 +279,7 @@ def _windows(data: bytes, base: int) -> np.ndarray:
     part = np.frombuffer(data, np.uint8, max(0, min(len(raw), len(data) - (base >> 3))), min(base >> 3, len(data)))
     raw[: len(part)] = part
     long = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-    out = np.zeros(max(8 * len(part) + 16, 512) + 256, np.int32)
+    out = np.zeros(max(8 * len(part) + 16, 512) + 256, np.int64)
     wide = (long[:, None] >> np.arange(8, dtype=np.uint32) & 0x7FFF).reshape(-1)[: len(out) - 256]
     out[: len(wide)] = wide
     return out
@@ -287,7 +292,6 @@ def _plain_stream(bits: Bits, group: list[Code], total: int, cache_bits: int) ->
     (green, g_mask), (red, r_mask), (blue, b_mask), (alpha, a_mask), (far, f_mask) = (c.table_of for c in group)
     if not g_mask and not r_mask and not b_mask and not a_mask and green[0] < LITERALS:  # one colour, of no bits
         return np.full(total, int(alpha[0]) << 24 | int(red[0]) << 16 | int(green[0]) << 8 | int(blue[0]), np.uint32)
-    r_size, b_size, a_size = red >> 16, blue >> 16, alpha >> 16
     base, p, end = bits.at & ~7, bits.at & 7, 8 * len(bits.data)
     symbols, pixels, counts, have = [], [], [], 0
 
@@ -301,12 +305,16 @@ def _plain_stream(bits: Bits, group: list[Code], total: int, cache_bits: int) ->
             raise ValueError("image data ends early")
         window = _windows(bits.data, base)
         room = min(STRETCH, len(window) - 256)
-        s = green[window[:room] & g_mask]
-        after = np.arange(room, dtype=np.int32) + (s >> 16)
+        s = green.take(window[:room] & g_mask)
+        after = np.arange(room) + (s >> 16)
         s &= 0xFFFF
-        second = after + r_size[window[after] & r_mask]
-        third = second + b_size[window[second] & b_mask]
-        nxt = np.where(s < LITERALS, third + a_size[window[third] & a_mask], after)
+        # The size of the symbol at each position, once for each code; the same code often serves several channels.
+        r_size = (red >> 16).take(window & r_mask)
+        b_size = r_size if group[2] is group[1] else (blue >> 16).take(window & b_mask)
+        a_size = r_size if group[3] is group[1] else (alpha >> 16).take(window & a_mask)
+        second = after + r_size.take(after)
+        third = second + b_size.take(second)
+        nxt = np.where(s < LITERALS, third + a_size.take(third), after)
         runs = np.flatnonzero((s >= LITERALS) & (s < LITERALS + LENGTHS))
         n, size = number(window, s[runs] - LITERALS, after[runs])
         at = after[runs] + size
@@ -316,7 +324,7 @@ def _plain_stream(bits: Bits, group: list[Code], total: int, cache_bits: int) ->
         count = np.ones(room, np.int64)
         nxt[runs], count[runs] = at + size, np.where(d == 2, n, -1)
         stop = min(room, STRETCH - 256) if base + room < end else room
-        way, path = nxt.tolist(), []
+        way, path = memoryview(nxt), []
         step = path.append
         for _ in range(total - have):
             if p >= stop:
