@@ -126,8 +126,7 @@ def mix(docs: DataFrame, per_range: int = PER_RANGE) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    placed = placed.select("doc_id", *ADDED, F.xxhash64("doc_id", "text").alias("tie"))
+    placed = _placed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), PER_RANGE).select("doc_id", *ADDED, F.col("mix_tie").alias("tie"))
     # Id and hash split the documents without a position, which the mix does not take, over tasks.
     return placed.repartitionByRange("position", "doc_id", "tie").sortWithinPartitions("position", "doc_id", "tie").drop("tie")
 
