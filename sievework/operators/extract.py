@@ -291,9 +291,13 @@ def top_links(links: DataFrame, k: int = 8) -> DataFrame:
     return held.withColumn("place", at).filter(F.col("place") <= k).select("page_id", "place", "url", "score")
 
 
+#: Elements that are not shown, to their own closing tag or the end; comments.
+HIDDEN = "(?is)" + "|".join(rf"<{t}\b[^<>]*>.*?(?:</{t}\s*>|\z)" for t in ("script", "style", "noscript")) + r"|<!--.*?(?:-->|\z)"
+
+
 def html_text(html: Column) -> Column:
     """Visible text of a page, white space collapsed."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)\s*>|<!--.*?-->", " ")
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
     t = F.regexp_replace(t, "<[^>]*>", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(char))

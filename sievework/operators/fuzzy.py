@@ -1,9 +1,10 @@
 """Fuzzy best match on token sets within a block.
 
-Tokens are exploded and joined on (block, token): the number of joined rows of a pair is its intersection, and the
-union follows from the set sizes. No stop word is dropped, as the score needs all tokens. Scores of equal token sets
-are computed once: both sides are first reduced to their distinct sets, so a name that a third of all rows carry
-is one set.
+Only scores above ``min_score - gap`` matter. Two sets with such a score share one of the rarest tokens of each: with
+tokens in one order of their frequency in the block, one of the first n - ceil(t n) + 1. So candidates are joined on
+(block, token) by these alone, and a token that all names of a block carry joins nothing but small sets; then the score
+is computed from the whole sets. No stop word is dropped, as the score needs all tokens. Both sides are first reduced
+to their distinct sets, so a name that a third of all rows carry is one set.
 """
 
 from __future__ import annotations
@@ -20,10 +21,20 @@ def best_fuzzy_match(left: DataFrame, right: DataFrame, min_score: float, gap: f
     """
     ls = left.select("block", "tokens").distinct().withColumn("ls", F.xxhash64("block", "tokens"))
     rs = right.select("block", "tokens").distinct().withColumn("rs", F.xxhash64("block", "tokens"))
-    lt = ls.select("block", "ls", F.size("tokens").alias("ln"), F.explode("tokens").alias("token"))
-    rt = rs.select("block", "rs", F.size("tokens").alias("rn"), F.explode("tokens").alias("token"))
-    pairs = lt.join(rt, ["block", "token"]).groupBy("ls", "rs", "ln", "rn").agg(F.count("*").alias("both"))
-    pairs = pairs.select("ls", "rs", (F.col("both") / (F.col("ln") + F.col("rn") - F.col("both"))).alias("score"))
+    least = max(min_score - gap, 1e-6) - 1e-9
+    often = rs.select("block", F.explode("tokens").alias("token")).groupBy("block", "token").agg(F.count("*").alias("often"))
+
+    def prefixes(sets: DataFrame, name: str) -> DataFrame:
+        long = sets.select("block", name, "tokens", F.explode("tokens").alias("token")).join(often, ["block", "token"], "left")
+        order = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token")))
+        held = long.groupBy("block", name, "tokens").agg(order.alias("order"))
+        first = F.slice("order", 1, (F.size("order") - F.ceil(F.size("order") * least) + 1).cast("int"))
+        return held.select("block", name, F.col("tokens").alias(f"{name}_tokens"), F.explode(F.transform(first, lambda x: x["token"])).alias("token"))
+
+    pairs = prefixes(ls, "ls").join(prefixes(rs, "rs"), ["block", "token"])
+    fits = F.least(F.size("ls_tokens"), F.size("rs_tokens")) >= least * F.greatest(F.size("ls_tokens"), F.size("rs_tokens"))
+    pairs = pairs.filter(fits).dropDuplicates(["ls", "rs"]).withColumn("both", F.size(F.array_intersect("ls_tokens", "rs_tokens")))
+    pairs = pairs.select("ls", "rs", (F.col("both") / (F.size("ls_tokens") + F.size("rs_tokens") - F.col("both"))).alias("score"))
     best = F.max("score").over(Window.partitionBy("ls"))
     near = pairs.withColumn("best", best).filter((F.col("best") >= min_score) & (F.col("best") - F.col("score") < gap))
     rows = right.select(F.xxhash64("block", "tokens").alias("rs"), F.col("id").alias("right_id"), "name", "url")

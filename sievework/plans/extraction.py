@@ -143,7 +143,7 @@ def wi04(docs: DataFrame) -> DataFrame:
 
 
 _q, _o = {}, {}
-_page_text = NS("""replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|noscript)\\b[^>]*>.*?</(script|style|noscript)\\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+_page_text = NS("""replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b[^<>]*>.*?(?:</script\\s*>|\\z)|<style\\b[^<>]*>.*?(?:</style\\s*>|\\z)|<noscript\\b[^<>]*>.*?(?:</noscript\\s*>|\\z)|<!--.*?(?:-->|\\z)', ' ', 'g'), '<[^>]*>', ' ', 'g'),
   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')""")
 _q["x01_html_to_text"] = lambda pages: pages.select("page_id", X.html_text(F.col("html")).alias("text"))
 _o["x01_html_to_text"] = f"SELECT page_id, {_page_text} AS text FROM v_pages"
