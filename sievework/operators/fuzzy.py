@@ -29,12 +29,13 @@ def best_fuzzy_match(left: DataFrame, right: DataFrame, min_score: float, gap: f
         order = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token")))
         held = long.groupBy("block", name, "tokens").agg(order.alias("order"))
         first = F.slice("order", 1, (F.size("order") - F.ceil(F.size("order") * least) + 1).cast("int"))
-        return held.select("block", name, F.col("tokens").alias(f"{name}_tokens"), F.explode(F.transform(first, lambda x: x["token"])).alias("token"))
+        return held.select("block", name, F.size("tokens").alias(f"{name}_size"), F.explode(F.transform(first, lambda x: x["token"])).alias("token"))
 
     pairs = prefixes(ls, "ls").join(prefixes(rs, "rs"), ["block", "token"])
-    fits = F.least(F.size("ls_tokens"), F.size("rs_tokens")) >= least * F.greatest(F.size("ls_tokens"), F.size("rs_tokens"))
-    pairs = pairs.filter(fits).dropDuplicates(["ls", "rs"]).withColumn("both", F.size(F.array_intersect("ls_tokens", "rs_tokens")))
-    pairs = pairs.select("ls", "rs", (F.col("both") / (F.size("ls_tokens") + F.size("rs_tokens") - F.col("both"))).alias("score"))
+    fits = F.least("ls_size", "rs_size") >= least * F.greatest("ls_size", "rs_size")
+    pairs = pairs.filter(fits).select("ls", "rs", "ls_size", "rs_size").distinct()
+    pairs = pairs.join(ls.select("ls", F.col("tokens").alias("l")), "ls").join(rs.select("rs", F.col("tokens").alias("r")), "rs").withColumn("both", F.size(F.array_intersect("l", "r")))
+    pairs = pairs.select("ls", "rs", (F.col("both") / (F.col("ls_size") + F.col("rs_size") - F.col("both"))).alias("score"))
     best = F.max("score").over(Window.partitionBy("ls"))
     near = pairs.withColumn("best", best).filter((F.col("best") >= min_score) & (F.col("best") - F.col("score") < gap))
     rows = right.select(F.xxhash64("block", "tokens").alias("rs"), F.col("id").alias("right_id"), "name", "url")
