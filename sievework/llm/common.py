@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found := sc.getConf().get("spark.checkpoint.dir"):
         return found
     if not (held := sc._jsc.sc().getCheckpointDir()).isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is needed on a cluster")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         held = sc._jsc.sc().getCheckpointDir()
     return held.get()
