@@ -130,7 +130,7 @@ def courses(text: Column, patterns: list[tuple[str, str]]) -> Column:
 def with_shorthand(text: Column, labels: Column, subject: str) -> Column:
     """Codes after 'or' without their subject ('30-1 or 30-2') are added."""
     head = r"\b(?:english\s+language\s+arts|english|ela)" if subject == "English" else r"\b(?:mathematics|math)"
-    pairs = [("30-1", "30-2"), ("30-2", "30-1")] + ([("20-1", "20-2"), ("20-2", "20-1")] if subject == "Math" else [])
+    pairs = ([("20-1", "20-2"), ("20-2", "20-1")] if subject == "Math" else []) + [("30-1", "30-2"), ("30-2", "30-1")]
     for a, b in pairs:
         short = found(text, rf"{head}\s*{a}\b[^.;\n]{{0,24}}\bor\b[^.;\n]{{0,12}}\b{b}\b")
         other = F.array(F.lit(f"{subject} {b}"))
@@ -149,7 +149,7 @@ def course_minimum(text: Column, patterns: list[tuple[str, str]]) -> Column:
     every = []
     for p, _ in patterns:
         every.append(F.regexp_extract_all(text, F.lit(_i(rf"\b(\d{{2,3}})(?:\.\d+)?\s*(?:%|percent)\s*(?:in|for)\s*{p}")), F.lit(1)))
-        every.append(F.regexp_extract_all(text, F.lit(_i(rf"{p}[^.;\n]{{0,30}}?\b(?:at|with|minimum(?:\s+of)?|of)?\s*(\d{{2,3}})(?:\.\d+)?\s*(?:%|percent)")), F.lit(1)))
+        every.append(F.regexp_extract_all(text, F.lit(_i(rf"{p}[^.;\n]{{0,30}}?\b(?:at|with|minimum(?:\s+of)?|of)?\s*(\d{{2,3}})(?:\.\d+)?\s*(?:%|percent)\b")), F.lit(1)))
     return F.array_min(F.filter(F.transform(F.concat(*every), lambda x: x.try_cast("int")), lambda n: n.between(0, 100)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.operators import extract as X
+from sievework.operators import profile as P
 from sievework.plans.keys import NS
 from sievework.plans.registry import query
 
@@ -52,7 +53,7 @@ def x10(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", join(X.SCIENCE).alias("science"), join(X.SOCIAL).alias("social"))
 
 
-_mins = " , ".join(f"regexp_extract_all(t, '(?i)\\b(\\d{{2,3}})(?:\\.\\d+)?\\s*(?:%|percent)\\s*(?:in|for)\\s*{p}', 1), regexp_extract_all(t, '(?i){p}[^.;\\n]{{0,30}}?\\b(?:at|with|minimum(?:\\s+of)?|of)?\\s*(\\d{{2,3}})(?:\\.\\d+)?\\s*(?:%|percent)', 1)" for p, _ in X.MATH)
+_mins = " , ".join(f"regexp_extract_all(t, '(?i)\\b(\\d{{2,3}})(?:\\.\\d+)?\\s*(?:%|percent)\\s*(?:in|for)\\s*{p}', 1), regexp_extract_all(t, '(?i){p}[^.;\\n]{{0,30}}?\\b(?:at|with|minimum(?:\\s+of)?|of)?\\s*(\\d{{2,3}})(?:\\.\\d+)?\\s*(?:%|percent)\\b', 1)" for p, _ in X.MATH)
 
 
 @query("x11_course_minimums", "v_docs", sql=f"WITH {_t} SELECT doc_id, list_min(list_filter(list_transform(flatten([{_mins}]), lambda x: try_cast(x AS INTEGER)), lambda n: n BETWEEN 0 AND 100)) AS minimum FROM t")
@@ -132,6 +133,12 @@ def x30(docs: DataFrame) -> DataFrame:
     return X.resolve_fields(X.candidates(docs).filter(F.col("field").isin(*_FIELDS))).select("program_id", "field", "value")
 
 
+@query("x30_program_profile", "v_docs")
+def x30_profile(docs: DataFrame) -> DataFrame:
+    """All fields of all programs; tests hold it against pages read by hand."""
+    return P.program_fields(docs).select("program_id", "field", "value", "confidence", "rule_id", "source_url")
+
+
 @query("x32_evidence", "v_docs", sql=f"WITH {_t}, {_cand}, w AS (SELECT *, max((r, length(value))) OVER (PARTITION BY program_id, field ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM f) SELECT program_id, field, seq, value FROM w WHERE best IS NULL OR (r, length(value)) >= best")
 def x32(docs: DataFrame) -> DataFrame:
     return X.accepted_evidence(X.candidates(docs).filter(F.col("field").isin(*_FIELDS))).select("program_id", "field", "seq", "value")
