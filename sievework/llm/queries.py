@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import decontam, jaccard_join, langid, line_dedup, mixing, sharding, tokens, toxicity, warc, webp
+from sievework.llm import decontam, jaccard_join, langid, line_dedup, mixing, pieces, sharding, tokens, toxicity, warc, webp
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media": webp.op8_media,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_counts": tokens.op10_token_counts,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
 }
 ORACLES = {
     "op2_sharding": sharding.ORACLE,
