@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import decontam, jaccard_join, langid, line_dedup, mixing, pieces, sharding, tokens, toxicity, warc, webp
+from sievework.llm import decontam, jaccard_join, langid, line_dedup, mixing, negatives, pieces, sharding, spelling, tokens, toxicity, warc, webp
 
 QUERIES = {
     "op1_decontamination": decontam.op1_decontamination,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_counts": tokens.op10_token_counts,
     "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op2_sharding": sharding.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op12_spelling": spelling.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
