@@ -64,7 +64,7 @@ class Index:
             reach *= 2
         order = np.argsort(rank, kind="stable")  # equal suffixes in the order of their words
         before = np.where(order > 0, text[order - 1], 0)  # in front of a word stands a delimiter
-        self.n, self.words, self.before = n, len(sizes), before
+        self.n, self.words, self.before, self.most = n, len(sizes), before, int(text.max(initial=0))
         self.keys = np.sort(before * n + np.arange(n))
 
     def step(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -72,12 +72,24 @@ class Index:
         return np.searchsorted(self.keys, symbol * self.n + at)
 
     def symbols(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct symbols in front of each interval: (which interval, symbol)."""
+        """The distinct symbols in front of each interval: (which interval, symbol). Equal intervals are looked at once, and
+        of one with more ranks than there are symbols, each symbol is counted instead of each rank."""
+        both, where = np.unique(lo * (self.n + 1) + hi, return_inverse=True)
+        lo, hi = both // (self.n + 1), both % (self.n + 1)
         size = hi - lo
-        which = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        both = np.unique(which * (1 << 21) + self.before[at])
-        return both >> 21, both & ((1 << 21) - 1)
+        wide, narrow = np.flatnonzero(size > self.most), np.flatnonzero(size <= self.most)
+        which = np.repeat(narrow, size[narrow])
+        at = np.arange(len(which)) - np.repeat(np.cumsum(size[narrow]) - size[narrow], size[narrow]) + np.repeat(lo[narrow], size[narrow])
+        seen = np.unique(which * (self.most + 1) + self.before[at])
+        each, symbol = np.repeat(wide, self.most + 1), np.tile(np.arange(self.most + 1), len(wide))
+        there = self.step(symbol, hi[each]) > self.step(symbol, lo[each])
+        seen = np.sort(np.concatenate((seen, (each * (self.most + 1) + symbol)[there])))
+        of, symbol = seen // (self.most + 1), seen % (self.most + 1)
+        # Back to the intervals as given.
+        first, end = np.searchsorted(of, where), np.searchsorted(of, where, "right")
+        count = end - first
+        take = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        return np.repeat(np.arange(len(where)), count), symbol[take]
 
 
 def search(index: Index, codes: np.ndarray, sizes: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,7 +223,9 @@ def near_words(words: DataFrame, shard: int = SHARD) -> DataFrame:
         columns = zip(*found, strict=True) if found else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["word", "n", "n_near", "best", "best_n"])
 
-    found = cells.groupBy("mirrored", "shard", "large", "i", "j").applyInArrow(run, "word string, n long, n_near long, best string, best_n long")
+    # Cells are sized in code points, so they aren't to be put together by bytes.
+    own_cell = ("mirrored", "shard", "large", "i", "j")
+    found = cells.repartition(min(2 * shards, 20_000), *own_cell).groupBy(*own_cell).applyInArrow(run, "word string, n long, n_near long, best string, best_n long")
     # A word without near words comes from the vocabulary itself.
     every = words.select("word", "n", F.lit(0).cast("long").alias("n_near"), F.lit(None).cast("string").alias("best"), F.lit(None).cast("long").alias("best_n"))
     best = F.min(F.when(F.col("best").isNotNull(), F.struct((-F.col("best_n")).alias("k"), F.col("best").alias("w"))))
