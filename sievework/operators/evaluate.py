@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators.electives import GROUPS, best_subset
+from sievework.operators.electives import GROUPS, best_subset, limits_of, sets_of
 
 # Names of courses that stand for others.
 ALIASES = {
@@ -152,30 +152,48 @@ def best_marks(parts: DataFrame, marks: DataFrame) -> DataFrame:
     return keys.join(marks, "course_key").groupBy("student_id", "part", "course").agg(F.max("mark").alias("mark"))
 
 
-def evaluate(programs: DataFrame, marks: DataFrame) -> DataFrame:
-    """student_id, class_id, n_parts, met, status for every student and requirement class.
+def class_hits(programs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes (class_id, gate, n_parts, parts, programs) and hits (student_id, class_id, met).
 
-    A class is the set of its parts. Only its parts are joined with marks; each distinct part is evaluated once a
-    student, and the product of students and classes carries two narrow columns.
+    A class is the set of its parts and counts its programs. Only its parts are joined with marks, each distinct part
+    once a student; a student and a class that share no part make no row.
     """
-    parts = requirement_parts(programs)
-    part = F.xxhash64("k", "courses", "min_mark")
-    keyed = parts.withColumn("part", F.when(F.col("kind") == "parts", part))
-    classes = keyed.groupBy("row_id").agg(
-        F.array_sort(F.array_distinct(F.array_compact(F.collect_list("part")))).alias("parts"), F.max(F.col("kind").isin("unknown", "assessment")).alias("gate")
-    ).select("parts", "gate").distinct()
-    classes = classes.withColumn("class_id", F.xxhash64("parts", "gate"))
+    keyed = requirement_parts(programs).withColumn("part", F.when(F.col("kind") == "parts", F.xxhash64("k", "courses", "min_mark")))
+    own = keyed.groupBy("row_id").agg(F.array_sort(F.array_distinct(F.array_compact(F.collect_list("part")))).alias("parts"), F.max(F.col("kind").isin("unknown", "assessment")).alias("gate"))
+    classes = own.groupBy("parts", "gate").agg(F.count("*").alias("programs")).withColumns({"class_id": F.xxhash64("parts", "gate"), "n_parts": F.size("parts")})
     distinct = keyed.filter("part IS NOT NULL").select("part", "k", "courses", "min_mark").dropDuplicates(["part"])
     scored = best_marks(distinct, marks).join(distinct.select("part", "k", "min_mark"), "part")
     enough = F.count_if(F.col("min_mark").isNull() | (F.col("mark") >= F.col("min_mark"))) >= F.first("k")
     met = scored.groupBy("student_id", "part").agg(enough.alias("ok")).filter("ok").select("student_id", "part")
     hits = classes.select("class_id", F.explode("parts").alias("part")).join(met, "part").groupBy("student_id", "class_id").agg(F.count("*").alias("met"))
-    pairs = marks.select("student_id").distinct().join(classes.select("class_id", "gate", F.size("parts").alias("n_parts")))
+    return classes, hits
+
+
+def evaluate(programs: DataFrame, marks: DataFrame) -> DataFrame:
+    """student_id, class_id, n_parts, met, status for every student and requirement class: their product, asked for as rows."""
+    classes, hits = class_hits(programs, marks)
+    pairs = marks.select("student_id").distinct().join(classes.select("class_id", "gate", "n_parts"))
     out = pairs.join(hits, ["student_id", "class_id"], "left").withColumn("met", F.coalesce("met", F.lit(0)))
     status = F.when(F.col("met") < F.col("n_parts"), "ineligible").when(F.col("gate") | (F.col("n_parts") == 0), "uncheckable").otherwise("likely eligible")
     return out.select("student_id", "class_id", "n_parts", "met", status.alias("status"))
 
 
+def evaluate_summary(programs: DataFrame, marks: DataFrame, count: str = "programs") -> DataFrame:
+    """student_id, status, n: how many classes, or programs, a student is eligible for; without a row per pair.
+
+    Classes that a student meets whole come from hits; those that ask nothing are alike for all, and the rest of the
+    total is ineligible. So the work grows with hits, not with students times classes."""
+    classes, hits = class_hits(programs, marks)
+    weight = F.lit(1) if count == "classes" else F.col("programs")
+    classes = classes.withColumn("weight", weight.cast("long"))
+    total, free = classes.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n_parts") == 0, F.col("weight"))), F.lit(0))).first()
+    whole = hits.join(classes.select("class_id", "gate", "n_parts", "weight"), "class_id").filter("met = n_parts")
+    own = whole.groupBy("student_id").agg(F.sum(F.when(~F.col("gate"), F.col("weight")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("gate"), F.col("weight")).otherwise(0)).alias("unsure"))
+    held = marks.select("student_id").distinct().join(own, "student_id", "left").fillna(0, ["yes", "unsure"])
+    told = F.array(*[F.struct(F.lit(s).alias("status"), n.alias("n")) for s, n in (("likely eligible", F.col("yes")), ("uncheckable", F.col("unsure") + free), ("ineligible", F.lit(total - free) - F.col("yes") - F.col("unsure")))])
+    return held.select("student_id", F.explode(F.filter(told, lambda x: x["n"] > 0)).alias("x")).select("student_id", "x.status", "x.n")
+
+
 def program_classes(programs: DataFrame) -> DataFrame:
     """row_id, class_id: joins results back to programs."""
     keyed = requirement_parts(programs).withColumn("part", F.when(F.col("kind") == "parts", F.xxhash64("k", "courses", "min_mark")))
@@ -211,24 +229,23 @@ def average_total(total: Column, electives: Column, slots: Column, rule: Column,
 def select_electives(cands: DataFrame, by: list[str]) -> DataFrame:
     """The best sum of at most ``need`` electives per group of ``by``: by, n_chosen, total.
 
-    cands: by, course_key, groups (array), mark, need, caps (array of four, null: none), set_count and set_groups (so many
-    from those groups; null: none). As many as possible up to need under the rules, then the best sum; if no set fits
-    the rules, the same without them. A course in several groups counts for one of them, whichever is best.
+    cands: by, course_key, groups (array), mark, need, caps (array of four, null: none), sets (array of (n, groups): at least
+    n out of those groups together; null: none) and least (the mark each needs; null: none). As many as possible up to
+    need under the rules, then the best sum; if no choice fits them, the same without caps and sets. A course in several
+    groups counts for one of them, whichever is best.
     """
-    held = cands.groupBy(*by).agg(
-        F.collect_list(F.struct("groups", "mark")).alias("units"), F.first("need").alias("need"), F.first("caps").alias("caps"), F.first("set_count").alias("set_count"), F.first("set_groups").alias("set_groups")
-    )
+    unit = F.when(F.col("least").isNull() | (F.col("mark") >= F.col("least")), F.struct("groups", "mark"))
+    held = cands.groupBy(*by).agg(F.collect_list(unit).alias("units"), *[F.first(c).alias(c) for c in ("need", "caps", "sets")])
 
     @F.pandas_udf("struct<n:int,total:double>")
-    def best(units: pd.Series, need: pd.Series, caps: pd.Series, count: pd.Series, groups: pd.Series) -> pd.DataFrame:
+    def best(units: pd.Series, need: pd.Series, caps: pd.Series, sets: pd.Series) -> pd.DataFrame:
         rows = []
-        for us, n, cs, c, gs in zip(units, need, caps, count, groups, strict=True):
-            limits = {g: int(x) for g, x in zip(GROUPS, cs, strict=True) if x is not None and x == x} if cs is not None else {}
-            chosen = best_subset([(tuple(u["groups"]), u["mark"]) for u in us], int(n), limits, [(int(c), tuple(gs))] if c is not None and c == c else [])
+        for us, n, cs, ss in zip(units, need, caps, sets, strict=True):
+            chosen = best_subset([(tuple(u["groups"]), u["mark"]) for u in us], int(n), limits_of(cs), list(sets_of(ss)))
             rows.append((len(chosen), float(sum(us[i]["mark"] for i, _ in chosen))))
         return pd.DataFrame(rows, columns=["n", "total"])
 
-    picked = held.withColumn("pick", best("units", "need", "caps", "set_count", "set_groups"))
+    picked = held.withColumn("pick", best("units", "need", "caps", "sets"))
     return picked.select(*by, F.col("pick.n").alias("n_chosen"), F.col("pick.total").alias("total"))
 
 

@@ -185,15 +185,6 @@ def requirement_type(has_courses: Column, assessment: Column, notes: Column) ->
     return F.when(base.isNotNull(), F.when(F.size(notes) > 0, F.concat(base, F.lit("; notes: "), F.array_join(notes, "; "))).otherwise(base))
 
 
-def elective_caps(text: Column) -> Column:
-    """struct(caps: map of group to the least cap named for it, minimum: the mark each elective needs)."""
-    n = F.lit(_i(rf"\bmax(?:imum)?\s+(?:of\s+)?({_N})\s+(?:courses?\s+from\s+)?group\s+([A-D])\b"))
-    pairs = F.arrays_zip(F.transform(F.regexp_extract_all(text, n, F.lit(1)), T.count_strict).alias("n"), F.transform(F.regexp_extract_all(text, n, F.lit(2)), F.upper).alias("g"))
-    caps = F.array(*[F.array_min(F.transform(F.filter(pairs, lambda p: p["g"] == g), lambda p: p["n"])) for g in "ABCD"])
-    least = F.regexp_extract(text, _i(r"\bminimum\s+(?:mark\s+)?of\s+(\d{2,3})\s*(?:%|percent)\s+in\s+each\b"), 1).try_cast("int")
-    return F.struct(caps.alias("caps"), least.alias("minimum"))
-
-
 def _candidates(t: Column, low: Column, url: Column) -> Column:
     text = lambda c: c.cast("string")
     listed = lambda c: F.array_join(c, " or ")

@@ -203,21 +203,6 @@ def seed_checks(rows: DataFrame, seeds: DataFrame, overrides: DataFrame) -> Data
     return df.withColumn("passed", (F.col("outside_seed") + F.col("bad_url") + F.col("other_url") + F.col("placeholders") + F.col("not_in_rows") == 0) & (F.col("rows") == F.col("expected")))
 
 
-_SETS = rf"\b({X._N})\s+(?:additional\s+)?(?:admission\s+)?(?:subjects?|courses?)\s+from\s+groups?\s+([A-D](?:\s*(?:,|/|\band\b|\bor\b)\s*[A-D]\b)*)"
-
-
-def rule_text(text: Column) -> Column:
-    """The rules of a text as one sentence: caps by group, sets, least mark; null without any."""
-    found = X.elective_caps(text)
-    caps = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(F.get(found["caps"], i).isNotNull(), F.concat(F.lit("Maximum of "), F.get(found["caps"], i).cast("string"), F.lit(" Group "), F.substring(F.lit("ABCD"), i + 1, F.lit(1)), F.lit(" subjects"))))
-    get = lambda i: F.regexp_extract_all(text, F.lit("(?i)" + _SETS), F.lit(i))
-    groups = lambda g: F.array_join(F.array_distinct(F.regexp_extract_all(F.upper(g), F.lit(r"\b([A-D])\b"), F.lit(1))), "/")
-    sets = F.array_distinct(F.transform(F.arrays_zip(get(1).alias("n"), get(2).alias("g")), lambda x: F.concat(T.count_strict(x["n"]).cast("string"), F.lit(" admission subject(s) from Groups "), groups(x["g"]))))
-    least = F.array(F.when(found["minimum"].isNotNull(), F.concat(F.lit("Each subject must be >= "), found["minimum"].cast("string"))))
-    parts = F.array_compact(F.concat(caps, sets, least))
-    return F.when(F.size(parts) > 0, F.array_join(parts, "; "))
-
-
 def rule_priority(rule: Column, quantity: Column, preferred: Column) -> Column:
     points = sum((F.when(F.contains(rule, F.lit(w)), n).otherwise(0) for w, n in RULE_POINTS), F.lit(0))
     return points + F.when(preferred, 20).otherwise(0) + F.when(F.lower(F.trim(quantity)) == "four", 10).otherwise(0)

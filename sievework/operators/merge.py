@@ -53,15 +53,6 @@ def proposed_removals(missing: DataFrame, decisions: DataFrame, reasons: list[st
     return held.filter(F.col("reason_code").isNull() | F.col("reason_code").isin(*reasons)).select("row_id", F.coalesce("reason_code", F.lit("unknown")).alias("reason"))
 
 
-def elective_rule_text(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """row_id, rule_text: institution rules ('*'), then the program's own, each text once, in order."""
-    wild = df.join(rules.filter("program = '*'").drop("program"), "institution").select("row_id", "rule_text", F.struct(F.lit(False).alias("own"), "seq").alias("o"))
-    own = df.join(rules.filter("program <> '*'"), ["institution", "program"]).select("row_id", "rule_text", F.struct(F.lit(True).alias("own"), "seq").alias("o"))
-    once = wild.unionByName(own).groupBy("row_id", "rule_text").agg(F.min("o").alias("o"))
-    rows = F.array_sort(F.collect_list(F.struct("o", "rule_text")))
-    return once.groupBy("row_id").agg(F.array_join(F.transform(rows, lambda r: r["rule_text"]), "; ").alias("rule_text"))
-
-
 def note_spikes(df: DataFrame, least: int, share: float) -> DataFrame:
     """Notes that many rows of an institution carry."""
     notes = F.filter(F.transform(F.split(F.regexp_extract("requirement_type", "notes:(.*)$", 1), ";"), lambda x: F.trim(x)), lambda x: x != "")

@@ -220,21 +220,6 @@ def jo13(df: DataFrame) -> DataFrame:
     return best.select("row_id", F.col("r.k").alias("rule_key"), F.col("r.rule_total").alias("avg_total"))
 
 
-@query(
-    "jo14_wildcard_avg_rule", "v_canonical",
-    sql="""WITH rules AS (SELECT institution, CASE WHEN row_id % 40 = 0 THEN '*' ELSE program END AS program, row_id % 6 + 1 AS n, row_id FROM v_canonical WHERE row_id % 10 = 0),
-      last AS (SELECT institution, program, arg_max(n, row_id) AS n FROM rules GROUP BY ALL)
-      SELECT c.row_id, coalesce(e.n, w.n)::INTEGER AS avg_total FROM v_canonical c LEFT JOIN last e ON e.institution = c.institution AND e.program = c.program AND e.program <> '*' LEFT JOIN last w ON w.institution = c.institution AND w.program = '*'""",
-)
-def jo14(df: DataFrame) -> DataFrame:
-    """The rule of a program, else its institution's wildcard; the last row of a key counts."""
-    rules = df.filter("row_id % 10 = 0").select("institution", F.when(F.col("row_id") % 40 == 0, "*").otherwise(F.col("program")).alias("program"), (F.col("row_id") % 6 + 1).cast("int").alias("n"), "row_id")
-    last = rules.groupBy("institution", "program").agg(F.max_by("n", "row_id").alias("n"))
-    exact = last.filter("program <> '*'").withColumnRenamed("n", "exact")
-    wild = last.filter("program = '*'").select("institution", F.col("n").alias("wild"))
-    return df.join(exact, ["institution", "program"], "left").join(wild, "institution", "left").select("row_id", F.coalesce("exact", "wild").alias("avg_total"))
-
-
 @query(
     "ma01_best_fuzzy_match", "v_index", "v_seed",
     sql=f"""WITH l AS (SELECT seq AS id, institution AS block, {TOKENS('program_name')} AS tk FROM v_index), r AS (SELECT seq AS id, institution AS block, {TOKENS('program_name')} AS tk, {NK('program_name')} AS name, {UK('source_url')} AS url FROM v_seed),

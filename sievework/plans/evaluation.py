@@ -86,38 +86,34 @@ def jo17(programs: DataFrame, marks: DataFrame) -> DataFrame:
 _gate = f"(SELECT row_id, bool_or(x IN ('unknown', 'assessment')) AS gate FROM (SELECT row_id, unnest([{_kind('english')}, {_kind('math')}]) AS x FROM v_canonical) GROUP BY 1)"
 
 
-@query(
-    "e22_evaluate", "v_canonical", "v_marks",
-    sql=f"""WITH {_PARTS}, {_MARKS}, {_EQUIV}, p AS (SELECT row_id, md5(concat(k, array_to_string(list_sort(courses), ';'), coalesce(min_mark, -1))) AS part, k, courses, min_mark FROM parts),
-      cls AS (SELECT DISTINCT coalesce(parts, []) AS parts, gate FROM {_gate} LEFT JOIN (SELECT row_id, list_sort(list(DISTINCT part)) AS parts FROM p GROUP BY 1) USING (row_id)),
+def _evaluated(weight: str) -> str:
+    """SQL over all pairs of students and classes; weight: what a class counts."""
+    return f"""WITH {_PARTS}, {_MARKS}, {_EQUIV}, p AS (SELECT row_id, md5(concat(k, array_to_string(list_sort(courses), ';'), coalesce(min_mark, -1))) AS part, k, courses, min_mark FROM parts),
+      cls AS (SELECT coalesce(parts, []) AS parts, gate, {weight} AS w FROM {_gate} LEFT JOIN (SELECT row_id, list_sort(list(DISTINCT part)) AS parts FROM p GROUP BY 1) USING (row_id) GROUP BY ALL),
       d AS (SELECT DISTINCT ON (part) part, k, courses, min_mark FROM p), dc AS (SELECT part, k, min_mark, unnest(courses) AS course FROM d),
       a AS (SELECT dc.*, coalesce(accepted, {CANON('course')}) AS course_key FROM dc LEFT JOIN equiv ON required = {CANON('course')}),
       b AS (SELECT student_id, part, any_value(k) AS k, course, max(mark) AS mark, any_value(min_mark) AS low FROM a JOIN marks USING (course_key) GROUP BY student_id, part, course),
       met AS (SELECT student_id, part FROM b GROUP BY ALL HAVING count(*) FILTER (WHERE low IS NULL OR mark >= low) >= any_value(k)),
       hits AS (SELECT student_id, parts, gate, count(*) AS n FROM (SELECT parts, gate, unnest(parts) AS part FROM cls) JOIN met USING (part) GROUP BY ALL),
-      pairs AS (SELECT s.student_id, c.parts, c.gate, coalesce((SELECT n FROM hits h WHERE h.student_id = s.student_id AND h.parts = c.parts AND h.gate = c.gate), 0) AS met FROM (SELECT DISTINCT student_id FROM marks) s, cls c)
-      SELECT student_id, CASE WHEN met < len(parts) THEN 'ineligible' WHEN gate OR len(parts) = 0 THEN 'uncheckable' ELSE 'likely eligible' END AS status, count(*) AS n FROM pairs GROUP BY 1, 2""",
-)
-def e22(programs: DataFrame, marks: DataFrame) -> DataFrame:
-    return ag13_results(programs, marks)
+      pairs AS (SELECT s.student_id, c.parts, c.gate, c.w, coalesce((SELECT n FROM hits h WHERE h.student_id = s.student_id AND h.parts = c.parts AND h.gate = c.gate), 0) AS met FROM (SELECT DISTINCT student_id FROM marks) s, cls c)
+      SELECT student_id, CASE WHEN met < len(parts) THEN 'ineligible' WHEN gate OR len(parts) = 0 THEN 'uncheckable' ELSE 'likely eligible' END AS status, sum(w)::BIGINT AS n FROM pairs GROUP BY 1, 2"""
 
 
-@query("e22_evaluate_all", "v_canonical", "v_marks")
-def e22_all(programs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The same, by the name it had when e22_evaluate took a part of the students."""
-    return ag13_results(programs, marks)
+@query("e22_evaluate", "v_canonical", "v_marks", sql=_evaluated("1"))
+def e22(programs: DataFrame, marks: DataFrame) -> DataFrame:
+    return E.evaluate_summary(programs, E.course_marks(marks), "classes")
 
 
-def ag13_results(programs: DataFrame, marks: DataFrame) -> DataFrame:
+@query("e22_evaluate_all", "v_canonical", "v_marks", sql=_evaluated("1"))
+def e22_all(programs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The same, by the name it had when e22_evaluate took a part of the students; here with a row per pair between."""
     return E.evaluate(programs, E.course_marks(marks)).groupBy("student_id", "status").agg(F.count("*").alias("n"))
 
 
-@query("ag13_result_summary", "v_canonical", "v_marks")
+@query("ag13_result_summary", "v_canonical", "v_marks", sql=_evaluated("count(*)"))
 def ag13(programs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Eligible, ineligible and uncheckable programs of every student: classes weighed by their programs."""
-    size = E.program_classes(programs).groupBy("class_id").agg(F.count("*").alias("programs"))
-    held = E.evaluate(programs, E.course_marks(marks)).join(size, "class_id")
-    return held.groupBy("student_id", "status").agg(F.sum("programs").alias("n"))
+    """Eligible, ineligible and uncheckable programs of every student, from the parts that are met."""
+    return E.evaluate_summary(programs, E.course_marks(marks))
 
 
 _words = " ".join(f"WHEN regexp_matches(course_key, '{w}') THEN '{g}'" for g, w in E.GROUP_WORDS)
@@ -149,28 +145,6 @@ def e11(programs: DataFrame) -> DataFrame:
     return programs.select("row_id", total.alias("total"))
 
 
-_VEC = ", ".join(f"({a}, {b}, {c}, {d})" for a in range(6) for b in range(6) for c in range(6) for d in range(6) if 0 < a + b + c + d <= 5)
-_sum = lambda n: f"coalesce(list_sum(m{n.upper()}[:{n}]), 0)"
-
-
-@query(
-    "e12_select_electives", "v_marks",
-    sql=f"""WITH {_MARKS}, g AS (SELECT student_id, course_key, mark, {_GROUPS} AS gs FROM marks), c AS (SELECT student_id, way, mark, CASE WHEN course_key IN ('SCIENCE 30', 'PHYSICS 30') THEN substr('BC', CASE WHEN course_key = 'SCIENCE 30' THEN 1 + way % 2 ELSE 1 + way // 2 END, 1) ELSE string_split(gs, '/')[1] END AS g FROM g, range(4) w(way) WHERE gs <> ''),
-      t AS (SELECT student_id, way, {', '.join(f"coalesce(list(mark ORDER BY mark DESC) FILTER (WHERE g = '{g}'), []) AS m{g}" for g in E.GROUPS)} FROM c GROUP BY 1, 2), v(a, b, c, d) AS (VALUES {_VEC}),
-      s AS (SELECT student_id, a + b + c + d AS n, {' + '.join(map(_sum, 'abcd'))} AS total, a <= 1 AND c <= 2 AND b + d >= 2 AS ruled FROM t, v WHERE a <= len(mA) AND b <= len(mB) AND c <= len(mC) AND d <= len(mD)),
-      r AS (SELECT student_id, max((n, total)) FILTER (WHERE ruled) AS x, max((n, total)) AS y FROM s GROUP BY 1)
-      SELECT student_id, coalesce(x, y)[1]::INTEGER AS n_chosen, coalesce(x, y)[2]::DOUBLE AS total FROM r""",
-)
-def e12(marks: DataFrame) -> DataFrame:
-    """Five electives of every student: at most one of group A and two of C, at least two of B or D; two courses count
-    for B or C. The SQL tries each way to put those two."""
-    cands = E.elective_candidates(E.course_marks(marks))
-    cands = cands.withColumn("groups", F.when(F.col("course_key").isin("SCIENCE 30", "PHYSICS 30"), F.array(F.lit("B"), F.lit("C"))).otherwise(F.slice("groups", 1, 1)))
-    none = F.lit(None).cast("int")
-    cands = cands.withColumns({"need": F.lit(5), "caps": F.array(F.lit(1), none, F.lit(2), none), "set_count": F.lit(2), "set_groups": F.array(F.lit("B"), F.lit("D"))})
-    return E.select_electives(cands, ["student_id"])
-
-
 _t = NS("requirement_type")
 _place = f"regexp_matches({_t}, '(?i)^placement_assessment(\\b|;)|\\b(placement\\s+(assessment|test)|assessment/placement|accuplacer)\\b')"
 _struct = "(try_cast(min_avg_final AS DOUBLE) IS NOT NULL OR " + " OR ".join(f"{NS(c)} <> ''" for c in ("english_req", "math_req", "social_req", "science_req", "elective_qty")) + ")"

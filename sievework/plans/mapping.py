@@ -15,6 +15,7 @@ from sievework.plans.evaluation import _MARKS, _PARTS, CANON
 from sievework.plans.extraction import _LINKS
 from sievework.plans.keys import FOLD, HTTP, MODE, NB, NK, NS, TOKENS, UK, WORDS
 from sievework.plans.registry import query
+from sievework.plans.rules import rule_tables
 from sievework.session import scratch_folder
 from sievework.sources import tables as S
 
@@ -145,40 +146,6 @@ def qa03(can: DataFrame, seeds: DataFrame, overrides: DataFrame) -> DataFrame:
     return M.seed_checks(can, seeds, overrides)
 
 
-_num = "one|two|three|four|five|six|seven|eight|nine|ten|[0-9]+"
-_n2 = lambda x: f"coalesce(nullif(list_position({WORDS}, lower({x})), 0), try_cast({x} AS INTEGER))"
-_capn = f"regexp_extract_all(t, '(?i)\\bmax(?:imum)?\\s+(?:of\\s+)?({_num})\\s+(?:courses?\\s+from\\s+)?group\\s+([A-D])\\b', "
-_setn = f"regexp_extract_all(t, '(?i)\\b({_num})\\s+(?:additional\\s+)?(?:admission\\s+)?(?:subjects?|courses?)\\s+from\\s+groups?\\s+([A-D](?:\\s*(?:,|/|\\band\\b|\\bor\\b)\\s*[A-D]\\b)*)', "
-_cap = lambda g: f"list_min(list_transform(list_filter(list_zip({_capn}1), {_capn}2)), lambda z: upper(z[2]) = '{g}'), lambda z: {_n2('z[1]')}))"
-_RULE = (
-    f"WITH d AS (SELECT doc_id, program_id, {NS('text')} AS t FROM v_docs), c AS (SELECT doc_id, program_id, t, {_cap('A')} AS a, {_cap('B')} AS b, {_cap('C')} AS c, {_cap('D')} AS d, try_cast(regexp_extract(t, '(?i)\\bminimum\\s+(?:mark\\s+)?of\\s+(\\d{{2,3}})\\s*(?:%|percent)\\s+in\\s+each\\b', 1) AS INTEGER) AS low, "
-    f"list_transform(list_zip({_setn}1), {_setn}2)), lambda z: concat({_n2('z[1]')}, ' admission subject(s) from Groups ', array_to_string(list_distinct(list_reverse(regexp_extract_all(upper(z[2]), '\\b([A-D])\\b', 1))), '/'))) AS sets FROM d)"
-)
-
-
-def _rules(docs: DataFrame) -> DataFrame:
-    inst = F.when(F.col("program_id") % 5 == 0, "North").otherwise("South")
-    held = docs.select("doc_id", inst.alias("institution"), F.concat(F.lit("Program "), F.col("program_id") % 97).alias("program"), F.when(F.col("program_id") % 3 == 0, "Four").otherwise("two").alias("quantity"), M.rule_text(T.norm_space("text")).alias("rule")).filter("rule IS NOT NULL")
-    return held.withColumn("priority", M.rule_priority(F.col("rule"), F.col("quantity"), F.col("institution") == "North"))
-
-
-_SAID = """r AS (SELECT doc_id, program_id, concat_ws('; ', CASE WHEN a IS NOT NULL THEN concat('Maximum of ', a, ' Group A subjects') END, CASE WHEN b IS NOT NULL THEN concat('Maximum of ', b, ' Group B subjects') END, CASE WHEN c IS NOT NULL THEN concat('Maximum of ', c, ' Group C subjects') END,
-  CASE WHEN d IS NOT NULL THEN concat('Maximum of ', d, ' Group D subjects') END, nullif(array_to_string(sets, '; '), ''), CASE WHEN low IS NOT NULL THEN concat('Each subject must be >= ', low) END) AS raw FROM c),
-  q AS (SELECT doc_id, program_id, CASE WHEN program_id % 5 = 0 THEN 'North' ELSE 'South' END AS institution, concat('Program ', program_id % 97) AS program, regexp_replace(regexp_replace(regexp_replace(raw, 'C/B/A', 'A/B/C'), 'D/B', 'B/D'), 'B/A', 'A/B') AS rule FROM r WHERE raw <> ''),
-  p AS (SELECT *, CASE WHEN contains(rule, 'Group B') THEN 100 ELSE 0 END + CASE WHEN contains(rule, 'Group D') THEN 60 ELSE 0 END + CASE WHEN contains(rule, 'Each subject must be') THEN 30 ELSE 0 END + CASE WHEN institution = 'North' THEN 20 ELSE 0 END + CASE WHEN program_id % 3 = 0 THEN 10 ELSE 0 END AS priority FROM q)"""
-
-
-@query("x24_suggest_rule_text", "v_docs", sql=f"{_RULE}, {_SAID} SELECT doc_id, rule, priority FROM p")
-def x24(docs: DataFrame) -> DataFrame:
-    return _rules(docs).select("doc_id", "rule", "priority")
-
-
-@query("wi06_priority_rules", "v_docs", sql=f"{_RULE}, {_SAID} SELECT institution, program, rule, max(priority) AS priority FROM p GROUP BY ALL ORDER BY 4 DESC, 1, 2, 3 LIMIT 25")
-def wi06(docs: DataFrame) -> DataFrame:
-    """The 25 suggestions to look at first."""
-    return M.priority_rules(_rules(docs))
-
-
 _strip = lambda x: NS(f"regexp_replace(replace(replace({x}, '&amp;', '&'), '&nbsp;', ' '), '<[^>]*>', ' ', 'g')")
 
 
@@ -353,16 +320,16 @@ def e15(can: DataFrame) -> DataFrame:
       SELECT student_id, count(*) FILTER (WHERE reasons = 0) AS eligible, sum(reasons)::BIGINT AS reasons FROM p GROUP BY 1""",
 )
 def e21(programs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Every student, with the mean of all marks as the average, against every program."""
+    """Every student, with the mean of all marks as the average, against every program, counted from the checks that are passed."""
     held = E.course_marks(marks)
-    found = A.quick_check(held.groupBy("student_id").agg(F.avg("mark").alias("average")), programs, held)
-    return found.groupBy("student_id").agg(F.count_if("eligible").alias("eligible"), F.sum("n_reasons").cast("long").alias("reasons"))
+    return A.quick_summary(held.groupBy("student_id").agg(F.avg("mark").alias("average")), programs, held)
 
 
 @query("e22_results", "v_canonical", "v_marks")
 def e22_results(programs: DataFrame, marks: DataFrame) -> DataFrame:
     """The 18-column result of every student and visible program, counted by student, result and confidence."""
-    held = A.evaluate_people(programs, E.course_marks(marks))
+    averages, electives = rule_tables(programs)
+    held = A.evaluate_people(programs, E.course_marks(marks), avg_rules=averages, elective_rules=electives)
     return held.groupBy("student_id", "snapshot_result", "confidence").agg(F.count("*").alias("n"), F.round(F.sum("student_avg"), 1).alias("averages"), F.sum(F.length("missing")).alias("missing_length"), F.sum(F.length("avg_used")).alias("used_length"))
 
 

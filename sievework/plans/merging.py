@@ -54,13 +54,6 @@ def jo11(can: DataFrame, cand: DataFrame) -> DataFrame:
     return M.proposed_removals(missing, decisions, ["dropped_blocked_url", "dropped_not_in_seed"])
 
 
-@query("jo15_elective_rule_text", "v_canonical", sql="""WITH r AS (SELECT DISTINCT ON (institution, program, txt) institution, program, txt, row_id FROM (SELECT institution, CASE WHEN row_id % 20 = 0 THEN '*' ELSE program END AS program, concat('max ', row_id % 3 + 1, ' Group B') AS txt, row_id FROM v_canonical WHERE row_id % 10 = 0) ORDER BY institution, program, txt, row_id),
-  a AS (SELECT c.row_id, r.txt, r.program <> '*' AS own, r.row_id AS o FROM v_canonical c JOIN r ON r.institution = c.institution AND r.program IN ('*', c.program)), d AS (SELECT row_id, txt, min((own, o)) AS k FROM a GROUP BY 1, 2) SELECT row_id, string_agg(txt, '; ' ORDER BY k) AS rule_text FROM d GROUP BY 1""")
-def jo15(can: DataFrame) -> DataFrame:
-    rules = can.filter("row_id % 10 = 0").select("institution", F.when(F.col("row_id") % 20 == 0, "*").otherwise(F.col("program")).alias("program"), F.concat(F.lit("max "), (F.col("row_id") % 3 + 1).cast("string"), F.lit(" Group B")).alias("rule_text"), F.col("row_id").alias("seq"))
-    return M.elective_rule_text(can, rules)
-
-
 @query("jo16_student_program_pairs", "v_marks", "v_canonical", sql="SELECT student_id, count(*) AS programs FROM (SELECT DISTINCT student_id FROM v_marks) s, (SELECT row_id FROM v_canonical WHERE lower(display_for_high_school) <> 'no' AND row_id % 50 = 0) p GROUP BY 1")
 def jo16(marks: DataFrame, can: DataFrame) -> DataFrame:
     """Every student against the visible programs of a pilot: the evaluation itself uses classes (E-22), never this product."""
@@ -131,16 +124,6 @@ def x05(docs: DataFrame) -> DataFrame:
     return M.assemble_documents(docs.select("program_id", "url", kind.alias("kind"), "doc_seq"), 2)
 
 
-_N = "one|two|three|four|five|six|seven|eight|nine|ten|[0-9]+"
-_caps = f"regexp_extract_all(t, '(?i)\\bmax(?:imum)?\\s+(?:of\\s+)?({_N})\\s+(?:courses?\\s+from\\s+)?group\\s+([A-D])\\b', 1)"
-
-
-@query("x23_elective_rules", "v_docs", sql=f"WITH d AS (SELECT doc_id, {_t} AS t FROM v_docs), m AS (SELECT doc_id, lower(unnest({_caps})) AS n, upper(unnest({_caps.replace(', 1)', ', 2)')})) AS g FROM d) SELECT doc_id, g, min(coalesce(nullif(list_position({WORDS}, n), 0), try_cast(n AS INTEGER)))::INTEGER AS cap FROM m GROUP BY 1, 2")
-def x23(docs: DataFrame) -> DataFrame:
-    caps = docs.select("doc_id", F.posexplode(X.elective_caps(T.norm_space("text"))["caps"]).alias("i", "cap")).filter("cap IS NOT NULL")
-    return caps.select("doc_id", F.substring(F.lit("ABCD"), F.col("i") + 1, F.lit(1)).alias("g"), "cap")
-
-
 @query("x20_requirement_units", "v_canonical", sql=f"SELECT row_id, CASE WHEN {NS('science_req')} = '' THEN 0 WHEN starts_with({NS('science_req')}, 'Two of') THEN 2 WHEN contains({NS('science_req')}, ' or ') THEN 1 ELSE len(list_distinct(string_split({NS('science_req')}, ' and '))) END::INTEGER AS units FROM v_canonical")
 def x20(df: DataFrame) -> DataFrame:
     return df.select("row_id", Q.unit_count("science_req").alias("units"))

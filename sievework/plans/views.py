@@ -66,6 +66,11 @@ VIEWS = {
         WHEN 6 THEN 'Entrance requires IELTS or TOEFL test scores for English language proficiency.' WHEN 7 THEN 'Academic requirements may be met with Accuplacer placement assessment in Mathematics.'
         WHEN 8 THEN '70% in Math 31; Social Studies 30-1 required; two-year diploma with minimum GPA accepted for admission.' WHEN 9 THEN 'Minimum average 150%. Three additional courses from groups B, D.'
         WHEN 10 THEN 'Based on 4 subjects. Prerequisites: lecture and lab credits.' ELSE '' END) AS text FROM {documents} WHERE text IS NOT NULL""",
+    "v_rules": """SELECT doc_id, CAST(floor(doc_id / 3) AS BIGINT) AS program_id, concat(text, ' ', CASE doc_id % 16
+        WHEN 0 THEN 'Notes: at most 2 Group B.' WHEN 1 THEN 'Up to one admission subject from group D may be used.' WHEN 2 THEN 'Group B maximum of two subjects; max 1 Group B' WHEN 3 THEN 'max 2 courses from option C'
+        WHEN 4 THEN 'Each subject must be >= 60' WHEN 5 THEN 'Two admission subjects must be from Groups A/B' WHEN 6 THEN concat('Options C: max 1 course; up to 1 from Group D', chr(39), 's courses') WHEN 7 THEN 'Maximum two from Group B electives'
+        WHEN 8 THEN 'Three admission subjects must be from group A, B or C; 1 more from groups D/A. Two admission subjects must be from groups C' WHEN 9 THEN 'Two additional admission subject from groups B or B; two additional from Group B'
+        WHEN 10 THEN 'no more than 3 Group A; each subject must be >55 and Option D max 0' WHEN 11 THEN 'minimum mark of 60% in each; two groups A' WHEN 12 THEN 'Groups A, B, C and D' WHEN 13 THEN 'OPTION B electives - AT  MOST THREE' ELSE '' END) AS text FROM {documents} WHERE text IS NOT NULL""",
     "v_pages": """SELECT page_id, url, concat(html, '<a href="/admission-requirements">Admission requirements</a><a class=x href="how-to-apply?id=', CAST(page_id % 7 AS STRING), '">How to <b>apply</b></a><a href="https://other.example.io/admissions">Else</a><a href="guide.pdf">English guide</a>') AS html FROM {pages}""",
     "v_samples": """SELECT s_suppkey AS seq, CASE s_suppkey % 3 WHEN 0 THEN ' North ' WHEN 1 THEN 'South  End' ELSE '' END AS institution, concat('Red  Ring #', CAST(s_suppkey % 25 AS STRING), ' (Dip.)') AS program,
       CASE s_suppkey % 3 WHEN 0 THEN 'Diploma' ELSE ' Degree' END AS credential, CASE s_suppkey % 4 WHEN 0 THEN 'Active ' ELSE '' END AS status,

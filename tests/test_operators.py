@@ -101,8 +101,8 @@ def test_electives_against_all_subsets(spark):
         need, caps = rng.randint(1, 4), {g: rng.randint(0, 2) for g in "ABCD" if rng.random() < 0.4}
         count, groups = (rng.randint(1, 3), rng.sample("ABCD", 2)) if rng.random() < 0.5 else (None, None)
         want[case] = best_subset(items, need, caps, count, groups)
-        rows += [(case, f"c{i}", g, m, need, [caps.get(x) for x in "ABCD"], count, groups) for i, (g, m) in enumerate(items)]
-    df = spark.createDataFrame(rows, "id int, course_key string, groups array<string>, mark double, need int, caps array<int>, set_count int, set_groups array<string>")
+        rows += [(case, f"c{i}", g, m, need, [caps.get(x) for x in "ABCD"], [(count, groups)] if count else None, 0.0) for i, (g, m) in enumerate(items)]
+    df = spark.createDataFrame(rows, "id int, course_key string, groups array<string>, mark double, need int, caps array<int>, sets array<struct<n:int,groups:array<string>>>, least double")
     assert {r.id: (r.n_chosen, r.total) for r in E.select_electives(df, ["id"]).collect()} == want
 
 
