@@ -95,10 +95,3 @@ def gates(docs: DataFrame) -> DataFrame:
     pathway = X.found(t, X.PATHWAY)
     school = T.any_of([X.found(t, p) for p, _ in [*X.ENGLISH, *X.MATH, *X.SCIENCE]])
     return docs.select("doc_id", (near & language & ~(pathway & ~school)).alias("language_gate"), (near & math).alias("math_gate"), (near & X.local_note(t, assess, context)).alias("assessment"))
-
-
-def issue_regressions(issues: DataFrame, cand: DataFrame) -> DataFrame:
-    """issue_id, status of open issues (row_id, field, expected) against a candidate run in long form (row_id, field, value)."""
-    held = issues.join(cand, ["row_id", "field"], "left")
-    status = F.when(F.col("value").isNull(), "row_missing").when(T.norm_or_blank("value") == T.norm_or_blank("expected"), "fixed").otherwise("regression")
-    return held.select("issue_id", status.alias("status"))

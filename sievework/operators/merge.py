@@ -143,16 +143,6 @@ def change_log(df: DataFrame, found: DataFrame, approved: DataFrame, fields: lis
     return ok.select("row_id", "field", "old_value", "new_value", F.when(F.col("old_value") == "", "filled").otherwise("overwritten").alias("action"))
 
 
-def promotion_gate(base: DataFrame, cand: DataFrame, fields: list[str]) -> DataFrame:
-    """One row: row counts, net coverage and why a candidate run may not be promoted."""
-    filled = sum((F.count_if(T.norm_or_blank(f) != "") for f in fields[1:]), F.count_if(T.norm_or_blank(fields[0]) != ""))
-    b = base.agg(F.count("*").alias("base_rows"), filled.alias("b"))
-    c = cand.agg(F.count("*").alias("cand_rows"), filled.alias("c"))
-    net = F.col("c") - F.col("b")
-    reasons = F.concat_ws("; ", F.when(net <= 0, "net coverage is not higher"), F.when(F.col("base_rows") != F.col("cand_rows"), "row counts differ"))
-    return b.join(c).select("base_rows", "cand_rows", net.alias("net_coverage"), reasons.alias("reasons"))  # one row each
-
-
 def named_row_violations(df: DataFrame, spec: DataFrame, fields: list[str]) -> DataFrame:
     """row_id, broken: named rows that do not have the value expected of a field."""
     long = df.select("row_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), T.norm_space(f).alias("value")) for f in fields])).alias("f")).select("row_id", "f.*")

@@ -70,12 +70,6 @@ def x17(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", X.found(t, X.PATHWAY).alias("pathway"), X.found(t, X.BROAD_CONTEXT).alias("requirement_context"))
 
 
-@query("jo10_issue_regressions", "v_canonical", "v_candidate", sql=f"SELECT v.row_id AS issue_id, CASE WHEN x.cand_id IS NULL THEN 'row_missing' WHEN {NB('x.avg_total')} = '5' THEN 'fixed' ELSE 'regression' END AS status FROM v_canonical v LEFT JOIN v_candidate x ON x.cand_id - 1 = v.row_id WHERE v.row_id % 9 = 0")
-def jo10(can: DataFrame, cand: DataFrame) -> DataFrame:
-    issues = can.filter("row_id % 9 = 0").select(F.col("row_id").alias("issue_id"), "row_id", F.lit("avg_total").alias("field"), F.lit("5").alias("expected"))
-    return P.issue_regressions(issues, cand.select((F.col("cand_id") - 1).alias("row_id"), F.lit("avg_total").alias("field"), F.col("avg_total").alias("value")))
-
-
 @query("jo18_docs_for_links", "v_docs", "v_index", sql=f"SELECT v.seq, d.doc_id FROM v_index v JOIN v_docs d ON {UK('v.source_url')} = {UK('d.url')} WHERE {UK('v.source_url')} <> ''")
 def jo18(docs: DataFrame, index: DataFrame) -> DataFrame:
     """The captured page of each link, by URL key."""

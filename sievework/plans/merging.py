@@ -163,11 +163,6 @@ def mg12(can: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("canonical_"), F.lpad((F.col("row_id") + 1).cast("string"), 6, "0")).alias("index_row_id"), "institution", F.col("program").alias("program_name"), F.col("credential_type").alias("credential"), F.col("program_url").alias("source_url"))
 
 
-@query("qa05_promotion_gate", "v_canonical", "v_candidate", sql=f"WITH d AS (SELECT (SELECT count(*) FROM v_candidate) AS c, (SELECT count(*) FROM v_canonical) AS b, (SELECT {' + '.join(f'count(*) FILTER (WHERE {NB(f)} <> {chr(39)*2})' for f in FIELDS)} FROM v_candidate) - (SELECT {' + '.join(f'count(*) FILTER (WHERE {NB(f)} <> {chr(39)*2})' for f in FIELDS)} FROM v_canonical) AS net) SELECT b AS base_rows, c AS cand_rows, net AS net_coverage, concat_ws('; ', CASE WHEN net <= 0 THEN 'net coverage is not higher' END, CASE WHEN b <> c THEN 'row counts differ' END) AS reasons FROM d")
-def qa05(base: DataFrame, cand: DataFrame) -> DataFrame:
-    return M.promotion_gate(base, cand, FIELDS)
-
-
 @query("qa07_named_rows", "v_canonical", sql="SELECT row_id, CASE WHEN requirement_type <> 'placement_assessment' THEN 'requirement_type' END AS broken FROM v_canonical WHERE row_id % 100 = 10 AND requirement_type <> 'placement_assessment'")
 def qa07(can: DataFrame) -> DataFrame:
     spec = can.filter("row_id % 100 = 10").select("row_id", F.lit("requirement_type").alias("field"), F.lit("placement_assessment").alias("expected"))

@@ -93,6 +93,31 @@ VIEWS = {
 }
 
 
+def _run(shift: int, blanks: int, confidence: bool) -> str:
+    """SQL of a run's row for each part: 15 fields, some blank, some written otherwise; with their confidences if asked."""
+    names = "min_avg_final competitive_final competitive_floor_numeric avg_total english_req english_min math_req math_min social_req social_min science_req science_min elective_qty elective_pool requirement_type".split()
+    word = "concat(CASE WHEN p_partkey % 11 = {i} THEN '  V ' ELSE 'v' END, CAST((p_size + p_partkey * {s}) % (9 + {i}) AS STRING))"
+    fields = [f"CASE WHEN p_partkey % {blanks + i % 4} = {i % 3} THEN '' ELSE {word.format(i=i % 11, s=shift + i % 2)} END AS {n}" for i, n in enumerate(names)]
+    if confidence:
+        fields += [f"CASE (p_partkey + {i}) % 4 WHEN 0 THEN ' High' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE '' END AS {n}_confidence" for i, n in enumerate(names)]
+    return ", ".join(fields)
+
+
+_NAMED = f"{_INST} AS institution, concat(p_name, ' ', CAST(p_partkey % 40 AS STRING))"
+_ADDRESS = "concat('https://school.example.org/p/', CAST(p_partkey % 300 AS STRING))"
+VIEWS |= {
+    "v_run_base": f"SELECT p_partkey AS seq, p_partkey AS row_no, printf('canonical_%06d', p_partkey) AS index_row_id, {_NAMED} AS program_name, {_NAMED.partition(' AS institution, ')[2]} AS program, p_brand AS credential, p_brand AS credential_type, {_ADDRESS} AS source_url, {_ADDRESS} AS program_url, {_run(1, 3, False)} FROM {{part}}",
+    "v_run_cand": f"""SELECT p_partkey AS seq, CASE p_partkey % 4 WHEN 0 THEN printf('canonical_%06d', p_partkey) WHEN 1 THEN printf('Canonical_%06d', p_partkey - p_partkey % 3) WHEN 2 THEN 'canonical_x' ELSE '' END AS index_row_id, {_NAMED.replace("concat(p_name", "concat(upper(p_name)")} AS program_name,
+      CASE WHEN p_partkey % 9 = 2 THEN '' ELSE p_brand END AS credential, CASE WHEN p_partkey % 5 = 1 THEN concat({_ADDRESS}, '/x') ELSE {_ADDRESS} END AS source_url, CASE WHEN p_partkey % 31 = 3 THEN 'timeout' ELSE '' END AS error, CASE p_partkey % 7 WHEN 0 THEN 'Night' WHEN 1 THEN 'day' ELSE '' END AS profile, {_run(2, 4, True)} FROM {{part}} WHERE p_partkey % 13 <> 6""",
+    "v_issues": f"""SELECT p_partkey AS issue_id, CASE p_partkey % 6 WHEN 0 THEN 'irrelevant_program' WHEN 1 THEN 'Min_Average' WHEN 2 THEN 'avg_total' WHEN 3 THEN 'required_course' WHEN 4 THEN 'layout' ELSE 'competitive_guidance' END AS issue_type,
+      CASE p_partkey % 5 WHEN 0 THEN 'Minimum-Average' WHEN 1 THEN 'math req' WHEN 2 THEN '' WHEN 3 THEN 'elective_pool' ELSE 'English_Req' END AS field_name, CASE WHEN p_partkey % 3 = 0 THEN printf('CANONICAL_%06d', p_partkey + p_partkey % 2) ELSE '' END AS canonical_row_id,
+      {_NAMED} AS program, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END AS credential, CASE WHEN p_partkey % 3 = 2 THEN '' ELSE {_ADDRESS} END AS program_url, CASE p_partkey % 10 WHEN 0 THEN ' ' WHEN 1 THEN 'Drop' ELSE concat('V', CAST((p_size + p_partkey * 2) % 9 AS STRING)) END AS expected_value,
+      CASE p_partkey % 8 WHEN 0 THEN 'Resolved' WHEN 1 THEN 'ignore' ELSE 'open' END AS status, CASE WHEN p_partkey % 2 = 0 THEN 'Approved_Overwrite' ELSE '' END AS approval_state FROM {{part}} WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0""",
+    "v_decided_base": f"SELECT p_partkey AS seq, {_NAMED} AS program_name, {_ADDRESS} AS source_url, CASE WHEN p_partkey % 3 = 0 THEN 'drop' ELSE 'keep' END AS decision, CASE WHEN p_partkey % 4 = 0 THEN 'dropped_blocked_url' WHEN p_partkey % 4 = 1 THEN 'dropped_not_in_seed' ELSE 'kept' END AS reason_code FROM {{part}}",
+    "v_decided_cand": f"SELECT p_partkey AS seq, {_NAMED} AS program_name, {_ADDRESS} AS source_url, CASE WHEN p_partkey % 2 = 0 THEN 'Drop ' ELSE 'keep' END AS decision, CASE WHEN p_partkey % 4 = 0 THEN 'Dropped_Blocked_Name' WHEN p_partkey % 4 = 1 THEN 'dropped_not_in_seed' ELSE 'kept' END AS reason_code FROM {{part}}",
+}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in re.findall(r"\{(\w+)\}", text)}
