@@ -5,7 +5,8 @@ are divided by the pages of the host; lines on at least ``min_pages`` pages whos
 boilerplate of that host and are dropped from its pages. Lines are counted by 64-bit hash, at most once a page,
 with a partial sum before the shuffle, so a line that a third of all pages share is a few rows. A host's
 boilerplate is gathered in one array: as ratios of a host's lines sum to its mean lines a page, it holds at most
-(mean lines a page) / ratio hashes however many pages the host has.
+(mean lines a page) / ratio hashes however many pages the host has. A page's lines are intersected with it by hash sets,
+and what is shared is marked by sorting, so the work on a page grows with its lines and not with their square.
 
 Lines are cut once: pages with their lines are written to the shared folder, counted and then read again. Hidden
 elements end at their own closing tag or with the text; every pattern passes over a text once, however long it is.
@@ -16,8 +17,11 @@ are pages of their own; an empty table gives no rows. Columns named as the added
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
 from sievework.llm.common import cut, maybe_broadcast, table, without, written
 
@@ -38,6 +42,12 @@ def page_lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: x != "")
 
 
+@F.pandas_udf(ArrayType(BooleanType()))
+def _among(lines: pd.Series, shared: pd.Series) -> pd.Series:
+    """Which lines of a page are among those that it shares, by hash: both are sorted once, however many they are."""
+    return pd.Series([np.isin(a, b) for a, b in zip(lines, shared, strict=True)], dtype=object)
+
+
 def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, keep: list[str] | None = None) -> DataFrame:
     """pages (url, html and others) with host, n_lines, n_dropped and kept_text; keep: which of their columns to return."""
     pages = without(pages, *ADDED)
@@ -53,8 +63,9 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MI
     common = cut(common.groupBy("host").agg(F.collect_list("line").alias("boilerplate")))
     rows = common.agg(F.coalesce(F.sum(F.size("boilerplate")), F.lit(0))).first()[0]
     held = lined.join(maybe_broadcast(common, rows), "host", "left")
-    kept = F.filter("page_lines", lambda x: ~F.coalesce(F.array_contains("boilerplate", F.xxhash64(x)), F.lit(False)))
-    held = held.withColumn("page_kept", kept)
+    every = F.transform("page_lines", lambda x: F.xxhash64(x))
+    shared = F.array_intersect(every, F.coalesce("boilerplate", F.array().cast("array<bigint>")))
+    held = held.withColumn("page_drop", _among(every, shared)).withColumn("page_kept", F.filter("page_lines", lambda x, i: ~F.get("page_drop", i)))
     n = F.size("page_lines")
     return held.select(
         *[F.col(f"`{c}`") for c in own], "host", n.alias("n_lines"), (n - F.size("page_kept")).alias("n_dropped"), F.array_join("page_kept", "\n").alias("kept_text")

@@ -7,18 +7,19 @@ to the loss. So a group's name cannot carry weight that other groups' names don'
 
 Fitting uses at most ``PER_LABEL`` rows of each label, those with the smallest hash of the id; classes are weighed
 back to their shares in all training labels. Spark counts the features of these rows, picks the ``FEATURES`` that tell
-most, and counts the swaps of their sentences by what goes and comes (only terms can, so they are few kinds; the
-``SWAP_KINDS`` most frequent are used). The driver sees chosen features only, whatever the length of a text. Scoring
-reads every text whole, in slices of bounded memory.
+most, and sums the products of what goes and comes in the swaps of all their sentences: only features of terms can, so
+the sums are a table whose size the list of terms fixes, and no swap is left out. The driver sees chosen features and
+that table only, whatever the length of a text. Scoring reads every text whole, in slices of bounded memory.
 
 Null and empty texts score the intercept. Null labels are not learned; if one label is missing, the score is the
-share of the other. Several labels for one id all count; a row without an id is scored and never learned. Very long
+share of the other. Different labels for one id all count, equal ones once; a row without an id is scored and never learned. Very long
 texts are sets of at most 2**18 features; a text without sentence ends is one sentence. Rows with equal texts get
 equal scores; an empty table gives no rows; columns of the input named as the added ones are replaced.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from sievework.llm.common import cut, extended, lowest, table, without
 from sievework.llm.langid import held_out
 
 #: Bounds of the fit and its strengths.
-PER_LABEL, FEATURES, MIN_DF, RIDGE, SWAP, STEPS, SWAP_KINDS = 4000, 1024, 4, 2e-4, 0.05, 800, 4096
+PER_LABEL, FEATURES, MIN_DF, RIDGE, SWAP, STEPS = 4000, 1024, 4, 2e-4, 0.05, 800
 BITS, PREFIX = 18, 5
 SLICE = 1 << 20
 
@@ -99,16 +100,33 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([y.as_py()], pa.int32()), pa.array([have], pa.list_(pa.int32()))], names=["toxic", "have"])
 
 
-def _swaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What goes and comes in each sentence with identity terms."""
-    pack = lambda x: x.astype(np.int32).tobytes()
-    terms = np.unique(np.concatenate([one(w) for w in SWAPS]))
+def term_features() -> np.ndarray:
+    """The features of all identity terms: no others can go or come in a swap."""
+    return np.unique(np.concatenate([one(w) for w in SWAPS]))
+
+
+def products(swaps: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray) -> np.ndarray:
+    """The sum of d d' over swaps, where d is 1 at what goes and -1 at what comes (terms x terms)."""
+    d = np.zeros((len(swaps), len(terms)), np.int64)
+    for row, (gone, come) in zip(d, swaps, strict=True):
+        row[np.searchsorted(terms, gone)], row[np.searchsorted(terms, come)] = 1, -1
+    return d.T @ d
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(at, total) of a task's texts: the places of products() that aren't 0, and at -1 the number of swaps."""
+    terms = term_features()
+    total, n = np.zeros((len(terms), len(terms)), np.int64), 0
     for b in batches:
         for text in b.column("text"):
             data, off = text_bytes(pa.array([text.as_py()], pa.string()))
             if np.isin(features(data, off)[0], terms).any():
-                rows = [(pack(g), pack(c)) for g, c in swapped(text.as_py() or "")]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (zip(*rows, strict=True) if rows else ([], []))], names=["gone", "come"])
+                found = swapped(text.as_py() or "")
+                while part := list(itertools.islice(found, 1024)):
+                    total += products(part, terms)
+                    n += len(part)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total.ravel()[at], n))], names=["at", "total"])
 
 
 def pick(df: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -121,10 +139,10 @@ def pick(df: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def solve(
-    have: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], shares: tuple[float, float], swap: float = SWAP, df: np.ndarray | None = None, times: np.ndarray | None = None
+    have: list[np.ndarray], labels: np.ndarray, swaps: np.ndarray | None, shares: tuple[float, float], swap: float = SWAP, df: np.ndarray | None = None
 ) -> tuple[np.ndarray, float]:
-    """Weights over all hashed features, and the intercept. shares: of labels 0 and 1 in all training rows; df: counts
-    of the features by label, where have holds only some of them; times: how often each swap was seen."""
+    """Weights over all hashed features, and the intercept. swaps: the mean of products() over all swaps, null if there
+    are none; shares: of labels 0 and 1 in all training rows; df: counts of the features by label, where have holds only some."""
     weights = np.zeros(1 << BITS, np.float32)
     n = np.array([(labels == 0).sum(), (labels == 1).sum()])
     if n.min() == 0:
@@ -132,12 +150,12 @@ def solve(
     if df is None:
         df = np.stack([np.bincount(np.concatenate([h for h, y in zip(have, labels, strict=True) if y == c]), minlength=1 << BITS) for c in (0, 1)])
     chosen = pick(df, n)
-    named = np.unique(np.concatenate([np.zeros(0, np.int64), *(x for s in swaps for x in s)])).astype(np.int64)
-    chosen = np.union1d(chosen, named[df.sum(0)[named] > 0]) if len(named) else np.sort(chosen)
+    terms = term_features()
+    mean = np.zeros((len(terms), len(terms))) if swaps is None else swaps
+    used = np.flatnonzero((np.diag(mean) > 0) & (df.sum(0)[terms] > 0))
+    chosen = np.union1d(chosen, terms[used])
     column = np.full(1 << BITS, -1)
     column[chosen] = np.arange(len(chosen))
-    often = np.sqrt(np.ones(len(swaps)) if times is None else times / times.mean()).astype(np.float32)[:, None]
-
     def dense(sets: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(sets), len(chosen)), np.float32)
         for i, h in enumerate(sets):
@@ -145,14 +163,16 @@ def solve(
             x[i, k[k >= 0]] = 1
         return x
 
-    x, d = dense(have), (dense([g for g, _ in swaps]) - dense([c for _, c in swaps])) * often if swaps else np.zeros((0, len(chosen)), np.float32)
+    x, at_terms, mean = dense(have), column[terms[used]], mean[np.ix_(used, used)].astype(np.float32)
     v = (np.array(shares) / n)[labels].astype(np.float32)
     v /= v.sum()
     w, b = np.zeros(len(chosen), np.float32), float(np.log(max(shares[1], 1e-6) / max(shares[0], 1e-6)))
     # Accelerated gradient steps; the bound of the curvature is found by power steps.
     z = np.ones(len(chosen), np.float32)
     for _ in range(20):
-        z = x.T @ (v * (x @ z)) / 4 + swap * (d.T @ (d @ z)) / max(len(d), 1)
+        pull = swap * (mean @ z[at_terms])
+        z = x.T @ (v * (x @ z)) / 4
+        z[at_terms] += pull
         norm = float(np.linalg.norm(z)) or 1.0
         z /= norm
     step = 1 / (1.2 * norm + RIDGE + 0.25)
@@ -162,8 +182,7 @@ def solve(
         w, b = at
         e = v * (1 / (1 + np.exp(-np.clip(x @ w + np.float32(b), -40, 40))) - goal)
         slope = e @ x + np.float32(RIDGE) * w
-        if len(d):
-            slope += np.float32(swap / len(d)) * ((d @ w) @ d)
+        slope[at_terms] += np.float32(swap) * (mean @ w[at_terms])
         new = (w - step * slope, b - float(step * e.sum()))
         push = np.float32(k / (k + 3))
         at = (new[0] + push * (new[0] - last[0]), float(new[1] + push * (new[1] - last[1])))
@@ -174,7 +193,7 @@ def solve(
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, float]:
     """A model from docs (doc_id, text) and labels (doc_id, toxic)."""
-    labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    labels = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     chosen = lowest(labels, "toxic", "doc_id", per_label).drop("at")
     total = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(16))
@@ -183,16 +202,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple
     counts = held.select("toxic", F.explode("have").alias("feature")).groupBy("feature").agg(*[F.count_if(F.col("toxic") == y).alias(f"n{y}") for y in (0, 1)])
     for f, *n in counts.collect():
         df[:, f] = n
-    kinds = rows.select("text").mapInArrow(_swaps, "gone binary, come binary").groupBy("gone", "come").count().orderBy(F.desc("count"), "gone", "come").limit(SWAP_KINDS).collect()
-    read = lambda x: np.frombuffer(bytes(x), np.int32).astype(np.int64)
-    swaps = [(read(k.gone), read(k.come)) for k in kinds]
+    summed = {r.at: r.total for r in rows.select("text").mapInArrow(_products, "at long, total long").groupBy("at").agg(F.sum("total").alias("total")).collect()}
+    seen, terms = summed.pop(-1, 0), term_features()
+    swaps = np.zeros(len(terms) ** 2)
+    swaps[list(summed)] = list(summed.values())
+    swaps = swaps.reshape(len(terms), -1) / seen if seen else None
     learned = {r.toxic: r["count"] for r in held.groupBy("toxic").count().collect()}
-    chosen = np.unique(np.concatenate([pick(df, np.array([learned.get(0, 0), learned.get(1, 0)])), *(x for s in swaps for x in s)])).astype(int)
+    chosen = np.unique(np.concatenate([pick(df, np.array([learned.get(0, 0), learned.get(1, 0)])), terms if swaps is None else terms[np.diag(swaps) > 0]])).astype(int)
     few = held.select("toxic", F.array_sort(F.array_intersect("have", F.lit(chosen.tolist()).cast("array<int>"))).alias("have"))
     found = sorted((r.toxic, r.have) for r in few.collect())
     n = sum(total.values()) or 1
-    times = np.array([k["count"] for k in kinds], np.float64)
-    return solve([np.array(h, np.int64) for _, h in found], np.array([y for y, _ in found], np.int64), swaps, (total.get(0, 0) / n, total.get(1, 0) / n), df=df, times=times if swaps else None)
+    return solve([np.array(h, np.int64) for _, h in found], np.array([y for y, _ in found], np.int64), swaps, (total.get(0, 0) / n, total.get(1, 0) / n), df=df)
 
 
 def predict(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

@@ -503,7 +503,8 @@ def test_swaps_even_out_identity_terms():
         w, b = model
         return 1 / (1 + math.exp(-(b + float(w[toxicity.one(text)].sum()))))
 
-    plain, fair = toxicity.solve(have, y, [], (0.6, 0.4)), toxicity.solve(have, y, swaps, (0.6, 0.4), swap=5.0)
+    mean = toxicity.products(swaps, toxicity.term_features()) / len(swaps)
+    plain, fair = toxicity.solve(have, y, None, (0.6, 0.4)), toxicity.solve(have, y, mean, (0.6, 0.4), swap=5.0)
     odds = lambda p: math.log(p / (1 - p))
     gap = lambda m: odds(score(m, "many muslims live there")) - odds(score(m, "many christians live there"))
     assert gap(plain) > 0.5 and abs(gap(fair)) < 0.2 * gap(plain)

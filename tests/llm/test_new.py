@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ import sentencepiece
 from conftest import SF
 from oracle import compare
 
-from sievework.llm import negatives, pieces, queries, spelling
+from sievework.llm import line_dedup, negatives, pieces, queries, spelling, toxicity
 
 CLASH = "doc_id long, text string, PIECE_IDS int, decoded string, word int"
 
@@ -219,3 +220,38 @@ def test_negatives_with_one_label_or_only_anchors(spark):
     held = negatives.quantised(frame)
     assert negatives.mine(held, held.filter("vec_id = 10")).count() == 0
     assert negatives.positives(held, held.filter("vec_id = 10").withColumn("anchor", held.vec_id)).count() == 5
+
+
+def test_lines_of_very_long_pages(spark):
+    """40,000 lines a page, half of them on all pages of the host; the work grows with the lines, not with their square."""
+    def took(n: int) -> float:
+        rows = [(k, "http://h.example/x", "<p>".join(f"shared {i}" if i % 2 else f"own {k} {i}" for i in range(n))) for k in range(4)]
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+        began = time.time()
+        got = line_dedup.drop_boilerplate(frame, keep=["page_id"]).collect()
+        assert all(r.n_lines == n and r.n_dropped == n // 2 and r.kept_text.count("\n") == n // 2 - 1 and "shared" not in r.kept_text for r in got)
+        return time.time() - began
+
+    took(1000)
+    assert took(40_000) < 4 * took(10_000) + 4
+
+
+def test_swaps_are_summed_whole(spark):
+    """The sums that Spark makes over tasks against those of all sentences, with more kinds of swaps than any bound."""
+    rng = random.Random(6)
+    words = sorted(toxicity.SWAPS)
+    texts = [". ".join(" ".join(rng.sample(words, rng.randint(1, 5))) for _ in range(6)) for _ in range(200)]
+    terms = toxicity.term_features()
+    swaps = [s for t in texts for s in toxicity.swapped(t)]
+    assert len({(g.tobytes(), c.tobytes()) for g, c in swaps}) > 800
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    got = {r.at: r["sum(total)"] for r in frame.mapInArrow(toxicity._products, "at long, total long").groupBy("at").sum("total").collect()}
+    want = toxicity.products(swaps, terms)
+    assert got.pop(-1) == len(swaps) and got == {i: int(v) for i, v in enumerate(want.ravel()) if v or i in got}
+
+
+def test_repeated_labels_count_once(spark):
+    docs = spark.createDataFrame([(i, f"you scum {i}" if i % 2 else f"nice day {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    once, often = toxicity.fit(docs, labels), toxicity.fit(docs, labels.union(labels.filter("doc_id = 1")).union(labels.filter("doc_id = 1")))
+    assert once[1] == often[1] and (once[0] == often[0]).all()
