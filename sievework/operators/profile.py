@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.operators import adapters as A
 from sievework.operators import extract as X
 from sievework.operators import quality as Q
 
@@ -88,7 +89,7 @@ def page_facts(docs: DataFrame) -> DataFrame:
     """What each page (program_id, doc_seq, url, text) says, before anything is known of the others."""
     t, low, url, broad = F.col("t"), F.col("low"), F.col("url"), F.col("broad")
     has = lambda *words: X.holds(low, *words)
-    pages = docs.select("program_id", "doc_seq", F.coalesce("url", F.lit("")).alias("url"), T.norm_space("text").alias("t"), X.broad_source(F.col("url")).alias("broad")).filter("t <> ''").withColumn("low", F.lower("t"))
+    pages = A.adapted(docs).select("program_id", "doc_seq", "adapter", "trimmed_away", F.coalesce("url", F.lit("")).alias("url"), F.col("text").alias("t"), X.broad_source(F.col("url")).alias("broad")).filter("t <> ''").withColumn("low", F.lower("t"))
     tests = "|".join(p for p, _ in X.TESTS)
     math_gate = None
     for pattern in MATH_GATES:
@@ -96,8 +97,7 @@ def page_facts(docs: DataFrame) -> DataFrame:
         math_gate = F.when(*option) if math_gate is None else math_gate.when(*option)
     assess = has("assessment", "placement test", "accuplacer")
     read = pages.select(
-        "program_id", "doc_seq", "url", "broad", F.substring("t", 1, 240).alias("head"),
-        F.when(has("average of", "admission subject", "based on"), X.average_count(t)).alias("avg"),
+        "program_id", "doc_seq", "url", "broad", "adapter", "trimmed_away", F.substring("t", 1, 240).alias("head"), *[c.alias(n) for n, c in A.average_facts(t, F.col("adapter")).items()],
         F.when(has("average"), X.minimum_average(t)).alias("least"),
         F.when(has("competitive"), X.competitive(t)).alias("comp"),
         F.when(has("20-", "30-") & has("english", "ela"), subject_facts(t, X.ENGLISH, "English")).alias("english"),
@@ -174,17 +174,16 @@ def _field(value, confidence, rule, snippet, url) -> Column:
 
 def program_profiles(docs: DataFrame) -> DataFrame:
     """program_id and a struct (value, confidence, rule_id, snippet, source_url) for each of FIELDS, null where nothing was found."""
-    pages = _gates(page_facts(docs))
+    facts = page_facts(docs)
+    pages = _gates(A.settled(facts) if "institution" in docs.columns else facts)
     url, seq = F.col("url"), F.col("doc_seq")
     best = []
     for name, (value, sure, rule, shown) in _candidates().items():
         sure = sure if isinstance(sure, Column) else F.lit(sure)
         order = F.struct(X.rank(sure), F.length(value), seq, value)
         best.append(F.max_by(_field(value, sure, rule, shown, url), F.when(F.coalesce(value, F.lit("")) != "", order)).alias(name))
-    place = F.array_position(F.array(*[F.lit(r) for *_, r in X.AVERAGE_COUNTS]), F.col("avg.rule_id"))
-    first = F.min_by("avg", F.when(F.col("avg").isNotNull(), F.struct(place, seq)))
-    held = pages.groupBy("program_id").agg(*best, first.alias("avg"), F.min_by(url, seq).alias("url"), F.min_by("head", seq).alias("head"), F.max("pathway").alias("pathway"))
-    held = held.withColumn("avg_total", F.when(F.col("avg").isNotNull(), _field(F.col("avg.value"), F.col("avg.confidence"), F.col("avg.rule_id"), F.col("avg.snippet"), url)))
+    held = pages.groupBy("program_id").agg(*best, *A.average_aggregates(seq), F.min_by(url, seq).alias("url"), F.min_by("head", seq).alias("head"), F.max("pathway").alias("pathway"))
+    held = held.withColumn("avg", A.average_total()).withColumn("avg_total", F.when(F.col("avg").isNotNull(), _field(F.col("avg.value"), F.col("avg.confidence"), F.col("avg.rule_id"), F.col("avg.snippet"), url)))
     return _defaults(held).select("program_id", *FIELDS)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
+from sievework.operators import adapters as A
 from sievework.operators import extract as X
 from sievework.operators import profile as P
 from sievework.plans.keys import NS
@@ -28,6 +29,31 @@ def x07(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", X.average_count(T.norm_space("text")).alias("a")).select("doc_id", "a.value", "a.rule_id")
 
 
+_STARTS = ("Minimum entrance requirements", "High School Course Pathway", "About the program", "About the Program", "Academic requirements")
+_ENDS = ("Not ready to apply yet?", "Stay connected Sign up to receive updates on NAIT programs, services, and events.", "Work at NAIT Emergency", "Contact us View Frequently Asked Questions", "Privacy Policy Terms of Use")
+_ordered = [("five required grade 12 subjects?", "macewan ualberta", 5, "high", "five_required_grade12"), ("five acceptable grade 12 subjects?", "macewan", 5, "high", "five_acceptable_grade12"), ("five 30-level subjects?", "nait", 5, "high", "five_30_level_subjects"), ("average calculated on five", "nait", 5, "high", "average_calculated_on_five")]
+_ordered += [("average of the best five", "norquest", 5, "high", "best_five_average"), ("five grade 12 subjects?", "norquest", 5, "medium", "five_grade12_subjects"), ("admission average .* five subjects?", "ualberta", 5, "high", "admission_average_five_subjects")]
+_ordered += [(p, "", v, "high", r) for p, v, r in (("average of five", 5, "avg_of_five"), ("five admission subjects?", 5, "five_admission_subjects"), ("based on five (?:courses|subjects)", 5, "based_on_five"), ("average of four", 4, "avg_of_four"), ("four admission subjects?", 4, "four_admission_subjects"))]
+_said_here = lambda p, who: f"regexp_matches(t, '(?i)\\b{p}\\b')" + (f" AND list_contains(string_split('{who}', ' '), a)" if who else "")
+_digits = lambda p: f"try_cast(regexp_extract(t, '(?i)\\b{p}', 1) AS INTEGER)"
+
+
+@query(
+    "x07_adapter_average", "v_adapted",
+    sql=f"""WITH d AS (SELECT program_id, doc_seq, CASE upper(trim(institution)) WHEN 'NAIT' THEN 'nait' WHEN 'MACEWAN UNIVERSITY' THEN 'macewan' WHEN 'NORQUEST' THEN 'norquest' WHEN 'UNIVERSITY OF ALBERTA' THEN 'ualberta' ELSE '' END AS a, {NS("text")} AS t FROM v_adapted),
+      s AS (SELECT *, substr(t, coalesce({", ".join(f"nullif(strpos(t, '{m}'), 0)" for m in _STARTS)}, 1)) AS u, contains(t, 'Content is loading...') AND coalesce({", ".join(f"nullif(strpos(t, '{m}'), 0)" for m in _STARTS)}, 0) = 0 AS shell FROM d),
+      e AS (SELECT *, list_min(list_filter([{", ".join(f"strpos(u, '{m}')" for m in _ENDS)}], lambda i: i > 1)) AS stop FROM s), k AS (SELECT program_id, doc_seq, a, t, CASE WHEN a <> 'nait' THEN t WHEN shell THEN '' WHEN stop IS NULL THEN trim(u) ELSE trim(substr(u, 1, stop - 1)) END AS w FROM e),
+      docs AS (SELECT program_id, doc_seq, a, CASE WHEN w = '' THEN t ELSE w END AS t FROM k WHERE t <> '' QUALIFY w <> '' OR bool_and(w = '') OVER (PARTITION BY program_id)),
+      joined AS (SELECT program_id, any_value(a) AS a, string_agg(t, ' ' ORDER BY doc_seq) AS t FROM docs GROUP BY 1),
+      hit AS (SELECT program_id, CASE {" ".join(f"WHEN {_said_here(p, w)} THEN ({v}, '{c}', '{r}')" for p, w, v, c, r in _ordered)} WHEN {_digits("average of ([0-9]+)")} BETWEEN 1 AND 10 THEN ({_digits("average of ([0-9]+)")}, 'medium', 'avg_of_number')
+        WHEN {_digits("based on ([0-9]+) (?:courses|subjects)")} BETWEEN 1 AND 10 THEN ({_digits("based on ([0-9]+) (?:courses|subjects)")}, 'medium', 'based_on_number') WHEN a IN ('nait', 'ualberta') AND regexp_matches(t, '(?i)\\badmission average\\b') THEN (5, 'low', a || '_default_five') END AS x FROM joined)
+      SELECT program_id, x[1]::INTEGER AS value, x[2] AS confidence, x[3] AS rule_id FROM hit WHERE x IS NOT NULL""",
+)
+def x07_adapters(docs: DataFrame) -> DataFrame:
+    """The course count of every program by the rules of its institution, the general ones and the default."""
+    return A.average_totals(docs).drop("snippet")
+
+
 _low = [(f"try_cast({GET(p, 1)} AS INTEGER) BETWEEN 0 AND 100", f"try_cast({GET(p, 1)} AS INTEGER)") for p in X.MINIMUM_AVERAGES]
 
 

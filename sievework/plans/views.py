@@ -71,6 +71,10 @@ VIEWS = {
         WHEN 4 THEN 'Each subject must be >= 60' WHEN 5 THEN 'Two admission subjects must be from Groups A/B' WHEN 6 THEN concat('Options C: max 1 course; up to 1 from Group D', chr(39), 's courses') WHEN 7 THEN 'Maximum two from Group B electives'
         WHEN 8 THEN 'Three admission subjects must be from group A, B or C; 1 more from groups D/A. Two admission subjects must be from groups C' WHEN 9 THEN 'Two additional admission subject from groups B or B; two additional from Group B'
         WHEN 10 THEN 'no more than 3 Group A; each subject must be >55 and Option D max 0' WHEN 11 THEN 'minimum mark of 60% in each; two groups A' WHEN 12 THEN 'Groups A, B, C and D' WHEN 13 THEN 'OPTION B electives - AT  MOST THREE' ELSE '' END) AS text FROM {documents} WHERE text IS NOT NULL""",
+    "v_adapted": """SELECT doc_id, CAST(floor(doc_id / 3) AS BIGINT) AS program_id, CAST(doc_id % 3 AS INT) AS doc_seq, CASE CAST(floor(doc_id / 3) AS BIGINT) % 6 WHEN 0 THEN 'NAIT' WHEN 1 THEN 'MacEwan University ' WHEN 2 THEN 'norquest' WHEN 3 THEN 'University of Alberta' WHEN 4 THEN ' nait' ELSE 'North' END AS institution,
+      concat(CASE WHEN doc_id % 7 = 2 THEN 'Content is loading... average of four ' ELSE '' END, text, ' ', CASE doc_id % 13 WHEN 0 THEN 'Academic requirements: five 30-level subject. Privacy Policy Terms of Use average of four' WHEN 1 THEN 'An average calculated on FIVE.' WHEN 2 THEN 'five required Grade 12 subjects, average of four'
+        WHEN 3 THEN 'Five acceptable grade 12 subjects' WHEN 4 THEN 'the average of the best five' WHEN 5 THEN 'five Grade 12 subjects and four admission subjects' WHEN 6 THEN 'The admission average is over five subjects.' WHEN 7 THEN 'Admission average is looked at; based on 3 courses'
+        WHEN 8 THEN 'An admission average. Not ready to apply yet? average of 2' WHEN 9 THEN 'About the program average of 12' WHEN 10 THEN 'their five subjects' ELSE '' END) AS text FROM {documents} WHERE text IS NOT NULL""",
     "v_pages": """SELECT page_id, url, concat(html, '<a href="/admission-requirements">Admission requirements</a><a class=x href="how-to-apply?id=', CAST(page_id % 7 AS STRING), '">How to <b>apply</b></a><a href="https://other.example.io/admissions">Else</a><a href="guide.pdf">English guide</a>') AS html FROM {pages}""",
     "v_samples": """SELECT s_suppkey AS seq, CASE s_suppkey % 3 WHEN 0 THEN ' North ' WHEN 1 THEN 'South  End' ELSE '' END AS institution, concat('Red  Ring #', CAST(s_suppkey % 25 AS STRING), ' (Dip.)') AS program,
       CASE s_suppkey % 3 WHEN 0 THEN 'Diploma' ELSE ' Degree' END AS credential, CASE s_suppkey % 4 WHEN 0 THEN 'Active ' ELSE '' END AS status,
