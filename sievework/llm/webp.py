@@ -6,7 +6,7 @@ subtract-green and palette transforms. Symbols are looked up in tables by the ne
 a stretch of bit positions at a time, so work arrays stay small whatever the image's size.
 
 ``encode`` uses all of these but meta codes and cross-colour: a palette for few colours; else whichever of the image as
-it is, subtract-green, and prediction from the left or from above has the least entropy; then back-references for runs, a
+it is, subtract-green, and prediction from the left or from above has the least entropy in rows spread over it; then back-references for runs, a
 colour cache and prefix codes, of one fixed model of text for small images and of their own counts for larger ones.
 A payload of bytes is stored as 8-bit R, G, B, A samples in rows of ROW pixels, up to 16384 rows an image; longer
 payloads take several images, one after the other. Each stored form is a run of complete RIFF files.
@@ -723,7 +723,7 @@ def encode(pixels: np.ndarray) -> bytes:
     out.put(0, 3)
     raw = np.ascontiguousarray(pixels).view("<u4").reshape(-1)
     flat = raw & 0xFF00FF00 | (raw & 255) << 16 | raw >> 16 & 255
-    px = lambda rows=None: pixels[:rows, :, [3, 0, 1, 2]].astype(np.int64)
+    px = lambda rows=slice(None): pixels[rows, :, [3, 0, 1, 2]].astype(np.int64)
     few = np.unique(flat[:256])
     colours = np.unique(flat) if len(few) <= 16 else few
     if len(colours) <= 16:
@@ -741,8 +741,10 @@ def encode(pixels: np.ndarray) -> bytes:
         out.put(0, 1)
         put_image(out, (index.reshape(-1) << 8 | 0xFF000000).astype(np.uint32), True)
     else:
-        sample = px(max(1, 512 // w))
-        way = min(_WAYS, key=lambda k: (_cost(_WAYS[k](sample).reshape(-1, 4)), k))
+        # Rows spread over the whole image, each with the one above it.
+        rows = np.unique(np.linspace(min(1, h - 1), h - 1, max(4, min(16, 2048 // w))).astype(int))
+        pairs = [px(slice(max(r - 1, 0), r + 1)) for r in rows]
+        way = min(_WAYS, key=lambda k: (_cost(np.concatenate([_WAYS[k](p)[-1] for p in pairs])), k))
         if way == 3:
             out.put(1, 1)
             out.put(SUBTRACT_GREEN, 2)
