@@ -13,15 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def best_fuzzy_match(left: DataFrame, right: DataFrame, min_score: float, gap: float, policy: str = "gap") -> DataFrame:
-    """left (id, block, tokens) against right (id, block, tokens, name, url): left_id, right_id, score, status.
-
-    The best score of at least min_score wins. Policies for others within the gap: 'gap' allows none, 'distinct_name'
-    those of one name, 'distinct_url' those of one name or one URL. status: matched, ambiguous or none.
-    """
-    ls = left.select("block", "tokens").distinct().withColumn("ls", F.xxhash64("block", "tokens"))
-    rs = right.select("block", "tokens").distinct().withColumn("rs", F.xxhash64("block", "tokens"))
-    least = max(min_score - gap, 1e-6) - 1e-9
+def similar_sets(ls: DataFrame, rs: DataFrame, least: float) -> DataFrame:
+    """ls, rs, ls_size, rs_size, both of all pairs of sets (block, tokens, ls) and (block, tokens, rs) of one block whose
+    common share is ``least`` or more, and of some below it; ls and rs name distinct sets."""
     often = rs.select("block", F.explode("tokens").alias("token")).groupBy("block", "token").agg(F.count("*").alias("often"))
 
     def prefixes(sets: DataFrame, name: str) -> DataFrame:
@@ -34,7 +28,19 @@ def best_fuzzy_match(left: DataFrame, right: DataFrame, min_score: float, gap: f
     pairs = prefixes(ls, "ls").join(prefixes(rs, "rs"), ["block", "token"])
     fits = F.least("ls_size", "rs_size") >= least * F.greatest("ls_size", "rs_size")
     pairs = pairs.filter(fits).select("ls", "rs", "ls_size", "rs_size").distinct()
-    pairs = pairs.join(ls.select("ls", F.col("tokens").alias("l")), "ls").join(rs.select("rs", F.col("tokens").alias("r")), "rs").withColumn("both", F.size(F.array_intersect("l", "r")))
+    pairs = pairs.join(ls.select("ls", F.col("tokens").alias("l")), "ls").join(rs.select("rs", F.col("tokens").alias("r")), "rs")
+    return pairs.select("ls", "rs", "ls_size", "rs_size", F.size(F.array_intersect("l", "r")).alias("both"))
+
+
+def best_fuzzy_match(left: DataFrame, right: DataFrame, min_score: float, gap: float, policy: str = "gap") -> DataFrame:
+    """left (id, block, tokens) against right (id, block, tokens, name, url): left_id, right_id, score, status.
+
+    The best score of at least min_score wins. Policies for others within the gap: 'gap' allows none, 'distinct_name'
+    those of one name, 'distinct_url' those of one name or one URL. status: matched, ambiguous or none.
+    """
+    ls = left.select("block", "tokens").distinct().withColumn("ls", F.xxhash64("block", "tokens"))
+    rs = right.select("block", "tokens").distinct().withColumn("rs", F.xxhash64("block", "tokens"))
+    pairs = similar_sets(ls, rs, max(min_score - gap, 1e-6) - 1e-9)
     pairs = pairs.select("ls", "rs", (F.col("both") / (F.col("ls_size") + F.col("rs_size") - F.col("both"))).alias("score"))
     best = F.max("score").over(Window.partitionBy("ls"))
     near = pairs.withColumn("best", best).filter((F.col("best") >= min_score) & (F.col("best") - F.col("score") < gap))

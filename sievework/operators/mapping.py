@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.operators import extract as X
+from sievework.operators.fuzzy import similar_sets
 from sievework.operators.merge import resolve_override
 
 # Bonus of equal and malus of different credential classes in a fuzzy score.
@@ -97,8 +98,10 @@ def map_program_urls(rows: DataFrame, index: DataFrame, min_score: float = 0.5,
     open_ = held.filter(~blank & (F.col("old") == "") & F.col("full").isNull() & F.col("short").isNull())
     ls = open_.select("inst", "tokens", "cls").distinct().withColumn("ls", F.xxhash64("inst", "tokens", "cls"))
     rs = right.select("inst", "tokens", "cls").distinct().withColumn("rs", F.xxhash64("inst", "tokens", "cls"))
-    pairs = ls.select("inst", "ls", F.col("cls").alias("lc"), F.size("tokens").alias("ln"), F.explode("tokens").alias("token")).join(rs.select("inst", "rs", F.col("cls").alias("rc"), F.size("tokens").alias("rn"), F.explode("tokens").alias("token")), ["inst", "token"])
-    pairs = pairs.groupBy("ls", "rs", "lc", "rc", "ln", "rn").agg(F.count("*").alias("both"))
+    # What a bonus can add and the gap can take decides how alike two names must be at least.
+    named = lambda df, side: df.select(F.col("inst").alias("block"), "tokens", side)
+    pairs = similar_sets(named(ls, "ls"), named(rs, "rs"), max(min_score - gap - SAME_CLASS, 1e-6) - 1e-9).withColumnsRenamed({"ls_size": "ln", "rs_size": "rn"}).filter("both > 0")
+    pairs = pairs.join(ls.select("ls", F.col("cls").alias("lc")), "ls").join(rs.select("rs", F.col("cls").alias("rc")), "rs")
     base = F.col("both") / (F.col("ln") + F.col("rn") - F.col("both"))
     bonus = F.when((F.col("lc") == "other") | (F.col("rc") == "other"), 0.0).when(F.col("lc") == F.col("rc"), SAME_CLASS).otherwise(OTHER_CLASS)
     pairs = pairs.select("ls", "rs", base.alias("base"), (base + bonus).alias("score"))
