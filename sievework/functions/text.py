@@ -259,7 +259,7 @@ def display_requirement(subject: str, text: Column | str, mode: Column) -> Colum
         t = F.regexp_replace(t, pattern, name)
     t = norm_space(F.regexp_replace(t, r"\s*/\s*", " or "))
     t = F.regexp_replace(t, f"^{code}$", f"{prefix} $1")
-    t = F.regexp_replace(t, rf"^{code}\s+or\s+{code}$", f"{prefix} $1 or {prefix} $2")
+    t = F.regexp_replace(t, rf"(?i)^(?:{prefix}\s+)?{code}\s+or\s+{code}$", f"{prefix} $1 or {prefix} $2")
     gate = F.when(mode == "placement_assessment", "Placement assessment")
     if subject == "english":
         gate = gate.when(mode == "elp", "English language proficiency")

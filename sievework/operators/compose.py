@@ -1,4 +1,4 @@
-"""Composed stages: the canonical merge, evaluation results with messages, rebuilds from seeds."""
+"""Composed stages: overrides by row, evaluation results with messages, rebuilds from seeds, gates of pages."""
 
 from __future__ import annotations
 
@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import text as T
-from sievework.operators import curation as C
 from sievework.operators import extract as X
-from sievework.operators import merge as M
-from sievework.operators import quality as Q
 from sievework.operators.fuzzy import best_fuzzy_match
 
 
@@ -21,43 +18,6 @@ def apply_overrides(df: DataFrame, overrides: DataFrame, fields: list[str]) -> D
     return held.select(*[url.alias(c) if c == "program_url" else pick(c).alias(c) if c in fields else F.col(c) for c in df.columns])
 
 
-def final_normalise(df: DataFrame) -> DataFrame:
-    """Requirement type again; placement clears the average count; course rows without averages become course_min_only; pathways force two flags."""
-    df = df.withColumn("requirement_type", Q.normalise_requirement_type(df))
-    kind = F.lower(F.col("requirement_type"))
-    placement, pathway = F.startswith(kind, F.lit("placement_assessment")), F.startswith(kind, F.lit("post_secondary_pathway"))
-    no_average = T.is_blank("min_avg_final") & T.is_blank("avg_total")
-    minimum = ~T.is_blank("english_min") | ~T.is_blank("math_min")
-    course_only = F.startswith(kind, F.lit("alberta_high_school_courses")) & no_average & minimum
-    return df.withColumns(
-        {
-            "avg_total": F.when(placement, "").otherwise(F.col("avg_total")),
-            "requirement_type": F.when(course_only, F.regexp_replace("requirement_type", "(?i)^alberta_high_school_courses", "course_min_only")).otherwise(F.col("requirement_type")),
-            "hs_diploma_req": F.when(pathway, "No").otherwise(F.col("hs_diploma_req")),
-            "math_assessment_flag": F.when(pathway, "No").otherwise(F.col("math_assessment_flag")),
-        }
-    )
-
-
-def build_canonical(raw: DataFrame, structured: DataFrame, rules: DataFrame, overrides: DataFrame, fields: list[str]) -> DataFrame:
-    """The canonical table under a fixed precedence: raw, structured values, inference, rulesets, overrides, last normalisation, first rows.
-
-    Every step is a narrow projection or a join on the row or rule key, so the plan shuffles the table once per keyed
-    input, and once for the last de-duplication.
-    """
-    df = M.apply_structured(raw, structured, fields, low=fields)
-    for s in ("english", "math"):
-        mode = T.requirement_mode(s, f"{s}_req", f"{s}_requirement_mode")
-        df = df.withColumns({f"{s}_req": T.display_requirement(s, f"{s}_req", mode), f"{s}_requirement_mode": mode})
-    df = df.withColumn("competitive_final", T.clean_competitive("competitive_final"))
-    inferred = Q.infer_average_total()
-    df = df.withColumn("avg_total", F.when(T.is_blank("avg_total"), inferred).otherwise(F.col("avg_total")))
-    df = M.apply_average_rules(df, rules)
-    df = apply_overrides(df, overrides, ["requirement_type", "min_avg_final"])
-    df = final_normalise(df).withColumn("display_for_high_school", Q.display_flag())
-    return C.first_per_key(df, [F.lower(T.norm_space(c)) for c in ("institution", "program", "credential_type", "program_url")], "row_id")
-
-
 def rebuild_from_seed(seeds: DataFrame, rows: DataFrame) -> DataFrame:
     """One row per seed: the fields of its fuzzy match, or a placeholder; never a seed lost or doubled."""
     tokens = lambda d, n: d.select(F.col(d.columns[0]).alias("id"), F.col("institution").alias("block"), T.program_tokens(n).alias("tokens"), T.name_key(n).alias("name"), T.url_key("program_url" if "program_url" in d.columns else "source_url").alias("url"))

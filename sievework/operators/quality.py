@@ -68,13 +68,13 @@ def review_queue(df: DataFrame) -> DataFrame:
     return df.select("row_id", F.array_join(codes, "|").alias("reason_codes")).filter("reason_codes <> ''")
 
 
-def normalise_requirement_type(df: DataFrame) -> Column:
+def normalise_requirement_type(df: DataFrame, value: Column | str = "requirement_type") -> Column:
     """The requirement type as a token with notes, from the text and from what the other columns say."""
-    text = F.trim(F.regexp_replace(T.norm_space("requirement_type"), r"(?i);\s*notes:\s*notes:\s*", "; notes: "))
+    text = F.trim(F.regexp_replace(T.norm_space(value), r"(?i);\s*notes:\s*notes:\s*", "; notes: "))
     low = F.lower(text)
     course = lambda s: (T.requirement_mode(s, f"{s}_req", f"{s}_requirement_mode") == "course") & (T.norm_space(f"{s}_req") != "")
     subject = course("english") | course("math") | T.any_of([T.norm_space(c) != "" for c in ("social_req", "science_req", "min_avg_final", "elective_qty")])
-    minimum = T.any_of([T.norm_space(c) != "" for c in ("english_min", "math_min")])
+    minimum = T.any_of([T.norm_space(c) != "" for c in ("english_min", "math_min", "social_min", "science_min") if c in df.columns])
     average = (T.norm_space("min_avg_final") != "") | (T.norm_space("avg_total") != "")
     academic, assessed = subject | average, F.lower(T.norm_space("math_assessment_flag")) == "yes"
     token = F.when(~average & minimum, "course_min_only").otherwise("alberta_high_school_courses")

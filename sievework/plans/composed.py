@@ -10,7 +10,6 @@ from sievework.operators import compose as P
 from sievework.operators import evaluate as E
 from sievework.operators import extract as X
 from sievework.operators import merge as M
-from sievework.plans.curation import FIELDS
 from sievework.plans.evaluation import _MARKS
 from sievework.plans.keys import HTTP, NB, NK, NS, TOKENS, UK
 from sievework.plans.registry import query
@@ -22,19 +21,6 @@ def mg06(can: DataFrame) -> DataFrame:
     return P.apply_overrides(can, ov, ["min_avg_final"]).select("row_id", "min_avg_final", "program_url")
 
 
-@query("mg07_final_normalise", "v_canonical")
-def mg07(can: DataFrame) -> DataFrame:
-    return P.final_normalise(can).select("row_id", "requirement_type", "avg_total", "hs_diploma_req", "math_assessment_flag")
-
-
-@query("mg09_build_canonical", "v_canonical", "v_candidate")
-def mg09(can: DataFrame, cand: DataFrame) -> DataFrame:
-    structured = cand.select((F.col("cand_id") - 1).alias("row_id"), "confidence", *FIELDS)
-    rules = can.sparkSession.createDataFrame([("degree", 5), ("diploma", 5)], "scope string, rule_total int")
-    ov = can.filter("row_id % 5 = 3").select("row_id", F.lit("").alias("requirement_type"), F.lit("77").alias("min_avg_final"), F.lit("https://fixed.example.org/x").alias("program_url"))
-    return P.build_canonical(can, structured, rules, ov, FIELDS)
-
-
 @query(
     "ma02_rebuild_from_seed", "v_seed", "v_canonical",
     sql=f"""WITH l AS (SELECT seq AS id, institution AS block, {TOKENS('program_name')} AS tk FROM v_seed), r AS (SELECT row_id AS id, institution AS block, {TOKENS('program')} AS tk, {NK('program')} AS name FROM v_canonical),

@@ -174,7 +174,7 @@ def _display(subject: str, mode: str) -> str:
         text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
     text = NS(f"regexp_replace({text}, '\\s*/\\s*', ' or ', 'g')")
     code = "((?:20|30)-[12]|31)"
-    text = f"regexp_replace(regexp_replace({text}, '^{code}$', '{name} \\1'), '^{code}\\s+or\\s+{code}$', '{name} \\1 or {name} \\2')"
+    text = f"regexp_replace(regexp_replace({text}, '^{code}$', '{name} \\1'), '^(?i:{name}\\s+)?{code}\\s+or\\s+{code}$', '{name} \\1 or {name} \\2')"
     elp = f"WHEN {mode} = 'elp' THEN 'English language proficiency' " if subject == "english" else ""
     return f"CASE WHEN {mode} = 'placement_assessment' THEN 'Placement assessment' {elp}WHEN {mode} = 'course' THEN {text} ELSE {NS(f'{subject}_req')} END"
 

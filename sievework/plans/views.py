@@ -134,3 +134,27 @@ def with_views(body: str, *names: str) -> str:
     recursive = " RECURSIVE" if body.lstrip().upper().startswith("WITH RECURSIVE") else ""
     body = re.sub(r"^\s*WITH( RECURSIVE)?\s", ", ", body, flags=re.I)
     return f"WITH{recursive} {', '.join(held)} {body}"
+
+_CREDENTIALS = "CASE p_size % 5 WHEN 0 THEN 'Degree' WHEN 1 THEN 'Diploma' WHEN 2 THEN 'Certificate' WHEN 3 THEN 'Other' ELSE '' END"
+# Values that a structured field may find, taken in turn; '' finds none.
+_FOUND = {
+    "min_avg_final": ["65", "", "nan"], "competitive_final": ["high 80s", "Entrance Requirements: ask", ""], "avg_total": ["5", "", "4"], "english_req": ["ELA 30-1/30-2", "", "IELTS 6.5"], "english_requirement_mode": ["", "COURSE", "odd"], "english_min": ["60", ""],
+    "math_req": ["Mathematics 30-1 or 30-2", "31", "", "Math  30-1 or 30-2"], "math_requirement_mode": ["", "elp", "other_gate"], "math_min": ["", "55"], "social_req": ["Social Studies 30-2", ""], "social_min": ["", "50"], "science_req": ["Two of Biology 30, Chemistry 30, Physics 30", "", "Biology 30, Chemistry 30 and Physics 30", "Biology 30 or Chemistry 30"],
+    "science_min": ["", "50", ""], "bio_30_req": ["Yes", ""], "chem_30_req": ["", "Yes"], "phys_30_req": ["Yes", "", ""], "sci_30_req": ["", "", "Yes"], "elective_qty": ["Two", "", "1 course", "see page"], "elective_pool": ["Group A", ""],
+    "requirement_type": ["Unknown", "regular_admission; notes: notes: post-secondary pathway", "see degree", "alberta_high_school_courses; notes: notes: max 1 Group B", "", "post_secondary_pathway", "Casper"], "hs_diploma_req": ["Yes", "none", "No"], "math_assessment_flag": ["Yes", "", "No", "Unknown", "None"], "elp_tests_mentioned": ["IELTS", ""],
+}
+_REST = "credential_type, status, program_url, min_avg_final, competitive_final, avg_total, english_req, english_requirement_mode, math_req, math_requirement_mode, social_req, science_req, elective_qty, elective_pool, requirement_type, hs_diploma_req, math_assessment_flag, display_for_high_school, english_min, math_min"
+_turn = lambda n, values: f"CASE {n} % {len(values)} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+VIEWS |= {
+    "v_table": f"""SELECT t.*, CASE row_id % 8 WHEN 0 THEN '60' ELSE '' END AS social_min, CASE row_id % 9 WHEN 2 THEN '55' ELSE '' END AS science_min, CASE row_id % 5 WHEN 0 THEN 'Yes' ELSE '' END AS bio_30_req, '' AS chem_30_req, CAST(NULL AS STRING) AS phys_30_req, '' AS sci_30_req, CASE row_id % 6 WHEN 1 THEN 'none' WHEN 2 THEN 'TOEFL' ELSE '' END AS elp_tests_mentioned
+      FROM ({VIEWS["v_canonical"]} UNION ALL SELECT row_id + 1000000000, institution, upper(program), {_REST} FROM ({VIEWS["v_canonical"]}) WHERE row_id % 10 = 4) t""",
+    "v_found": f"SELECT p_partkey + 1 AS cand_id, {_INST} AS institution, concat(p_name, CASE WHEN p_partkey % 9 < 3 THEN '' ELSE concat(' ', upper(p_brand)) END) AS program, {_CREDENTIALS} AS credential_type, CASE WHEN p_partkey % 4 = 0 THEN concat('https://school.example.org/programs/', CAST(p_partkey % 900 AS STRING), '/') ELSE '' END AS program_url, "
+    + ", ".join(f"{_turn(f'(p_partkey + p_size * {i % 3 + 1})', v)} AS {f}, {_turn(f'(p_partkey + {i})', ['high', ' Medium', 'low', 'none'])} AS {f}_confidence" for i, (f, v) in enumerate(_FOUND.items())) + " FROM {part} WHERE p_partkey % 8 <> 5",
+    "v_program_overrides": f"""SELECT p_partkey AS seq, {_INST} AS institution, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat('The ', p_name, ' ', p_brand) WHEN 2 THEN 'How to apply' WHEN 3 THEN concat(p_name, ' ', p_brand, ' (evening)') ELSE concat(p_name, ' ', p_brand) END AS program,
+      CASE p_size % 7 WHEN 0 THEN 'Degree' WHEN 1 THEN 'diploma' WHEN 2 THEN {_CREDENTIALS} WHEN 3 THEN {_CREDENTIALS} ELSE '' END AS credential_type, CASE p_partkey % 13 WHEN 1 THEN 'Archived' WHEN 2 THEN '' ELSE 'active' END AS status, CASE p_partkey % 11 WHEN 3 THEN 'Exclude' WHEN 4 THEN 'include' ELSE '' END AS include_or_exclude,
+      CASE WHEN p_partkey % 4 = 1 THEN concat('https://school.example.org/programs/', CAST(p_partkey % 60 AS STRING), '/') WHEN p_partkey % 4 = 2 THEN 'see page' ELSE '' END AS source_page_url, CASE WHEN p_partkey % 6 = 1 THEN concat('https://school.example.org/programs/', CAST(p_partkey % 45 AS STRING), '#top') ELSE '' END AS parent_admissions_url,
+      {_turn("p_partkey", ["", "placement_assessment", "", "course_min_only"])} AS requirement_type_override, {_turn("p_partkey", ["77", "", ""])} AS min_avg_override, {_turn("p_partkey", ["", " 3 "])} AS elective_qty_override, {_turn("p_partkey", ["", "", "4"])} AS avg_total_override FROM {{part}} WHERE p_partkey % 3 <> 0""",
+    "v_rulesets": """SELECT n_nationkey AS seq, CASE n_nationkey % 4 WHEN 0 THEN ' north' WHEN 1 THEN 'SOUTH' WHEN 2 THEN 'East' ELSE 'West' END AS institution, concat(CASE WHEN n_nationkey % 2 = 0 THEN 'R' ELSE 'r' END, CAST((n_nationkey * 7) % 25 AS STRING)) AS ruleset_key,
+      CASE n_nationkey % 5 WHEN 0 THEN 'Degree | Diploma' WHEN 1 THEN 'any' WHEN 2 THEN 'certificate;other' WHEN 3 THEN '' ELSE 'degree' END AS credential_scope, CASE n_nationkey % 3 WHEN 0 THEN 'Alberta_High_School_Courses' WHEN 1 THEN '' ELSE 'placement' END AS requirement_type_pattern,
+      CASE n_nationkey % 6 WHEN 0 THEN '5' WHEN 1 THEN '' WHEN 2 THEN 'x' WHEN 3 THEN '4.0' WHEN 4 THEN '5' ELSE '0' END AS default_avg_total, CASE n_nationkey % 7 WHEN 1 THEN 'Yes' WHEN 2 THEN 'true' ELSE 'no' END AS placement_required FROM {nation}""",
+}
