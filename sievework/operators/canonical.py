@@ -44,10 +44,11 @@ def start(raw: DataFrame) -> DataFrame:
     return raw.withColumns({c: T.norm_space(c) for c in texts} | {"set_by": F.array().cast("array<struct<field:string,step:string>>")})
 
 
-def apply_structured(df: DataFrame, found: DataFrame) -> DataFrame:
+def apply_structured(df: DataFrame, found: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
     """All 23 fields of the extraction found for a row (cand_id, institution, program, credential_type, program_url, each
-    field and its _confidence): medium and high win, low only fills WEAK fields that say nothing, a blank never wins."""
-    match = M.resolve_structured(df, found).filter("right_id IS NOT NULL").select(F.col("left_id").alias("row_id"), F.col("right_id").alias("cand_id"))
+    field and its _confidence): medium and high win, low only fills WEAK fields that say nothing, a blank never wins.
+    keyed: the rows with their keys, where df is costly and these haven't changed since."""
+    match = M.resolve_structured(df if keyed is None else keyed, found).filter("right_id IS NOT NULL").select(F.col("left_id").alias("row_id"), F.col("right_id").alias("cand_id"))
     texts = lambda cs: F.transform(F.array(*cs), T.norm_space)
     values = found.select("cand_id", texts(STRUCTURED).alias("__new"), F.transform(F.array(*[f"{f}_confidence" for f in STRUCTURED]), lambda h: F.lower(T.norm_space(h))).alias("__how"))
     held = df.join(match.join(values, "cand_id").drop("cand_id"), "row_id", "left")
@@ -152,11 +153,11 @@ def resolve_overrides(df: DataFrame, overrides: DataFrame) -> DataFrame:
     return found.unionByName(named).select("row_id", "seq", F.get(tiers, F.col("t")).alias("tier"))
 
 
-def with_overrides(df: DataFrame, overrides: DataFrame) -> DataFrame:
+def with_overrides(df: DataFrame, overrides: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
     """df with the override of each row as a struct (null without one), for exclude and apply_overrides."""
     url = lambda c: F.when(T.is_http_url(c), T.norm_space(c))
     held = overrides.select("seq", F.struct(*[T.norm_space(c).alias(f) for f, c in OVERRIDES.items()], F.coalesce(url("parent_admissions_url"), url("source_page_url"), F.lit("")).alias("url"), _low("include_or_exclude").alias("decision")).alias("__override"))
-    return df.join(resolve_overrides(df, overrides).join(held, "seq").select("row_id", "tier", "__override").withColumn("__override", F.col("__override").withField("tier", F.col("tier"))).drop("tier"), "row_id", "left")
+    return df.join(resolve_overrides(df if keyed is None else keyed, overrides).join(held, "seq").select("row_id", "tier", "__override").withColumn("__override", F.col("__override").withField("tier", F.col("tier"))).drop("tier"), "row_id", "left")
 
 
 def apply_overrides(df: DataFrame) -> DataFrame:
@@ -206,9 +207,10 @@ def distinct_rows(df: DataFrame, preserve: tuple[str, ...] = ()) -> DataFrame:
 def build_canonical(raw: DataFrame, found: DataFrame, rules: DataFrame, overrides: DataFrame, preserve: tuple[str, ...] = (), seeds: DataFrame | None = None) -> DataFrame:
     """The canonical table: raw (row_id, institution, program, credential_type, status, program_url, STRUCTURED and more)
     without the rows that an override excludes, under the precedence of this module; set_by lists (field, step) in order."""
-    df = with_overrides(start(raw), overrides)
+    # Both look-ups read the keys of the raw rows: asked of later stages, they would work all stages again.
+    df = with_overrides(start(raw), overrides, raw)
     df = df.filter(F.coalesce(F.col("__override.decision") != "exclude", F.lit(True)))
-    df = infer(subjects(apply_structured(df, found)))
+    df = infer(subjects(apply_structured(df, found, raw)))
     df = apply_overrides(apply_rulesets(df, rules))
     if seeds is not None:
         df = fill_from_seeds(df, seeds)

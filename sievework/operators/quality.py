@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sievework.functions import text as T
 
 NUMBERS = ("min_avg_final", "english_min", "math_min")
+# Words of a flag that isn't set, phrases that point to another page's requirements, forms of a requirement type.
+UNSET = ("", "no", "n", "false", "0", "none", "unknown")
+ELSEWHERE = ("see degree", "refer to degree", "see program", "refer to program", "see faculty")
+FORMS = ("alberta_high_school_courses", "course_min_only", "placement_assessment", "post_secondary_pathway", "regular_admission", "first_year_admission")
 
 
 def has_course(subject: str) -> Column:
@@ -45,14 +49,16 @@ def validate_rows(df: DataFrame) -> DataFrame:
     return df.select("row_id", F.explode(F.array_compact(hits)).alias("h")).select("row_id", "h.*")
 
 
-def review_queue(df: DataFrame) -> DataFrame:
-    """row_id, reason_codes (sorted, joined by a bar) of rows that a person should look at."""
+def review_queue(df: DataFrame, backfilled: tuple[str, ...] = ("NorQuest",), dumping: tuple[str, ...] = ("UAlberta",)) -> DataFrame:
+    """row_id, reason_codes (sorted, joined by a bar) of rows that a person should look at: twelve reasons. Institutions
+    whose credentials are backfilled from seeds lack one or a status; those that dump notes have some without a form."""
     kind = F.lower(T.norm_space("requirement_type"))
     starts = lambda p: F.startswith(kind, F.lit(p))
     signal = T.any_of([~T.is_blankish(c) for c in ("min_avg_final", "competitive_final", "avg_total", "english_req", "math_req", "social_req", "science_req", "elective_qty", "requirement_type", "hs_diploma_req")])
     direct = T.norm_space("credential_type").isin("Degree", "Diploma", "Certificate")
     no_average = T.is_blankish("min_avg_final") & T.is_blankish("avg_total")
-    placement = T.truthy("math_assessment_flag") | starts("placement_assessment")
+    placement = ~F.lower(T.norm_space("math_assessment_flag")).isin(*UNSET) | starts("placement_assessment")
+    of = lambda names: T.norm_space("institution").isin(*names)
     reasons = [
         ("empty_shell", direct & T.is_http_url("program_url") & T.is_blankish("requirement_type") & ~signal),
         ("unknown_requirement_type", T.is_http_url("program_url") & T.is_blankish("requirement_type") & signal),
@@ -63,6 +69,9 @@ def review_queue(df: DataFrame) -> DataFrame:
         ("avg_total_without_min", starts("alberta_high_school_courses") & ~T.is_blankish("avg_total") & T.is_blankish("min_avg_final")),
         ("course_average_context", starts("course_min_only") & has_subjects() & no_average),
         ("post_secondary_mixed_signal", starts("post_secondary_pathway") & has_subjects()),
+        ("inheritance_placeholder", T.any_of([F.contains(kind, F.lit(p)) for p in ELSEWHERE])),
+        ("credential_backfill", of(backfilled) & (T.is_blankish("credential_type") | T.is_blankish("status"))),
+        ("note_dump", of(dumping) & (F.contains(kind, F.lit("notes: notes:")) | (F.contains(kind, F.lit("notes:")) & ~T.any_of([starts(p) for p in FORMS])))),
     ]
     codes = F.array_sort(F.array_compact(F.array(*[F.when(test, code) for code, test in reasons])))
     return df.select("row_id", F.array_join(codes, "|").alias("reason_codes")).filter("reason_codes <> ''")

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.operators import canonical as K
+from sievework.operators import gates as G
+from sievework.operators import quality as Q
 from sievework.operators.canonical import OVERRIDES, STRUCTURED, WEAK
+from sievework.plans.evaluation import _REASONS, _RULES as _ROW_RULES
 from sievework.plans.keys import BLANKISH, HTTP, MODE, NK, NS, TOKENS, UK, WORDS, _display
 from sievework.plans.registry import query
 
@@ -154,3 +157,39 @@ _MERGE = f"""n AS ({_START}), {_OV}, k AS (SELECT n.* FROM n LEFT JOIN od ON od.
 def mg09(table: DataFrame, found: DataFrame, rules: DataFrame, overrides: DataFrame) -> DataFrame:
     """The whole merge."""
     return K.build_canonical(table, found, rules, overrides, preserve=("East",)).select(*_ALL)
+
+
+_k = _low("requirement_type")
+_TWELVE = [(c, t.replace("lower(math_assessment_flag) = 'yes'", f"{_low('math_assessment_flag')} NOT IN ('', 'no', 'n', 'false', '0', 'none', 'unknown')")) for c, t in _REASONS] + [
+    ("inheritance_placeholder", f"regexp_matches({_k}, '(see|refer to) (degree|program)|see faculty')"), ("credential_backfill", f"{NS('institution')} = 'NorQuest' AND ({BLANKISH('credential_type')} OR {BLANKISH('status')})"),
+    ("note_dump", f"{NS('institution')} = 'UAlberta' AND (contains({_k}, 'notes: notes:') OR (contains({_k}, 'notes:') AND NOT regexp_matches({_k}, '^(alberta_high_school_courses|course_min_only|placement_assessment|post_secondary_pathway|regular_admission|first_year_admission)')))"),
+]
+
+
+@query("qa04_twelve_reasons", "v_review", sql=f"SELECT * FROM (SELECT row_id, concat_ws('|', {', '.join(f'CASE WHEN {t} THEN {chr(39)}{c}{chr(39)} END' for c, t in sorted(_TWELVE))}) AS reason_codes FROM v_review) WHERE reason_codes <> ''")
+def qa04(df: DataFrame) -> DataFrame:
+    return Q.review_queue(df)
+
+
+_G = lambda *cs: "concat_ws(chr(31), " + ", ".join(_low(c) for c in cs) + ")"
+_SIG = "institution, program, credential_type, status, requirement_type, math_assessment_flag, program_url, min_avg_final, competitive_final, avg_total, english_req, english_requirement_mode, math_req, math_requirement_mode, social_req, science_req, elective_qty, hs_diploma_req, display_for_high_school, english_min, math_min".split(", ")
+_groups = lambda name, by, where="true", of="count(*)": f"SELECT 'error' AS severity, '{name}' AS gate, '' AS scope, count(*) AS n, NULL::DOUBLE AS share FROM (SELECT {by} AS g FROM v_review WHERE {where} GROUP BY 1 HAVING {of} > 1) HAVING count(*) > 0"
+_SEVERITY = {"avg_total_without_minimum": "warning", "avg_total_suspicious": "warning", "course_average_context": "warning"}
+_COUNTED = [(r, t) for r, t in _ROW_RULES if r not in ("url_missing", "key_blank") and not r.startswith(("english_min_", "math_min_"))] + [("key_blank", " OR ".join(BLANKISH(c) for c in ("institution", "program", "credential_type", "program_url"))), ("course_average_context", dict(_REASONS)["course_average_context"])]
+_LOCAL = [(f"blank_{f}", BLANKISH(f), "rows >= 10 AND n / rows >= 0.75") for f in ("requirement_type", "min_avg_final", "math_req", "english_req")] + [(f"spike_{t}", f"contains({_k}, '{t}')", "n >= 10 AND n / rows >= 0.15") for t in ("interview required", "portfolio required", "audition required", "casper required")]
+_LOCAL += [("empty_shell", f"{NS('program_url')} <> '' AND " + " AND ".join(BLANKISH(c) for c in ("requirement_type", "min_avg_final", "competitive_final", "english_req", "math_req", "social_req", "science_req", "elective_qty")), "n > 0")]
+
+
+@query(
+    "qa02_table_gates", "v_review",
+    sql=" UNION ALL ".join([
+        f"SELECT 'error' AS severity, 'url_missing' AS gate, '' AS scope, n, n / rows::DOUBLE AS share FROM (SELECT count(*) AS rows, count(*) FILTER (WHERE {NS('program_url')} = '') AS n FROM v_review) WHERE n / rows::DOUBLE > 0.05",
+        *[f"SELECT '{_SEVERITY.get(r, 'error')}', '{r}', '', count(*), NULL FROM v_review WHERE {t} HAVING count(*) > 0" for r, t in _COUNTED],
+        _groups("exact_duplicates", _G(*_SIG)), _groups("key_collisions", _G("institution", "program", "credential_type", "program_url"), of=f"count(DISTINCT {_G('requirement_type', 'min_avg_final', 'elective_qty', 'status')})"),
+        _groups("visible_duplicates", _G("institution", "program", "credential_type", "status"), f"{NS('display_for_high_school')} = 'Yes'"),
+        *[f"SELECT 'warning', '{g}', scope, n, n / rows::DOUBLE FROM (SELECT {NS('institution')} AS scope, count(*) AS rows, count(*) FILTER (WHERE {t}) AS n FROM v_review GROUP BY 1) WHERE {w}" for g, t, w in _LOCAL],
+    ]),
+)
+def qa02(df: DataFrame) -> DataFrame:
+    """All gates of a table, by institution where they are local."""
+    return G.table_gates(df)

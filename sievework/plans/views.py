@@ -158,3 +158,7 @@ VIEWS |= {
       CASE n_nationkey % 5 WHEN 0 THEN 'Degree | Diploma' WHEN 1 THEN 'any' WHEN 2 THEN 'certificate;other' WHEN 3 THEN '' ELSE 'degree' END AS credential_scope, CASE n_nationkey % 3 WHEN 0 THEN 'Alberta_High_School_Courses' WHEN 1 THEN '' ELSE 'placement' END AS requirement_type_pattern,
       CASE n_nationkey % 6 WHEN 0 THEN '5' WHEN 1 THEN '' WHEN 2 THEN 'x' WHEN 3 THEN '4.0' WHEN 4 THEN '5' ELSE '0' END AS default_avg_total, CASE n_nationkey % 7 WHEN 1 THEN 'Yes' WHEN 2 THEN 'true' ELSE 'no' END AS placement_required FROM {nation}""",
 }
+VIEWS["v_review"] = f"""SELECT row_id, CASE institution WHEN 'West' THEN 'UAlberta ' WHEN 'South' THEN 'NorQuest' ELSE institution END AS institution, program, CASE WHEN row_id % 7 = 2 THEN 'Nan' ELSE credential_type END AS credential_type, CASE WHEN row_id % 6 = 1 THEN ' ' ELSE status END AS status,
+  CASE row_id % 11 WHEN 1 THEN 'See  Degree requirements' WHEN 2 THEN 'regular admission; notes: x' WHEN 3 THEN 'alberta_high_school_courses; notes: notes: y; casper required' WHEN 4 THEN 'Refer to Program' WHEN 5 THEN 'Notes: portfolio required' WHEN 6 THEN 'alberta_high_school_courses; Casper Required' ELSE requirement_type END AS requirement_type,
+  CASE row_id % 9 WHEN 1 THEN 'maybe' WHEN 2 THEN 'N' WHEN 3 THEN '' ELSE math_assessment_flag END AS math_assessment_flag, program_url, min_avg_final, competitive_final, avg_total, english_req, english_requirement_mode, CASE WHEN institution = 'East' THEN '' ELSE math_req END AS math_req, math_requirement_mode, social_req, science_req, elective_qty, hs_diploma_req,
+  display_for_high_school, english_min, math_min FROM ({VIEWS["v_canonical"]} UNION ALL SELECT * FROM ({VIEWS["v_canonical"]}) WHERE row_id % 20 < 3)"""
