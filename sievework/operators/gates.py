@@ -38,7 +38,7 @@ def table_gates(df: DataFrame, most_without_url: float = 0.05) -> DataFrame:
     watched fields, spreading notes and shells are warnings by institution (of LEAST rows or more, but for shells)."""
     if missing := [h for h in HEADERS if h not in df.columns]:
         return df.sparkSession.createDataFrame([("error", "missing_headers", ", ".join(missing), len(missing), None)], _SCHEMA)
-    share, no_share = F.col("n") / F.col("rows"), F.lit(None).cast("double")
+    share, no_share = F.try_divide("n", "rows"), F.lit(None).cast("double")
     rows = df.agg(F.count("*").alias("rows"), F.count_if(T.norm_space("program_url") == "").alias("n"))
     empty = rows.filter("rows = 0").select(F.lit("error").alias("severity"), F.lit("empty").alias("gate"), F.lit("").alias("scope"), F.lit(0).cast("long").alias("n"), no_share.alias("share"))
     urls = rows.filter(share > most_without_url).select(F.lit("error").alias("severity"), F.lit("url_missing").alias("gate"), F.lit("").alias("scope"), "n", share.alias("share"))

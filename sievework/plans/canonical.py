@@ -63,10 +63,12 @@ _NAMES = f"len(list_distinct(list_filter(regexp_split_to_array({NS('science_req'
 _UNITS = f"CASE WHEN {NS('science_req')} = '' THEN 0 WHEN {_OF} <> '' THEN {_COUNT(_OF)} WHEN regexp_matches({_low('science_req')}, '\\bor\\b') THEN 1 WHEN {_NAMES} BETWEEN 2 AND 6 THEN {_NAMES} ELSE 1 END"
 _FIVE = f"(({_course('english')})::INT + ({_course('math')})::INT + ({NS('social_req')} <> '')::INT + {_UNITS} + {_COUNT(_low('elective_qty'))}) = 5"
 
+_TOTAL = f"CASE WHEN NOT contains({_low('requirement_type')}, 'placement_assessment') AND ({NS('min_avg_final')} <> '' OR starts_with({_low('requirement_type')}, 'alberta_high_school_courses')) AND {_FIVE} THEN '5' ELSE '' END"
+
 
 def _inferred(src: str) -> str:
     typed = _kind(src, "requirement_type", f"CASE WHEN {NS('requirement_type')} = '' THEN requirement_type ELSE {{k}} END")
-    total = f"CASE WHEN {NS('avg_total')} <> '' THEN avg_total WHEN NOT contains({_low('requirement_type')}, 'placement_assessment') AND ({NS('min_avg_final')} <> '' OR starts_with({_low('requirement_type')}, 'alberta_high_school_courses')) AND {_FIVE} THEN '5' ELSE '' END"
+    total = f"CASE WHEN {NS('avg_total')} <> '' THEN avg_total ELSE {_TOTAL} END"
     return f"SELECT * REPLACE ({total} AS avg_total) FROM ({typed})"
 
 
@@ -129,6 +131,11 @@ def mg02(table: DataFrame, found: DataFrame) -> DataFrame:
     return K.apply_structured(K.start(table), found).select("row_id", *STRUCTURED)
 
 
+@query("mg04_infer_average_total", "v_canonical", sql=f"SELECT row_id, {_TOTAL} AS avg_total FROM v_canonical")
+def mg04(df: DataFrame) -> DataFrame:
+    return df.select("row_id", Q.infer_average_total().alias("avg_total"))
+
+
 @query("mg05_rule_sets", "v_table", "v_rulesets", sql=f"WITH n AS ({_START}), r AS ({_ruled('n')}) SELECT row_id, avg_total, requirement_type, math_assessment_flag FROM r")
 def mg05(table: DataFrame, rules: DataFrame) -> DataFrame:
     return K.apply_rulesets(K.start(table), rules).select("row_id", "avg_total", "requirement_type", "math_assessment_flag")

@@ -234,11 +234,6 @@ def mg03(df: DataFrame) -> DataFrame:
     return df.select("row_id", Q.normalise_requirement_type(df).alias("requirement_type"))
 
 
-@query("mg04_infer_average_total", "v_canonical")
-def mg04(df: DataFrame) -> DataFrame:
-    return df.select("row_id", Q.infer_average_total().alias("avg_total"))
-
-
 _acad = f"({_c('english')} OR {_c('math')} OR {NS('social_req')} <> '' OR {NS('science_req')} <> '' OR regexp_matches({_low}, '^(alberta_high_school_courses|course_min_only)'))"
 
 

@@ -54,16 +54,19 @@ def jo11(can: DataFrame, cand: DataFrame) -> DataFrame:
     return M.proposed_removals(missing, decisions, ["dropped_blocked_url", "dropped_not_in_seed"])
 
 
-@query("jo16_student_program_pairs", "v_marks", "v_canonical", sql="SELECT student_id, count(*) AS programs FROM (SELECT DISTINCT student_id FROM v_marks) s, (SELECT row_id FROM v_canonical WHERE lower(display_for_high_school) <> 'no' AND row_id % 50 = 0) p GROUP BY 1")
+_PAIRS = "SELECT student_id, count(*) AS programs FROM (SELECT DISTINCT student_id FROM v_marks) s, (SELECT row_id FROM v_canonical WHERE lower(display_for_high_school) <> 'no') p GROUP BY 1"
+
+
+@query("jo16_student_program_pairs", "v_marks", "v_canonical", sql=_PAIRS)
 def jo16(marks: DataFrame, can: DataFrame) -> DataFrame:
-    """Every student against the visible programs of a pilot: the evaluation itself uses classes (E-22), never this product."""
-    visible = can.filter((F.lower("display_for_high_school") != "no") & (F.col("row_id") % 50 == 0)).select("row_id")
+    """Every student against every visible program, a product by what it is: the evaluation itself uses classes (E-22), never this."""
+    visible = can.filter(F.lower("display_for_high_school") != "no").select("row_id")
     return marks.select("student_id").distinct().join(visible).groupBy("student_id").agg(F.count("*").alias("programs"))
 
 
-@query("jo16_student_programs_all", "v_marks", "v_canonical")
+@query("jo16_student_programs_all", "v_marks", "v_canonical", sql=_PAIRS)
 def jo16_all(marks: DataFrame, can: DataFrame) -> DataFrame:
-    """Every student with the number of all visible programs, counted once and never paired (jo16_student_program_pairs and its SQL take one program in fifty)."""
+    """Every student with the number of all visible programs, counted once and never paired."""
     visible = can.filter(F.lower("display_for_high_school") != "no").agg(F.count("*").alias("programs")).filter("programs > 0")
     return marks.select("student_id").distinct().join(F.broadcast(visible))
 

@@ -20,14 +20,6 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize(("name", "part", "cut"), [("jo16_student_programs_all", "jo16_student_program_pairs", " AND row_id % 50 = 0")])
-def test_whole_of_a_part(spark, name, part, cut):
-    """The SQL of the query over a part, without what cuts the part."""
-    sql = catalog.ORACLES[part]
-    assert not cut or sql.count(cut) == 1
-    assert compare(catalog.QUERIES[name](spark, SF), sql.replace(cut, "") if cut else sql, SF) == ""
-
-
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
