@@ -23,7 +23,7 @@ gathered whole. Nothing is capped or dropped: where a shortcut doesn't hold, the
 Fingerprints and shingles are 64-bit hashes. A text of fewer than five words is one shingle of all; null and blank
 texts are empty, link with nothing and are their own component. A component is named by its smallest doc_id; rows
 with one id and text are copies; a null id is never the name of a component unless it has no other. An empty table
-gives no rows. Other columns are not read.
+gives no rows. Other columns are not read. Ids are integers or texts (ordered by code point) and keep their type.
 """
 
 from __future__ import annotations
@@ -293,7 +293,8 @@ def _unit_links(sets: list[np.ndarray]) -> np.ndarray:
     top, length = _largest_partner(n[owner], place), n - least_overlap(n) + 1
     prefix = place < length[owner]
     leads = prefix & (top >= n[owner])
-    edges = np.linspace(0, len(df), PARTS + 1).astype(np.int64)
+    fragment = np.arange(len(df)) * PARTS // max(len(df), 1)
+    held, number = np.zeros(len(df), bool), np.full(len(sets), -1)
     label, free = np.full(len(sets), -1), np.ones(len(sets), bool)
 
     def postings() -> list[_Postings]:
@@ -306,27 +307,31 @@ def _unit_links(sets: list[np.ndarray]) -> np.ndarray:
     def candidates(hub: int) -> np.ndarray:
         t, mine = token[begin[hub] : begin[hub] + length[hub]], top[begin[hub] : begin[hub] + length[hub]]
         found = []
-        for held, own in ((every, mine >= n[hub]), (leaders, mine < n[hub])):
-            at, which = held.of(t[own])
-            o = held.owner[at]
-            found.append(o[free[o] & (n[o] <= mine[own][which]) & (held.top[at] >= n[hub])])
+        for lists, own in ((every, mine >= n[hub]), (leaders, mine < n[hub])):
+            at, which = lists.of(t[own])
+            o = lists.owner[at]
+            found.append(o[free[o] & (n[o] <= mine[own][which]) & (lists.top[at] >= n[hub])])
         found = np.unique(np.concatenate(found))
         return found[_similar(np.minimum(n[found], n[hub]), np.maximum(n[found], n[hub]))]
 
     def overlaps(hub: int, found: np.ndarray) -> np.ndarray:
-        mine, total = token[begin[hub] : begin[hub] + n[hub]], np.zeros(len(found), np.int64)
-        few = n[found].sum() < df[mine].sum()
-        for x, y in zip(edges[:-1], edges[1:], strict=True):  # one fragment at a time
-            part = mine[np.searchsorted(mine, x) : np.searchsorted(mine, y)]
-            if not len(part):
-                continue
-            if few:
-                for i, f in enumerate(found):
-                    other = token[begin[f] : begin[f] + n[f]]
-                    total[i] += np.isin(other[np.searchsorted(other, x) : np.searchsorted(other, y)], part, assume_unique=True).sum()
-            else:
-                total += np.bincount(whole.owner[whole.of(part)[0]], minlength=len(sets))[found]
-        return total
+        """Of all candidates at once: shared shingles by (candidate, fragment), summed over the fragments."""
+        mine = token[begin[hub] : begin[hub] + n[hub]]
+        if n[found].sum() < df[mine].sum():
+            held[mine] = True
+            which = np.repeat(np.arange(len(found)), n[found])
+            t = token[np.arange(len(which)) + np.repeat(begin[found] - np.cumsum(n[found]) + n[found], n[found])]
+            own = held[t]
+            held[mine] = False
+            which, t = which[own], t[own]
+        else:
+            at, part = whole.of(mine)
+            o = whole.owner[at]
+            number[found] = np.arange(len(found))
+            which, t = number[o], mine[part]
+            number[found] = -1
+            which, t = which[which >= 0], t[which >= 0]
+        return np.bincount(which * PARTS + fragment[t], minlength=len(found) * PARTS).reshape(-1, PARTS).sum(1)
 
     for seed in range(len(sets)):
         if not free[seed]:
@@ -359,7 +364,7 @@ def _unit_task(group: pa.Table) -> pa.Table:
             least[k] = min(known) if known else None
         classes += cls[own].tolist()
         names += [least[k] for k in label]
-    return pa.table({"class": pa.array(classes, pa.int64()), "component_id": pa.array(names, pa.int64())})
+    return pa.table({"class": pa.array(classes, pa.int64()), "component_id": pa.array(names, group.schema.field("doc_id").type)})
 
 
 def _set_map(shared):
@@ -368,7 +373,7 @@ def _set_map(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for whole in sliced(batches):
-            ids = whole.column("doc_id").fill_null(-1).to_numpy()
+            ids = whole.column("id_hash").to_numpy()
             b = whole.filter(pa.array(held[_cell(mix64(ids.astype(U64)))]))
             sets = list(shingle_sets(b.column("text"), SHINGLE)) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "class", "tokens"])
@@ -381,11 +386,11 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = np.unique(_cell(mix64(b.column("doc_id").fill_null(-1).to_numpy().astype(U64)))).astype(np.uint32)
+            cells = np.unique(_cell(mix64(b.column("id_hash").to_numpy().astype(U64)))).astype(np.uint32)
             yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary())], names=["cells"])
 
     out = np.zeros(1 << CELL_BITS, bool)
-    for r in ids.select("doc_id").mapInArrow(run, "cells binary").toLocalIterator():
+    for r in ids.select("id_hash").mapInArrow(run, "cells binary").toLocalIterator():
         out[np.frombuffer(r.cells, np.uint32)] = True
     return out
 
@@ -406,7 +411,7 @@ def _large_units(sets: DataFrame, hubs: int = 8) -> DataFrame:
     are counted per fragment and summed. A hub is then done. A unit is done when its classes that are not lie in one
     component, so the largest needs no hubs; the rounds grow with the logarithm of the largest unit.
     """
-    flat = written(sets.select("root", "class", "doc_id", "tokens").mapInArrow(_token_lists, "root long, class long, doc_id long, tokens array<bigint>"), "unit-sets")
+    flat = written(sets.select("root", "class", "doc_id", "tokens").mapInArrow(_token_lists, f"root long, class long, doc_id {sets.schema['doc_id'].dataType.simpleString()}, tokens array<bigint>"), "unit-sets")
     each = flat.select("root", "class", F.explode("tokens").alias("token"))
     order = each.join(each.groupBy("root", "token").count(), ["root", "token"]).groupBy("root", "class").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("order"))
     size = F.size("order").cast("long")
@@ -445,16 +450,17 @@ def _large_units(sets: DataFrame, hubs: int = 8) -> DataFrame:
 
 def join(docs: DataFrame, fragment_tokens: int = FRAGMENT_TOKENS, unit_tokens: int = UNIT_TOKENS, hot: int = HOT) -> DataFrame:
     """doc_id, text_hash, n_shingles, class (of equal sets) and component_id of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sizes, "doc_id long, text_hash long, n_shingles long, class long"))
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sized = cut(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sizes, f"doc_id {kind}, text_hash long, n_shingles long, class long"))
     total = sized.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bits = min(20, max(4, int(-(-total // fragment_tokens) - 1).bit_length()))
     edges = candidate_edges(docs, bits, frequency_levels(docs, bits), hot)
     nodes = connected(edges)
     classes = sized.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"))
     units = cut(nodes.withColumnRenamed("node", "class").join(classes, "class"))
-    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(units.select(F.col("first_id").alias("doc_id"))))
-    sets = docs.mapInArrow(_set_map(shared), "doc_id long, class long, tokens binary").alias("s")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(units.select(F.xxhash64("first_id").alias("id_hash"))))
+    sets = docs.withColumn("id_hash", F.xxhash64("doc_id")).mapInArrow(_set_map(shared), f"doc_id {kind}, class long, tokens binary").alias("s")
     sets = sets.join(units.alias("u"), F.expr("s.class = u.class AND s.doc_id <=> u.first_id")).select("u.root", "s.class", "s.doc_id", "s.tokens")
     large = cut(units.groupBy("root").agg(F.sum("n").alias("unit_n")).filter(F.col("unit_n") > unit_tokens))
     n_large = large.count()
@@ -462,7 +468,7 @@ def join(docs: DataFrame, fragment_tokens: int = FRAGMENT_TOKENS, unit_tokens: i
     few = units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bins = max(1, -(-4 * few // unit_tokens), docs.sparkSession.sparkContext.defaultParallelism)
     # Repeated rows of a class's first id are one set.
-    named = small.withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins))).groupBy("bin").applyInArrow(_unit_task, "class long, component_id long")
+    named = small.withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins))).groupBy("bin").applyInArrow(_unit_task, f"class long, component_id {kind}")
     if n_large:
         named = named.unionByName(_large_units(cut(sets.join(maybe_broadcast(large, n_large), "root", "left_semi").dropDuplicates(["class"]))))
     named = named.groupBy("class").agg(F.min("component_id").alias("component_id"))

@@ -152,6 +152,25 @@ def test_unit_links_leave_out_sets_that_cannot_link():
     assert time.monotonic() - begin < 10
 
 
+def test_unit_links_of_texts_made_of_two_blocks():
+    """Each shares a block with many others and links with none: all candidates of a hub are counted in one step."""
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, 2**63, 50, dtype=np.uint64) for _ in range(60)]
+    sets = [np.unique(np.concatenate([blocks[i], blocks[j]])) for i in range(60) for j in range(i)]
+    began = time.monotonic()
+    assert (jaccard_join._unit_links(sets) == np.arange(len(sets))).all()
+    assert time.monotonic() - began < 5
+
+
+def test_near_copies_with_ids_of_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [("b", " ".join(base)), ("a", " ".join(base[:-1])), ("c", "other words that stand for themselves here"), (None, None), ("d", " ".join(base)), ("", "one two")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": (55, "a"), "b": (56, "a"), "d": (56, "a"), "c": (3, "c"), None: (0, None), "": (1, "")}
+    kept = [r.doc_id for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id string, text string")).collect()]
+    assert sorted(map(str, kept)) == ["", "None", "a", "c"]
+
+
 def test_unit_links_of_a_large_group(spark):
     """A group of near copies of one text and two that stay apart: reached sets cost nothing more."""
     rng = np.random.default_rng(6)
