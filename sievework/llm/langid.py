@@ -4,12 +4,14 @@ A text is the set of its byte n-grams (lengths 1 to 3, ASCII letters lowered, di
 space runs as one blank). The kernel of two texts is the number of n-grams that both hold (blended spectrum,
 presence), divided by the root of the product of their set sizes. Nystroem: m landmark texts give features
 K(x, L) K(L, L)^-1/2; on them one ridge regression per language (one against the rest) is solved in closed form.
-A batch is scored by two matrix products: presence over the landmarks' n-grams times landmark presence, then
-features times coefficients.
+A batch is scored by matrix products: presence over the landmarks' n-grams times landmark presence times coefficients.
 
 Fitting uses at most ``per_language`` labelled rows of each language, those with the smallest hash of the id, and fewer
 of each where ``ROWS`` in all would not do; no language is left out. So it is bounded and repeatable; what leaves the
-executors is their n-gram sets, which have a bounded size. Scoring reads every text whole, in slices of bounded memory.
+executors is the n-gram sets of the landmarks and sums of products of features (landmarks x landmarks), made in bins of
+rows on executors and added in order, so that reruns agree. Scoring reads every text whole, in slices of bounded memory.
+As scores are linear in the kernel, landmarks times coefficients are multiplied once: what is broadcast for scoring has
+n-grams x languages cells.
 
 A text that is null or has no letter is ``und`` with score 0. Null labels are never learned. Without any usable
 label every text is ``und``. Ties go to the language first by code point. Repeated rows get equal values; of rows with
@@ -23,14 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.arrow_text import text_bytes
-from sievework.llm.common import doc_key, extended, lowest, set_aside, table, without
+from sievework.llm.common import cut, doc_key, extended, lowest, set_aside, table, without
 
 #: Bounds of the fit: labelled rows and landmarks of each language, and of all; ridge.
 PER_LANGUAGE, LANDMARKS, ROWS, MARKS, RIDGE = 300, 24, 60_000, 4_800, 1e-3
+#: Rows whose products one task sums, and rows of the sums that travel together.
+BIN_ROWS, BLOCK = 1_000, 256
 #: Bytes of text in one slice.
 SLICE = 1 << 20
 UNDETERMINED = "und"
@@ -63,11 +67,11 @@ class Model:
 
     languages: list[str]
     vocabulary: np.ndarray  # sorted distinct n-grams of the landmarks
-    presence: np.ndarray  # n-grams x landmarks, divided by the root of each landmark's set size
-    coefficients: np.ndarray  # landmarks + 1 (bias) x languages
+    weights: np.ndarray  # n-grams x languages: landmark presence over root sizes, times coefficients
+    bias: np.ndarray  # of each language
 
     def tables(self) -> list[np.ndarray]:
-        """For n = 1, 2, 3: n-gram -> its row of presence + 1, or 0."""
+        """For n = 1, 2, 3: n-gram -> its row of weights + 1, or 0."""
         out = []
         for n in (1, 2, 3):
             t = np.zeros(1 << (8 * n), np.uint16 if len(self.vocabulary) < 1 << 16 else np.uint32)
@@ -85,37 +89,80 @@ class Model:
             root[i] = max(len(g), 1) ** -0.5
             for n, t in enumerate(tables, 1):
                 x[i, t[g[g >> 24 == n] & 0xFFFFFF]] = 1
-        kernel = (x[:, 1:] @ self.presence) * root[:, None]
-        return kernel @ self.coefficients[:-1] + self.coefficients[-1]
+        return (x[:, 1:] @ self.weights) * root[:, None] + self.bias
+
+
+class Landmarks:
+    """The landmark sets by n-gram, and the kernels of other sets with them."""
+
+    def __init__(self, marks: list[np.ndarray]):
+        every, owner = np.concatenate(marks), np.repeat(np.arange(len(marks)), [len(g) for g in marks])
+        order = np.argsort(every, kind="stable")
+        self.vocabulary, first = np.unique(every[order], return_index=True)
+        self.owner, self.first = owner[order], np.append(first, len(every))
+        self.root, self.marks = np.array([len(g) for g in marks]) ** 0.5, marks
+
+    def kernel(self, g: np.ndarray) -> np.ndarray:
+        """The kernel of a set and each landmark: common n-grams are counted along the lists of landmarks."""
+        at = np.searchsorted(self.vocabulary, g)
+        at = at[(at < len(self.vocabulary)) & (self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == g)]
+        a, n = self.first[at], self.first[at + 1] - self.first[at]
+        held = self.owner[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        return np.bincount(held, minlength=len(self.root)) / (self.root * max(len(g), 1) ** 0.5)
+
+    def rows(self, sets: list[np.ndarray]) -> np.ndarray:
+        """The kernels of sets, and a one."""
+        return np.hstack([np.stack([self.kernel(g) for g in sets]), np.ones((len(sets), 1))])
+
+    def whitening(self) -> np.ndarray:
+        """What turns a row of kernels and a one into Nystroem features and a one."""
+        values, vectors = np.linalg.eigh(np.stack([self.kernel(g) for g in self.marks]))
+        keep = values > 1e-6 * values.max()
+        out = np.zeros((len(values) + 1, keep.sum() + 1))
+        out[:-1, :-1], out[-1, -1] = vectors[:, keep] / np.sqrt(values[keep]), 1
+        return out
+
+    def weights(self, coefficients: np.ndarray) -> np.ndarray:
+        """n-grams x languages: the coefficients of the landmarks that hold an n-gram, summed."""
+        own = coefficients / self.root[:, None]
+        return np.stack([np.add.reduceat(c[self.owner], self.first[:-1]) for c in own.T], 1).astype(np.float32)
+
+
+def products(marks: Landmarks, sets: list[np.ndarray], labels: list[str], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted sum of products of kernel rows, and that of rows by label; a slice of rows at a time."""
+    at, m = np.searchsorted(languages, labels), len(marks.root) + 1
+    square, total = np.zeros((m, m)), np.zeros((len(languages), m))
+    weight = (1 / np.bincount(at, minlength=len(languages)).clip(1))[at]
+    for a in range(0, len(sets), 256):
+        held = marks.rows(sets[a : a + 256])
+        square += held.T @ (weight[a : a + 256, None] * held)
+        np.add.at(total, at[a : a + 256], weight[a : a + 256, None] * held)
+    return square, total
+
+
+def _solved(marks: Landmarks, languages: list[str], square: np.ndarray, total: np.ndarray, ridge: float) -> Model:
+    """One ridge regression per language, on Nystroem features; square and total as products gives them."""
+    turn = marks.whitening()
+    square, total = turn.T @ square @ turn, total @ turn
+    goal = (2 * total - total.sum(0)).T  # +1 for the language's own rows, -1 for the others
+    penalty = ridge * np.trace(square) / len(square) * np.eye(len(square))
+    penalty[-1, -1] = 1e-9
+    beta = turn @ np.linalg.solve(square + penalty, goal)
+    return Model(languages, marks.vocabulary, marks.weights(beta[:-1]), beta[-1].astype(np.float32))
 
 
 def solve(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Nystroem features of n-gram sets and one ridge regression per language."""
+    """Nystroem features of n-gram sets and one ridge regression per language, of sets in memory."""
     used = [(g, y) for g, y in zip(sets, labels, strict=True) if len(g)]
     if not used:
         return None
     languages = sorted({y for _, y in used})
-    landmarks = max(1, min(landmarks, MARKS // len(languages)))
-    marks = [g for y in languages for g in [g for g, z in used if z == y][:landmarks]]
-    vocabulary = np.unique(np.concatenate(marks))
-
-    def held(g: np.ndarray) -> np.ndarray:
-        return np.isin(vocabulary, g, assume_unique=True).astype(np.float32) / np.float32(len(g) ** 0.5)
-
-    presence = np.stack([held(g) for g in marks], 1)
-    within = presence.T @ presence
-    values, vectors = np.linalg.eigh(within.astype(np.float64))
-    keep = values > 1e-6 * values.max()
-    whiten = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.stack([held(g) @ presence for g, _ in used]) @ whiten
-    phi = np.hstack([phi, np.ones((len(phi), 1))])
-    count = {y: sum(z == y for _, z in used) for y in languages}
-    weight = np.array([1 / count[y] for _, y in used])[:, None]
-    goal = np.array([[1.0 if y == z else -1.0 for z in languages] for _, y in used])
-    penalty = ridge * np.trace(phi.T @ (weight * phi)) / phi.shape[1] * np.eye(phi.shape[1])
-    penalty[-1, -1] = 1e-9
-    beta = np.linalg.solve(phi.T @ (weight * phi) + penalty, phi.T @ (weight * goal))
-    return Model(languages, vocabulary, presence, np.vstack([whiten @ beta[:-1], beta[-1:]]).astype(np.float32))
+    marks = Landmarks([g for y in languages for g in [g for g, z in used if z == y][: _marks_of(languages, landmarks)]])
+    return _solved(marks, languages, *products(marks, [g for g, _ in used], [y for _, y in used], languages), ridge)
+
+
+def _marks_of(languages: list[str], landmarks: int = LANDMARKS) -> int:
+    return max(1, min(landmarks, MARKS // len(languages)))
 
 
 def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,15 +172,51 @@ def _gram_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(sets, pa.binary())], names=["lang", "grams"])
 
 
+def _bin_products(shared, counts: dict[str, int]):
+    """The sums of a bin's rows: the square in blocks of rows, and those of the languages."""
+
+    def run(group: pa.Table) -> pa.Table:
+        marks, languages = shared.value, list(counts)
+        rows = sorted(zip(group.column("lang").to_pylist(), group.column("grams").to_pylist(), strict=True))
+        square = total = 0.0
+        for y in sorted({y for y, _ in rows}):  # a label at a time, as rows weigh one over their label's count
+            own = [np.frombuffer(g, np.uint32) for z, g in rows if z == y]
+            s, t = products(marks, own, [y] * len(own), languages)
+            square, total = square + s * (len(own) / counts[y]), total + t * (len(own) / counts[y])
+        parts = [*(square[a : a + BLOCK] for a in range(0, len(square), BLOCK)), total]
+        bin_no = group.column("bin")[0].as_py()
+        return pa.table({"bin": pa.array([bin_no] * len(parts), pa.int32()), "part": pa.array(range(len(parts)), pa.int32()), "sums": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    return run
+
+
+def _added(group: pa.Table) -> pa.Table:
+    group = group.sort_by("bin")
+    sums = [np.frombuffer(x.as_py(), np.float64) for x in group.column("sums")]
+    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "sums": pa.array([np.sum(sums, axis=0).tobytes()], pa.binary())})
+
+
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """A model from rows (doc_id, text, lang)."""
     named = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
     total = named.agg(F.count_distinct("lang")).first()[0]
     chosen = lowest(named.select("doc_id", "lang").distinct(), "lang", "doc_id", max(1, min(per_language, ROWS // max(total, 1)))).drop("at")
     rows = named.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    found = rows.select("lang", "text").mapInArrow(_gram_sets, "lang string, grams binary").collect()
-    found = sorted((r.lang, bytes(r.grams)) for r in found)
-    return solve([np.frombuffer(g, np.uint32) for _, g in found], [y for y, _ in found])
+    sets = cut(rows.select("lang", "text").mapInArrow(_gram_sets, "lang string, grams binary").filter(F.length("grams") > 0))
+    counts = {r.lang: r["count"] for r in sorted(sets.groupBy("lang").count().collect(), key=lambda r: r.lang)}
+    if not counts:
+        return None
+    languages = list(counts)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("grams"))
+    first = sets.withColumn("at", place).filter(F.col("at") <= _marks_of(languages)).orderBy("lang", "at").collect()
+    marks = Landmarks([np.frombuffer(bytes(r.grams), np.uint32) for r in first])
+    shared = labelled.sparkSession.sparkContext.broadcast(marks)
+    dealt = sets.withColumn("bin", F.pmod(F.xxhash64("lang", "grams"), F.lit(-(-sum(counts.values()) // BIN_ROWS))).cast("int"))
+    made = dealt.groupBy("bin").applyInArrow(_bin_products(shared, counts), "bin int, part int, sums binary")
+    got = {r.part: np.frombuffer(bytes(r.sums), np.float64) for r in made.groupBy("part").applyInArrow(_added, "part int, sums binary").collect()}
+    m, last = len(marks.root) + 1, max(got)
+    square = np.concatenate([got[k] for k in range(last)]).reshape(m, m)
+    return _solved(marks, languages, square, got[last].reshape(len(languages), m), RIDGE)
 
 
 def held_out(key: Column | str = "doc_id", parts: int = 4, rest: int = 2) -> Column:

@@ -378,8 +378,8 @@ def test_kernel_ridge_is_exact_on_its_landmarks():
     raw = model.scores([np.frombuffer(t, np.uint8) for t in texts], model.tables())
     assert [model.languages[k] for k in raw.argmax(1)] == ["en", "de", "en", "de"] and np.abs(raw.max(1) - 1).max() < 1e-2
     k = lambda a, b: len(np.intersect1d(a, b)) / math.sqrt(len(a) * len(b))
-    held = np.isin(model.vocabulary, sets[0]).astype(float) / math.sqrt(len(sets[0]))
-    assert abs((held @ model.presence)[0] - k(sets[0], sets[2])) < 1e-6 or abs((held @ model.presence).max() - 1) < 1e-6
+    marks = langid.Landmarks(sets)
+    assert all(abs(v - k(a, b)) < 1e-12 for a in [*sets, np.array([5], np.uint32)] for v, b in zip(marks.kernel(a), sets, strict=True))
 
 
 def brute_kernel(texts, labels, landmarks):
@@ -448,7 +448,22 @@ def test_language_query_is_brute_force(spark):
 def test_language_fit_leaves_no_language_out(spark):
     rows = [(k, f"l{k % 400:03d}".translate(str.maketrans("0123456789", "abcdefghij")) * 3, f"x{k % 400}") for k in range(1200)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert len(model.languages) == 400
+    assert len(model.languages) == 400 and model.weights.shape == (len(model.vocabulary), 400)
+
+
+def test_language_fit_on_executors_is_that_in_memory(spark, monkeypatch):
+    """Sums over bins, and blocks of them, give the model that one solve over all sets gives; also after a new deal of rows."""
+    monkeypatch.setattr(langid, "BIN_ROWS", 7)
+    monkeypatch.setattr(langid, "BLOCK", 10)
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang")
+    found = langid.fit(docs)
+    rows = langid.lowest(docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang").distinct(), "lang", "doc_id", langid.PER_LANGUAGE).join(docs, ["doc_id", "lang"]).collect()
+    sets = sorted((r.lang, langid.grams(np.frombuffer(r.text.encode(), np.uint8)).tobytes()) for r in rows)
+    want = langid.solve([np.frombuffer(g, np.uint32) for _, g in sets], [y for y, _ in sets])
+    assert found.languages == want.languages and (found.vocabulary == want.vocabulary).all()
+    assert np.abs(found.weights - want.weights).max() < 1e-4 * np.abs(want.weights).max() and np.abs(found.bias - want.bias).max() < 1e-4
+    again = langid.fit(docs.repartition(5))
+    assert (again.weights == found.weights).all() and (again.bias == found.bias).all()
 
 
 def test_lowest_is_bounded_and_repeatable(spark):
