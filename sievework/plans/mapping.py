@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.operators import admission as A
+from sievework.operators import details as D
 from sievework.operators import evaluate as E
 from sievework.operators import extract as X
 from sievework.operators import mapping as M
@@ -339,3 +340,30 @@ def e18(programs: DataFrame, marks: DataFrame) -> DataFrame:
     held = A.result_details(A.evaluate_people(programs, E.course_marks(marks)))
     return held.groupBy("row_id").agg(F.count("*").alias("n"), F.sum(F.size("details.missing")).alias("messages"), F.count_if(F.col("details.warning").isNotNull()).alias("warnings"))
 
+
+
+@query("e18_people_details", "v_canonical", "v_marks")
+def e18_people(programs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Whole details of every student and visible program under the rule tables, counted by subject, status and warning."""
+    averages, electives = rule_tables(programs)
+    held = D.people_details(programs, E.course_marks(marks), avg_rules=averages, elective_rules=electives)
+    each = held.select("details.warning.level", F.size("details.electives.usable_top").alias("shown"), F.explode("details.requirements").alias("r"))
+    return each.groupBy("r.label", "r.status", "level").agg(F.count("*").alias("n"), F.sum(F.size("r.issues")).alias("issues"), F.sum("shown").alias("electives_shown"))
+
+
+@query("e17_result_views", "v_canonical", "v_marks")
+def e17_views(programs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The four views of every student's results, counted."""
+    averages, electives = rule_tables(programs)
+    held = D.result_views(A.evaluate_people(programs, E.course_marks(marks), avg_rules=averages, elective_rules=electives))
+    return held.groupBy("student_id", "view").agg(F.count("*").alias("n"))
+
+
+@query("e14_pair_messages", "v_canonical", "v_marks")
+def e14_pairs(programs: DataFrame, marks: DataFrame) -> DataFrame:
+    """What the average of every student lacks for every visible program, in its whole form, counted by message."""
+    averages, electives = rule_tables(programs)
+    facts = A.program_facts(programs, "2024-01-01", "2024-02-01", averages, electives)
+    said = A.evaluated_pairs(facts, E.course_marks(marks)).select("student_id", "class_id", F.explode("average_messages").alias("message"))
+    many = facts.groupBy("class_id").agg(F.count("*").alias("programs"))
+    return said.groupBy("class_id", "message").agg(F.count("*").alias("students")).join(many, "class_id").groupBy("message").agg(F.sum(F.col("students") * F.col("programs")).alias("pairs"))

@@ -6,6 +6,7 @@ import itertools
 import random
 
 from sievework.operators import admission as A
+from sievework.operators import details as D
 from sievework.operators import evaluate as E
 from sievework.operators import mapping as M
 from sievework.operators.electives import best_subset
@@ -52,6 +53,36 @@ def test_results_of_two_people(spark):
     assert [r.place for r in A.sorted_results(A.evaluate_people(programs, E.course_marks(marks)), 2).filter("student_id = 1").collect()] == [1, 2]
 
 
+def test_details_and_views(spark):
+    asks = {"english_req": "30-1", "english_min": "75", "min_avg_final": "65", "avg_total": "3", "elective_pool": "B"}
+    programs = programs_of(spark, asks, {"english_req": "Placement test", "program_url": ""}, {"science_req": "Two of Biology 30, Chemistry 30", "requirement_type": "notes: portfolio"}, {"english_req": "30-1", "social_req": "See Degree"}, {})
+    marks = [(1, "English Language Arts 30-1", 70.0), (1, "Biology 30", 95.0), *[(1, c, m) for c, m in (("Art 30", 80.0), ("Physical Education 30", 60.0))], (2, "Math 31", 50.0)]
+    marks = E.course_marks(spark.createDataFrame([(i, *m) for i, m in enumerate(marks)], "seq long, student_id long, course string, mark double"))
+    got = {(r.student_id, r.row_id): r.details for r in D.people_details(programs, marks).collect()}
+    assert sorted(got) == [(s, r) for s in (1, 2) for r in (1, 2, 3, 4, 5)]
+    subject = lambda k, name: tuple(next(x for x in got[k].requirements if x.label == name))[1:]
+    assert [x.label for x in got[1, 1].requirements] == ["English", "Math", "Social Studies", "Science"]
+    assert subject((1, 1), "English") == ("low_mark", "English 30-1", 75.0, "English 30-1=70", ["English 30-1=70 < 75"])
+    assert subject((2, 1), "English") == ("missing", "English 30-1", 75.0, "", ["Missing one of: English 30-1"])
+    assert subject((1, 1), "Math") == ("not_required", "Not required", None, "", [])
+    assert subject((1, 2), "English")[:2] == ("assessment", "assessment/placement required")
+    assert subject((1, 3), "Science") == ("missing", "Need 2 of: Biology 30, Chemistry 30", None, "Biology 30=95", ["Only 1 of 2 required subjects present."])
+    assert subject((1, 4), "English")[0] == "met" and subject((1, 4), "Social Studies")[:2] == ("unknown", "See Degree")
+    one = got[1, 1]
+    assert (one.average.min, one.average.student, one.average.total_courses, one.average.used_courses, one.average.complete, one.average.meets_minimum, one.average.needed_electives) == (65.0, 70.0, 3, 3, True, True, 2)
+    assert [tuple(e) for e in one.electives.selected] == [("B", "ART 30", 80.0), ("B", "PHYSICAL EDUCATION 30", 60.0)] == [tuple(e) for e in one.electives.usable_top]
+    assert (one.electives.allowed_groups, one.missing_reasons, one.snapshot_result) == (["B"], ["English mark too low: English 30-1=70 < 75"], "Likely ineligible")
+    assert (tuple(one.warning), got[2, 1].average.meets_minimum, got[1, 5].average.meets_minimum) == (("high", "", [], "", ""), False, None)
+    assert tuple(got[1, 2].warning) == ("uncheckable", D.WARNINGS["Uncheckable"], [], A.PLACEMENT_REASON, A.NEXT_STEP_NO_URL) and got[1, 2].source_url_missing
+    assert (got[1, 3].warning.level, got[1, 3].warning.reasons) == ("medium", ["Program includes additional manual-review requirements."])
+    assert (got[1, 3].notes, got[1, 3].advisories) == (["portfolio"], ["Other requirements: portfolio"])
+    views = {}
+    for r in D.result_views(A.evaluate_people(programs, marks)).collect():
+        views.setdefault((r.student_id, r.view), []).append(r.row_id)
+    assert {k: sorted(v) for k, v in views.items()}[1, "all"] == [1, 2, 3, 4, 5] and sorted(views[1, "ineligible"]) == [1, 3]
+    assert all(len(views[s, "all"]) == sum(len(views.get((s, v), [])) for v in D.VIEWS.values()) for s in (1, 2))
+
+
 def test_best_subset_is_exhaustive():
     rng = random.Random(7)
     for _ in range(400):
