@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+#: Bytes of text hashed at a time; their work arrays take some fifty times as much, and stay in a worker's heap.
+SLICE = 1 << 16
 U64 = np.uint64
 
 _IS_SPACE = np.zeros(256, bool)
@@ -23,10 +24,13 @@ _LANES = _rng.integers(1, 1 << 63, 16, dtype=np.int64).astype(U64) | U64(1)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of a bounded number, so that work arrays stay small."""
+    """The same rows in batches of a bounded number, so that work arrays stay small. What Arrow holds for later is given
+    back at the end, as an idle worker would keep it beside the next stages."""
     for b in batches:
         for at in range(0, max(b.num_rows, 1), rows):
             yield b.slice(at, rows)
+    b = None
+    pa.default_memory_pool().release_unused()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -268,7 +268,7 @@ class _Postings:
     def __init__(self, token: np.ndarray, owner: np.ndarray, top: np.ndarray, tokens: int):
         order = np.argsort(token, kind="stable")
         self.owner, self.top = owner[order], top[order]
-        self.begin = np.searchsorted(token[order], np.arange(tokens + 1))
+        self.begin = np.searchsorted(token[order], np.arange(tokens + 1, dtype=token.dtype))
 
     def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the tokens' entries are, and the token (by its number among these) of each."""
@@ -279,18 +279,17 @@ class _Postings:
 def _unit_links(sets: list[np.ndarray]) -> np.ndarray:
     """The component of each set. A hub's candidates are the sets not yet reached that share a token of both prefixes,
     by the unit's own order of frequency, at places and with sizes that allow a link; their overlaps with the hub are
-    counted per fragment of the order and summed."""
+    counted per fragment of the order and summed. Tokens, places and owners are below 2**31: they are held in 32 bits."""
     n = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), n)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), n)
     _, token = np.unique(np.concatenate(sets), return_inverse=True)
     df = np.bincount(token)
-    rank = np.empty(len(df), np.int64)
+    rank = np.empty(len(df), np.int32)
     rank[np.argsort(df, kind="stable")] = np.arange(len(df))
     token, df = rank[token], np.sort(df)
-    order = np.lexsort((token, owner))
-    token, begin = token[order], np.cumsum(n) - n
-    place = np.arange(len(token)) - begin[owner]
-    top, length = _largest_partner(n[owner], place), n - least_overlap(n) + 1
+    token, begin = token[np.lexsort((token, owner))], np.cumsum(n) - n
+    place = (np.arange(len(token)) - begin[owner]).astype(np.int32)
+    top, length = np.minimum(_largest_partner(n[owner], place), (1 << 31) - 1).astype(np.int32), n - least_overlap(n) + 1
     prefix = place < length[owner]
     leads = prefix & (top >= n[owner])
     fragment = np.arange(len(df)) * PARTS // max(len(df), 1)
@@ -374,7 +373,8 @@ def _set_map(shared):
         held = shared.value
         for whole in sliced(batches):
             ids = whole.column("id_hash").to_numpy()
-            b = whole.filter(pa.array(held[_cell(mix64(ids.astype(U64)))]))
+            cell = _cell(mix64(ids.astype(U64)))
+            b = whole.filter(pa.array((held[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)))
             sets = list(shingle_sets(b.column("text"), SHINGLE)) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([_class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "class", "tokens"])
 
@@ -382,7 +382,7 @@ def _set_map(shared):
 
 
 def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit per cell of doc_id hashes; fixed size, false hits only."""
+    """A bit per cell of doc_id hashes, packed; fixed size, false hits only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -392,7 +392,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     out = np.zeros(1 << CELL_BITS, bool)
     for r in ids.select("id_hash").mapInArrow(run, "cells binary").toLocalIterator():
         out[np.frombuffer(r.cells, np.uint32)] = True
-    return out
+    return np.packbits(out)
 
 
 def _token_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
