@@ -43,6 +43,8 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 
 _REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
+#: The 15 bits of a number, mirrored.
+_REVERSED_15 = (_REVERSED[np.arange(1 << 15) & 255].astype(np.int64) << 8 | _REVERSED[np.arange(1 << 15) >> 8]) >> 1
 
 
 class Bits:
@@ -78,30 +80,30 @@ class Code:
     """A canonical prefix code. flat: all of the symbols 0..255 have eight bits."""
 
     def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
+        self.used = used = sorted((n, s) for s, n in enumerate(lengths) if n)
         self.only = used[0][1] if len(used) == 1 else None
         self.flat = len(used) == 256 and all(n == 8 for n, _ in used) and used[-1][1] == 255
-        self.table: dict[tuple[int, int], int] = {}
         if not used:
             self.only = 0
         if self.only is not None:
             return
         if sum(2.0**-n for n, _ in used) != 1.0:
             raise ValueError("incomplete prefix code")
-        for s, (code, n) in enumerate(canonical(lengths)):
-            if n:
-                self.table[n, code] = s
 
     @functools.cached_property
     def table_of(self) -> tuple[np.ndarray, int]:
         """(length << 16 | symbol by the next bits, mask of these bits)."""
         if self.only is not None:
             return np.array([self.only]), 0
-        width = max(n for n, _ in self.table)
-        out = np.zeros(1 << width, np.int64)
-        for (n, code), s in self.table.items():
-            out[mirrored(code, n) :: 1 << n] = n << 16 | s
-        return out, (1 << width) - 1
+        # In order of their codes, symbols fill all numbers of ``width`` bits, each as many as its length leaves open.
+        n, s = np.array(self.used).T
+        width = int(n[-1])
+        return np.repeat(n << 16 | s, 1 << (width - n))[_REVERSED_15[: 1 << width] >> (15 - width)], (1 << width) - 1
+
+    @functools.cached_property
+    def size_of(self) -> np.ndarray:
+        """The length by the next bits."""
+        return self.table_of[0] >> 16
 
     @functools.cached_property
     def lookup(self) -> tuple[list[int], int]:
@@ -110,13 +112,10 @@ class Code:
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        code = 0
-        for n in range(1, 16):
-            code = code << 1 | bits.read(1)
-            s = self.table.get((n, code))
-            if s is not None:
-                return s
-        raise ValueError("bad prefix code")
+        table_, mask = self.lookup
+        v = table_[int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 3], "little") >> (bits.at & 7) & mask]
+        bits.read(v >> 16)
+        return v & 0xFFFF
 
 
 @functools.lru_cache(256)
@@ -275,13 +274,15 @@ STRETCH = 1 << 15
 
 def _windows(data: bytes, base: int) -> np.ndarray:
     """The next 15 bits at each of STRETCH bit positions from a whole byte on; zeros beyond the end."""
-    raw = np.zeros((STRETCH >> 3) + 2, np.uint32)
-    part = np.frombuffer(data, np.uint8, max(0, min(len(raw), len(data) - (base >> 3))), min(base >> 3, len(data)))
+    part = np.frombuffer(data, np.uint8, max(0, min((STRETCH >> 3) + 2, len(data) - (base >> 3))), min(base >> 3, len(data)))
+    out = np.zeros(max(8 * len(part) + 16, 512) + 256, np.int64)
+    many = min(len(part), STRETCH >> 3)
+    raw = np.zeros(many + 2, np.int64)
     raw[: len(part)] = part
     long = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
-    out = np.zeros(max(8 * len(part) + 16, 512) + 256, np.int64)
-    wide = (long[:, None] >> np.arange(8, dtype=np.uint32) & 0x7FFF).reshape(-1)[: len(out) - 256]
-    out[: len(wide)] = wide
+    wide = out[: 8 * many].reshape(many, 8)
+    np.right_shift(long[:, None], np.arange(8), out=wide)
+    wide &= 0x7FFF
     return out
 
 
@@ -306,16 +307,18 @@ def _plain_stream(bits: Bits, group: list[Code], total: int, cache_bits: int) ->
         window = _windows(bits.data, base)
         room = min(STRETCH, len(window) - 256)
         s = green.take(window[:room] & g_mask)
-        after = np.arange(room) + (s >> 16)
+        place = np.arange(len(window))
+        after = s >> 16
+        after += place[:room]
         s &= 0xFFFF
-        # The size of the symbol at each position, once for each code; the same code often serves several channels.
-        r_size = (red >> 16).take(window & r_mask)
-        b_size = r_size if group[2] is group[1] else (blue >> 16).take(window & b_mask)
-        a_size = r_size if group[3] is group[1] else (alpha >> 16).take(window & a_mask)
-        second = after + r_size.take(after)
-        third = second + b_size.take(second)
-        nxt = np.where(s < LITERALS, third + a_size.take(third), after)
-        runs = np.flatnonzero((s >= LITERALS) & (s < LITERALS + LENGTHS))
+        # Where the symbol at each position ends, once for each code; the same code often serves several channels.
+        r_end = group[1].size_of.take(window & r_mask)
+        r_end += place
+        b_end, a_end = (r_end if c is group[1] else c.size_of.take(window & m) + place for c, m in ((group[2], b_mask), (group[3], a_mask)))
+        nxt = a_end.take(b_end.take(r_end.take(after), mode="clip"), mode="clip")
+        others = np.flatnonzero(s >= LITERALS)
+        nxt[others] = after[others]
+        runs = others[s[others] < LITERALS + LENGTHS]
         n, size = number(window, s[runs] - LITERALS, after[runs])
         at = after[runs] + size
         v = far[window[np.minimum(at, len(window) - 1)] & f_mask]
@@ -343,8 +346,11 @@ def _plain_stream(bits: Bits, group: list[Code], total: int, cache_bits: int) ->
             p = int(nxt[path[k - 1]])
             path, own = path[:k], own[:k]
         symbols.append(s[path])
-        part = (red[window[after[path]] & r_mask] & 0xFFFF) << 16 | s[path] << 8 | blue[window[second[path]] & b_mask] & 0xFFFF
-        pixels.append(part.astype(np.int64) | (alpha[window[third[path]] & a_mask].astype(np.int64) & 0xFFFF) << 24)
+        first = after[path]
+        second = r_end[first]
+        third = b_end[second]
+        part = (red[window[first] & r_mask] & 0xFFFF) << 16 | s[path] << 8 | blue[window[second] & b_mask] & 0xFFFF
+        pixels.append(part | (alpha[window[third] & a_mask] & 0xFFFF) << 24)
         counts.append(count[path])
         have += int(own[-1]) if len(own) else 0
         base, p = base + (p & ~7), p & 7
@@ -359,7 +365,7 @@ def _plain_stream(bits: Bits, group: list[Code], total: int, cache_bits: int) ->
         one = np.flatnonzero(~repeat)
         known = s[one] >= LITERALS + LENGTHS
         slot = np.where(known, s[one] - LITERALS - LENGTHS, (pixel[one] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits))
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
         slot = slot[order]
         source = np.maximum.accumulate(np.where(known[order], -1, np.arange(len(order))))
         begin = np.searchsorted(slot, slot)
@@ -491,7 +497,10 @@ def decode(data: bytes) -> np.ndarray:
             width = (width + (1 << packed) - 1) >> packed
         else:
             steps.append((kind, width, None, 0))
-    px = _channels(_entropy_image(bits, width, h, True))
+    flat = _entropy_image(bits, width, h, True)
+    if not steps:
+        return (flat << 8 | flat >> 24).astype(">u4").view(np.uint8).reshape(h, w, 4)
+    px = _channels(flat)
     for kind, width, held, size in reversed(steps):
         if kind == PREDICTOR:
             px = _undo_predictor(px, width, h, held >> 8 & 255, size)
@@ -599,16 +608,21 @@ def _entries(px: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray, n
     green = (pixel >> 8 & 255).astype(np.int64)
     if cache_bits:
         slot = ((pixel.astype(np.uint64) * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
         known = np.zeros(len(pixel), bool)
         known[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixel[order[1:]] == pixel[order[:-1]])
         green = np.where(known, LITERALS + LENGTHS + slot, green)
-    v = np.maximum(run - 1, 0)
-    extra = np.maximum(np.frexp(np.maximum(v, 1))[1] - 2, 0)
-    green = np.where(run > 0, LITERALS + np.where(run <= 4, run - 1, 2 * (extra + 1) + (v >> extra & 1)), green)
+    at = np.flatnonzero(run)
+    v, extra = run[at] - 1, _extra(run[at])
+    green[at] = LITERALS + np.where(v < 4, v, 2 * (extra + 1) + (v >> extra & 1))
     return green, pixel, run
 
 
+def _extra(run: np.ndarray) -> np.ndarray:
+    """Bits beyond the symbol of the lengths of runs."""
+    return np.maximum(np.frexp(np.maximum(run - 1, 1))[1] - 2, 0)
+
+
 def put_image(out: Writer, px: np.ndarray, main: bool, cache_bits: int = 0, codes: list[list[int]] | None = None) -> None:
     """An entropy-coded image of ARGB pixels; codes: lengths of its five codes, else those of its own counts."""
     out.put(int(cache_bits > 0), 1)
@@ -631,25 +645,29 @@ def put_image(out: Writer, px: np.ndarray, main: bool, cache_bits: int = 0, code
     tables = _text_tables() if codes is text_codes() else [_written(lengths) for lengths in codes[:4]]
     # One number of at most 60 bits for each entry: its symbols, or a run's length and what is beyond its symbol.
     value, bits = (t[green] for t in tables[0])
-    n = np.where(run > 4, np.maximum(np.frexp(np.maximum(run - 1, 1))[1] - 2, 0), 0)
-    value, bits = value | np.where(run > 0, (np.maximum(run - 1, 0) & ((1 << n) - 1)) << bits, 0), bits + n
+    long = np.flatnonzero(run > 4)
+    n = _extra(run[long])
+    value[long] |= (run[long] - 1 & ((1 << n) - 1)) << bits[long]
+    bits[long] += n
     for c, (code, size) in zip(others, tables[1:], strict=True):
         value, bits = value | np.where(literal, code[c] << bits, 0), bits + np.where(literal, size[c], 0)
-    at, total = np.cumsum(bits) - bits, int(bits.sum())
-    body = np.zeros((total >> 3) + 16)
-    for part, start in ((value & 0xFFFFFFFF, at), (value >> 32, at + 32)):
-        shifted, byte = part << (start & 7), start >> 3
-        for k in range(5):
-            body += np.bincount(byte + k, shifted >> (8 * k) & 255, len(body))[: len(body)]
-    out.put(int.from_bytes(body.astype(np.uint8).tobytes(), "little") & ((1 << total) - 1), total)
+    # An entry lies in one or two words of 64 bits; those of a word follow each other.
+    end = np.cumsum(bits)
+    at, total = end - bits, int(end[-1])
+    word, shift, value = at >> 6, (at & 63).astype(np.uint64), value.astype(np.uint64)
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    body = np.zeros((total >> 6) + 2, np.uint64)
+    body[word[first]] = np.bitwise_or.reduceat(value << shift, first)
+    body[word[first] + 1] |= np.bitwise_or.reduceat(value >> np.uint64(1) >> (np.uint64(63) - shift), first)
+    out.put(int.from_bytes(body.astype("<u8").tobytes(), "little") & ((1 << total) - 1), total)
 
 
 def _written(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """The bits of each symbol as they are written, and how many; a code of one symbol has none."""
-    codes = canonical(lengths)
     if sum(n > 0 for n in lengths) <= 1:
         return np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    return np.array([mirrored(c, n) for c, n in codes], np.int64), np.array([n for _, n in codes], np.int64)
+    code, size = np.array(canonical(lengths), np.int64).T
+    return _REVERSED_15[code] >> (15 - size), size
 
 
 @functools.cache
@@ -701,7 +719,7 @@ def residuals(px: np.ndarray, mode: int) -> np.ndarray:
 
 def less_green(px: np.ndarray) -> np.ndarray:
     """... x 4 (A, R, G, B) with red and blue less green, modulo 256."""
-    return (px - px[..., 2:3] * np.array([0, 1, 0, 1])) & 255
+    return (px - px[..., 2:3] * np.array([0, 1, 0, 1], px.dtype)) & 255
 
 
 #: An image as it is, less what is left or above, less green.
@@ -723,7 +741,7 @@ def encode(pixels: np.ndarray) -> bytes:
     out.put(0, 3)
     raw = np.ascontiguousarray(pixels).view("<u4").reshape(-1)
     flat = raw & 0xFF00FF00 | (raw & 255) << 16 | raw >> 16 & 255
-    px = lambda rows=None: pixels[:rows, :, [3, 0, 1, 2]].astype(np.int64)
+    px = lambda rows=None: pixels[:rows, :, [3, 0, 1, 2]]
     few = np.unique(flat[:256])
     colours = np.unique(flat) if len(few) <= 16 else few
     if len(colours) <= 16:
@@ -774,6 +792,13 @@ def images(stored: bytes) -> Iterator[np.ndarray]:
         at = end
 
 
+@functools.lru_cache(1024)
+def _blocks(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of 64 parts of n samples begins, and its size."""
+    cuts = np.linspace(0, n, 65).astype(np.int64)
+    return cuts[:-1], np.diff(cuts)
+
+
 def feature(parts: list[np.ndarray]) -> str:
     """Mean and deviation of each channel, and whether each of 8 x 8 blocks is lighter than the mean, as hex."""
     px = (parts[0] if len(parts) == 1 else np.concatenate(parts)).reshape(-1, 4)
@@ -783,8 +808,8 @@ def feature(parts: list[np.ndarray]) -> str:
     mean = total / n
     deviation = np.sqrt(np.maximum(square / n - mean**2, 0))
     light = px.reshape(-1)
-    cuts = np.linspace(0, len(light), 65).astype(np.int64)[:-1]
-    blocks = np.add.reduceat(light, cuts, dtype=np.int64) / np.diff(np.append(cuts, len(light)))
+    cuts, size = _blocks(len(light))
+    blocks = np.add.reduceat(light, cuts, dtype=np.int64) / size
     return "|".join([*(f"{m:.3f},{d:.3f}" for m, d in zip(mean, deviation, strict=True)), np.packbits(blocks > total.sum() / (4 * n)).tobytes().hex()])
 
 
