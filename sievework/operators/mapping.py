@@ -279,7 +279,7 @@ def baseline_profile(docs: DataFrame) -> DataFrame:
 
 def match_summary(rows: DataFrame, matches: DataFrame) -> DataFrame:
     """institution, canonical, matched, missing, ambiguous of matches (left_id, status) of rows (row_id, institution)."""
-    held = rows.select(F.col("row_id").alias("left_id"), "institution").join(matches.select("left_id", "status"), "left_id", "left")
+    held = rows.select(F.col("row_id").alias("left_id"), "institution").join(matches.select("left_id", "status").hint("merge"), "left_id", "left")
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
     return held.groupBy("institution").agg(F.count("*").alias("canonical"), count("matched"), F.count_if(F.col("status").isNull() | (F.col("status") == "missing")).alias("missing"), count("ambiguous"))
 
