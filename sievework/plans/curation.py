@@ -198,7 +198,7 @@ def jo09(can: DataFrame, cand: DataFrame) -> DataFrame:
 @query("jo12_candidate_only", "v_canonical", "v_candidate", sql=f"WITH {MATCH} SELECT cand_id FROM v_candidate WHERE cand_id NOT IN (SELECT cand FROM m WHERE n = 1)")
 def jo12(can: DataFrame, cand: DataFrame) -> DataFrame:
     used = match_canonical(can, cand).filter("status = 'matched'").select(F.col("right_id").alias("cand_id"))
-    return cand.select("cand_id").join(used, "cand_id", "left_anti")
+    return cand.select("cand_id").join(used.hint("merge"), "cand_id", "left_anti")
 
 
 @query(
