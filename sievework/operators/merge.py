@@ -49,7 +49,7 @@ def resolve_structured(df: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def proposed_removals(missing: DataFrame, decisions: DataFrame, reasons: list[str]) -> DataFrame:
-    held = missing.join(decisions, "row_id", "left")
+    held = missing.join(decisions.hint("merge"), "row_id", "left")  # as many as rows, so never broadcast
     return held.filter(F.col("reason_code").isNull() | F.col("reason_code").isin(*reasons)).select("row_id", F.coalesce("reason_code", F.lit("unknown")).alias("reason"))
 
 
