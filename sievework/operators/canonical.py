@@ -51,7 +51,8 @@ def apply_structured(df: DataFrame, found: DataFrame, keyed: DataFrame | None =
     match = M.resolve_structured(df if keyed is None else keyed, found).filter("right_id IS NOT NULL").select(F.col("left_id").alias("row_id"), F.col("right_id").alias("cand_id"))
     texts = lambda cs: F.transform(F.array(*cs), T.norm_space)
     values = found.select("cand_id", texts(STRUCTURED).alias("__new"), F.transform(F.array(*[f"{f}_confidence" for f in STRUCTURED]), lambda h: F.lower(T.norm_space(h))).alias("__how"))
-    held = df.join(match.join(values, "cand_id").drop("cand_id"), "row_id", "left")
+    # Both grow with the rows, and Spark takes a compressed file for few: a table of 46 texts a row is no broadcast.
+    held = df.join(match.join(values.hint("merge"), "cand_id").drop("cand_id").hint("merge"), "row_id", "left")
     # One lambda over the 23 fields, as 23 expressions of their own would be too much code for one method.
     own = F.arrays_zip(F.array(*map(F.lit, STRUCTURED)).alias("field"), F.array(*STRUCTURED).alias("old"), F.col("__new").alias("new"), F.col("__how").alias("how"))
 

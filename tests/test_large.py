@@ -17,3 +17,8 @@ def plan(df) -> str:
 def test_rows_are_matched_without_broadcast(spark, name):
     """Both sides grow with the programs; Spark takes few bytes of a compressed file for few rows."""
     assert "Broadcast" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["mg02_structured_fields"])
+def test_merge_broadcasts_no_rows(spark, name):
+    assert "Broadcast" not in plan(catalog.QUERIES[name](spark, SF))
