@@ -140,14 +140,14 @@ def resolve_overrides(df: DataFrame, overrides: DataFrame) -> DataFrame:
     of_name = F.array(key(3, i, p, c), key(4, i, p))
     both = F.when((u != "") & (p != ""), F.array(key(2, i, u, none, p), key(2, i, u, c, p))).otherwise(F.array().cast("array<struct<t:int,k:string>>"))
     asks = F.array_distinct(F.concat(of_url, both, F.when(p != "", of_name).otherwise(F.array().cast("array<struct<t:int,k:string>>"))))
-    found = rows.select("row_id", F.explode(asks).alias("x")).select("row_id", "x.*").join(held, ["t", "k"])
+    found = rows.select("row_id", F.explode(asks).alias("x")).select("row_id", "x.*").join(held.hint("merge"), ["t", "k"])
     found = found.groupBy("row_id", "t").agg(F.sum("n").alias("n"), F.min("seq").alias("seq")).filter("n = 1").groupBy("row_id").agg(F.min_by(F.struct("seq", "t"), "t").alias("b"))
     found = found.select("row_id", "b.seq", "b.t")
 
-    rest = rows.join(found, "row_id", "left_anti").filter(F.size("tokens") > 0)
+    rest = rows.join(found.hint("merge"), "row_id", "left_anti").filter(F.size("tokens") > 0)
     block = F.concat_ws("\x1f", "i", "asked")
-    asked = rest.select("i", F.col("c").alias("asked")).distinct()
-    fit = active.join(asked, "i").filter((F.col("asked") == "") | (F.col("c") == "") | (F.col("c") == F.col("asked"))).filter(F.size("tokens") > 0)
+    asked = rest.select("i", F.col("c").alias("asked")).distinct()  # a row for an institution's kind of credential
+    fit = active.join(F.broadcast(asked), "i").filter((F.col("asked") == "") | (F.col("c") == "") | (F.col("c") == F.col("asked"))).filter(F.size("tokens") > 0)
     near = best_fuzzy_match(rest.withColumn("asked", F.col("c")).select(F.col("row_id").alias("id"), block.alias("block"), "tokens"), fit.select(F.col("seq").alias("id"), block.alias("block"), "tokens", "name", none.alias("url")), LEAST, GAP)
     named = near.filter("status = 'matched'").select(F.col("left_id").alias("row_id"), F.col("right_id").alias("seq"), F.lit(5).alias("t"))
     tiers = F.array(*map(F.lit, ("url", "url_credential", "url_program", "key", "key_without_credential", "name")))
@@ -158,7 +158,7 @@ def with_overrides(df: DataFrame, overrides: DataFrame, keyed: DataFrame | None
     """df with the override of each row as a struct (null without one), for exclude and apply_overrides."""
     url = lambda c: F.when(T.is_http_url(c), T.norm_space(c))
     held = overrides.select("seq", F.struct(*[T.norm_space(c).alias(f) for f, c in OVERRIDES.items()], F.coalesce(url("parent_admissions_url"), url("source_page_url"), F.lit("")).alias("url"), _low("include_or_exclude").alias("decision")).alias("__override"))
-    return df.join(resolve_overrides(df if keyed is None else keyed, overrides).join(held, "seq").select("row_id", "tier", "__override").withColumn("__override", F.col("__override").withField("tier", F.col("tier"))).drop("tier"), "row_id", "left")
+    return df.join(resolve_overrides(df if keyed is None else keyed, overrides).join(held.hint("merge"), "seq").select("row_id", "tier", "__override").withColumn("__override", F.col("__override").withField("tier", F.col("tier"))).drop("tier").hint("merge"), "row_id", "left")
 
 
 def apply_overrides(df: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def fill_from_seeds(df: DataFrame, seeds: DataFrame) -> DataFrame:
     """A blank credential takes the class of the seed of the row's name, and a blank status is Active where there is a seed
     (institution, program_name, credential, seq; the last of a name)."""
     last = seeds.groupBy(_low("institution").alias("__i"), T.name_key("program_name").alias("__p")).agg(F.max_by(F.coalesce("credential", F.lit("")), "seq").alias("__c")).filter("__p <> ''")
-    held = df.withColumns({"__i": _low("institution"), "__p": T.name_key("program")}).join(last, ["__i", "__p"], "left")
+    held = df.withColumns({"__i": _low("institution"), "__p": T.name_key("program")}).join(last.hint("merge"), ["__i", "__p"], "left")
     kind = F.lower("__c")
     named = F.when(kind.rlike("diploma"), "Diploma").when(kind.rlike("certificate"), "Certificate").when(kind.rlike("degree|bachelor"), "Degree").otherwise("Other")
     fill = lambda c, v: F.when(F.col("__c").isNotNull() & T.is_blank(c), v).otherwise(F.col(c))

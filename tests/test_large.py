@@ -22,3 +22,13 @@ def test_rows_are_matched_without_broadcast(spark, name):
 @pytest.mark.parametrize("name", ["mg02_structured_fields"])
 def test_merge_broadcasts_no_rows(spark, name):
     assert "Broadcast" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_overrides_broadcast_no_rows(spark):
+    """Of all that the whole merge joins, only lists by institution may be sent to every task."""
+    from sievework.operators import canonical as K
+    from sievework.plans.views import view
+
+    said = plan(K.with_overrides(view(spark, SF, "v_table"), view(spark, SF, "v_program_overrides")))
+    assert said.count("BroadcastExchange") <= said.count("asked")
+    assert "SortMergeJoin [t" in said and "SortMergeJoin [rs" in said and "SortMergeJoin [seq" in said and "BroadcastHashJoin [row_id" not in said
