@@ -32,3 +32,16 @@ def test_overrides_broadcast_no_rows(spark):
     said = plan(K.with_overrides(view(spark, SF, "v_table"), view(spark, SF, "v_program_overrides")))
     assert said.count("BroadcastExchange") <= said.count("asked")
     assert "SortMergeJoin [t" in said and "SortMergeJoin [rs" in said and "SortMergeJoin [seq" in said and "BroadcastHashJoin [row_id" not in said
+
+
+def test_a_text_that_many_rules_repeat_is_listed_once(spark):
+    """An institution's list, which each of its programs meets, has its distinct texts in the order of their first rows."""
+    from sievework.operators import rules as R
+
+    programs = spark.sql("SELECT id AS row_id, 'North' AS institution, concat('P', id) AS program FROM range(4)")
+    rules = spark.sql("SELECT id AS seq, 'North' AS institution, if(id % 500 = 7, 'P1', '*') AS program, concat('max ', 3 - id % 3, ' Group B') AS rule_text FROM range(2000)")
+    rules = rules.unionByName(spark.sql("SELECT -1L AS seq, 'North' AS institution, 'P1' AS program, 'own' AS rule_text"))
+    out = R.with_rules(programs, None, rules)
+    every = "max 3 Group B; max 2 Group B; max 1 Group B"
+    assert {r.row_id: r.rule_text for r in out.collect()} == {0: every, 1: every + "; own", 2: every, 3: every}
+    assert "min(seq" in plan(out)
