@@ -50,9 +50,10 @@ def _legacy(df: DataFrame) -> DataFrame:
     return df.filter("seq % 6 = 1").select(F.lower(T.norm_space("institution")).alias("institution"), T.name_key("program_name").alias("name_key")).filter("name_key <> ''").distinct()
 
 
-def _final(df: DataFrame, seeds: DataFrame, ov: DataFrame) -> DataFrame:
+def _final(df: DataFrame, seeds: DataFrame, ov: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """listed: the rows that legacy names are read from, where df is but some of them."""
     sets = C.override_sets(ov)
-    return C.rescue_and_exclude(C.classify_rows(df, RULES, seeds, sets), _legacy(df), sets)
+    return C.rescue_and_exclude(C.classify_rows(df, RULES, seeds, sets), _legacy(df if listed is None else listed), sets)
 
 
 @query("fi03_rescue_and_exclude", "v_index", "v_seed", "v_overrides", sql=f"WITH {FINAL} SELECT seq, CASE WHEN reason LIKE 'kept%' THEN 'keep' ELSE 'drop' END AS decision, reason AS reason_code FROM excluded")
@@ -244,7 +245,7 @@ _COVER = f"""WITH {FINAL}, kept AS (SELECT * FROM excluded WHERE reason LIKE 'ke
 @query("ag02_index_coverage", "v_index", "v_seed", "v_overrides", sql=_COVER)
 def ag02(df: DataFrame, seeds: DataFrame, ov: DataFrame) -> DataFrame:
     """Required fields, the rule cascade, overrides, first rows, then rows against targets: the whole index stage."""
-    kept = _final(C.require_fields(df, REQUIRED).filter("decision = 'keep'").select(*df.columns), seeds, ov).filter("decision = 'keep'")
+    kept = _final(C.require_fields(df, REQUIRED).filter("decision = 'keep'").select(*df.columns), seeds, ov, df).filter("decision = 'keep'")
     first = C.first_per_key(kept, [F.lower(T.norm_or_blank(c)) for c in REQUIRED])
     return C.index_coverage(first, seeds)
 

@@ -45,3 +45,13 @@ def test_a_text_that_many_rules_repeat_is_listed_once(spark):
     every = "max 3 Group B; max 2 Group B; max 1 Group B"
     assert {r.row_id: r.rule_text for r in out.collect()} == {0: every, 1: every + "; own", 2: every, 3: every}
     assert "min(seq" in plan(out)
+
+
+def test_legacy_names_come_from_rows_without_url_too(spark):
+    """A legacy row that lacks a field is not written, but its name rescues the whole row of that name."""
+    from sievework.plans import curation
+
+    index = spark.sql("SELECT * FROM VALUES (7L, 'North', 'Old Trade', '', ''), (8L, 'North', 'Old trade', 'https://x.org/1', ''), (9L, 'North', 'No Trade', 'https://x.org/2', '') t(seq, institution, program_name, source_url, notes)")
+    seeds = spark.sql("SELECT 1L AS seq, 'North' AS institution, 'Seed' AS program_name, 'https://x.org/3' AS source_url")
+    none = spark.sql("SELECT 1L AS seq, 'North' AS institution, '' AS program, '' AS include_or_exclude, '' AS status, '' AS source_page_url, '' AS parent_admissions_url, '' AS notes")
+    assert [tuple(r) for r in curation.ag02(index, seeds, none).collect()] == [("North", 1, 1, True)]
