@@ -55,3 +55,24 @@ def test_legacy_names_come_from_rows_without_url_too(spark):
     seeds = spark.sql("SELECT 1L AS seq, 'North' AS institution, 'Seed' AS program_name, 'https://x.org/3' AS source_url")
     none = spark.sql("SELECT 1L AS seq, 'North' AS institution, '' AS program, '' AS include_or_exclude, '' AS status, '' AS source_page_url, '' AS parent_admissions_url, '' AS notes")
     assert [tuple(r) for r in curation.ag02(index, seeds, none).collect()] == [("North", 1, 1, True)]
+
+
+def test_pairs_are_counted_before_the_product(spark):
+    """Programs are summed up below the join, so students meet counts and not each program."""
+    said = plan(catalog.QUERIES["jo16_student_program_pairs"](spark, SF))
+    assert said.index("BroadcastNestedLoopJoin") < said.index("partial_count")
+
+
+def test_no_pair_of_student_and_class_is_shuffled(spark):
+    """Above the product of evaluate nothing is joined or exchanged by pair; a gate, a part out of reach, two of three."""
+    from sievework.operators import evaluate as E
+    from sievework.plans.views import view
+
+    programs, marks = view(spark, SF, "v_canonical"), E.course_marks(view(spark, SF, "v_marks"))
+    said = plan(E.evaluate(programs, marks))
+    assert "Exchange" not in said[: said.index("NestedLoopJoin")]
+    classes, hits = E.class_hits(programs, marks)
+    want = {(r.student_id, r.class_id): r.met for r in hits.collect()}
+    out = E.evaluate(programs, marks).collect()
+    assert len(out) == marks.select("student_id").distinct().count() * classes.count()
+    assert {(r.student_id, r.class_id): r.met for r in out if r.met} == want
