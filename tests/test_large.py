@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from conftest import SF
 
@@ -76,3 +78,28 @@ def test_no_pair_of_student_and_class_is_shuffled(spark):
     out = E.evaluate(programs, marks).collect()
     assert len(out) == marks.select("student_id").distinct().count() * classes.count()
     assert {(r.student_id, r.class_id): r.met for r in out if r.met} == want
+
+
+def test_required_marks_are_summed_up_without_pairs(spark):
+    """The sums over programs are those of a row per pair, and nothing is joined by program."""
+    from pyspark.sql import functions as F
+
+    from sievework.operators import admission as A, evaluate as E
+    from sievework.plans.views import view
+
+    programs, marks = view(spark, SF, "v_canonical"), E.course_marks(view(spark, SF, "v_marks"))
+    out = catalog.QUERIES["e07_required_marks"](spark, SF)
+    pairs = A.required_marks(programs, marks).groupBy("student_id").agg(F.count("*").alias("pairs"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, pairs.collect()))
+    assert not re.search(r"Join \[row_id|Join \[part", plan(out))
+
+
+def test_hits_of_a_person_are_those_of_the_join(spark):
+    from sievework.operators import admission as A, evaluate as E
+    from sievework.plans.views import view
+    from pyspark.sql import functions as F
+
+    parts = A.subject_parts(view(spark, SF, "v_canonical")).filter("kind = 'parts'")
+    marks = E.course_marks(view(spark, SF, "v_marks"))
+    people = E.students_with_marks(marks).join(F.broadcast(A.listed_parts(parts))).select("student_id", F.explode(A.person_hits()).alias("h")).select("student_id", "h.*")
+    assert sorted(map(str, people.collect())) == sorted(map(str, A.part_results(parts, marks).select("student_id", "part", "best", "used").collect()))
