@@ -103,3 +103,28 @@ def test_hits_of_a_person_are_those_of_the_join(spark):
     marks = E.course_marks(view(spark, SF, "v_marks"))
     people = E.students_with_marks(marks).join(F.broadcast(A.listed_parts(parts))).select("student_id", F.explode(A.person_hits()).alias("h")).select("student_id", "h.*")
     assert sorted(map(str, people.collect())) == sorted(map(str, A.part_results(parts, marks).select("student_id", "part", "best", "used").collect()))
+
+
+@pytest.mark.parametrize("name", ["e14_pair_messages", "e17_result_views", "e22_results", "e18_details", "e18_people_details"])
+def test_results_are_counted_where_the_students_are(spark, name):
+    """Between the product of students and classes and the first sums above it no pair is exchanged, sorted or joined."""
+    said = plan(catalog.QUERIES[name](spark, SF))
+    above = said[: said.index("NestedLoopJoin")].split("partial_")[-1]
+    assert "Exchange" not in above and "Sort" not in above and "MergeJoin" not in above
+
+
+def test_counted_results_are_those_of_each_pair(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.operators import admission as A, details as D, evaluate as E
+    from sievework.plans.mapping import _facts
+    from sievework.plans.rules import rule_tables
+    from sievework.plans.views import view
+
+    programs, marks = view(spark, SF, "v_canonical"), E.course_marks(view(spark, SF, "v_marks"))
+    averages, electives = rule_tables(programs)
+    pairs = A.evaluate_people(programs, marks, avg_rules=averages, elective_rules=electives).groupBy("student_id", "snapshot_result").agg(F.count("*").alias("n"), F.sum(F.length("avg_used")).alias("used"))
+    counted = A.counted_results(_facts(programs), marks).groupBy("student_id", "snapshot_result").agg(F.sum("n").alias("n"), F.sum(F.length("avg_used") * F.col("n")).alias("used"))
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, counted.collect()))
+    whole = D.people_details(programs, marks, avg_rules=averages, elective_rules=electives).select("details.warning.level", F.explode("details.requirements").alias("r")).groupBy("r.label", "r.status", "level").agg(F.count("*").alias("n"), F.sum(F.size("r.issues")).alias("issues"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, catalog.QUERIES["e18_people_details"](spark, SF).select("label", "status", "level", "n", "issues").collect()))
